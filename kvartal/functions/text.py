@@ -7,8 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as a Unicode-aware trim sees it; Java's \s alone is ASCII and omits \x1c-\x1f.
-WS = r"[\p{IsWhite_Space}\x1c-\x1f]"
+# White space as a Unicode-aware trim sees it; Java's \s alone is ASCII.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+WS = f"[{WS_CHARS}]"
 
 # Bulgarian transliteration.
 LATIN = {
@@ -30,11 +34,11 @@ def search_key(text: Column) -> Column:
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+", "")
+    return F.ltrim(text, F.lit(WS_CHARS))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def group(text: Column, pattern: str, index: int) -> Column:

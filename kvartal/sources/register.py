@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvartal.functions.text import WS, search_key, strip
+from kvartal.functions.text import WS, WS_CHARS, search_key, strip
 from kvartal.operators.carry import CHUNK_BITS, carry_forward
 from kvartal.schemas import MAX_LENGTHS
 
@@ -22,14 +22,16 @@ UNDEFINED = "\x98"  # the one byte the charset leaves undefined
 
 # The report's line shapes.
 NUMBER_COLUMN = 38
-SEPARATOR = rf"^(?:-|{WS})+\z"
 COLUMN_TITLES = rf"(?iu)^{WS}*код{WS}+име{WS}"
 PAGE_TITLE = "КЛАСИФИКАТОР"
 PAGE_DATE = rf"^{WS}*\d{{2}}\.\d{{2}}\.\d{{4}}{WS}*\z"
+HEADER_WORD = "секция"
 HEADER = (
-    rf"(?iu)област{WS}+(\d{{2}}){WS}+(\S.*?\S){WS}+община{WS}+(\d{{2}}){WS}+(\S.*?\S){WS}+"
+    rf"(?isu)област{WS}+(\d{{2}}){WS}+(\S.*?\S){WS}+община{WS}+(\d{{2}}){WS}+(\S.*?\S){WS}+"
     rf"район{WS}+(\d{{2}})_(\S.*?\S){WS}+(\d{{4,6}}){WS}+(\S.*?\S){WS}+секция{WS}+(\d+){WS}*\z"
 )
+FIELD_SEP = "\uffff"  # outside the charset, so never inside a line
+HEADER_FIELDS = FIELD_SEP.join(("$5", "$6", "$7", "$8", "$9"))
 DATA_CODE = rf"^{WS}+(\d{{4,6}}){WS}+"
 _CELL = rf"\d+[А-Я]?(?:{WS}+[А-Я0-9]+)?"
 CELL = rf"^(\d+)([А-Я])?(?:{WS}+([А-Я0-9]+))?\z"
@@ -75,44 +77,58 @@ def normal_code(code: Column) -> Column:
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """Add ``header``, ``street`` and ``cells`` (NULL unless the line is of that class)."""
+    """Add ``header``, ``street`` and ``cells`` (NULL unless the line is of that class).
+
+    Each step is a column of its own: Spark then evaluates every pattern once per line.
+    """
     line = F.col("line")
-    stripped = strip(line)
     furniture = (
-        (stripped == "")
-        | line.rlike(SEPARATOR)
+        (F.translate(line, "-" + WS_CHARS, "") == "")
         | line.rlike(COLUMN_TITLES)
         | line.contains(PAGE_TITLE)
         | line.rlike(PAGE_DATE)
     )
-    is_header = ~furniture & line.rlike(HEADER)
-
-    def part(index: int) -> Column:
-        return F.regexp_extract(line, HEADER, index)
-
+    # The word is looked for first: the full pattern is dear, and headers are rare.
+    is_header = F.lower(line).contains(HEADER_WORD) & line.rlike(HEADER)
+    steps = lines.withColumn(
+        "_class", F.when(furniture, "furniture").when(is_header, "header")
+    ).withColumn(
+        "_code", F.when(F.col("_class").isNull(), F.regexp_extract(line, DATA_CODE, 0))
+    )
+    width = F.length("_code")
+    name_width = F.greatest(F.lit(NUMBER_COLUMN) - width, F.lit(0))
+    steps = steps.withColumns({
+        "_name": F.when(width > 0, strip(F.substring(line, width + 1, name_width))),
+        "_numbers": F.when(
+            (width > 0) | line.startswith(" " * NUMBER_COLUMN),
+            strip(F.substring(line, NUMBER_COLUMN + 1, 1 << 30)),
+        ),
+    })
+    listed = F.col("_numbers").rlike(CELL_LIST)
+    steps = steps.withColumn(
+        "_class",
+        F.when(F.col("_class").isNotNull(), F.col("_class"))
+        .when((F.col("_name") != "") & listed, "street")
+        .when(line.startswith(" " * NUMBER_COLUMN) & listed, "more"),
+    )
+    fields = F.split(F.regexp_replace(line, f"(?s)^.*?{HEADER}", HEADER_FIELDS), FIELD_SEP)
+    steps = steps.withColumn("_fields", F.when(F.col("_class") == "header", fields))
+    field = F.col("_fields")
     header = F.struct(
-        part(5).alias("district_code"), strip(part(6)).alias("district_name"),
-        normal_code(part(7)).alias("settlement_code"), strip(part(8)).alias("settlement_name"),
-        part(9).alias("section_no"),
+        field[0].alias("district_code"), strip(field[1]).alias("district_name"),
+        normal_code(field[2]).alias("settlement_code"),
+        strip(field[3]).alias("settlement_name"), field[4].alias("section_no"),
     )
-    code = F.regexp_extract(line, DATA_CODE, 1)
-    code_width = F.length(F.regexp_extract(line, DATA_CODE, 0))
-    name = strip(F.substring(line, code_width + 1, F.greatest(F.lit(NUMBER_COLUMN) - code_width, F.lit(0))))
-    tail = strip(F.substring(line, NUMBER_COLUMN + 1, 1 << 30))
-    plain = ~furniture & ~is_header
-    is_data = (
-        plain & (code != "") & (F.length(line) > NUMBER_COLUMN) & (name != "") & tail.rlike(CELL_LIST)
+    street = F.struct(
+        normal_code(strip(F.col("_code"))).alias("street_code"),
+        F.col("_name").alias("street_raw"),
     )
-    is_more = (
-        plain & ~is_data & line.startswith(" " * NUMBER_COLUMN) & stripped.rlike(CELL_LIST)
+    return steps.select(
+        *lines.columns,
+        F.when(F.col("_class") == "header", header).alias("header"),
+        F.when(F.col("_class") == "street", street).alias("street"),
+        F.when(F.col("_class").isin("street", "more"), F.col("_numbers")).alias("cells"),
     )
-    return lines.withColumns({
-        "header": F.when(is_header, header),
-        "street": F.when(
-            is_data, F.struct(normal_code(code).alias("street_code"), name.alias("street_raw"))
-        ),
-        "cells": F.when(is_data, tail).when(is_more, stripped),
-    })
 
 
 def parse_report(
@@ -126,9 +142,10 @@ def parse_report(
     ``out_of_range`` for values the register cannot hold, else NULL.
     """
     *outer, row_no = place[:-1] if len(place) > 1 else place
+    # Other lines are not filtered out here: the filter would be pushed below the staged
+    # columns of classify_lines and evaluate all of their patterns anew.
     known = (
         classify_lines(lines)
-        .where(F.col("header").isNotNull() | F.col("cells").isNotNull())
         .drop("line")
         .withColumn("_chunk", F.shiftright(F.col(row_no).cast("long"), CHUNK_BITS))
         .withColumnsRenamed({"header": "_header", "street": "_street"})
