@@ -64,17 +64,17 @@ SELECT COUNT(*) FILTER (WHERE tier = 1) AS tier1, COUNT(*) FILTER (WHERE tier =
 
 @query(GATED, target=v.TARGETS, register=v.REGISTER)
 def lookup_gated(target: DataFrame, register: DataFrame) -> DataFrame:
-    return lookup.stamp_by_tiers(target, register)
+    return lookup.stamp_by_tiers(target, lookup.build_tiers(register))
 
 
 @query(RESTAMPED, target=v.TARGETS, register=v.REGISTER)
 def lookup_restamp(target: DataFrame, register: DataFrame) -> DataFrame:
-    return lookup.stamp_by_tiers(target, register, restamp=True)
+    return lookup.stamp_by_tiers(target, lookup.build_tiers(register), restamp=True)
 
 
 @query(_COUNTS.format(GATED), target=v.TARGETS, register=v.REGISTER)
 def lookup_tier_counts(target: DataFrame, register: DataFrame) -> DataFrame:
-    return lookup.tier_counts(lookup.stamp_by_tiers(target, register))
+    return lookup.tier_counts(lookup.stamp_by_tiers(target, lookup.build_tiers(register)))
 
 
 _PREFIX_CODE = """CASE WHEN {0} LIKE 'ГР.ВАРНА%' OR {0} LIKE 'ГР. ВАРНА%' THEN '10135'
@@ -212,17 +212,23 @@ FROM found"""
 _INST_VIEWS = dict(
     institutions=INST_CANDIDATES, edges=INST_EDGES, addresses=INST_ADDRESSES, register=INST_REGISTER
 )
+
+
+def _institution_pass(register: DataFrame, **frames) -> DataFrame:
+    return lookup.stamp_institutions(**frames, register=lookup.build_tiers(register))
+
+
 _INST_COLUMNS = ["id", "kind", "district_code", "stamp", "unresolved_reason", "catchment_rows"]
 
 
 @query(_inst_pass(True), **_INST_VIEWS)
 def institutions_gated(**frames: DataFrame) -> DataFrame:
-    return lookup.stamp_institutions(**frames).select(*_INST_COLUMNS)
+    return _institution_pass(**frames).select(*_INST_COLUMNS)
 
 
 @query(_inst_pass(False), **_INST_VIEWS)
 def institutions_restamp(**frames: DataFrame) -> DataFrame:
-    return lookup.stamp_institutions(**frames, restamp=True).select(*_INST_COLUMNS)
+    return _institution_pass(**frames, restamp=True).select(*_INST_COLUMNS)
 
 
 @query(
@@ -232,7 +238,7 @@ def institutions_restamp(**frames: DataFrame) -> DataFrame:
     **_INST_VIEWS,
 )
 def institution_stamp_counts(**frames: DataFrame) -> DataFrame:
-    return lookup.stamp_counts(lookup.stamp_institutions(**frames))
+    return lookup.stamp_counts(_institution_pass(**frames))
 
 
 @query(
@@ -243,7 +249,7 @@ WHERE unresolved_reason IS NOT NULL ORDER BY id LIMIT 5""",
     **_INST_VIEWS,
 )
 def unresolved_institution_sample(**frames: DataFrame) -> DataFrame:
-    return lookup.unresolved_institutions(lookup.stamp_institutions(**frames))
+    return lookup.unresolved_institutions(_institution_pass(**frames))
 
 
 @query(

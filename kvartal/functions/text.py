@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,11 +42,6 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
 
-def group(text: Column, pattern: str, index: int) -> Column:
-    """A regex group, NULL when it took no part in the match."""
-    return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
-
-
-def alternatives(words: tuple[str, ...]) -> str:
+def alternatives(words: Sequence[str]) -> str:
     """Literal words as one regex branch, longest first."""
     return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))

@@ -8,6 +8,7 @@ can never be resolved later, and the tiers reduce to one ``coalesce``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from kvartal.functions.addresses import address_label
 from kvartal.operators.joins import lookup_join
 from kvartal.operators.standardise import classify_by_prefix, parse_one_line_addresses
 from kvartal.schemas import LOCALITY_PREFIXES, PREFIX_CODES
+from kvartal.session import materialise
 
 # The tiers of the address register.
 ADDRESS_TIERS = (
@@ -26,66 +28,75 @@ ADDRESS_TIERS = (
 TIER = "tier"
 
 
-def tier_tables(
-    reference: DataFrame, tiers: Sequence[Sequence[str]], value: str
-) -> list[DataFrame]:
-    """Per tier one row per key: ``keys, _code`` with NULL where the matches disagree.
+@dataclass(frozen=True)
+class Tiers:
+    """Per tier one row per key: ``keys, _code`` with NULL where the matches disagree."""
 
-    Each tier is rolled up from the one before, so the reference is shuffled once and every
-    later shuffle is smaller.
-    """
-    tables, rolled = [], None
-    for keys in tiers:
-        source = reference if rolled is None else rolled
-        low, high = (value, value) if rolled is None else ("_low", "_high")
-        rolled = source.groupBy(*keys).agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
-        agreed = F.when(F.col("_low") == F.col("_high"), F.col("_low"))
-        tables.append(rolled.select(*keys, agreed.alias("_code")))
-    return tables
+    keys: tuple[tuple[str, ...], ...]
+    value: str
+    tables: tuple[DataFrame, ...]
 
 
-def match_tiers(
-    target: DataFrame,
+def build_tiers(
     reference: DataFrame,
-    tiers: Sequence[Sequence[str]],
-    value: str,
-    empty_if_null: Sequence[str] = (),
-) -> DataFrame:
+    tiers: Sequence[Sequence[str]] = ADDRESS_TIERS,
+    value: str = "district_code",
+) -> Tiers:
+    """Reduce a reference table to its tiers; worth sharing between look-ups.
+
+    The reference is scanned and shuffled once, for the first tier, which is written; the
+    coarser tiers are rolled up from it, not from the reference.
+    """
+    finest = materialise(
+        reference.groupBy(*tiers[0]).agg(F.min(value).alias("_low"), F.max(value).alias("_high")),
+        "tier",
+    )
+    rolled = [finest] + [
+        finest.groupBy(*keys).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+        for keys in tiers[1:]
+    ]
+    agreed = F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("_code")
+    return Tiers(
+        tuple(map(tuple, tiers)), value,
+        tuple(table.select(*keys, agreed) for keys, table in zip(tiers, rolled)),
+    )
+
+
+def match_tiers(target: DataFrame, tiers: Tiers, empty_if_null: Sequence[str] = ()) -> DataFrame:
     """Add ``_t1 .. _tn``: the unanimous code of each tier, or NULL.
 
     ``empty_if_null`` names key columns in which the target holds NULL where the reference
     holds an empty string.
     """
-    kinds = dict(reference.dtypes)
+    kinds = dict(tiers.tables[0].dtypes)
     keyed = target
-    for key in tiers[0]:
+    for key in tiers.keys[0]:
         col = F.coalesce(F.col(key), F.lit("")) if key in empty_if_null else F.col(key)
         keyed = keyed.withColumn(f"_k_{key}", col.cast(kinds[key]))
-    for n, (keys, table) in enumerate(zip(tiers, tier_tables(reference, tiers, value)), 1):
+    for n, (keys, table) in enumerate(zip(tiers.keys, tiers.tables), 1):
         names = [f"_k_{k}" for k in keys]
         keyed = lookup_join(keyed, table.toDF(*names, f"_t{n}"), names)
-    return keyed.drop(*(f"_k_{k}" for k in tiers[0]))
+    return keyed.drop(*(f"_k_{k}" for k in tiers.keys[0]))
 
 
 def stamp_by_tiers(
     target: DataFrame,
-    reference: DataFrame,
-    value: str = "district_code",
-    tiers: Sequence[Sequence[str]] = ADDRESS_TIERS,
+    tiers: Tiers,
     empty_if_null: Sequence[str] = ("number_suffix", "entrance"),
     restamp: bool = False,
 ) -> DataFrame:
-    """Fill ``value`` and add ``tier``, the 1-based tier that set it (NULL if none did).
+    """Fill the tiers' value and add ``tier``, the 1-based tier that set it (NULL if none did).
 
     Gated (default): only rows without a value are looked up; the others pass by the joins.
     Restamp: the first tier overwrites wherever it resolves, later tiers only fill NULLs, and
     a row that resolves nowhere keeps what it has.
     """
-    found = [F.col(f"_t{n}") for n in range(1, len(tiers) + 1)]
+    value = tiers.value
+    found = [F.col(f"_t{n}") for n in range(1, len(tiers.keys) + 1)]
     old = F.col(value)
 
     def stamped(rows: DataFrame, candidates: Sequence[Column], tier: Column) -> DataFrame:
-        matched = match_tiers(rows, reference, tiers, value, empty_if_null)
+        matched = match_tiers(rows, tiers, empty_if_null)
         return matched.select(
             *(c for c in target.columns if c != value),
             F.coalesce(*candidates).alias(value),
@@ -138,7 +149,7 @@ def stamp_settlements(
 def stamp_addresses(
     addresses: DataFrame,
     streets: DataFrame,
-    register: DataFrame,
+    register: Tiers,
     restamp: bool = False,
     prefixes=PREFIX_CODES,
 ) -> DataFrame:
@@ -173,7 +184,7 @@ def stamp_institutions(
     institutions: DataFrame,
     edges: DataFrame,
     addresses: DataFrame,
-    register: DataFrame,
+    register: Tiers,
     restamp: bool = False,
     localities=LOCALITY_PREFIXES,
 ) -> DataFrame:
@@ -198,9 +209,7 @@ def stamp_institutions(
     todo = institutions.where(candidate)
     voted = lookup_join(lookup_join(todo, majority, ["id"]), catchment, ["id"])
     parsed = parse_one_line_addresses(voted, "address", localities)
-    looked = match_tiers(
-        parsed, register, ADDRESS_TIERS, "district_code", ("number_suffix", "entrance")
-    )
+    looked = match_tiers(parsed, register, ("number_suffix", "entrance"))
     by_address = F.when(F.col("parse_reason").isNull(), F.coalesce("_t1", "_t2", "_t3"))
     resolved = F.coalesce("_majority", by_address)
     no_edges = F.coalesce("_edges", F.lit(0)) == 0

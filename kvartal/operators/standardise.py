@@ -6,27 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.functions.addresses import (
-    code_by_prefix, house_number, split_trailing_number, street_parts,
+    NUMBER_TEMPS, STREET_TEMPS, add_steps, code_by_prefix, house_number_steps, last_word_steps,
+    street_steps,
 )
 from kvartal.functions.text import search_key
 from kvartal.schemas import LOCALITY_PREFIXES, PREFIX_CODES
 
 REASON = "reject_reason"
+ADDRESS_KEY = ("search_norm", "number_int", "number_suffix", "entrance")
 
 
 def standardise_numbers(df: DataFrame, column: str = "number") -> DataFrame:
     """Add ``number_int, number_suffix, entrance, reject_reason``."""
     return (
-        df.withColumn("_number", house_number(F.col(column)))
-        .select("*", "_number.*").drop("_number").withColumnRenamed("reason", REASON)
+        add_steps(df, *house_number_steps(F.col(column)))
+        .withColumn(REASON, F.col("_number_reason"))
+        .drop(*NUMBER_TEMPS)
     )
 
 
 def standardise_streets(df: DataFrame, column: str = "street", localities=LOCALITY_PREFIXES) -> DataFrame:
     """Add ``city, type_marker, street_part, search_norm, raw_name, reject_reason``."""
     return (
-        df.withColumn("_street", street_parts(F.col(column), localities))
-        .select("*", "_street.*").drop("_street").withColumnRenamed("reason", REASON)
+        add_steps(df, *street_steps(F.col(column), localities))
+        .withColumn(REASON, F.when(F.col("_base").isNull(), "unknown_locality"))
+        .drop(*STREET_TEMPS)
     )
 
 
@@ -34,11 +38,15 @@ def standardise_entries(
     df: DataFrame, street: str = "street", number: str = "number", localities=LOCALITY_PREFIXES
 ) -> DataFrame:
     """Both of the above in one pass; a bad locality is reported before a bad number."""
-    streets = standardise_streets(df, street, localities).withColumnRenamed(REASON, "_locality")
     return (
-        standardise_numbers(streets, number)
-        .withColumn(REASON, F.coalesce("_locality", REASON))
-        .drop("_locality")
+        add_steps(
+            df, *street_steps(F.col(street), localities), *house_number_steps(F.col(number))
+        )
+        .withColumn(
+            REASON,
+            F.when(F.col("_base").isNull(), "unknown_locality").otherwise(F.col("_number_reason")),
+        )
+        .drop(*STREET_TEMPS, *NUMBER_TEMPS)
     )
 
 
@@ -68,22 +76,16 @@ def parse_one_line_addresses(
     NULL when it parsed. The key columns are NULL unless it parsed.
     """
     text = F.col(column)
-    cut = df.withColumn("_cut", split_trailing_number(text))
-    parsed = cut.withColumn("_s", street_parts(F.col("_cut.head"), localities)).withColumn(
-        "_n", house_number(F.col("_cut.tail"))
-    )
     reason = F.when(F.coalesce(text, F.lit("")) == "", "no_address").when(
-        F.col("_s.reason").isNotNull() | F.col("_n.reason").isNotNull(), "parse_failed"
+        F.col("_base").isNull() | F.col("number_int").isNull(), "parse_failed"
+    )
+    parsed = add_steps(
+        df, *last_word_steps(text), *street_steps(F.col("_head"), localities),
+        *house_number_steps(F.col("_tail")), {"parse_reason": reason},
     )
-    parsed = parsed.withColumn("parse_reason", reason)
     good = F.col("parse_reason").isNull()
-    keys = {
-        "search_norm": "_s.search_norm", "number_int": "_n.number_int",
-        "number_suffix": "_n.number_suffix", "entrance": "_n.entrance",
-    }
     return parsed.select(
-        *df.columns, *(F.when(good, F.col(src)).alias(name) for name, src in keys.items()),
-        "parse_reason",
+        *df.columns, *(F.when(good, F.col(k)).alias(k) for k in ADDRESS_KEY), "parse_reason"
     )
 
 

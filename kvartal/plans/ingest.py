@@ -143,16 +143,17 @@ def ingest(spark: SparkSession, snapshot_path: str, root: str) -> DataFrame:
     existing = {name: tables.read(name, schema) for name, schema in schemas.TABLES.items()}
     batch = plan_batch(docs)
     merged = upsert(existing, batch)
+    register = lookup.build_tiers(existing["register"])
     addresses = materialise(
         lookup.stamp_addresses(
-            merged["addresses"].drop(merge.CHANGE), merged["streets"], existing["register"]
+            merged["addresses"].drop(merge.CHANGE), merged["streets"], register
         ),
         "addresses-stamped",
     )
     institutions = materialise(
         lookup.stamp_institutions(
             merged["institutions"].drop(merge.CHANGE), merged["address_institutions"], addresses,
-            existing["register"],
+            register,
         ),
         "institutions-stamped",
     )

@@ -42,7 +42,7 @@ def tables(spark):
         register += [(name, *r) for r in refs]
     return (
         spark.createDataFrame(addresses, ADDRESSES), spark.createDataFrame(streets, STREETS),
-        spark.createDataFrame(register, REGISTER),
+        lookup.build_tiers(spark.createDataFrame(register, REGISTER)),
     )
 
 
@@ -112,8 +112,10 @@ def test_institution_pass(spark):
         ("gr.varna bul.vladislav varnenchik", 19, "", "", "04"), ("gr.varna ul.h", 1, "", "", "03"),
     ], REGISTER)
 
+    tiers = lookup.build_tiers(register)
+
     def stamped(restamp):
-        out = lookup.stamp_institutions(institutions, edges, addresses, register, restamp)
+        out = lookup.stamp_institutions(institutions, edges, addresses, tiers, restamp)
         return out, {r.id: (r.district_code, r.stamp, r.unresolved_reason) for r in out.collect()}
 
     out, gated = stamped(False)
@@ -137,6 +139,7 @@ def test_hot_key_is_split(spark):
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",  # keep many small map outputs
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.shuffle.partitions": "8",
     }
@@ -157,7 +160,7 @@ def test_hot_key_is_split(spark):
             F.lit(1).cast("smallint").alias("number_int"), F.lit("Я").alias("number_suffix"),
             F.lit("").alias("entrance"), F.lit("01").alias("district_code"),
         )
-        stamped = lookup.stamp_by_tiers(rows, register)
+        stamped = lookup.stamp_by_tiers(rows, lookup.build_tiers(register))
         frame = stamped.where("tier = 3")
         counted = frame.collect()
         assert len(counted) == 59_960
