@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvartal import schemas
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
 from kvartal.catalog.strings import search_key_sql
-from kvartal.operators import contract, fuzzy, numbering
+from kvartal.operators import contract, fuzzy, merge, numbering
+from kvartal.plans import ingest
 from kvartal.sources import register, snapshot
 
 DOC = "CAST(o_orderkey AS STRING)"
@@ -155,6 +159,60 @@ def register_load_summary(lines: DataFrame) -> DataFrame:
     return register.load_summary(_report(lines))
 
 
+# --- the batch over all documents ------------------------------------------------------------------
+
+# Entries that pass both rules; the city street's number is the order's day.
+_BATCH_ENTRIES = f"""
+SELECT 'ГР.ВАРНА УЛ.' || {CUSTOMER} AS raw_name, CAST(DAY(o_orderdate) AS SMALLINT) AS number_int,
+       NULL AS number_suffix, NULL AS entrance, {CUSTOMER} AS external_id, {_KIND} AS kind
+FROM orders WHERE NOT ({_between(300000, 310000)})
+UNION ALL
+SELECT 'С.ТОПОЛИ УЛ.А', 1, 'А', '2', {CUSTOMER}, {_KIND} FROM orders
+WHERE o_orderpriority <> '3-MEDIUM'"""
+_BATCH_INSTITUTIONS = f"""
+SELECT {CUSTOMER} AS external_id, {_KIND} AS kind FROM orders UNION
+SELECT {CUSTOMER}, CASE WHEN {_between(350000, 360000)} THEN NULL ELSE 'preschool' END FROM orders"""
+_BATCH_SIZES = {
+    "institutions": f"SELECT external_id, kind FROM ({_BATCH_INSTITUTIONS}) AS i WHERE kind IS NOT NULL",
+    "streets": f"SELECT DISTINCT raw_name FROM ({_BATCH_ENTRIES}) AS e",
+    "addresses": f"""SELECT DISTINCT raw_name, number_int, number_suffix, entrance
+FROM ({_BATCH_ENTRIES}) AS e""",
+    "address_institutions": f"SELECT DISTINCT * FROM ({_BATCH_ENTRIES}) AS e",
+}
+
+
+def _batch_sql(again: bool) -> str:
+    sizes = {t: f"(SELECT COUNT(*) FROM ({sql}) AS t)" for t, sql in _BATCH_SIZES.items()}
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS section, '{c}' AS metric, "
+        f"{size if c == ('unchanged' if again else 'inserted') else '0'} AS value"
+        for t, size in sizes.items() for c in merge.CHANGES
+    )
+
+
+def _batch_runs(docs: DataFrame, runs: int) -> DataFrame:
+    """Change counts of the last of several runs over the same documents."""
+    batch = ingest.plan_batch(docs)
+    # The documents carry faults on purpose; a kind is part of the key and must be there.
+    batch = replace(batch, institutions=batch.institutions.where(F.col("kind").isNotNull()))
+    spark = docs.sparkSession
+    tables = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
+    for _ in range(runs):
+        merged = ingest.upsert(tables, batch)
+        tables = {name: df.drop(merge.CHANGE) for name, df in merged.items()}
+    return merge.run_summary({name: merge.change_counts(df) for name, df in merged.items()})
+
+
+@query(_batch_sql(again=False), docs=v.DOCUMENTS)
+def ingest_first_run(docs: DataFrame) -> DataFrame:
+    return _batch_runs(docs, 1)
+
+
+@query(_batch_sql(again=True), docs=v.DOCUMENTS)
+def ingest_rerun(docs: DataFrame) -> DataFrame:
+    return _batch_runs(docs, 2)
+
+
 # --- fuzzy names ---------------------------------------------------------------------------------
 
 _NAMES = "SELECT p_name || ' ' || p_brand AS search_norm FROM part"

@@ -94,7 +94,12 @@ def _not_an_object(keys: Column, path: Column, rule: str) -> Column:
 
 
 def _explode(rows: DataFrame, violations: Column) -> DataFrame:
-    return rows.select("doc", F.explode(violations).alias("_v")).select("doc", "_v.path", "_v.rule")
+    """Outer explode: for an inner one Spark adds a filter that evaluates the array twice."""
+    return (
+        rows.select("doc", F.explode_outer(violations).alias("_v"))
+        .where(F.col("_v").isNotNull())
+        .select("doc", "_v.path", "_v.rule")
+    )
 
 
 def _envelope_violations(docs: DataFrame) -> DataFrame:
@@ -127,7 +132,10 @@ def _envelope_violations(docs: DataFrame) -> DataFrame:
 
 def _institution_rows(docs: DataFrame) -> DataFrame:
     return (
-        docs.select("doc", F.posexplode(F.from_json("raw", ENVELOPE)["institutions"]).alias("i", "raw"))
+        docs.select(
+            "doc", F.posexplode_outer(F.from_json("raw", ENVELOPE)["institutions"]).alias("i", "raw")
+        )
+        .where(F.col("i").isNotNull())
         .repartition("doc", "i")
         .withColumn("keys", F.json_object_keys("raw"))
         .withColumn("at", F.concat(F.lit("institutions["), F.col("i").cast("string"), F.lit("]")))
@@ -173,7 +181,8 @@ def _institution_violations(rows: DataFrame) -> DataFrame:
 def _entry_violations(rows: DataFrame) -> DataFrame:
     entries = F.from_json("raw", "address_entries array<string>")["address_entries"]
     parsed = (
-        rows.select("doc", "at", F.posexplode(entries).alias("j", "raw"))
+        rows.select("doc", "at", F.posexplode_outer(entries).alias("j", "raw"))
+        .where(F.col("j").isNotNull())
         .repartition("doc", "at", "j")
         .withColumn("keys", F.json_object_keys("raw"))
         .withColumn("v", F.try_parse_json("raw"))

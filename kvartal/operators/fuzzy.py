@@ -25,7 +25,9 @@ def _ceil_share(part: int, count: Column) -> Column:
 
 def _ordered(keys: DataFrame, frequency: DataFrame) -> DataFrame:
     """``key, grams``: trigrams rarest first. A group is one key's own trigrams."""
-    grams = keys.select("key", F.explode(trigrams(F.col("key"))).alias("gram"))
+    grams = keys.select("key", F.explode_outer(trigrams(F.col("key"))).alias("gram")).where(
+        F.col("gram").isNotNull()
+    )
     listed = lookup_join(grams, frequency, ["gram"])
     return listed.groupBy("key").agg(
         F.transform(

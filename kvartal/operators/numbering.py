@@ -58,10 +58,7 @@ def assign_ids(
     new_rows: DataFrame, existing: DataFrame, order: Order, id_column: str = "id"
 ) -> DataFrame:
     """Give each new row a fresh id above every existing one, in ``order``."""
-    top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long").alias("_top"))
-    return (
-        with_position(new_rows, order, "_n")
-        .join(F.broadcast(top))  # one row
-        .withColumn(id_column, F.col("_top") + F.col("_n"))
-        .drop("_top", "_n")
-    )
+    top = existing.agg(F.max(id_column)).first()[0] or 0
+    return with_position(new_rows, order, "_n").withColumn(
+        id_column, F.col("_n") + F.lit(top).cast("long")
+    ).drop("_n")

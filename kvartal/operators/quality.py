@@ -65,55 +65,9 @@ def coverage_edge_summary(edges: DataFrame, institutions: DataFrame) -> DataFram
     )
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.toDF(*(f"{prefix}_{c}" for c in df.columns))
-
-
-def match_data_report(
-    addresses: DataFrame, settlements: DataFrame, institutions: DataFrame, edges: DataFrame
-) -> DataFrame:
-    """Every counter in long form: ``severity, metric, value``.
-
-    Severities are ``info``, ``warning`` and ``failure``. The metric ``failed`` is 1 when any
-    failure counter is above 0; warnings never fail the check.
-    """
-    # Five one-row tables side by side.
-    parts = [
-        _prefixed(address_summary(addresses), "addresses"),
-        unknown_settlement_codes(addresses, settlements),
-        _prefixed(settlement_summary(settlements), "settlements"),
-        _prefixed(institution_summary(institutions), "institutions"),
-        _prefixed(coverage_edge_summary(edges, institutions), "edges"),
-    ]
-    row = reduce(lambda a, b: a.join(F.broadcast(b)), parts)
-
-    def flag(name: str) -> Column:
-        return (F.col(name) == 0).cast("long")
-
-    failures = {
-        "no_settlement_no_district_addresses": F.col("addresses_no_settlement_no_district"),
-        "unknown_settlement_codes": F.col("unknown_settlement_codes"),
-        "nursery_without_district": F.col("institutions_nursery_without_district"),
-        "nursery_coverage_edges": F.col("edges_nursery"),
-        "invalid_institution_kinds": F.col("institutions_invalid_kinds"),
-        "invalid_address_district_codes": F.col("addresses_invalid_district_codes"),
-    }
-    warnings = {
-        "city_without_district": F.col("addresses_city_without_district"),
-        "zero_infant_group_kindergartens": flag("institutions_infant_group_kindergartens"),
-        "zero_kindergarten_edges": flag("edges_kindergarten"),
-        "zero_preschool_edges": flag("edges_preschool"),
-    }
-    total = reduce(Column.__add__, failures.values())
-    derived = {"addresses_city_without_district"}
-    metrics = [
-        *(("info", c, F.col(c)) for p in parts for c in p.columns
-          if c not in derived and c != "unknown_settlement_codes"),
-        *(("warning", name, value) for name, value in warnings.items()),
-        *(("failure", name, value) for name, value in failures.items()),
-        ("failure", "failed", (total > 0).cast("long")),
-    ]
-    return row.select(
+def _long(counters: DataFrame, metrics: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """One row of counters to ``severity, metric, value`` rows."""
+    return counters.select(
         F.explode(
             F.array(*(
                 F.struct(
@@ -126,6 +80,62 @@ def match_data_report(
     ).select("_m.*")
 
 
+def match_data_report(
+    addresses: DataFrame, settlements: DataFrame, institutions: DataFrame, edges: DataFrame
+) -> DataFrame:
+    """Every counter in long form: ``severity, metric, value``.
+
+    Severities are ``info``, ``warning`` and ``failure``. The metric ``failed`` is 1 when any
+    failure counter is above 0; warnings never fail the check.
+    """
+
+    def info(counters: DataFrame, prefix: str, leave_out: str = "") -> list:
+        return [
+            ("info", f"{prefix}_{c}", F.col(c)) for c in counters.columns if c != leave_out
+        ]
+
+    def none(name: str) -> Column:
+        return F.col(name) == 0
+
+    def failure(name: str, column: str) -> tuple[str, str, Column]:
+        return ("failure", name, F.col(column))
+
+    address = address_summary(addresses)
+    inst = institution_summary(institutions)
+    edge = coverage_edge_summary(edges, institutions)
+    settlement = settlement_summary(settlements)
+    unknown = unknown_settlement_codes(addresses, settlements)
+    rows = reduce(DataFrame.unionByName, [
+        _long(address, [
+            *info(address, "addresses", leave_out="city_without_district"),
+            ("warning", "city_without_district", F.col("city_without_district")),
+            failure("no_settlement_no_district_addresses", "no_settlement_no_district"),
+            failure("invalid_address_district_codes", "invalid_district_codes"),
+        ]),
+        _long(settlement, info(settlement, "settlements")),
+        _long(unknown, [failure("unknown_settlement_codes", "unknown_settlement_codes")]),
+        _long(inst, [
+            *info(inst, "institutions"),
+            ("warning", "zero_infant_group_kindergartens", none("infant_group_kindergartens")),
+            failure("nursery_without_district", "nursery_without_district"),
+            failure("invalid_institution_kinds", "invalid_kinds"),
+        ]),
+        _long(edge, [
+            *info(edge, "edges"),
+            ("warning", "zero_kindergarten_edges", none("kindergarten")),
+            ("warning", "zero_preschool_edges", none("preschool")),
+            failure("nursery_coverage_edges", "nursery"),
+        ]),
+    ])
+    # The subtotal of a severity comes with its rows, so that the tables are read once.
+    summed = rows.rollup("severity", "metric").agg(F.sum("value").alias("value"))
+    total = F.col("metric").isNull()
+    return summed.where(~total | (F.col("severity") == "failure")).select(
+        "severity", F.when(total, "failed").otherwise(F.col("metric")).alias("metric"),
+        F.when(total, (F.col("value") > 0).cast("long")).otherwise(F.col("value")).alias("value"),
+    )
+
+
 def null_rate_report(addresses: DataFrame, limit: float = 0.02) -> DataFrame:
     """Missing codes, and whether too many city addresses lack a district."""
     district, settlement = F.col("district_code"), F.col("settlement_code")

@@ -31,28 +31,35 @@ class Batch:
 
 
 def plan_batch(docs: DataFrame, localities=schemas.LOCALITY_PREFIXES) -> Batch:
-    """Explode, standardise, quarantine and de-duplicate the documents ``doc, raw``."""
-    occurrences = snapshot.institutions(snapshot.raw_institutions(docs))
+    """Explode, standardise, quarantine and de-duplicate the documents ``doc, raw``.
+
+    The documents are parsed once and the entries standardised once; both are written, since
+    several tables are built from each. Streets are taken apart after they are distinct.
+    """
+    occurrences = materialise(
+        snapshot.institutions(snapshot.raw_institutions(docs)), "occurrences"
+    )
     rows = occurrences.select(
         *INSTITUTION_KEY, "name", "source_url", "address", "district_code", "has_infant_group",
         F.col("scraped_at").alias("last_seen_at"), "doc", "inst_pos",
     )
-    entries = standardise.standardise_entries(
-        snapshot.explode_entries(occurrences), localities=localities
+    entries = materialise(
+        standardise.standardise_entries(
+            snapshot.explode_entries(occurrences), localities=localities
+        ).select(
+            *INSTITUTION_KEY, "street", "number", *ADDRESS_KEY, standardise.REASON
+        ),
+        "entries",
     )
     good = standardise.accepted(entries)
-    seen = ("doc", "inst_pos", "entry_pos")
-    streets = dedupe.dedupe_first_wins(
-        good.select(
-            "city", "raw_name", "street_part", "type_marker", "search_norm", *seen
-        ),
-        STREET_KEY, seen,
+    streets = standardise.standardise_streets(
+        good.select(F.col("raw_name").alias("street")).distinct(), localities=localities
     )
     return Batch(
         institutions=dedupe.dedupe_last_wins(
             rows, INSTITUTION_KEY, ("last_seen_at", "doc", "inst_pos")
         ).drop("doc", "inst_pos"),
-        streets=streets.drop(*seen),
+        streets=streets.drop("street", standardise.REASON),
         addresses=good.select(*ADDRESS_KEY).distinct(),
         edges=dedupe.distinct_edges(good, ADDRESS_KEY, INSTITUTION_KEY),
         quarantine=standardise.quarantined(entries),

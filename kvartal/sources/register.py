@@ -67,7 +67,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     ).otherwise(F.translate("text", LATIN_1, CYRILLIC))
     return raw.select(
         "file", "block", "place",
-        F.posexplode(F.split(decoded, INNER_BREAK)).alias("sub", "line"),
+        F.posexplode_outer(F.split(decoded, INNER_BREAK)).alias("sub", "line"),
     )
 
 
@@ -162,7 +162,7 @@ def parse_report(
     inside = carried.where(
         F.col("cells").isNotNull() & (F.col("current.at") > F.col("section.at"))
     )
-    cell = F.explode(F.split("cells", ",")).alias("_cell")
+    cell = F.explode_outer(F.split("cells", ",")).alias("_cell")
     norm = search_key(F.concat("section.settlement_name", F.lit(" "), "current.street_raw"))
     rows = (
         inside.select(

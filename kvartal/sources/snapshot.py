@@ -49,8 +49,10 @@ def raw_institutions(docs: DataFrame) -> DataFrame:
         docs.select(
             "doc",
             zoned_timestamp(top["scraped_at"]).alias("scraped_at"),
-            F.posexplode(top["institutions"]).alias("inst_pos", "inst_raw"),
+            # Outer, since an inner explode brings a filter that parses the document again.
+            F.posexplode_outer(top["institutions"]).alias("inst_pos", "inst_raw"),
         )
+        .where(F.col("inst_pos").isNotNull())
         .repartition("doc", "inst_pos")
     )
 
@@ -71,8 +73,9 @@ def explode_entries(insts: DataFrame, carry: tuple[str, ...] = ("external_id", "
     return (
         insts.select(
             "doc", "inst_pos", *carry,
-            F.posexplode("address_entries").alias("entry_pos", "entry_raw"),
+            F.posexplode_outer("address_entries").alias("entry_pos", "entry_raw"),
         )
+        .where(F.col("entry_pos").isNotNull())
         .repartition("doc", "inst_pos", "entry_pos")
         .withColumn("_entry", F.from_json("entry_raw", ENTRY))
         .select(
