@@ -88,7 +88,7 @@ _ADDRESS_VIEWS = dict(stored=v.STORED_ADDRESSES, incoming=v.INCOMING_ADDRESSES)
 
 @query(_ADDRESS_PAIRS, **_ADDRESS_VIEWS)
 def merge_addresses(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    return merge.merge_insert_only(stored, incoming.drop("id"), merge.ADDRESSES)
+    return merge.merge_upsert(stored, incoming.drop("id"), merge.ADDRESSES)
 
 
 @query(
@@ -114,7 +114,7 @@ USING (address_id, institution_id)""",
     stored=v.EDGES, incoming=v.NEWER_EDGES,
 )
 def merge_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    return merge.merge_insert_only(stored, incoming, merge.EDGES)
+    return merge.merge_upsert(stored, incoming, merge.EDGES)
 
 
 @query(
@@ -189,7 +189,7 @@ def run_summary(stored, incoming, stored_addresses, new_addresses) -> DataFrame:
     return merge.run_summary({
         "institutions": merge.change_counts(_merged(stored, incoming)),
         "addresses": merge.change_counts(
-            merge.merge_insert_only(stored_addresses, new_addresses.drop("id"), merge.ADDRESSES)
+            merge.merge_upsert(stored_addresses, new_addresses.drop("id"), merge.ADDRESSES)
         ),
         "run": incoming.agg(F.count_if(F.col("address").isNull()).alias("address_null")),
     })

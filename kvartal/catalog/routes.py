@@ -105,13 +105,13 @@ def expand_offerings(**frames: DataFrame) -> DataFrame:
 
 @query(RANKED, **_VIEWS)
 def rank_offerings(**frames: DataFrame) -> DataFrame:
-    return routing.rank_offerings(
-        routing.expand_offerings(routing.route_addresses(**frames))
-    )
+    expanded = routing.expand_offerings(routing.route_addresses(**frames))
+    return routing.rank_offerings(expanded, frames["institutions"])
 
 
 @query(_ranked(_offered(_by_edge("kindergarten"))), **_VIEWS)
 def rank_offerings_kindergarten(**frames: DataFrame) -> DataFrame:
+    """The ranking that does not rely on a small institution table."""
     routed = routing.route_addresses(**frames, kind="kindergarten")
     return routing.rank_offerings(routing.expand_offerings(routed))
 

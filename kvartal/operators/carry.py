@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_BITS = 13  # rows of one chunk: at most 2**13 places
+CHUNK_BITS = 16  # rows of one chunk: at most 2**16 places
 
 
 def carry_forward(

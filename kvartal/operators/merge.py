@@ -70,7 +70,8 @@ def merge_upsert(existing: DataFrame, incoming: DataFrame, policy: MergePolicy)
     """All rows of the merged table plus ``change``; stored rows not in the batch are kept.
 
     Keys are unique on both sides, NULL key parts are equal. Columns absent from the batch
-    (ids, derived codes) are NULL on inserted rows.
+    (ids, derived codes) are NULL on inserted rows. A policy without value columns only
+    inserts. One join, hence one shuffle of either side, serves the merge and its counts.
     """
     old = existing.withColumn("_there", F.lit(True)).alias("old")
     new = incoming.withColumn("_there", F.lit(True)).alias("new")
@@ -97,20 +98,6 @@ def insert_only(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) ->
     )
 
 
-def merge_insert_only(existing: DataFrame, incoming: DataFrame, policy: MergePolicy) -> DataFrame:
-    """Insert-only merge: new rows appended, with the same ``change`` column."""
-    seen = incoming.select(*policy.key).withColumn("_seen", F.lit(True))
-    kept = (
-        existing.alias("old")
-        .join(seen.alias("new"), null_safe_on("old", "new", policy.key), "left")
-        .select(
-            "old.*", F.when(F.col("new._seen"), "unchanged").otherwise(RETAINED).alias(CHANGE)
-        )
-    )
-    fresh = insert_only(existing, incoming, policy.key).withColumn(CHANGE, F.lit("inserted"))
-    return kept.unionByName(fresh, allowMissingColumns=True)
-
-
 def change_counts(merged: DataFrame) -> DataFrame:
     """One row: ``inserted, updated, unchanged``."""
     return merged.agg(*(F.count_if(F.col(CHANGE) == c).alias(c) for c in CHANGES))

@@ -158,13 +158,14 @@ def offering_order() -> list[Column]:
     ]
 
 
-def rank_offerings(offerings: DataFrame, spread: bool = False) -> DataFrame:
+def rank_offerings(offerings: DataFrame, institutions: DataFrame | None = None) -> DataFrame:
     """Add ``rank`` within the address.
 
-    An address holds at most two rows per institution, so a window does while the institution
-    table is small. With ``spread`` one address's rows may span many tasks.
+    An address holds at most two rows per institution, so a window does if the institutions
+    are given and few. Otherwise the ranks come from a global sort, in which one address's
+    rows may span many tasks.
     """
-    if spread:
+    if institutions is None or not is_small(institutions, RESULT_PAGE):
         return with_group_position(offerings, ["address_id"], offering_order(), "rank")
     ordered = Window.partitionBy("address_id").orderBy(*offering_order())
     return offerings.withColumn("rank", F.row_number().over(ordered).cast("long"))
@@ -238,7 +239,7 @@ def _response_by_pages(
 ) -> DataFrame:
     """Responses when one address may match more institutions than one row should hold."""
     offers = rank_offerings(
-        expand_offerings(route_addresses(addresses, edges, institutions, kind)), spread=True
+        expand_offerings(route_addresses(addresses, edges, institutions, kind))
     )
     page = F.floor((F.col("rank") - 1) / RESULT_PAGE).cast("long")
     pages = offers.groupBy("address_id", page.alias("page_no")).agg(
@@ -267,6 +268,6 @@ def routing_response(
     table is so large that one address's list is cut into pages.
     """
     context = address_context(addresses, settlements)
-    if is_small(institutions):
+    if is_small(institutions, RESULT_PAGE):
         return _response_by_roster(context, edges, institutions, kind)
     return _response_by_pages(context, addresses, edges, institutions, kind)

@@ -98,7 +98,7 @@ def upsert(existing: dict[str, DataFrame], batch: Batch) -> dict[str, DataFrame]
     ), "streets")
     addresses = materialise(_with_ids(
         materialise(
-            merge.merge_insert_only(
+            merge.merge_upsert(
                 existing["addresses"],
                 merge.resolve_addresses(batch.addresses, streets), merge.ADDRESSES,
             ),
@@ -107,7 +107,7 @@ def upsert(existing: dict[str, DataFrame], batch: Batch) -> dict[str, DataFrame]
         existing["addresses"], _null_order(merge.ADDRESSES.key),
     ), "addresses")
     edges = materialise(
-        merge.merge_insert_only(
+        merge.merge_upsert(
             existing["address_institutions"],
             merge.resolve_edges(batch.edges, streets, addresses, institutions), merge.EDGES,
         ),

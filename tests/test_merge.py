@@ -61,7 +61,7 @@ def test_insert_only_with_null_equal_keys(spark):
         [(1, 5, None, None), (1, 5, None, "1"), (1, 4, None, None)],
         "street_id long, number_int smallint, number_suffix string, entrance string",
     )
-    merged = merge.merge_insert_only(stored, incoming, merge.ADDRESSES).collect()
+    merged = merge.merge_upsert(stored, incoming, merge.ADDRESSES).collect()
     assert sorted((r.id or 0, r.change) for r in merged) == [
         (0, "inserted"), (0, "inserted"), (7, "unchanged"), (9, "retained"),
     ]

@@ -72,18 +72,18 @@ BY_KIND = {
 @pytest.mark.parametrize("kind", BY_KIND)
 def test_routes(tables, kind):
     expanded = routing.expand_offerings(routing.route_addresses(*tables, kind=kind))
-    assert offers(routing.rank_offerings(expanded)) == BY_KIND[kind]
+    assert offers(routing.rank_offerings(expanded, tables[2])) == BY_KIND[kind]
 
 
 def test_spread_ranks_equal_window_ranks(tables):
     expanded = routing.expand_offerings(routing.route_addresses(*tables))
-    assert offers(routing.rank_offerings(expanded, spread=True)) == EXPECTED
+    assert offers(routing.rank_offerings(expanded)) == EXPECTED
 
 
 @pytest.mark.parametrize("kind, large", [(None, False), ("preschool", False), (None, True)])
 def test_response(spark, tables, monkeypatch, kind, large):
     if large:  # the path for an institution table past the broadcast bound
-        monkeypatch.setattr(routing, "is_small", lambda df: False)
+        monkeypatch.setattr(routing, "is_small", lambda df, rows=0: False)
         monkeypatch.setattr(routing, "RESULT_PAGE", 2)
     got, pages = {}, set()
     settlements = settlements_dim(spark)
