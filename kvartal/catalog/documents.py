@@ -68,7 +68,7 @@ def contract_violations(docs: DataFrame) -> DataFrame:
     f"""SELECT {DOC} AS doc, CASE WHEN o_orderpriority = '5-LOW' THEN 1
             WHEN {_VERSIONED} THEN 2 END AS schema_version,
        CASE WHEN o_orderstatus = 'F' AND o_totalprice > 300000 THEN NULL
-            ELSE EPOCH(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) + 3600 END AS scraped_at,
+            ELSE CAST(EPOCH(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS BIGINT) + 3600 END AS scraped_at,
        CASE WHEN o_totalprice < 5000 THEN '' ELSE 'varna' END AS city
 FROM orders""",
     docs=v.DOCUMENTS,

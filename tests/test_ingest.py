@@ -103,17 +103,17 @@ def test_bad_entry_is_skipped_and_its_street_not_created(spark, tmp_path):
     assert counts["streets", "inserted"] == 5
 
 
-@pytest.mark.parametrize("change, error", [
-    ({"schema_version": 1}, UnsupportedVersion),
-    ({"extra": 1}, ContractViolation),
-    ({"scraped_at": "2026-05-04T01:00:00"}, ContractViolation),
-])
-def test_invalid_snapshot_writes_nothing(spark, tmp_path, change, error):
+def test_invalid_snapshot_writes_nothing(spark, tmp_path):
     root = str(tmp_path / "tables")
-    run(spark, tmp_path, root, SNAPSHOT)
+    Tables(spark, root).replace("streets", spark.createDataFrame([], schemas.STREETS), schemas.STREETS)
     before = Tables(spark, root).versions()
-    with pytest.raises(error):
-        run(spark, tmp_path, root, {**SNAPSHOT, **change}, "broken")
+    for change, error in (
+        ({"schema_version": 1}, UnsupportedVersion),
+        ({"extra": 1}, ContractViolation),
+        ({"scraped_at": "2026-05-04T01:00:00"}, ContractViolation),
+    ):
+        with pytest.raises(error):
+            run(spark, tmp_path, root, {**SNAPSHOT, **change}, "broken")
     assert Tables(spark, root).versions() == before
 
 
