@@ -134,8 +134,8 @@ def plurality_district(edges: DataFrame, addresses: DataFrame) -> DataFrame:
     )
 
 
-# Institutions of this pass: one per order, half of them without edges, with one-line addresses
-# printed from register keys; their catchment is the customers who share a purchase line.
+# Institutions of this pass: one per order, with one-line addresses printed from register keys.
+# The catchment is the suppliers of the order; the edges of cheap orders point to no institution.
 INST_CANDIDATES = f"""
 SELECT o_orderkey AS id, CAST(o_orderkey AS STRING) AS external_id, 'Name' AS name,
        {v.KIND_BY_STATUS} AS kind,
@@ -146,8 +146,9 @@ SELECT o_orderkey AS id, CAST(o_orderkey AS STRING) AS external_id, 'Name' AS na
        CASE WHEN o_totalprice > 400000 THEN '05' END AS district_code
 FROM orders"""
 INST_EDGES = """
-SELECT DISTINCT l_suppkey AS address_id, l_orderkey AS institution_id
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_totalprice > 250000"""
+SELECT DISTINCT l_suppkey AS address_id,
+       CASE WHEN o_totalprice > 250000 THEN l_orderkey ELSE -1 - l_orderkey END AS institution_id
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 INST_ADDRESSES = """
 SELECT s_suppkey AS id, CASE WHEN s_acctbal < 5000 THEN NULL
        ELSE LPAD(CAST(1 + s_nationkey % 5 AS STRING), 2, '0') END AS district_code

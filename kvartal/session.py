@@ -16,6 +16,8 @@ JOIN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM never compiles methods above 8000 bytes; Spark then runs operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -32,7 +32,7 @@ def envelopes(docs: DataFrame) -> DataFrame:
     top = F.from_json("raw", ENVELOPE)
     return docs.select(
         "doc",
-        top["schema_version"].cast("int").alias("schema_version"),
+        top["schema_version"].try_cast("int").alias("schema_version"),
         zoned_timestamp(top["scraped_at"]).alias("scraped_at"),
         top["city"].alias("city"),
     )
