@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,9 @@ from kvartal import schemas
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
 from kvartal.catalog.strings import search_key_sql
-from kvartal.operators import contract, fuzzy, merge, numbering
+from kvartal.operators import contract, fuzzy, merge, numbering, standardise
 from kvartal.plans import ingest
+from kvartal.session import shared_dir
 from kvartal.sources import register, snapshot
 
 DOC = "CAST(o_orderkey AS STRING)"
@@ -29,6 +31,7 @@ def unsupported_versions(docs: DataFrame) -> DataFrame:
 
 
 def _between(low: int, high: int) -> str:
+    # Prices of a band, in which one fault is put into the document.
     return f"o_totalprice BETWEEN {low} AND {high}"
 
 
@@ -64,6 +67,17 @@ def contract_violations(docs: DataFrame) -> DataFrame:
     return contract.contract_violations(docs)
 
 
+_ANY_FAULT = " OR ".join(f"({when})" for when in _FAULTS.values())
+
+
+@query(
+    f"SELECT {DOC} AS doc FROM orders WHERE o_orderpriority = '5-LOW' OR {_ANY_FAULT}",
+    docs=v.DOCUMENTS,
+)
+def refused_documents(docs: DataFrame) -> DataFrame:
+    return contract.refused_documents(docs)
+
+
 @query(
     f"""SELECT {DOC} AS doc, CASE WHEN o_orderpriority = '5-LOW' THEN 1
             WHEN {_VERSIONED} THEN 2 END AS schema_version,
@@ -142,12 +156,25 @@ def _report(lines: DataFrame) -> DataFrame:
     )
 
 
+_REGISTER_COLUMNS = [field.name for field in schemas.REGISTER]
+
+
 @query(REGISTER_ROWS, lines=v.REPORT_LINES)
 def parse_report(lines: DataFrame) -> DataFrame:
-    return _report(lines).select(
-        "street_code", "street_raw", "search_norm", "number_int", "number_suffix", "entrance",
-        "district_code", "district_name", "settlement_code", "section_no",
-    )
+    return _report(lines).select(*_REGISTER_COLUMNS)
+
+
+@query(REGISTER_ROWS, lines=v.REPORT_LINES)
+def read_register_files(lines: DataFrame) -> DataFrame:
+    """The same lines, written as windows-1251 files and read back by the register source.
+
+    Range partitions keep a section's lines together and in order.
+    """
+    spark = lines.sparkSession
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    spread = lines.repartitionByRange("section").sortWithinPartitions(*v.REPORT_ORDER)
+    register.write_report(spread, path)
+    return standardise.accepted(register.read_register(spark, path)).select(*_REGISTER_COLUMNS)
 
 
 @query(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvartal import schemas
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
 from kvartal.operators import merge, numbering
+from kvartal.session import shared_dir
+from kvartal.sources.tables import Tables
 
 _SEEN = "CAST(last_seen_at AS STRING) AS last_seen_at"
 _OLD_NEW = f"({v.STORED}) AS o FULL OUTER JOIN ({v.INCOMING}) AS n USING (external_id, kind)"
@@ -72,6 +77,21 @@ def merge_streets(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return merge.merge_upsert(stored, incoming, merge.STREETS)
 
 
+@query(
+    f"SELECT id, city, raw_name, street_part, type_marker, raw_name AS search_norm FROM ({v.STREETS}) AS s",
+    old=v.STORED_STREETS, streets=v.STREETS,
+)
+def replace_streets(old: DataFrame, streets: DataFrame) -> DataFrame:
+    """Full refresh of a table, read back after the switch."""
+    spark = streets.sparkSession
+    tables = Tables(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
+    tables.replace("streets", old, schemas.STREETS)
+    tables.replace(
+        "streets", streets.withColumn("search_norm", F.col("raw_name")), schemas.STREETS
+    )
+    return tables.read("streets", schemas.STREETS)
+
+
 _ADDRESS_ON = """o.street_id = n.street_id AND o.number_int = n.number_int
   AND o.number_suffix IS NOT DISTINCT FROM n.number_suffix
   AND o.entrance IS NOT DISTINCT FROM n.entrance"""

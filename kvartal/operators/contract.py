@@ -226,6 +226,13 @@ def unsupported_versions(docs: DataFrame) -> DataFrame:
     )
 
 
+def refused_documents(docs: DataFrame) -> DataFrame:
+    """``doc`` of every document that may not be written: unread version or any violation."""
+    return unsupported_versions(docs).select("doc").unionByName(
+        contract_violations(docs).select("doc")
+    ).distinct()
+
+
 def require_valid(docs: DataFrame) -> None:
     """Stop before any write: first on an unread version, then on any violation."""
     for row in unsupported_versions(docs).limit(1).collect():

@@ -71,6 +71,14 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_report(lines: DataFrame, path: str) -> None:
+    """Write the column ``line`` as a report in the register's charset, in the given order."""
+    lines.select(F.translate("line", CYRILLIC, LATIN_1).alias("text")).write.options(
+        encoding="ISO-8859-1", sep="\uffff", quote="", escape="", emptyValue="",
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+    ).csv(path)
+
+
 def normal_code(code: Column) -> Column:
     """Five digits: the last five, or padded with zeros."""
     return F.lpad(F.right(code, F.lit(5)), 5, "0")

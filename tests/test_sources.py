@@ -77,6 +77,7 @@ def test_register_report(spark, tmp_path, line_end):
 def test_state_is_carried_over_splits_and_chunks(spark, tmp_path, monkeypatch):
     """Small splits and chunks: the header and the street reach lines far below them."""
     monkeypatch.setattr(register, "CHUNK_BITS", 2)
+    monkeypatch.setattr(carry, "SPAN_BITS", 2)
     lines = [HEADER.format("05_АСПАРУХОВО", "10135 ГР.ВАРНА", "1"), data("00001", "УЛ.ДЪЛГА", "001")]
     lines += [more(f"{n:03d}") for n in range(2, 800)]
     lines += [HEADER.format("04_МЛАДОСТ", "10135 ГР.ВАРНА", "2"), more("900"), data("00002", "УЛ.Б", "1")]
@@ -247,7 +248,8 @@ def test_fuzzy_join_equals_all_pairs(spark, threshold):
     assert len(rows) == len(expected)
 
 
-def test_carry_forward_brute_force(spark):
+def test_carry_forward_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(carry, "SPAN_BITS", 2)
     values = [(g, n, n if (n * 7) % 11 == 0 else None) for g in ("a", "b") for n in range(300)]
     df = spark.createDataFrame(values, "file string, place long, mark long").withColumn(
         "run", F.shiftright("place", 3)
@@ -255,4 +257,5 @@ def test_carry_forward_brute_force(spark):
     got = carry.carry_forward(df, "file", ("place",), ("run",), {"last": F.col("mark")}).collect()
     assert len(got) == 600
     for r in got:
-        assert r["last"] == max((m for g, n, m in values if g == r.file and m is not None and n <= r.place), default=None)
+        seen = [m for g, n, m in values if g == r.file and m is not None and n <= r.place]
+        assert r["last"] == max(seen, default=None)
