@@ -22,9 +22,11 @@ UNDEFINED = "\x98"  # the one byte the charset leaves undefined
 
 # The report's line shapes.
 NUMBER_COLUMN = 38
+TITLE_WORD = "код"
 COLUMN_TITLES = rf"(?iu)^{WS}*код{WS}+име{WS}"
 PAGE_TITLE = "КЛАСИФИКАТОР"
-PAGE_DATE = rf"^{WS}*\d{{2}}\.\d{{2}}\.\d{{4}}{WS}*\z"
+PAGE_DATE = r"^\d{2}\.\d{2}\.\d{4}\z"
+PAGE_DATE_LENGTH = 10
 HEADER_WORD = "секция"
 HEADER = (
     rf"(?isu)област{WS}+(\d{{2}}){WS}+(\S.*?\S){WS}+община{WS}+(\d{{2}}){WS}+(\S.*?\S){WS}+"
@@ -89,19 +91,25 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
     Each step is a column of its own: Spark then evaluates every pattern once per line.
     """
-    line = F.col("line")
+    line, text, lower = F.col("line"), F.col("_text"), F.col("_lower")
+    steps = lines.withColumns({"_text": strip(line), "_lower": F.lower(line)})
+    # Plain tests come first: the patterns are dear, and the lines they look for are rare.
     furniture = (
-        (F.translate(line, "-" + WS_CHARS, "") == "")
-        | line.rlike(COLUMN_TITLES)
+        (text == "")
+        | (text.startswith("-") & (F.translate(text, "-" + WS_CHARS, "") == ""))
+        | (lower.contains(TITLE_WORD) & line.rlike(COLUMN_TITLES))
         | line.contains(PAGE_TITLE)
-        | line.rlike(PAGE_DATE)
+        | ((F.length(text) == PAGE_DATE_LENGTH) & text.rlike(PAGE_DATE))
     )
-    # The word is looked for first: the full pattern is dear, and headers are rare.
-    is_header = F.lower(line).contains(HEADER_WORD) & line.rlike(HEADER)
-    steps = lines.withColumn(
+    is_header = lower.contains(HEADER_WORD) & line.rlike(HEADER)
+    steps = steps.withColumn(
         "_class", F.when(furniture, "furniture").when(is_header, "header")
     ).withColumn(
-        "_code", F.when(F.col("_class").isNull(), F.regexp_extract(line, DATA_CODE, 0))
+        "_code",
+        F.when(
+            F.col("_class").isNull() & F.substring(text, 1, 1).between("0", "9"),
+            F.regexp_extract(line, DATA_CODE, 0),
+        ),
     )
     width = F.length("_code")
     name_width = F.greatest(F.lit(NUMBER_COLUMN) - width, F.lit(0))
