@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kvartal.llm import chat, decontaminate, exact_dedup, sharding, url_filter
+from kvartal.llm import (
+    chat, decontaminate, exact_dedup, html_text, packing, sharding, simhash, toxicity, url_filter,
+)
 from kvartal.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -14,6 +16,13 @@ def _query(fn, oracle: str | None = None):
         ORACLES[fn.__name__] = oracle
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_query(op1_simhash)
+
+
 def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +53,13 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 """)
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_query(op4_toxicity)
+
+
 def op5_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     events = chat.conversation_events(rows.unionByName(chat.probe(spark)))
@@ -66,6 +82,13 @@ FROM e GROUP BY conv_id
 """)
 
 
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+_query(op6_packing)
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
@@ -102,3 +125,10 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY t)
 """)
+
+
+def op10_html_extraction(spark, sf_dir):
+    return html_text.visible_text(table(spark, sf_dir, "pages"))
+
+
+_query(op10_html_extraction)
