@@ -10,6 +10,8 @@ from kvartal.operators.joins import lookup_join
 from kvartal.session import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
+# Characters of a text that its place in the order starts with.
+LEAD = 32
 
 
 def normalise(text: Column) -> Column:
@@ -20,12 +22,14 @@ def normalise(text: Column) -> Column:
 def _runs(docs: DataFrame, carried: list[Column]) -> DataFrame:
     """Sort by content over the cluster and mark where neighbours differ.
 
-    Spark samples the splitters of the range partitioning. The id is its second key, so a
-    group of copies of any size is spread over as many partitions as it fills. Per row:
+    Spark samples the splitters of the range partitioning. They hold the start of a text, its
+    checksum and its id, so their size is bounded, neither a long common start nor a group of
+    copies can stay unsplit, and equal texts are neighbours in the full order. Per row:
     _part, _run (number of the run of equal texts inside the partition), _starts, _id,
     _sha, and _edge: the text itself, for the first and the last row of a partition.
     """
-    order = [F.col("_norm"), F.col("_id").asc_nulls_last()]
+    place = [F.col("_lead"), F.col("_check"), F.col("_id").asc_nulls_last()]
+    order = [F.col("_lead"), F.col("_check"), F.col("_norm"), F.col("_id").asc_nulls_last()]
     in_part = Window.partitionBy("_part").orderBy(*order)
     before, after = F.lag("_norm").over(in_part), F.lead("_norm").over(in_part)
     starts = F.coalesce(before != F.col("_norm"), F.lit(True))
@@ -33,7 +37,9 @@ def _runs(docs: DataFrame, carried: list[Column]) -> DataFrame:
         docs.select(
             F.col("doc_id").alias("_id"), normalise(F.col("text")).alias("_norm"), *carried
         )
-        .repartitionByRange(*order)
+        .withColumn("_lead", F.substring("_norm", 1, LEAD))
+        .withColumn("_check", F.xxhash64("_norm"))
+        .repartitionByRange(*place)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_starts", starts)
         .withColumn("_head", before.isNull())
