@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from kvartal.llm import (
-    chat, decontaminate, exact_dedup, html_text, packing, sharding, simhash, toxicity, url_filter,
+    chat, decontaminate, exact_dedup, html_text, packing, sharding, simhash,
+    suffix_dedup, toxicity, url_filter,
 )
 from kvartal.llm.common import table
 
@@ -53,6 +55,13 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 """)
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_query(op3_suffix_dedup)
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -132,3 +141,10 @@ def op10_html_extraction(spark, sf_dir):
 
 
 _query(op10_html_extraction)
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_query(pipeline, corpus_pipeline.ORACLE_SQL)
