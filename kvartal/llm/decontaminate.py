@@ -114,8 +114,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         .agg(F.collect_list(F.struct("item_id", "_words", "_size", "_shift")).alias("_candidates")),
         "candidates",
     )
+    # One join form at every size: its cost follows the documents, not the number of candidates.
     joined = keyed.join(
-        candidates.withColumnsRenamed({"_id": "_cid", "_hash": "_chash"}),
+        candidates.withColumnsRenamed({"_id": "_cid", "_hash": "_chash"}).hint("shuffle_merge"),
         F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")),
         "left",
     ).withColumn("_doc_words", words(F.col("text")))
