@@ -19,8 +19,8 @@ LENGTH = 400
 WINDOW, GRAM = 128, 8
 # Bytes after an anchor that every string with this anchor has.
 COMMON = LENGTH - WINDOW + 1
-# Bytes scanned at a time, and symbols of one shard's suffix array.
-CHUNK, SHARD = 1 << 20, 1 << 21
+# Bytes scanned at a time, symbols of one shard's suffix array, ranges of a shard's digests.
+CHUNK, SHARD, RANGES = 1 << 20, 1 << 21, 256
 
 U = np.uint64
 POSITION = U((1 << 24) - 1)
@@ -183,11 +183,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, mos
     return common, before
 
 
-FOUND = "kind string, _a bigint, _b int, low bigint, high bigint, key bigint, digest bigint, wanted boolean"
+FOUND = "kind string, _a bigint, _b int, low bigint, high bigint, key bigint, digests int, run binary"
 _FOUND = pa.schema([
     ("kind", pa.string()), ("_a", pa.int64()), ("_b", pa.int32()), ("low", pa.int64()), ("high", pa.int64()),
-    ("key", pa.int64()), ("digest", pa.int64()), ("wanted", pa.bool_()),
+    ("key", pa.int64()), ("digests", pa.int32()), ("run", pa.binary()),
 ])
+# A start at a shard's border, as it stands in a sorted run of them.
+BORDER = np.dtype([("digest", "<u8"), ("a", "<i8"), ("low", "<i8"), ("b", "<i4"), ("wanted", "<i4")])
 
 
 def _runs_of(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,16 +239,29 @@ def _shard(table: pa.Table, rolling: Rolling) -> Iterator[pa.RecordBatch]:
     _, one = np.unique(np.c_[digest, key_no[own]], axis=0, return_index=True)
     told = wanted.copy()
     told[one] = True
-    at, own, digest, wanted = at[told], own[told], digest[told], wanted[told]
-    yield _found("border", a[own], b[own], low[own] + inside[at], low[own] + inside[at], keys[key_no[own]], digest, wanted)
+    run = np.empty(int(told.sum()), BORDER)
+    run["digest"], run["a"], run["b"] = digest[told].view("u8"), a[own[told]], b[own[told]]
+    run["low"], run["wanted"] = low[own[told]] + inside[at[told]], wanted[told]
+    ranges = (run["digest"] >> U(56)).astype(np.int64) % RANGES
+    of_key = key_no[own[told]]
+    order = np.lexsort((run["digest"], ranges, of_key))
+    run, group = run[order], (of_key * RANGES + ranges)[order]
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+    runs = [x.tobytes() for x in np.split(run, cuts[1:])] if len(group) else []
+    group = group[cuts]
+    n = len(runs)
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(["border"] * n, pa.string()), *none, pa.array(keys[group // RANGES], pa.int64()),
+         pa.array(group % RANGES, pa.int32()), pa.array(runs, pa.binary())], schema=_FOUND,
+    )
 
 
-def _found(kind, a, b, low, high, key=None, digest=None, wanted=None) -> pa.RecordBatch:
+def _found(kind, a, b, low, high) -> pa.RecordBatch:
     n = len(a)
-    fill = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
     return pa.RecordBatch.from_arrays(
         [pa.array([kind] * n, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(low, pa.int64()),
-         pa.array(high, pa.int64()), fill(key, pa.int64()), fill(digest, pa.int64()), fill(wanted, pa.bool_())],
+         pa.array(high, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
         schema=_FOUND,
     )
 
@@ -268,19 +283,21 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Border starts that another shard has too: a binary search for each in its sorted partition."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+    """Border starts that another shard has too: the shards' sorted runs, merged by binary search."""
+    keys, runs = [], []
+    for batch in batches:
+        for key, run in zip(batch.column("key").to_pylist(), batch.column("run").to_pylist()):
+            runs.append(np.frombuffer(run, BORDER))
+            keys.append(np.full(len(runs[-1]), key))
+    if not runs:
         return
-    t = pa.Table.from_batches(held)
-    both = t["key"].to_numpy().astype(U) * U(0x9E3779B97F4A7C15) ^ t["digest"].to_numpy().astype(U)
+    run = np.concatenate(runs)
+    both = np.concatenate(keys).astype(U) * U(0x9E3779B97F4A7C15) ^ run["digest"]
     ordered = np.sort(both)
     many = np.searchsorted(ordered, both, "right") - np.searchsorted(ordered, both, "left")
-    hit = np.flatnonzero((many > 1) & t["wanted"].to_numpy(zero_copy_only=False))
-    low = t["low"].to_numpy()[hit]
+    hit = run[(many > 1) & (run["wanted"] == 1)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(t["_a"].to_numpy()[hit]), pa.array(t["_b"].to_numpy()[hit]), pa.array(low), pa.array(low)],
-        ["_a", "_b", "low", "high"],
+        [pa.array(hit[c].copy()) for c in ("a", "b", "low", "low")], ["_a", "_b", "low", "high"]
     )
 
 
@@ -359,7 +376,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "anchors",
     )
     twice = found.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    met = materialise(found.join(twice.hint("shuffle_merge"), "key", "left_semi"), "anchors-met")
+    met = materialise(lookup_join(found, twice.hint("shuffle_merge"), ["key"], "inner"), "anchors-met")
     kinds = materialise(
         met.groupBy("key", "context").agg(
             F.count("*").alias("_n"), F.min(F.struct("_a", "_b", "place")).alias("_one")
@@ -392,8 +409,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "shards",
     )
     merged = (
-        solved.where("kind = 'border'").select("key", "digest", "wanted", "_a", "_b", "low")
-        .repartitionByRange("key", "digest").mapInArrow(_merged, "_a bigint, _b int, low bigint, high bigint")
+        solved.where("kind = 'border'").select("key", "digests", "run")
+        .repartition("key", "digests").mapInArrow(_merged, "_a bigint, _b int, low bigint, high bigint")
     )
     runs = (
         solved.where("kind = 'run'").select("_a", "_b", "low", "high").unionByName(merged)
