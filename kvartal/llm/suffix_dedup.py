@@ -301,20 +301,35 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _lists(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Offsets of a list column's rows in its values, and the named fields of the values."""
+    values = column.values
+    fields = (values.field(n).to_numpy(zero_copy_only=False) for n in names)
+    return column.offsets.to_numpy(), *fields
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts that a suffix array must compare, cut from the texts."""
     for batch in batches:
-        rows = []
-        for a, b, text, hits in zip(*(batch.column(c).to_pylist() for c in ("_a", "_b", "bytes", "hits"))):
-            for h in hits:
-                if h["compared"]:
-                    place, (back, span) = h["place"], divmod(h["shape"], WINDOW)
-                    low = place - back
-                    rows.append((h["key"], a, b, low, h["asks"], text[low:place], text[place + COMMON : low + span + LENGTH]))
-        columns = list(zip(*rows)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        offsets, place, shape, asks, compared, key = _lists(
+            batch.column("hits"), "place", "shape", "asks", "compared", "key"
+        )
+        at = np.flatnonzero(compared[: offsets[-1]])
+        at = at[at >= offsets[0]]
+        row = np.searchsorted(offsets, at, "right") - 1
+        place, low = place[at], place[at] - shape[at] // WINDOW
+        end = low + shape[at] % WINDOW + LENGTH
+        texts = batch.column("bytes")
+        left, right, last, text = [], [], -1, b""
+        for r, x, y, z in zip(row.tolist(), low.tolist(), place.tolist(), end.tolist()):
+            if r != last:
+                last, text = r, texts[r].as_py()
+            left.append(text[x:y])
+            right.append(text[y + COMMON : z])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "_a", "_b", "low", "asks", "left", "right"]
+            [pa.array(key[at].astype("i8")), batch.column("_a").take(pa.array(row)), batch.column("_b").take(pa.array(row)),
+             pa.array(low), pa.array(asks[at]), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+            ["key", "_a", "_b", "low", "asks", "left", "right"],
         )
 
 
@@ -332,22 +347,30 @@ def removed_spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        offsets, place, shape, settled = _lists(batch.column("hits"), "place", "shape", "settled")
+        first = place - shape // WINDOW
+        final = first + shape % WINDOW
+        run_offsets, run_low, run_high = _lists(batch.column("runs"), "low", "high")
         rows = []
-        for a, b, text, hits, runs in zip(*(batch.column(c).to_pylist() for c in ("_a", "_b", "bytes", "hits", "runs"))):
-            low = [h["place"] - h["shape"] // WINDOW for h in hits if h["settled"]] + [r["low"] for r in runs or ()]
-            high = [h["place"] - h["shape"] // WINDOW + h["shape"] % WINDOW for h in hits if h["settled"]] + [r["high"] for r in runs or ()]
-            if low:
-                start, end = removed_spans(np.array(low), np.array(high))
-                kept, at = hashlib.sha256(), 0
+        for i, (a, b, text) in enumerate(zip(*(batch.column(c) for c in ("_a", "_b", "bytes")))):
+            own, runs = slice(offsets[i], offsets[i + 1]), slice(run_offsets[i], run_offsets[i + 1])
+            kept = settled[own]
+            low = np.r_[first[own][kept], run_low[runs]].astype(np.int64)
+            high = np.r_[final[own][kept], run_high[runs]].astype(np.int64)
+            if len(low):
+                start, end = removed_spans(low, high)
+                digest, at, text = hashlib.sha256(), 0, text.as_py()
                 for x, y in zip(start.tolist(), end.tolist()):
-                    kept.update(text[at:x])
+                    digest.update(text[at:x])
                     at = y
-                kept.update(text[at:])
+                digest.update(text[at:])
                 spans = [{"start": x, "end": y} for x, y in zip(start.tolist(), end.tolist())]
-                rows.append((a, b, int((end - start).sum()), len(start), kept.hexdigest(), spans))
+                rows.append((a.as_py(), b.as_py(), int((end - start).sum()), len(start), digest.hexdigest(), spans))
         columns = list(zip(*rows)) or [()] * 6
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), _SPANS]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in RESULT.split(", ")[:6]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["_a", "_b", "n_removed", "n_spans", "kept_sha256", "spans"]
+        )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -392,7 +415,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     by_doc = (
         hits.where("settled OR compared").groupBy("_a", "_b")
-        .agg(F.collect_list(F.struct("place", "shape", "settled", "asks", "compared", F.when(F.col("compared"), F.col("key")).alias("key"))).alias("hits"))
+        .agg(F.collect_list(F.struct("place", "shape", "settled", "asks", "compared", "key")).alias("hits"))
     )
     # The texts of these documents alone go on; the join never switches its form with size.
     touched = materialise(
