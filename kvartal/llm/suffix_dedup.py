@@ -399,7 +399,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "anchors",
     )
     twice = found.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    met = materialise(lookup_join(found, twice.hint("shuffle_merge"), ["key"], "inner"), "anchors-met")
+    # A second join column makes Spark shuffle the counts afresh, so that it can split a hot key.
+    odd = F.col("key").bitwiseAND(1).alias("_odd")
+    met = materialise(
+        found.select("*", odd).join(twice.select("key", odd).hint("shuffle_merge"), ["key", "_odd"]).drop("_odd"),
+        "anchors-met",
+    )
     kinds = materialise(
         met.groupBy("key", "context").agg(
             F.count("*").alias("_n"), F.min(F.struct("_a", "_b", "place")).alias("_one")
@@ -415,7 +420,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     by_doc = (
         hits.where("settled OR compared").groupBy("_a", "_b")
-        .agg(F.collect_list(F.struct("place", "shape", "settled", "asks", "compared", "key")).alias("hits"))
+        .agg(F.collect_list(F.struct("place", "shape", "settled", "asks", "compared", F.when(F.col("compared"), F.col("key")).otherwise(0).alias("key"))).alias("hits"))
     )
     # The texts of these documents alone go on; the join never switches its form with size.
     touched = materialise(
