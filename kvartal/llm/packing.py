@@ -182,8 +182,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_5
         encode, packer = Encoder(tokenizer), Packer(TaskContext.get().partitionId() << 33, capacity)
         full = WAITING
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc_id, encode(text or ""))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                packer.add(doc_id, encode(text.as_py() or ""))
                 if packer.held >= full:
                     packer.pack(last=packer.held >= 4 * WAITING)
                     full = packer.held + WAITING

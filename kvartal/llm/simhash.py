@@ -51,7 +51,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [fingerprint(t or b"") for t in batch.column("_bytes").to_pylist()]
+        values = [fingerprint(t.as_py() or b"") for t in batch.column("_bytes")]
         signed = pa.array(np.array(values, "u8").view("i8"))
         rest = [c for c in batch.schema.names if c != "_bytes"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), signed], [*rest, "_print"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from kvartal.session import materialise
 THRESHOLD = 0.7
 # The model is fitted on at most this many labelled rows of each class, taken by a hash of
 # their id; everything else covers all rows.
-SAMPLE = {1: 2000, 0: 4000}
+SAMPLE = {1: 1500, 0: 3000}
 BUCKETS = 1 << 20
 # A feature is used when its documents are toxic more often than chance explains (a likelihood
 # ratio statistic); without this the rare words of toxic documents are learnt by heart.
@@ -40,15 +41,35 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts]
 
 
-def _telling(documents: list[np.ndarray], columns: list[np.ndarray], toxic: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` features stand in toxic documents more often than chance explains.
+class Features:
+    """The features of numbered words in one flat array."""
 
-    ``documents``: each one's distinct words; ``columns``: each word's features.
+    def __init__(self, words: Iterable[str]):
+        flat, sizes = array("i"), array("i")
+        for word in words:
+            found = features(word)
+            flat.extend(found)
+            sizes.append(len(found))
+        self.sizes = np.array(sizes, np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.used, column = np.unique(np.array(flat, np.int32), return_inverse=True)
+        self.column = column.astype(np.int32)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All features of ``words``, and for each the index of its word among them."""
+        sizes = self.sizes[words]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.column[np.repeat(self.first[words], sizes) + inside], np.repeat(np.arange(len(words)), sizes)
+
+
+def _telling(documents: Iterable[np.ndarray], known: Features, toxic: np.ndarray) -> np.ndarray:
+    """Which features stand in toxic documents more often than chance explains.
+
+    ``documents``: each one's distinct words.
     """
-    seen = {0: np.zeros(n), 1: np.zeros(n)}
+    seen = {0: np.zeros(len(known.used)), 1: np.zeros(len(known.used))}
     for words, label in zip(documents, toxic.tolist()):
-        if len(words):
-            seen[label][np.unique(np.concatenate([columns[w] for w in words]))] += 1
+        seen[label][np.unique(known.of(words)[0])] += 1
     share, both = toxic.mean(), seen[0] + seen[1]
 
     def part(found, expected):
@@ -65,35 +86,36 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     document is toxic unless all its sentences are clean.
     """
     words: dict[str, int] = {}
-    tokens, per_sentence, sentences, documents = [], [], [], []
+    tokens, per_sentence, ends = array("i"), array("i"), [0]
     for text in texts:
-        found = [w for s in SENTENCE.findall(text.lower()) if (w := WORD.findall(s))]
-        sentences.append(len(found))
-        per_sentence.extend(map(len, found))
-        start = len(tokens)
-        for sentence in found:
-            tokens.extend(words.setdefault(w, len(words)) for w in sentence)
-        documents.append(np.unique(np.array(tokens[start:], np.int64)))
-    lists = [features(w) for w in words]
-    used, column = np.unique(np.array([b for x in lists for b in x], np.int64), return_inverse=True)
-    columns = np.split(column, np.cumsum([len(x) for x in lists])[:-1])
-    telling = _telling(documents, columns, toxic, len(used))
+        for sentence in SENTENCE.findall(text.lower()):
+            if found := WORD.findall(sentence):
+                tokens.extend(words.setdefault(w, len(words)) for w in found)
+                per_sentence.append(len(found))
+        ends.append(len(tokens))
+    known = Features(words)
+    n_words = len(words)
+    del words
+    token = np.array(tokens, np.int32)
+    telling = _telling((np.unique(token[x:y]) for x, y in zip(ends, ends[1:])), known, toxic)
     # Words without a telling feature add nothing: only the others' tokens are kept.
-    rich = np.array([telling[c].any() for c in columns], bool)
-    token = np.array(tokens, np.int64)
-    sentence_of = np.repeat(np.arange(len(per_sentence)), per_sentence)[rich[token]]
-    token = (np.cumsum(rich) - 1)[token[rich[token]]]
-    document_of = np.repeat(np.arange(len(texts)), sentences)
-    kept = [c[telling[c]] for c, r in zip(columns, rich) if r]
-    column = (np.cumsum(telling) - 1)[np.concatenate([np.empty(0, np.int64), *kept])]
-    word_of = np.repeat(np.arange(len(kept)), [len(c) for c in kept])
-    used, n_words = used[telling], len(kept)
+    column, word_of = known.of(np.arange(n_words))
+    column, word_of = column[telling[column]], word_of[telling[column]]
+    rich = np.bincount(word_of, minlength=n_words) > 0
+    column = (np.cumsum(telling) - 1)[column]
+    word_of = (np.cumsum(rich) - 1)[word_of]
+    sizes = np.array(per_sentence, np.int64)
+    kept = rich[token]
+    sentence_of = np.repeat(np.arange(len(sizes)), sizes)[kept]
+    document_of = np.searchsorted(ends, np.cumsum(sizes) - sizes, "right") - 1
+    token = (np.cumsum(rich) - 1)[token[kept]]
+    used, n_words = known.used[telling], int(rich.sum())
     theta, bias = np.zeros(len(used)), FIRST_BIAS
     moments = [np.zeros(len(used) + 1), np.zeros(len(used) + 1)]
     total = weight.sum()
     for step in range(1, STEPS + 1):
         by_word = np.bincount(word_of, theta[column], n_words)
-        z = bias + np.bincount(sentence_of, by_word[token], len(per_sentence))
+        z = bias + np.bincount(sentence_of, by_word[token], len(sizes))
         clean = -np.bincount(document_of, np.logaddexp(0.0, z), len(texts))  # log P(all clean)
         p_clean = np.exp(clean)
         # How the loss moves with log P(all clean): toxic documents push it down, others up.
@@ -163,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
 class Scorer(dict):
     """Word -> summed feature weights, remembered for the words met last."""
 
-    HELD = 400_000
+    HELD = 100_000
 
     def __init__(self, model):
         super().__init__()
@@ -202,8 +224,8 @@ def with_scores(docs: DataFrame, model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if model is None else Scorer(model)
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            found = [scorer.document(t or "") if scorer is not None else (0.5, 0, 0, 0.0) for t in texts]
+            texts = (t.as_py() or "" for t in batch.column(names.index("text")))
+            found = [scorer.document(t) if scorer is not None else (0.5, 0, 0, 0.0) for t in texts]
             score, start, end, worst = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(worst, pa.float64())],
