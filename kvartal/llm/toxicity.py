@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from kvartal.session import materialise
 
@@ -214,7 +215,10 @@ class Scorer(dict):
         return (-math.expm1(clean), *worst)
 
 
-SCORES = "score double, worst_start int, worst_end int, worst_score double"
+SCORES = [
+    StructField("score", DoubleType()), StructField("worst_start", IntegerType()),
+    StructField("worst_end", IntegerType()), StructField("worst_score", DoubleType()),
+]
 
 
 def with_scores(docs: DataFrame, model) -> DataFrame:
@@ -232,7 +236,7 @@ def with_scores(docs: DataFrame, model) -> DataFrame:
                 [*batch.schema.names, "score", "worst_start", "worst_end", "worst_score"],
             )
 
-    return docs.mapInArrow(scored, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + SCORES)
+    return docs.mapInArrow(scored, StructType([*docs.schema.fields, *SCORES]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
