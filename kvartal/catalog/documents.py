@@ -268,3 +268,31 @@ WHERE shared * 10 >= 7 * (size_a + size_b - shared)""",
 )
 def fuzzy_street_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return fuzzy.fuzzy_street_join(left, right, 0.7)
+
+
+_CITY_NAMES, _CITY_TYPED = (names.replace("SELECT ", "SELECT p_type AS city, ", 1) for names in (_NAMES, _TYPED))
+
+
+def _city_grams_sql(names: str) -> str:
+    return f"""
+SELECT city, key, gram, COUNT(*) OVER (PARTITION BY city, key) AS size FROM (
+  SELECT DISTINCT city, key, SUBSTR('  ' || word || ' ', CAST(i AS BIGINT), 3) AS gram FROM (
+    SELECT city, key, word, UNNEST(RANGE(1, LENGTH(word) + 2)) AS i FROM (
+      SELECT city, search_norm AS key,
+             UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(search_norm), '[^a-z0-9]+')) AS word
+      FROM (SELECT DISTINCT city, search_norm FROM ({names}) AS n) AS d) AS w
+    WHERE word <> '') AS g) AS x"""
+
+
+@query(
+    f"""SELECT city, left_key, right_key, shared, size_a + size_b - shared AS total FROM (
+  SELECT a.city, a.key AS left_key, b.key AS right_key, COUNT(*) AS shared,
+         MIN(a.size) AS size_a, MIN(b.size) AS size_b
+  FROM ({_city_grams_sql(_CITY_NAMES)}) AS a
+  JOIN ({_city_grams_sql(_CITY_TYPED)}) AS b ON a.gram = b.gram AND a.city = b.city
+  GROUP BY a.city, a.key, b.key) AS p
+WHERE shared * 10 >= 6 * (size_a + size_b - shared)""",
+    left=_CITY_NAMES, right=_CITY_TYPED,
+)
+def fuzzy_street_join_within_city(left: DataFrame, right: DataFrame) -> DataFrame:
+    return fuzzy.fuzzy_street_join(left, right, within=["city"])

@@ -106,16 +106,25 @@ def expand_offerings(**frames: DataFrame) -> DataFrame:
 @query(RANKED, **_VIEWS)
 def rank_offerings(**frames: DataFrame) -> DataFrame:
     expanded = routing.expand_offerings(routing.route_addresses(**frames))
-    return routing.rank_offerings(expanded, frames["institutions"])
+    return routing.rank_offerings(expanded)
 
 
 @query(_ranked(_offered(_by_edge("kindergarten"))), **_VIEWS)
 def rank_offerings_kindergarten(**frames: DataFrame) -> DataFrame:
-    """The ranking that does not rely on a small institution table."""
     routed = routing.route_addresses(**frames, kind="kindergarten")
     return routing.rank_offerings(routing.expand_offerings(routed))
 
 
+@query(f"""
+SELECT district_code, id, external_id, name, kind,
+       ROW_NUMBER() OVER (PARTITION BY district_code ORDER BY
+         CASE kind WHEN 'nursery' THEN 0 ELSE 1 END, name, id) AS rank
+FROM ({v.INSTITUTIONS}) AS i
+WHERE kind IN ('nursery', 'preschool') AND district_code IS NOT NULL""", institutions=v.INSTITUTIONS)
+def district_roster(institutions: DataFrame) -> DataFrame:
+    return routing.district_roster(institutions, "nursery", "preschool").drop("source_url")
+
+
 def _joined(array: str, *fields: str) -> Column:
     """One string per nested list, for comparison."""
     return F.array_join(

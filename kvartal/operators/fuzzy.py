@@ -9,6 +9,7 @@ share hardly ever joins them. Keys are further joined only within neighbouring s
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,24 +24,26 @@ def _ceil_share(part: int, count: Column) -> Column:
     return F.floor((count * part + (SCALE - 1)) / SCALE).cast("int")
 
 
-def _ordered(keys: DataFrame, frequency: DataFrame) -> DataFrame:
+def _ordered(keys: DataFrame, frequency: DataFrame, within: list[str]) -> DataFrame:
     """``key, grams``: trigrams rarest first. A group is one key's own trigrams."""
-    grams = keys.select("key", F.explode_outer(trigrams(F.col("key"))).alias("gram")).where(
+    grams = keys.select("key", *within, F.explode_outer(trigrams(F.col("key"))).alias("gram")).where(
         F.col("gram").isNotNull()
     )
     listed = lookup_join(grams, frequency, ["gram"])
-    return listed.groupBy("key").agg(
+    return listed.groupBy("key", *within).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]
         ).alias("grams")
     )
 
 
-def _prefixes(ordered: DataFrame, part: int, side: str, width: float, reach: int) -> DataFrame:
+def _prefixes(
+    ordered: DataFrame, part: int, side: str, width: float, reach: int, within: list[str]
+) -> DataFrame:
     size = F.size("grams")
     bucket = F.floor(F.log(size) / F.lit(width)).cast("int")
     prefixed = ordered.select(
-        F.col("key").alias(f"{side}_key"), F.col("grams").alias(f"{side}_grams"),
+        *within, F.col("key").alias(f"{side}_key"), F.col("grams").alias(f"{side}_grams"),
         size.alias(f"{side}_size"),
         F.slice("grams", 1, size - _ceil_share(part, size) + 1).alias(f"{side}_prefix"),
         F.explode(F.sequence(bucket - reach, bucket + reach)).alias("bucket"),
@@ -51,17 +54,25 @@ def _prefixes(ordered: DataFrame, part: int, side: str, width: float, reach: int
 
 
 def fuzzy_street_join(
-    left: DataFrame, right: DataFrame, threshold: float = 0.3, key: str = "search_norm"
+    left: DataFrame, right: DataFrame, threshold: float = 0.6, key: str = "search_norm",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs of distinct keys at or above the threshold.
 
     ``left_key, right_key, shared, total``: the similarity is ``shared / total``. The
     threshold is read as whole thousandths above 0. Keys without any trigram match nothing.
+
+    ``within``: columns that must be equal, and come first in the result. Keys that start with
+    their locality all resemble each other at a low threshold: there, compare the street's own
+    name within its city.
     """
     part = round(threshold * SCALE)
     if not 0 < part <= SCALE:
         raise ValueError(f"threshold must be in (0, 1]: {threshold}")
-    sides = [df.select(F.col(key).alias("key")).dropna().distinct() for df in (left, right)]
+    within = list(within)
+    sides = [
+        df.select(F.col(key).alias("key"), *within).dropna().distinct() for df in (left, right)
+    ]
     frequency = (
         sides[0].unionByName(sides[1])
         .select(F.explode(trigrams(F.col("key"))).alias("gram"))
@@ -69,9 +80,9 @@ def fuzzy_street_join(
     )
     # Sizes of similar sets differ at most by the factor 1/t: at most one class apart.
     width = math.log(SCALE / part) + 1e-6
-    a, b = (_ordered(side, frequency) for side in sides)
-    pairs = _prefixes(a, part, "left", width, 1).join(
-        _prefixes(b, part, "right", width, 0), ["gram", "bucket"]
+    a, b = (_ordered(side, frequency, within) for side in sides)
+    pairs = _prefixes(a, part, "left", width, 1, within).join(
+        _prefixes(b, part, "right", width, 0, within), ["gram", "bucket", *within]
     )
     left_size, right_size = F.col("left_size"), F.col("right_size")
     # shared / (left + right - shared) >= t  <=>  shared >= t / (1 + t) * (left + right)
@@ -86,7 +97,7 @@ def fuzzy_street_join(
         .withColumn("shared", shared)
         .where(F.col("shared") * (SCALE + part) >= needed)
         .select(
-            "left_key", "right_key", F.col("shared").cast("long").alias("shared"),
+            *within, "left_key", "right_key", F.col("shared").cast("long").alias("shared"),
             (left_size + right_size - F.col("shared")).cast("long").alias("total"),
         )
     )

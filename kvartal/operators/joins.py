@@ -38,10 +38,3 @@ def lookup_join(
         .select(*rows.columns, *(c for c in table.columns if c not in keys))
     )
 
-
-BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most one row past the bound: the check before any broadcast of user data."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -6,10 +6,9 @@ preschools by edge, or by district for an address without any preschool edge.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.operators.joins import is_small, lookup_join
 from kvartal.operators.numbering import with_group_position
 from kvartal.schemas import KINDS
 
@@ -24,6 +23,7 @@ OFFERED = (
     "id", "external_id", "name", "institution_kind", "reception_kind", "offering",
     "source_url", "match_basis", "has_infant_group",
 )
+# Results in one row of a response, unless the caller asks otherwise.
 RESULT_PAGE = 10_000
 
 
@@ -71,9 +71,9 @@ def junction_match(edges: DataFrame, institutions: DataFrame, *kinds: str) -> Da
 def district_match(addresses: DataFrame, institutions: DataFrame, *kinds: str) -> DataFrame:
     """Institutions of the given kinds in the address's district; NULL matches nothing.
 
-    The result is addresses x institutions per district, as the rule demands. Districts are
-    few, so a small institution table is broadcast after its size is checked; a large one is
-    shuffled and AQE splits the hot districts.
+    The result is addresses x institutions per district, as the rule demands: ask for the
+    addresses wanted, or use ``district_roster``, which has each institution once. Spark chooses
+    the join from the sizes it meets; AQE splits a hot district.
     """
     insts = _matched(
         institutions.where(F.col("kind").isin(*kinds) & F.col("district_code").isNotNull()),
@@ -82,9 +82,20 @@ def district_match(addresses: DataFrame, institutions: DataFrame, *kinds: str) -
     located = addresses.where(F.col("district_code").isNotNull()).select(
         F.col("id").alias("address_id"), "district_code"
     )
-    return located.join(
-        F.broadcast(insts) if is_small(insts) else insts, "district_code"
-    ).select("address_id", *MATCHED)
+    return located.join(insts, "district_code").select("address_id", *MATCHED)
+
+
+def district_roster(institutions: DataFrame, *kinds: str) -> DataFrame:
+    """Institutions of the given kinds by district, with their ``rank`` in its listing.
+
+    One row per institution, so it serves any number of addresses of the district.
+    """
+    listed = institutions.where(F.col("kind").isin(*kinds) & F.col("district_code").isNotNull())
+    order = [kind_rank(F.col("kind")), F.col("name"), F.col("id")]
+    return with_group_position(
+        listed.select("district_code", "id", "external_id", "name", "kind", "source_url"),
+        ["district_code"], order, "rank",
+    )
 
 
 def _without_edges(addresses: DataFrame, edges: DataFrame, institutions: DataFrame, kind: str):
@@ -158,28 +169,9 @@ def offering_order() -> list[Column]:
     ]
 
 
-def rank_offerings(offerings: DataFrame, institutions: DataFrame | None = None) -> DataFrame:
-    """Add ``rank`` within the address.
-
-    An address holds at most two rows per institution, so a window does if the institutions
-    are given and few. Otherwise the ranks come from a global sort, in which one address's
-    rows may span many tasks.
-    """
-    if institutions is None or not is_small(institutions, RESULT_PAGE):
-        return with_group_position(offerings, ["address_id"], offering_order(), "rank")
-    ordered = Window.partitionBy("address_id").orderBy(*offering_order())
-    return offerings.withColumn("rank", F.row_number().over(ordered).cast("long"))
-
-
-def _offer_struct(basis: Column, reception: Column, offering: Column) -> Column:
-    """One offering, sort fields first, so that sorting an array of them ranks it."""
-    return F.struct(
-        kind_rank(reception).alias("_rank"), F.col("name").alias("_name"),
-        F.col("institution_kind").alias("_kind"), offering.alias("_offering"),
-        F.col("id"), F.col("external_id"), F.col("name"), F.col("institution_kind"),
-        reception.alias("reception_kind"), offering.alias("offering"), F.col("source_url"),
-        basis.alias("match_basis"), F.col("has_infant_group"),
-    )
+def rank_offerings(offerings: DataFrame) -> DataFrame:
+    """Add ``rank`` within the address, from a global sort: one address's rows may span many tasks."""
+    return with_group_position(offerings, ["address_id"], offering_order(), "rank")
 
 
 def _address_struct() -> Column:
@@ -190,84 +182,29 @@ def _plain(offers: Column) -> Column:
     return F.transform(offers, lambda o: F.struct(*(o[c].alias(c) for c in OFFERED)))
 
 
-def _response_by_roster(
-    context: DataFrame, edges: DataFrame, institutions: DataFrame, kind: str | None
-) -> DataFrame:
-    """Responses for a small institution table: a district's list is built once, not per address.
-
-    Every collected group is bounded by the institution table, whose size was checked.
-    """
-    standard = F.lit("standard")
-    own_edges = edges.join(context.select("address_id"), "address_id", "left_semi")
-    edge_kinds = _kinds(kind, ("kindergarten", "preschool"))
-    by_edge = expand_offerings(junction_match(own_edges, institutions, *edge_kinds)).select(
-        "address_id",
-        _offer_struct(F.col("match_basis"), F.col("reception_kind"), F.col("offering")).alias("o"),
-    )
-    own = by_edge.groupBy("address_id").agg(F.collect_list("o").alias("_own"))
-
-    listed = _matched(institutions.where(F.col("district_code").isNotNull()), "district").select(
-        "district_code", "institution_kind",
-        _offer_struct(F.col("match_basis"), F.col("institution_kind"), standard).alias("o"),
-    )
-
-    def of(name: str) -> Column:
-        wanted = F.lit(bool(_kinds(kind, (name,))))
-        return F.collect_list(F.when(wanted & (F.col("institution_kind") == name), F.col("o")))
-
-    rosters = listed.groupBy("district_code").agg(
-        of("nursery").alias("_nurseries"), of("preschool").alias("_preschools")
-    )
-    joined = lookup_join(context, own, ["address_id"]).join(
-        F.broadcast(rosters), "district_code", "left"
-    )
-    none = F.array().cast(own.schema["_own"].dataType)
-    own_offers = F.coalesce("_own", none)
-    by_district = F.when(
-        F.exists(own_offers, lambda o: o["institution_kind"] == "preschool"), none
-    ).otherwise(F.coalesce("_preschools", none))
-    offers = F.sort_array(F.concat(own_offers, F.coalesce("_nurseries", none), by_district))
-    return joined.select(
-        "address_id", F.lit(0).cast("long").alias("page_no"), _address_struct(),
-        _plain(offers).alias("results"),
-    )
-
-
-def _response_by_pages(
-    context: DataFrame, addresses: DataFrame, edges: DataFrame, institutions: DataFrame,
-    kind: str | None,
-) -> DataFrame:
-    """Responses when one address may match more institutions than one row should hold."""
-    offers = rank_offerings(
-        expand_offerings(route_addresses(addresses, edges, institutions, kind))
-    )
-    page = F.floor((F.col("rank") - 1) / RESULT_PAGE).cast("long")
-    pages = offers.groupBy("address_id", page.alias("page_no")).agg(
-        F.sort_array(F.collect_list(F.struct("rank", *OFFERED))).alias("_offers")
-    )
-    matched = pages.join(context, "address_id")
-    empty = context.join(pages.select("address_id"), "address_id", "left_anti").select(
-        "*", F.lit(0).cast("long").alias("page_no"),
-        F.array().cast(pages.schema["_offers"].dataType).alias("_offers"),
-    )
-    return matched.unionByName(empty).select(
-        "address_id", "page_no", _address_struct(), _plain(F.col("_offers")).alias("results")
-    )
-
-
 def routing_response(
     addresses: DataFrame,
     edges: DataFrame,
     institutions: DataFrame,
     settlements: DataFrame,
     kind: str | None = None,
+    page_size: int = RESULT_PAGE,
 ) -> DataFrame:
-    """Per address ``address`` (with its settlement) and ``results`` in rank order.
+    """Per address and page ``address`` (with its settlement) and ``results`` in rank order.
 
-    An address without matches has an empty list. ``page_no`` is 0, unless the institution
-    table is so large that one address's list is cut into pages.
+    A page holds ``page_size`` results, the last one of an address fewer; ``page_no`` counts
+    from 0. An address without matches has one page with an empty list.
     """
     context = address_context(addresses, settlements)
-    if is_small(institutions, RESULT_PAGE):
-        return _response_by_roster(context, edges, institutions, kind)
-    return _response_by_pages(context, addresses, edges, institutions, kind)
+    offers = rank_offerings(
+        expand_offerings(route_addresses(addresses, edges, institutions, kind))
+    )
+    page = F.floor((F.col("rank") - 1) / page_size).cast("long")
+    pages = offers.groupBy("address_id", page.alias("page_no")).agg(
+        F.sort_array(F.collect_list(F.struct("rank", *OFFERED))).alias("_offers")
+    )
+    none = F.array().cast(pages.schema["_offers"].dataType)
+    return context.join(pages, "address_id", "left").select(
+        "address_id", F.coalesce("page_no", F.lit(0).cast("long")).alias("page_no"),
+        _address_struct(), _plain(F.coalesce("_offers", none)).alias("results"),
+    )

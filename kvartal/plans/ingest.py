@@ -173,6 +173,8 @@ def ingest(spark: SparkSession, snapshot_path: str, root: str) -> DataFrame:
         summarise(merged, batch, addresses, institutions, F.lit(scraped_at)), "summary"
     )
     tables.publish({
-        name: tables.stage(name, df, schemas.TABLES[name]) for name, df in results.items()
+        **{name: tables.stage(name, df, schemas.TABLES[name]) for name, df in results.items()},
+        # What this snapshot's entries lost, with institution and reason.
+        "quarantine": tables.stage("quarantine", batch.quarantine),
     })
     return summary

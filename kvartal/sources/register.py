@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kvartal.functions.text import WS, WS_CHARS, search_key, strip
 from kvartal.operators.carry import CHUNK_BITS, carry_forward
-from kvartal.schemas import MAX_LENGTHS
+from kvartal.schemas import DISTRICT_CODES, MAX_LENGTHS
 
 CHARSET = "cp1251"
 _HIGH_BYTES = bytes(b for b in range(0x80, 0x100) if b != 0x98)
@@ -210,6 +210,22 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     return parse_report(read_report(spark, path))
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """Give a reason to rows the register's other columns cannot hold: district, or a name's width."""
+    widths = MAX_LENGTHS["register"]
+    too_long = F.lit(False)
+    for column in ("district_name", "street_raw", "search_norm"):
+        if column in widths:
+            too_long = too_long | F.coalesce(F.length(column) > widths[column], F.lit(False))
+    known = F.coalesce(F.col("district_code").isin(*DISTRICT_CODES), F.lit(False))
+    return rows.withColumn(
+        "reject_reason",
+        F.coalesce(
+            "reject_reason", F.when(~known, "unknown_district"), F.when(too_long, "too_long")
+        ),
+    )
+
+
 def load_summary(register: DataFrame) -> DataFrame:
     """One row: ``rows_loaded, streets_parsed``."""
     return register.agg(

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from kvartal.operators import browse, joins, quality, routing
+from kvartal.operators import browse, quality, routing
 from kvartal.schemas import ADDRESSES, INSTITUTIONS, STREETS, settlements_dim
 from kvartal.sources import dump
 
@@ -18,20 +18,21 @@ def address(id, district, settlement, street=1, number=1, suffix=None, entrance=
 
 
 INSTS = [
-    inst(1, "N1", "Nursery Odessa", "nursery", "01"),
-    inst(2, "N2", "Nursery Primorski", "nursery", "02"),
-    inst(3, "N3", "Nursery Unstamped", "nursery", None),
-    inst(4, "K1", "Kindergarten Odessa", "kindergarten", "01", True),
-    inst(5, "K2", "Kindergarten Primorski", "kindergarten", "02"),
-    inst(6, "P1", "Preschool Odessa", "preschool", "01"),
-    inst(7, "P2", "Preschool Primorski", "preschool", "02"),
-    inst(8, "P3", "Preschool Unstamped", "preschool", None),
+    inst(11, "Z1", "Врабче", "nursery", "03"),
+    inst(12, "Z2", "Бряст", "nursery", "05"),
+    inst(13, "Z3", "Калина", "nursery", None),
+    inst(21, "D1", "Щурче", "kindergarten", "03", True),
+    inst(22, "D2", "Мак", "kindergarten", "05"),
+    inst(23, "D3", "Незабравка", "kindergarten", None, True),
+    inst(31, "U1", "Извор", "preschool", "03"),
+    inst(32, "U2", "Роса", "preschool", "05"),
+    inst(33, "U3", "Хвойна", "preschool", "05"),
 ]
 ADDRS = [
-    address(1, "01", "10135"), address(2, "01", "10135"), address(3, "02", "10135"),
-    address(4, None, None), address(5, None, "35701"), address(6, None, "10135"),
+    address(101, "03", "10135"), address(102, "05", "10135"), address(103, "05", None),
+    address(104, None, None), address(105, None, "35701"), address(106, None, "10135"),
 ]
-EDGES = [(1, 4), (2, 4), (3, 5), (6, 4), (1, 7), (4, 7), (1, 1)]
+EDGES = [(103, 21), (104, 33), (106, 23), (101, 32), (102, 22), (101, 21), (101, 12)]
 
 
 @pytest.fixture(scope="module")
@@ -51,65 +52,89 @@ def offers(df):
     return {k: [o[1:] for o in sorted(v)] for k, v in out.items()}
 
 
-K1 = [("K1", "nursery", "infant_group", "address"), ("K1", "kindergarten", "standard", "address")]
-N1, P2 = ("N1", "nursery", "standard", "district"), ("P2", "preschool", "standard", "address")
+def near(name, kind):
+    return (name, kind, "standard", "district")
+
+
+def own(name, kind, offering="standard"):
+    return (name, kind, offering, "address")
+
+
 EXPECTED = {
-    1: [K1[0], N1, K1[1], P2],
-    2: [K1[0], N1, K1[1], ("P1", "preschool", "standard", "district")],
-    3: [("N2", "nursery", "standard", "district"), ("K2", "kindergarten", "standard", "address"),
-        ("P2", "preschool", "standard", "district")],
-    4: [P2],
-    6: K1,
-}
-BY_KIND = {
-    None: EXPECTED,
-    "nursery": {a: [o for o in v if o[0][0] == "N"] for a, v in EXPECTED.items() if a in (1, 2, 3)},
-    "kindergarten": {a: [o for o in v if o[0][0] == "K"] for a, v in EXPECTED.items() if a != 4},
-    "preschool": {a: [o for o in v if o[0][0] == "P"] for a, v in EXPECTED.items() if a != 6},
+    101: [near("Z1", "nursery"), own("D1", "nursery", "infant_group"), own("D1", "kindergarten"),
+          own("U2", "preschool")],
+    102: [near("Z2", "nursery"), own("D2", "kindergarten"), near("U2", "preschool"),
+          near("U3", "preschool")],
+    103: [near("Z2", "nursery"), own("D1", "nursery", "infant_group"), own("D1", "kindergarten"),
+          near("U2", "preschool"), near("U3", "preschool")],
+    104: [own("U3", "preschool")],
+    106: [own("D3", "nursery", "infant_group"), own("D3", "kindergarten")],
 }
 
 
+def only(letter):
+    found = {a: [o for o in offered if o[0][0] == letter] for a, offered in EXPECTED.items()}
+    return {a: offered for a, offered in found.items() if offered}
+
+
+BY_KIND = {None: EXPECTED, "nursery": only("Z"), "kindergarten": only("D"), "preschool": only("U")}
+
+
 @pytest.mark.parametrize("kind", BY_KIND)
 def test_routes(tables, kind):
     expanded = routing.expand_offerings(routing.route_addresses(*tables, kind=kind))
-    assert offers(routing.rank_offerings(expanded, tables[2])) == BY_KIND[kind]
+    assert offers(routing.rank_offerings(expanded)) == BY_KIND[kind]
 
 
-def test_spread_ranks_equal_window_ranks(tables):
-    expanded = routing.expand_offerings(routing.route_addresses(*tables))
-    assert offers(routing.rank_offerings(expanded)) == EXPECTED
-
-
-@pytest.mark.parametrize("kind, large", [(None, False), ("preschool", False), (None, True)])
-def test_response(spark, tables, monkeypatch, kind, large):
-    if large:  # the path for an institution table past the broadcast bound
-        monkeypatch.setattr(routing, "is_small", lambda df, rows=0: False)
-        monkeypatch.setattr(routing, "RESULT_PAGE", 2)
-    got, pages = {}, set()
-    settlements = settlements_dim(spark)
-    for r in routing.routing_response(*tables, settlements, kind).orderBy("page_no").collect():
+@pytest.mark.parametrize("kind, page_size, pages", [
+    (None, 10, {0}), ("preschool", 10, {0}), (None, 2, {0, 1, 2}), ("preschool", 1, {0, 1}),
+])
+def test_response(spark, tables, kind, page_size, pages):
+    got, seen = {}, set()
+    response = routing.routing_response(*tables, settlements_dim(spark), kind, page_size)
+    for r in response.orderBy("page_no").collect():
+        assert r.address.id == r.address_id and len(r.results) <= page_size
         got.setdefault(r.address_id, []).extend(
             (o.external_id, o.reception_kind, o.offering, o.match_basis) for o in r.results
         )
-        pages.add(r.page_no)
-        assert r.address.id == r.address_id
-        if r.address_id == 5:
+        seen.add(r.page_no)
+        if r.address_id == 105:
             assert (r.address.settlement.code, r.address.settlement.locality_type) == ("35701", "village")
-        if r.address_id == 4:
+        if r.address_id == 104:
             assert r.address.settlement is None
-    expected = {a: BY_KIND[kind].get(a, []) for a in range(1, 7)}
-    assert got == expected
-    assert pages == ({0, 1} if large else {0})
+    assert got == {a: BY_KIND[kind].get(a, []) for a in range(101, 107)}
+    assert seen == pages
 
 
-def test_wanted_addresses_only(tables):
+def test_more_institutions_change_no_page_of_others(spark, tables):
+    """The number of institutions never decides the form of a response."""
     addresses, edges, insts = tables
-    routed = routing.route_addresses(addresses.where("id = 1"), edges, insts)
-    assert {r.address_id for r in routed.collect()} == {1}
+    many = spark.range(300).selectExpr(
+        "id + 1000 AS id", "concat('X', id) AS external_id", "concat('Ябълка ', id) AS name",
+        "'preschool' AS kind", "'u' AS source_url", "cast(null AS string) AS address",
+        "'01' AS district_code", "false AS has_infant_group", "cast(null AS timestamp) AS last_seen_at",
+    )
+    wide = insts.unionByName(many.select(insts.columns))
+    settlements = settlements_dim(spark)
+
+    def rows(institutions):
+        response = routing.routing_response(addresses, edges, institutions, settlements, page_size=3)
+        return sorted(map(repr, response.collect()))
+
+    assert rows(insts) == rows(wide)
 
 
-def test_size_check(spark):
-    assert joins.is_small(spark.range(5), 5) and not joins.is_small(spark.range(6), 5)
+def test_district_roster(tables):
+    roster = routing.district_roster(tables[2], "nursery", "preschool").orderBy("district_code", "rank")
+    assert [(r.district_code, r.external_id, r.rank) for r in roster.collect()] == [
+        ("03", "Z1", 1), ("03", "U1", 2), ("05", "Z2", 1), ("05", "U2", 2), ("05", "U3", 3),
+    ]
+
+
+def test_wanted_addresses_only(tables):
+    addresses, edges, insts = tables
+    routed = routing.route_addresses(addresses.where("id = 103"), edges, insts)
+    assert {r.address_id for r in routed.collect()} == {103}
 
 
 def test_profile_pages_and_order(spark):
@@ -123,7 +148,7 @@ def test_profile_pages_and_order(spark):
         address(15, None, None, 3, 2, None, "1"), address(16, None, None, 2, 5),
         address(17, None, None, 1, 9),
     ], ADDRESSES)
-    edges = spark.createDataFrame([(a, 1) for a in range(11, 18)], EDGE)
+    edges = spark.createDataFrame([(a, 11) for a in range(11, 18)], EDGE)
     insts = spark.createDataFrame(INSTS[:2], INSTITUTIONS)
 
     def profile(page_size):
@@ -134,17 +159,21 @@ def test_profile_pages_and_order(spark):
         return out
 
     assert profile(100) == {
-        (1, 0): [(3, [12, 14, 13, 15, 11]), (2, [16]), (1, [17])], (2, 0): [],
+        (11, 0): [(3, [12, 14, 13, 15, 11]), (2, [16]), (1, [17])], (12, 0): [],
     }
     assert profile(3) == {
-        (1, 0): [(3, [12, 14, 13])], (1, 1): [(3, [15, 11]), (2, [16])], (1, 2): [(1, [17])],
-        (2, 0): [],
+        (11, 0): [(3, [12, 14, 13])], (11, 1): [(3, [15, 11]), (2, [16])], (11, 2): [(1, [17])],
+        (12, 0): [],
     }
 
 
+# By kind in listing order, then by name.
+LISTED = [12, 11, 13, 22, 23, 21, 31, 32, 33]
+
+
 def test_listings(spark, tables):
     addresses, _, insts = tables
-    assert [r.id for r in browse.list_institutions(insts).collect()] == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert [r.id for r in browse.list_institutions(insts).collect()] == LISTED
     nulls_last = spark.createDataFrame([
         address(1, None, None, 1, 5), address(2, None, None, 1, 5, "А"),
         address(3, None, None, 1, 5, "А", "1"), address(4, None, None, 1, 4),
@@ -181,7 +210,7 @@ def test_dump_and_fingerprint(spark):
 
 CLEAN = (
     [address(1, "01", "10135"), address(2, None, "35701")],
-    [INSTS[0], INSTS[3], INSTS[6]], [(1, 4), (1, 7)],
+    [INSTS[0], INSTS[3], INSTS[6]], [(1, 21), (1, 31)],
 )
 
 
@@ -189,8 +218,8 @@ CLEAN = (
     (None, None),
     (("a", address(3, None, None)), "no_settlement_no_district_addresses"),
     (("a", address(3, "01", "99999")), "unknown_settlement_codes"),
-    (("i", inst(9, "N9", "n", "nursery", None)), "nursery_without_district"),
-    (("e", (2, 1)), "nursery_coverage_edges"),
+    (("i", inst(9, "Z9", "n", "nursery", None)), "nursery_without_district"),
+    (("e", (2, 11)), "nursery_coverage_edges"),
     (("i", inst(9, "X", "n", "infant", "01")), "invalid_institution_kinds"),
     (("i", inst(9, "X", "n", None, "01")), "invalid_institution_kinds"),
     (("a", address(3, "99", "10135")), "invalid_address_district_codes"),
@@ -229,12 +258,12 @@ def test_constraints_and_null_rate(spark):
     report = quality.constraint_report({
         "institutions": spark.createDataFrame([*INSTS, INSTS[0]], INSTITUTIONS).fillna({"name": ""}),
         "streets": streets, "addresses": addresses,
-        "address_institutions": spark.createDataFrame([(1, 1), (1, 1), (9, 1), (1, 99)], EDGE),
+        "address_institutions": spark.createDataFrame([(1, 11), (1, 11), (9, 11), (1, 99)], EDGE),
     })
     found = {(r.table, r.rule, r["columns"]): r.violations for r in report.collect() if r.violations}
     assert found == {
         ("institutions", "duplicate_key", "external_id,kind"): 1,
-        ("institutions", "not_null", "last_seen_at"): 9,
+        ("institutions", "not_null", "last_seen_at"): 10,
         ("streets", "duplicate_key", "raw_name"): 1, ("streets", "too_long", "city"): 1,
         ("streets", "not_null", "search_norm"): 1,
         ("addresses", "duplicate_key", "street_id,number_int,number_suffix,entrance"): 1,

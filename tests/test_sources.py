@@ -259,3 +259,18 @@ def test_carry_forward_brute_force(spark, monkeypatch):
     for r in got:
         seen = [m for g, n, m in values if g == r.file and m is not None and n <= r.place]
         assert r["last"] == max(seen, default=None)
+
+
+def test_keys_that_share_their_locality_are_compared_within_it(spark):
+    """Whole keys of one town all resemble each other; names within a city do not."""
+    names = ["липа", "бреза", "явор", "орех", "габър", "клен", "бук", "дъб"]
+    keys = spark.createDataFrame(
+        [("gr.varna", f"{a}{b}") for a in names for b in names], "city string, name string"
+    )
+    latin = standardise.add_search_key(keys, "name").select("city", "search_norm")
+    found = fuzzy.fuzzy_street_join(latin, latin, within=["city"])
+    assert found.columns == ["city", "left_key", "right_key", "shared", "total"]
+    pairs = {(r.left_key, r.right_key) for r in found.collect()}
+    assert 64 <= len(pairs) < 64 * 8
+    other = latin.withColumn("city", F.lit("s. topoli"))
+    assert fuzzy.fuzzy_street_join(latin, other, within=["city"]).count() == 0
