@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kvartal.llm.components import components, roots
 from kvartal.operators.joins import lookup_join
@@ -51,16 +52,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [fingerprint(t.as_py() or b"") for t in batch.column("_bytes")]
+        values = [fingerprint(t.as_py() or b"") for t in batch.column("text")]
         signed = pa.array(np.array(values, "u8").view("i8"))
-        rest = [c for c in batch.schema.names if c != "_bytes"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), signed], [*rest, "_print"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, signed], [*batch.schema.names, "_print"])
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """Add ``_print``, the fingerprint as a signed long; null texts count as empty."""
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in docs.dtypes if n != '_bytes')}, _print bigint"
-    return docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(_fingerprints, schema)
+    sent = docs.withColumn("text", F.col("text").cast("binary"))
+    schema = StructType([*sent.schema.fields, StructField("_print", LongType())])
+    return sent.mapInArrow(_fingerprints, schema).withColumn("text", F.col("text").cast("string"))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
