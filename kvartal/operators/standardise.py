@@ -10,6 +10,7 @@ from kvartal.functions.addresses import (
     street_steps,
 )
 from kvartal.functions.text import search_key
+from kvartal.operators.joins import lookup_join
 from kvartal.schemas import LOCALITY_PREFIXES, PREFIX_CODES
 
 REASON = "reject_reason"
@@ -37,16 +38,22 @@ def standardise_streets(df: DataFrame, column: str = "street", localities=LOCALI
 def standardise_entries(
     df: DataFrame, street: str = "street", number: str = "number", localities=LOCALITY_PREFIXES
 ) -> DataFrame:
-    """Both of the above in one pass; a bad locality is reported before a bad number."""
+    """Both of the above; a bad locality is reported before a bad number.
+
+    Entries are many and streets few: each distinct street is taken apart once, and its parts
+    are joined back. The numbers' patterns stay above that join.
+    """
+    streets = standardise_streets(df.select(street).distinct(), street, localities)
+    parts = [c for c in streets.columns if c not in (street, REASON)]
+    known = streets.where(F.col(REASON).isNull()).select(street, *parts)
+    joined = lookup_join(df, known, [street])
     return (
-        add_steps(
-            df, *street_steps(F.col(street), localities), *house_number_steps(F.col(number))
-        )
+        add_steps(joined, *house_number_steps(F.col(number)))
         .withColumn(
             REASON,
-            F.when(F.col("_base").isNull(), "unknown_locality").otherwise(F.col("_number_reason")),
+            F.when(F.col("raw_name").isNull(), "unknown_locality").otherwise(F.col("_number_reason")),
         )
-        .drop(*STREET_TEMPS, *NUMBER_TEMPS)
+        .drop(*NUMBER_TEMPS)
     )
 
 

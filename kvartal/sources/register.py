@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kvartal.functions.text import WS, WS_CHARS, search_key, strip
 from kvartal.operators.carry import CHUNK_BITS, carry_forward
 from kvartal.schemas import DISTRICT_CODES, MAX_LENGTHS
+from kvartal.session import materialise
 
 CHARSET = "cp1251"
 _HIGH_BYTES = bytes(b for b in range(0x80, 0x100) if b != 0x98)
@@ -158,11 +159,14 @@ def parse_report(
     ``out_of_range`` for values the register cannot hold, else NULL.
     """
     *outer, row_no = place[:-1] if len(place) > 1 else place
-    # Other lines are not filtered out here: the filter would be pushed below the staged
+    # Written once: every later pass reads the same lines with the same places, without their
+    # text. Other lines go only now: earlier, the filter would be pushed below the staged
     # columns of classify_lines and evaluate all of their patterns anew.
+    classified = materialise(
+        classify_lines(lines).select(file, *place, "header", "street", "cells"), "report-lines"
+    )
     known = (
-        classify_lines(lines)
-        .drop("line")
+        classified.where("header IS NOT NULL OR street IS NOT NULL OR cells IS NOT NULL")
         .withColumn("_chunk", F.shiftright(F.col(row_no).cast("long"), CHUNK_BITS))
         .withColumnsRenamed({"header": "_header", "street": "_street"})
     )
