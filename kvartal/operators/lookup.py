@@ -62,16 +62,19 @@ def build_tiers(
     )
 
 
-def match_tiers(target: DataFrame, tiers: Tiers, empty_if_null: Sequence[str] = ()) -> DataFrame:
+def match_tiers(
+    target: DataFrame, tiers: Tiers, empty_if_null: Sequence[str] = (), asked: Column | None = None
+) -> DataFrame:
     """Add ``_t1 .. _tn``: the unanimous code of each tier, or NULL.
 
     ``empty_if_null`` names key columns in which the target holds NULL where the reference
-    holds an empty string.
+    holds an empty string. Rows that are not ``asked`` have NULL keys and find nothing.
     """
     kinds = dict(tiers.tables[0].dtypes)
     keyed = target
     for key in tiers.keys[0]:
         col = F.coalesce(F.col(key), F.lit("")) if key in empty_if_null else F.col(key)
+        col = col if asked is None else F.when(asked, col)
         keyed = keyed.withColumn(f"_k_{key}", col.cast(kinds[key]))
     for n, (keys, table) in enumerate(zip(tiers.keys, tiers.tables), 1):
         names = [f"_k_{k}" for k in keys]
@@ -87,30 +90,26 @@ def stamp_by_tiers(
 ) -> DataFrame:
     """Fill the tiers' value and add ``tier``, the 1-based tier that set it (NULL if none did).
 
-    Gated (default): only rows without a value are looked up; the others pass by the joins.
-    Restamp: the first tier overwrites wherever it resolves, later tiers only fill NULLs, and
-    a row that resolves nowhere keeps what it has.
+    Gated (default): only rows without a value are looked up; the target is read once, and
+    the others pass by with NULL keys, a hot key like any other. Restamp: the first tier
+    overwrites wherever it resolves, later tiers only fill NULLs, and a row that resolves
+    nowhere keeps what it has.
     """
     value = tiers.value
     found = [F.col(f"_t{n}") for n in range(1, len(tiers.keys) + 1)]
     old = F.col(value)
-
-    def stamped(rows: DataFrame, candidates: Sequence[Column], tier: Column) -> DataFrame:
-        matched = match_tiers(rows, tiers, empty_if_null)
-        return matched.select(
-            *(c for c in target.columns if c != value),
-            F.coalesce(*candidates).alias(value),
-            tier.cast("int").alias(TIER),
-        )
-
     first_hit = F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in enumerate(found, 1)))
     if restamp:
+        matched = match_tiers(target, tiers, empty_if_null)
         tier = F.when(found[0].isNotNull(), F.lit(1)).when(old.isNull(), first_hit)
-        out = stamped(target, [found[0], old, *found[1:]], tier)
+        candidates = [found[0], old, *found[1:]]
     else:
-        filled = target.where(old.isNotNull()).withColumn(TIER, F.lit(None).cast("int"))
-        out = stamped(target.where(old.isNull()), found, first_hit).unionByName(filled)
-    return out.select(*target.columns, TIER)
+        matched = match_tiers(target, tiers, empty_if_null, asked=old.isNull())
+        tier, candidates = first_hit, [old, *found]
+    return matched.select(
+        *(F.coalesce(*candidates).alias(value) if c == value else c for c in target.columns),
+        tier.cast("int").alias(TIER),
+    )
 
 
 def tier_counts(stamped: DataFrame, value: str = "district_code", tiers: int = 3) -> DataFrame:
@@ -199,17 +198,23 @@ def stamp_institutions(
         candidate = candidate & F.col("district_code").isNull()
     candidate = F.coalesce(candidate, F.lit(False))
 
-    majority = plurality_label(
-        catchment_votes(edges, addresses), "institution_id", "district_code"
-    ).withColumnsRenamed({"institution_id": "id", "district_code": "_majority"})
-    catchment = (
-        edges.groupBy("institution_id").agg(F.count("*").alias("_edges"))
-        .withColumnRenamed("institution_id", "id")
+    # Edges are read once, for the votes and for their number.
+    votes = edges.join(
+        addresses.select(F.col("id").alias("address_id"), "district_code"), "address_id", "left"
+    ).groupBy(F.col("institution_id").alias("id"), "district_code").agg(F.count("*").alias("_n"))
+    code = F.col("district_code")
+    catchment = votes.groupBy("id").agg(
+        F.min_by(code, F.when(code.isNotNull(), F.struct(-F.col("_n"), code))).alias("_majority"),
+        F.sum("_n").alias("_edges"),
     )
     todo = institutions.where(candidate)
-    voted = lookup_join(lookup_join(todo, majority, ["id"]), catchment, ["id"])
-    parsed = parse_one_line_addresses(voted, "address", localities)
-    looked = match_tiers(parsed, register, ("number_suffix", "entrance"))
+    voted = lookup_join(todo, catchment, ["id"])
+    # Only an institution without a majority has its own address taken apart and looked up.
+    asked = F.col("_majority").isNull()
+    parsed = parse_one_line_addresses(
+        voted.withColumn("_asked", F.when(asked, F.col("address"))), "_asked", localities
+    )
+    looked = match_tiers(parsed, register, ("number_suffix", "entrance"), asked=asked)
     by_address = F.when(F.col("parse_reason").isNull(), F.coalesce("_t1", "_t2", "_t3"))
     resolved = F.coalesce("_majority", by_address)
     no_edges = F.coalesce("_edges", F.lit(0)) == 0
