@@ -42,11 +42,12 @@ class ContractViolation(ValueError):
 class _Member:
     """One JSON member: whether it is there, its JSON type and its text."""
 
-    def __init__(self, key: str, keys: Column, value: Column, path: Path):
+    def __init__(self, key: str, path: Path):
         self.path = path(key)
-        self.present = F.coalesce(F.array_contains(keys, key), F.lit(False))
-        self.type = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-        self.text = F.try_variant_get(value, "$", "string")
+        self.present = F.array_contains("keys", key)
+        self.value = F.col(f"_{key}")
+        self.type = F.col(f"_{key}_type")
+        self.text = F.col(f"_{key}_text")
 
     def broken(self, condition: Column, rule: str) -> Column:
         return F.when(condition, F.struct(self.path.alias("path"), F.lit(rule).alias("rule")))
@@ -59,7 +60,7 @@ class _Member:
         return self.broken(~self.present, "required")
 
     def typed(self, name: str) -> Column:
-        return self.broken(self.present & ~self.type.startswith(name), "type")
+        return self.broken(self.present & (self.type != name), "type")
 
     def string(self) -> list[Column]:
         return [
@@ -75,46 +76,93 @@ class _Member:
         return self.broken(self.present & ~valid, "enum")
 
 
-def _collect(rules: Sequence[Column], keys: Column, known: Sequence[str], path: Path) -> Column:
+def _with_members(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """The members of an object as columns, then their types and texts, each evaluated once."""
+    rows = rows.withColumns({f"_{key}": value for key, value in values.items()})
+    return rows.withColumns({
+        f"_{key}_{part}": column
+        for key in values
+        for part, column in (
+            ("type", F.coalesce(F.schema_of_variant(f"_{key}"), F.lit("VOID"))),
+            ("text", F.try_variant_get(f"_{key}", "$", "string")),
+        )
+    })
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{VIOLATION}>")
+
+
+def _collect(rules: Sequence[Column], known: Sequence[str], path: Path) -> Column:
     """Array of the rules that fired, plus one per unknown member."""
     unknown = F.transform(
-        F.array_except(keys, F.array(*map(F.lit, known))),
+        F.array_except("keys", F.array(*map(F.lit, known))),
         lambda k: F.struct(path(k).alias("path"), F.lit("unknown_key").alias("rule")),
     )
-    none = F.array().cast(f"array<{VIOLATION}>")
     return F.concat(
-        F.filter(F.array(*rules), lambda rule: rule.isNotNull()), F.coalesce(unknown, none)
+        F.filter(F.array(*rules), lambda rule: rule.isNotNull()), F.coalesce(unknown, _none())
     )
 
 
-def _not_an_object(keys: Column, path: Column, rule: str) -> Column:
-    return F.when(
-        keys.isNull(), F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule")))
-    )
+def _found(at: Column, rule: str, rules: Sequence[Column], known: Sequence[str], path: Path) -> Column:
+    """The violations of one object; only ``rule`` where it is not an object at all."""
+    whole = F.array(F.struct(at.alias("path"), F.lit(rule).alias("rule")))
+    return F.when(F.col("keys").isNull(), whole).otherwise(_collect(rules, known, path))
+
+
+def _below(at: Column) -> Path:
+    def path(key: str | Column) -> Column:
+        return F.concat(at, F.lit("."), F.lit(key) if isinstance(key, str) else key)
+
+    return path
+
 
+def _spread(rows: DataFrame, place: Sequence[str], index: str, parts: Column) -> DataFrame:
+    """One row for what was found in a row itself, and one for each of its parts, over the cluster.
 
-def _explode(rows: DataFrame, violations: Column) -> DataFrame:
-    """Outer explode: for an inner one Spark adds a filter that evaluates the array twice."""
+    The row itself has index 0 and travels only if something was found; parts count from 1.
+    Outer explode: for an inner one Spark adds a filter that evaluates the array twice.
+    """
+    itself = F.array(F.struct(F.col("found"), F.lit(None).cast("string").alias("raw")))
+    each = F.transform(
+        F.coalesce(parts, F.array().cast("array<string>")),
+        lambda part: F.struct(_none().alias("found"), part.alias("raw")),
+    )
     return (
-        rows.select("doc", F.explode_outer(violations).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .select("doc", "_v.path", "_v.rule")
+        rows.select(*place, F.posexplode_outer(F.concat(itself, each)).alias(index, "_part"))
+        .select(*place, index, "_part.*")
+        .where((F.col(index) > 0) | (F.size("found") > 0))
+        .repartition(*place, index)
+    )
+
+
+def _object(rows: DataFrame, known: Sequence[str]) -> DataFrame:
+    """``raw`` parsed once as an object: ``keys`` (NULL if it is none) and its known members.
+
+    A repeated member makes it no object.
+    """
+    parsed = rows.withColumn("_v", F.try_parse_json("raw")).withColumn(
+        "_map", F.try_variant_get("_v", "$", "map<string,variant>")
+    )
+    return _with_members(
+        parsed.withColumn("keys", F.map_keys("_map")),
+        {key: F.try_element_at("_map", F.lit(key)) for key in known},
     )
 
 
-def _envelope_violations(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, versions: bool) -> DataFrame:
+    """``doc, found, institutions`` of every document, the latter still JSON text."""
     top = docs.select(
         "doc", F.json_object_keys("raw").alias("keys"), F.from_json("raw", ENVELOPE).alias("top")
-    )
-    keys = F.col("keys")
+    ).select("doc", "keys", "top.*")
+    rows = _with_members(top, {key: F.col(key) for key in ENVELOPE_KEYS[:3]})
 
-    def member(key: str) -> _Member:
-        return _Member(key, keys, F.col(f"top.{key}"), lambda k: F.lit(k) if isinstance(k, str) else k)
+    def path(key: str | Column) -> Column:
+        return F.lit(key) if isinstance(key, str) else key
 
-    version, scraped, city = (member(k) for k in ENVELOPE_KEYS[:3])
-    rows = F.col("top.institutions")
-    listed = F.coalesce(F.array_contains(keys, "institutions"), F.lit(False))
-    path = F.lit("institutions")
+    version, scraped, city = (_Member(key, path) for key in ENVELOPE_KEYS[:3])
+    listed = F.array_contains("keys", "institutions")
+    place = F.lit("institutions").alias("path")
     rules = [
         version.required(),
         scraped.required(),
@@ -123,37 +171,22 @@ def _envelope_violations(docs: DataFrame) -> DataFrame:
             "zoned_timestamp",
         ),
         *city.string(),
-        F.when(~listed, F.struct(path.alias("path"), F.lit("required").alias("rule"))),
-        F.when(listed & rows.isNull(), F.struct(path.alias("path"), F.lit("type").alias("rule"))),
+        F.when(~listed, F.struct(place, F.lit("required").alias("rule"))),
+        F.when(listed & F.col("institutions").isNull(), F.struct(place, F.lit("type").alias("rule"))),
     ]
-    found = _collect(rules, keys, ENVELOPE_KEYS, lambda k: k)
-    return _explode(top, F.coalesce(_not_an_object(keys, F.lit("$"), "invalid_json"), found))
-
-
-def _institution_rows(docs: DataFrame) -> DataFrame:
-    return (
-        docs.select(
-            "doc", F.posexplode_outer(F.from_json("raw", ENVELOPE)["institutions"]).alias("i", "raw")
-        )
-        .where(F.col("i").isNotNull())
-        .repartition("doc", "i")
-        .withColumn("keys", F.json_object_keys("raw"))
-        .withColumn("at", F.concat(F.lit("institutions["), F.col("i").cast("string"), F.lit("]")))
-    )
-
-
-def _institution_violations(rows: DataFrame) -> DataFrame:
-    parsed = rows.withColumn("v", F.try_parse_json("raw"))
-    keys, at = F.col("keys"), F.col("at")
-
-    def path(key: str | Column) -> Column:
-        return F.concat(at, F.lit("."), F.lit(key) if isinstance(key, str) else key)
+    if versions:
+        rules.append(version.broken(version.present & ~_supported(version.value), "unsupported"))
+    found = _found(F.lit("$"), "invalid_json", rules, ENVELOPE_KEYS, path)
+    return rows.select("doc", "institutions", found.alias("found"))
 
-    def member(key: str) -> _Member:
-        return _Member(key, keys, F.try_variant_get("v", f"$.{key}", "variant"), path)
 
-    m = {key: member(key) for key in INSTITUTION_KEYS}
+def _institutions(rows: DataFrame) -> DataFrame:
+    """``doc, i, found, entries``: the envelope's findings (i = 0) or those of institution i."""
+    at = F.concat(F.lit("institutions["), (F.col("i") - 1).cast("string"), F.lit("]"))
+    path = _below(at)
+    m = {key: _Member(key, path) for key in INSTITUTION_KEYS}
     url, address, district = m["source_url"], m["address"], m["district_code"]
+    listed = m["address_entries"]
     rules = [
         *m["external_id"].string(),
         *m["name"].string(),
@@ -161,8 +194,8 @@ def _institution_violations(rows: DataFrame) -> DataFrame:
         m["kind"].one_of(KINDS, optional=False),
         url.required(),
         url.broken(url.present & ((url.type != "STRING") | ~url.text.rlike(HTTPS_URL)), "https_url"),
-        m["address_entries"].required(),
-        m["address_entries"].typed("ARRAY"),
+        listed.required(),
+        listed.broken(listed.present & F.col("entries").isNull(), "type"),
         address.broken(~address.null & (address.type != "STRING"), "type"),
         address.broken((address.type == "STRING") & (address.text == ""), "empty"),
         district.one_of(DISTRICT_CODES, optional=True),
@@ -174,63 +207,69 @@ def _institution_violations(rows: DataFrame) -> DataFrame:
             "nursery_needs_district",
         ),
     ]
-    found = _collect(rules, keys, INSTITUTION_KEYS, path)
-    return _explode(parsed, F.coalesce(_not_an_object(keys, at, "type"), found))
-
-
-def _entry_violations(rows: DataFrame) -> DataFrame:
-    entries = F.from_json("raw", "address_entries array<string>")["address_entries"]
-    parsed = (
-        rows.select("doc", "at", F.posexplode_outer(entries).alias("j", "raw"))
-        .where(F.col("j").isNotNull())
-        .repartition("doc", "at", "j")
-        .withColumn("keys", F.json_object_keys("raw"))
-        .withColumn("v", F.try_parse_json("raw"))
-        .withColumn(
-            "at", F.concat("at", F.lit(".address_entries["), F.col("j").cast("string"), F.lit("]"))
-        )
+    # The list is taken as text per entry; its type is that of no other member.
+    scalars = [key for key in INSTITUTION_KEYS if key != "address_entries"]
+    entries = F.try_variant_get(
+        F.try_element_at("_map", F.lit("address_entries")), "$", "array<variant>"
+    )
+    parsed = _object(rows, scalars).withColumn("_list", entries).withColumn(
+        "entries", F.transform("_list", lambda entry: F.to_json(entry))
+    )
+    own = _found(at, "type", rules, INSTITUTION_KEYS, path)
+    return parsed.select(
+        "doc", "i", "entries", F.when(F.col("i") == 0, F.col("found")).otherwise(own).alias("found")
     )
-    keys, at = F.col("keys"), F.col("at")
 
-    def path(key: str | Column) -> Column:
-        return F.concat(at, F.lit("."), F.lit(key) if isinstance(key, str) else key)
 
-    rules = [
-        rule
-        for key in ENTRY_KEYS
-        for rule in _Member(key, keys, F.try_variant_get("v", f"$.{key}", "variant"), path).string()
-    ]
-    found = _collect(rules, keys, ENTRY_KEYS, path)
-    return _explode(parsed, F.coalesce(_not_an_object(keys, at, "type"), found))
+def _entries(rows: DataFrame) -> DataFrame:
+    """``doc, found``: what came with the row (j = 0) or the findings of entry j."""
+    at = F.concat(
+        F.lit("institutions["), (F.col("i") - 1).cast("string"), F.lit("].address_entries["),
+        (F.col("j") - 1).cast("string"), F.lit("]"),
+    )
+    path = _below(at)
+    rules = [rule for key in ENTRY_KEYS for rule in _Member(key, path).string()]
+    own = _found(at, "type", rules, ENTRY_KEYS, path)
+    return _object(rows, ENTRY_KEYS).select(
+        "doc", F.when(F.col("j") == 0, F.col("found")).otherwise(own).alias("found")
+    )
 
 
-def contract_violations(docs: DataFrame) -> DataFrame:
-    """``doc, path, rule`` for every broken rule of every document (``doc, raw``)."""
-    rows = _institution_rows(docs)
+def contract_violations(docs: DataFrame, versions: bool = False) -> DataFrame:
+    """``doc, path, rule`` for every broken rule of every document (``doc, raw``).
+
+    One pass: a document is cut into institutions and an institution into entries, each parsed
+    once where it arrives, and what was found further up travels along. With ``versions`` an
+    unread schema version is a broken rule too.
+    """
+    institutions = _institutions(_spread(_documents(docs, versions), ["doc"], "i", F.col("institutions")))
+    found = _entries(_spread(institutions, ["doc", "i"], "j", F.col("entries")))
     return (
-        _envelope_violations(docs)
-        .unionByName(_institution_violations(rows))
-        .unionByName(_entry_violations(rows))
+        found.select("doc", F.explode_outer("found").alias("_f"))
+        .where(F.col("_f").isNotNull())
+        .select("doc", "_f.path", "_f.rule")
+    )
+
+
+def _supported(version: Column) -> Column:
+    supported = (F.schema_of_variant(version) == "BIGINT") & (
+        F.try_variant_get(version, "$", "bigint") == SCHEMA_VERSION
     )
+    return F.coalesce(supported, F.lit(False))
 
 
 def unsupported_versions(docs: DataFrame) -> DataFrame:
     """``doc, schema_version`` where the version is stated and is not the supported number."""
     version = F.from_json("raw", "schema_version variant")["schema_version"]
     stated = F.coalesce(F.array_contains(F.json_object_keys("raw"), "schema_version"), F.lit(False))
-    supported = (F.schema_of_variant(version) == "BIGINT") & (
-        F.try_variant_get(version, "$", "bigint") == SCHEMA_VERSION
-    )
-    return docs.where(stated & ~F.coalesce(supported, F.lit(False))).select(
+    return docs.where(stated & ~_supported(version)).select(
         "doc", F.to_json(version).alias("schema_version")
     )
 
 
 def refused_documents(docs: DataFrame) -> DataFrame:
     """``doc`` of every document that may not be written: unread version or any violation."""
-    return unsupported_versions(docs).select("doc").unionByName(
-        contract_violations(docs).select("doc")
-    ).distinct()
+    return contract_violations(docs, versions=True).select("doc").distinct()
 
 
 def require_valid(docs: DataFrame) -> None:
