@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ def _between(low: int, high: int) -> str:
     return f"o_totalprice BETWEEN {low} AND {high}"
 
 
-_KIND = f"CASE WHEN {_between(200000, 210000)} THEN 'school' WHEN o_orderstatus = 'O' THEN 'nursery' ELSE 'kindergarten' END"
+KIND = f"CASE WHEN {_between(200000, 210000)} THEN 'school' WHEN o_orderstatus = 'O' THEN 'nursery' ELSE 'kindergarten' END"
 _FAULTS = {
     ("schema_version", "required"): f"NOT ({_VERSIONED})",
     ("scraped_at", "zoned_timestamp"): "o_orderstatus = 'F' AND o_totalprice > 300000",
@@ -67,11 +66,11 @@ def contract_violations(docs: DataFrame) -> DataFrame:
     return contract.contract_violations(docs)
 
 
-_ANY_FAULT = " OR ".join(f"({when})" for when in _FAULTS.values())
+REFUSED = " OR ".join(["o_orderpriority = '5-LOW'", *(f"({when})" for when in _FAULTS.values())])
 
 
 @query(
-    f"SELECT {DOC} AS doc FROM orders WHERE o_orderpriority = '5-LOW' OR {_ANY_FAULT}",
+    f"SELECT {DOC} AS doc FROM orders WHERE {REFUSED}",
     docs=v.DOCUMENTS,
 )
 def refused_documents(docs: DataFrame) -> DataFrame:
@@ -92,7 +91,7 @@ def snapshot_envelopes(docs: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""SELECT {DOC} AS doc, 0 AS inst_pos, {CUSTOMER} AS external_id, {_KIND} AS kind,
+    f"""SELECT {DOC} AS doc, 0 AS inst_pos, {CUSTOMER} AS external_id, {KIND} AS kind,
        CASE WHEN {_between(100000, 110000)} THEN '' WHEN o_orderstatus = 'P' THEN NULL
             ELSE 'street 1' END AS address,
        CASE WHEN {_between(150000, 160000)} THEN NULL WHEN {_between(160001, 170000)} THEN '06'
@@ -110,13 +109,13 @@ def snapshot_institutions(docs: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""SELECT {DOC} AS doc, 0 AS inst_pos, 0 AS entry_pos, {CUSTOMER} AS external_id, {_KIND} AS kind,
+    f"""SELECT {DOC} AS doc, 0 AS inst_pos, 0 AS entry_pos, {CUSTOMER} AS external_id, {KIND} AS kind,
        'ГР.ВАРНА УЛ.' || {CUSTOMER} AS street,
        CASE WHEN {_between(300000, 310000)} THEN ''
             ELSE '0' || CAST(DAY(o_orderdate) AS STRING) END AS number
 FROM orders
 UNION ALL
-SELECT {DOC}, 0, 1, {CUSTOMER}, {_KIND},
+SELECT {DOC}, 0, 1, {CUSTOMER}, {KIND},
        CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'ГР.СОФИЯ УЛ.А' ELSE 'С.ТОПОЛИ УЛ.А' END, '1А вх.2'
 FROM orders""",
     docs=v.DOCUMENTS,
@@ -125,6 +124,14 @@ def explode_entries(docs: DataFrame) -> DataFrame:
     return snapshot.explode_entries(snapshot.institutions(snapshot.raw_institutions(docs)))
 
 
+@query("SELECT raw FROM (" + v.DOCUMENTS + ") AS d", docs=v.DOCUMENTS)
+def read_snapshot_lines(docs: DataFrame) -> DataFrame:
+    """The same documents, written as text files of one document a line and read back."""
+    path = f"{shared_dir(docs.sparkSession)}/snapshot-{uuid.uuid4().hex}"
+    docs.select("raw").write.text(path)
+    return snapshot.read_snapshot_lines(docs.sparkSession, path).select("raw")
+
+
 # --- the report ---------------------------------------------------------------------------------
 
 _LINE_ORDER = "l_partkey, l_quantity, l_extendedprice, l_orderkey, l_linenumber"
@@ -164,17 +171,19 @@ def parse_report(lines: DataFrame) -> DataFrame:
     return _report(lines).select(*_REGISTER_COLUMNS)
 
 
-@query(REGISTER_ROWS, lines=v.REPORT_LINES)
-def read_register_files(lines: DataFrame) -> DataFrame:
-    """The same lines, written as windows-1251 files and read back by the register source.
-
-    Range partitions keep a section's lines together and in order.
-    """
-    spark = lines.sparkSession
-    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+def write_report_files(lines: DataFrame) -> str:
+    """Windows-1251 files; range partitions keep a section's lines together and in order."""
+    path = f"{shared_dir(lines.sparkSession)}/report-{uuid.uuid4().hex}"
     spread = lines.repartitionByRange("section").sortWithinPartitions(*v.REPORT_ORDER)
     register.write_report(spread, path)
-    return standardise.accepted(register.read_register(spark, path)).select(*_REGISTER_COLUMNS)
+    return path
+
+
+@query(REGISTER_ROWS, lines=v.REPORT_LINES)
+def read_register_files(lines: DataFrame) -> DataFrame:
+    """The same lines, written as files and read back by the register source."""
+    rows = register.read_register(lines.sparkSession, write_report_files(lines))
+    return standardise.accepted(rows).select(*_REGISTER_COLUMNS)
 
 
 @query(
@@ -188,27 +197,26 @@ def register_load_summary(lines: DataFrame) -> DataFrame:
 
 # --- the batch over all documents ------------------------------------------------------------------
 
-# Entries that pass both rules; the city street's number is the order's day.
-_BATCH_ENTRIES = f"""
+# Entries of the documents that are not refused, if they pass both rules.
+VALID = f"(SELECT * FROM orders WHERE NOT ({REFUSED})) AS valid"
+BATCH_ENTRIES = f"""
 SELECT 'ГР.ВАРНА УЛ.' || {CUSTOMER} AS raw_name, CAST(DAY(o_orderdate) AS SMALLINT) AS number_int,
-       NULL AS number_suffix, NULL AS entrance, {CUSTOMER} AS external_id, {_KIND} AS kind
-FROM orders WHERE NOT ({_between(300000, 310000)})
+       NULL AS number_suffix, NULL AS entrance, {CUSTOMER} AS external_id, {KIND} AS kind
+FROM {VALID}
 UNION ALL
-SELECT 'С.ТОПОЛИ УЛ.А', 1, 'А', '2', {CUSTOMER}, {_KIND} FROM orders
+SELECT 'С.ТОПОЛИ УЛ.А', 1, 'А', '2', {CUSTOMER}, {KIND} FROM {VALID}
 WHERE o_orderpriority <> '3-MEDIUM'"""
-_BATCH_INSTITUTIONS = f"""
-SELECT {CUSTOMER} AS external_id, {_KIND} AS kind FROM orders UNION
-SELECT {CUSTOMER}, CASE WHEN {_between(350000, 360000)} THEN NULL ELSE 'preschool' END FROM orders"""
 _BATCH_SIZES = {
-    "institutions": f"SELECT external_id, kind FROM ({_BATCH_INSTITUTIONS}) AS i WHERE kind IS NOT NULL",
-    "streets": f"SELECT DISTINCT raw_name FROM ({_BATCH_ENTRIES}) AS e",
+    "institutions": f"""SELECT {CUSTOMER} AS external_id, {KIND} AS kind FROM {VALID} UNION
+SELECT {CUSTOMER}, 'preschool' FROM {VALID}""",
+    "streets": f"SELECT DISTINCT raw_name FROM ({BATCH_ENTRIES}) AS e",
     "addresses": f"""SELECT DISTINCT raw_name, number_int, number_suffix, entrance
-FROM ({_BATCH_ENTRIES}) AS e""",
-    "address_institutions": f"SELECT DISTINCT * FROM ({_BATCH_ENTRIES}) AS e",
+FROM ({BATCH_ENTRIES}) AS e""",
+    "address_institutions": f"SELECT DISTINCT * FROM ({BATCH_ENTRIES}) AS e",
 }
 
 
-def _batch_sql(again: bool) -> str:
+def batch_sql(again: bool) -> str:
     sizes = {t: f"(SELECT COUNT(*) FROM ({sql}) AS t)" for t, sql in _BATCH_SIZES.items()}
     return " UNION ALL ".join(
         f"SELECT '{t}' AS section, '{c}' AS metric, "
@@ -217,25 +225,33 @@ def _batch_sql(again: bool) -> str:
     )
 
 
+def valid_documents(docs: DataFrame) -> DataFrame:
+    return docs.join(contract.refused_documents(docs), "doc", "left_anti")
+
+
+_REFUSED_COUNT = f" UNION ALL SELECT 'documents', 'refused', COUNT(*) FROM orders WHERE {REFUSED}"
+
+
 def _batch_runs(docs: DataFrame, runs: int) -> DataFrame:
-    """Change counts of the last of several runs over the same documents."""
-    batch = ingest.plan_batch(docs)
-    # The documents carry faults on purpose; a kind is part of the key and must be there.
-    batch = replace(batch, institutions=batch.institutions.where(F.col("kind").isNotNull()))
+    """Change counts of the last of several runs over the same documents, and those refused."""
+    batch = ingest.plan_batch(valid_documents(docs))
     spark = docs.sparkSession
     tables = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
     for _ in range(runs):
         merged = ingest.upsert(tables, batch)
         tables = {name: df.drop(merge.CHANGE) for name, df in merged.items()}
-    return merge.run_summary({name: merge.change_counts(df) for name, df in merged.items()})
+    return merge.run_summary({
+        **{name: merge.change_counts(df) for name, df in merged.items()},
+        "documents": contract.refused_documents(docs).agg(F.count("*").alias("refused")),
+    })
 
 
-@query(_batch_sql(again=False), docs=v.DOCUMENTS)
+@query(batch_sql(again=False) + _REFUSED_COUNT, docs=v.DOCUMENTS)
 def ingest_first_run(docs: DataFrame) -> DataFrame:
     return _batch_runs(docs, 1)
 
 
-@query(_batch_sql(again=True), docs=v.DOCUMENTS)
+@query(batch_sql(again=True) + _REFUSED_COUNT, docs=v.DOCUMENTS)
 def ingest_rerun(docs: DataFrame) -> DataFrame:
     return _batch_runs(docs, 2)
 

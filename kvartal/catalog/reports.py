@@ -10,7 +10,9 @@ from kvartal.catalog.registry import query
 from kvartal.catalog.routes import SETTLEMENT_SQL
 from kvartal.catalog.strings import search_key_sql
 from kvartal.operators import browse, numbering, quality, standardise
-from kvartal.schemas import CITY_CODE, DISTRICT_CODES, KINDS, settlements_dim
+from kvartal.schemas import (
+    CITY_CODE, DISTRICT_CODES, KINDS, REGISTER, SETTLEMENT_DIM, settlements_dim,
+)
 from kvartal.sources import dump
 
 _DISTRICTS = ", ".join(f"'{c}'" for c in DISTRICT_CODES)
@@ -53,39 +55,83 @@ def list_institutions(institutions: DataFrame) -> DataFrame:
     return numbering.with_position(listed, browse.institution_order())
 
 
-def _json(marker: str = "type_marker") -> str:
-    return f"""'{{"id":' || CAST(id AS STRING) || ',"city":"' || city || '","raw_name":"' || raw_name
-       || '","street_part":"' || street_part || '","type_marker":'
-       || COALESCE('"' || {marker} || '"', 'null') || '}}'"""
+def _json(numbers: str, texts: str, times: str = "") -> str:
+    """SQL that spells a row as the dump does; texts need no escapes here."""
+    parts = {c: (f"CAST({c} AS STRING)", "") for c in numbers.split()}
+    parts |= {c: (c, '"') for c in texts.split()}
+    parts |= {c: (f"STRFTIME({c}, '%Y-%m-%dT%H:%M:%S.000000Z')", '"') for c in times.split()}
+    return " || ',' || ".join(
+        f"""'"{c}":' || COALESCE('{quote}' || {value} || '{quote}', 'null')"""
+        for c, (value, quote) in parts.items()
+    )
 
 
-@query(
-    f"""SELECT ROW_NUMBER() OVER (ORDER BY city, raw_name, id) AS position, {_json()} AS value
-FROM ({v.STREETS}) AS s""",
-    streets=v.STREETS,
-)
+# Times with a zone, so that the dump's text does not depend on the session's.
+_ZONED = v.STORED.replace("01:00:00'", "01:00:00Z'")
+_JSON = {
+    "streets": _json("id", "city raw_name street_part type_marker"),
+    "addresses": _json("id street_id number_int", "number_suffix entrance"),
+    "institutions": _json("id", "external_id name kind source_url", "last_seen_at"),
+}
+_DUMP_VIEWS = {"streets": v.STREETS, "addresses": v.STREET_ADDRESSES, "institutions": _ZONED}
+_DUMP_ORDERS = {
+    "streets": "city, raw_name, id",
+    "addresses": "street_id, number_int, number_suffix NULLS LAST, entrance NULLS LAST, id",
+    "institutions": """CASE kind WHEN 'nursery' THEN 0 WHEN 'kindergarten' THEN 1
+         WHEN 'preschool' THEN 2 ELSE 3 END, name, external_id, id""",
+}
+
+
+def _dump_sql(table: str) -> str:
+    return f"""SELECT ROW_NUMBER() OVER (ORDER BY {_DUMP_ORDERS[table]}) AS position,
+       '{{' || {_JSON[table]} || '}}' AS value FROM ({_DUMP_VIEWS[table]}) AS s"""
+
+
+@query(_dump_sql("streets"), streets=v.STREETS)
 def dump_streets(streets: DataFrame) -> DataFrame:
     return dump.numbered_dump(streets, browse.STREET_COLUMNS, browse.street_order())
 
 
+@query(_dump_sql("addresses"), addresses=v.STREET_ADDRESSES)
+def dump_addresses(addresses: DataFrame) -> DataFrame:
+    return dump.numbered_dump(addresses, browse.ADDRESS_COLUMNS, browse.address_order())
+
+
+@query(_dump_sql("institutions"), institutions=_ZONED)
+def dump_institutions(institutions: DataFrame) -> DataFrame:
+    return dump.numbered_dump(institutions, browse.INSTITUTION_COLUMNS, browse.institution_order())
+
+
 def _piece(i: int) -> str:
     # 15 hex digits as a number; DuckDB reads a hex literal with its prefix.
     return f"SUM(CAST(CAST('0x' || SUBSTR(d, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT))"
 
 
-@query(
-    f"""SELECT rows, 'v1-' || SUBSTR(SHA256('streets:' || CAST(rows AS STRING) || ':'
+def _tag_sql(table: str) -> str:
+    return f"""SELECT rows, 'v1-' || SUBSTR(SHA256('{table}:' || CAST(rows AS STRING) || ':'
        || CAST(p0 AS STRING) || ':' || CAST(p1 AS STRING) || ':' || CAST(p2 AS STRING) || ':'
        || CAST(p3 AS STRING)), 1, 16) AS tag
 FROM (SELECT COUNT(*) AS rows, {_piece(0)} AS p0, {_piece(1)} AS p1, {_piece(2)} AS p2,
              {_piece(3)} AS p3
-      FROM (SELECT SHA256({_json()}) AS d FROM ({v.STREETS}) AS s) AS h) AS t""",
-    streets=v.STREETS,
-)
+      FROM (SELECT SHA256('{{' || {_JSON[table]} || '}}') AS d
+            FROM ({_DUMP_VIEWS[table]}) AS s) AS h) AS t"""
+
+
+@query(_tag_sql("streets"), streets=v.STREETS)
 def fingerprint_streets(streets: DataFrame) -> DataFrame:
     return dump.content_fingerprint(streets, browse.STREET_COLUMNS, "streets")
 
 
+@query(_tag_sql("addresses"), addresses=v.STREET_ADDRESSES)
+def fingerprint_addresses(addresses: DataFrame) -> DataFrame:
+    return dump.content_fingerprint(addresses, browse.ADDRESS_COLUMNS, "addresses")
+
+
+@query(_tag_sql("institutions"), institutions=_ZONED)
+def fingerprint_institutions(institutions: DataFrame) -> DataFrame:
+    return dump.content_fingerprint(institutions, browse.INSTITUTION_COLUMNS, "institutions")
+
+
 @query(
     f"""SELECT a.id, s.raw_name, a.number_int, a.number_suffix, a.entrance, a.district_code
 FROM ({v.STREET_ADDRESSES}) AS a JOIN ({v.STREETS}) AS s ON s.id = a.street_id
@@ -228,6 +274,7 @@ def _constraints_sql() -> str:
     tables = {
         "institutions": v.FAULTY_INSTITUTIONS, "streets": v.STREETS,
         "addresses": v.FAULTY_ADDRESSES, "address_institutions": v.FAULTY_EDGES,
+        "register": v.FAULTY_REGISTER, "settlements": v.FAULTY_SETTLEMENTS,
     }
     required = {
         "institutions":
@@ -235,11 +282,15 @@ def _constraints_sql() -> str:
         "streets": "id city raw_name street_part search_norm",
         "addresses": "id street_id number_int",
         "address_institutions": "address_id institution_id",
+        "register": " ".join(REGISTER.names), "settlements": " ".join(SETTLEMENT_DIM.names),
     }
     lengths = {
         "institutions": "external_id 16 name 256 kind 16 source_url 512 address 256 district_code 2",
         "streets": "city 64 raw_name 256 street_part 256 type_marker 8 search_norm 256",
         "addresses": "number_suffix 2 entrance 4 district_code 2 settlement_code 5",
+        "register": "street_code 5 street_raw 256 search_norm 256 number_suffix 2 entrance 4 "
+                    "district_code 2 district_name 64 settlement_code 5",
+        "settlements": "code 5 name 64 locality_type 16 municipality_code 2 municipality_name 64 source 32",
     }
     rules = []
     for table, columns in required.items():
@@ -253,6 +304,8 @@ def _constraints_sql() -> str:
         ("institutions", "enum", "kind", f"kind NOT IN ({_KINDS})"),
         ("institutions", "enum", "district_code", f"district_code NOT IN ({_DISTRICTS})"),
         ("addresses", "enum", "district_code", f"district_code NOT IN ({_DISTRICTS})"),
+        ("register", "enum", "district_code", f"district_code NOT IN ({_DISTRICTS})"),
+        ("settlements", "enum", "locality_type", "locality_type NOT IN ('city', 'village')"),
     ]
     sources = {**tables, "streets": f"SELECT *, raw_name AS search_norm FROM ({v.STREETS}) AS s"}
     rows = [
@@ -260,13 +313,15 @@ def _constraints_sql() -> str:
         f"FROM ({sources[t]}) AS x"
         for t, rule, c, bad in rules
     ]
-    keys = {
-        "institutions": "external_id,kind", "streets": "raw_name",
-        "addresses": "street_id,number_int,number_suffix,entrance",
-        "address_institutions": "address_id,institution_id",
-    }
-    for table, key in keys.items():
-        where = " AND ".join(f"{k} IS NOT NULL" for k in key.split(",")) if table == "addresses" else "TRUE"
+    keys = (
+        ("institutions", "id"), ("institutions", "external_id,kind"), ("streets", "id"),
+        ("streets", "raw_name"), ("addresses", "id"),
+        ("addresses", "street_id,number_int,number_suffix,entrance"),
+        ("address_institutions", "address_id,institution_id"), ("settlements", "code"),
+    )
+    for table, key in keys:
+        optional = table == "addresses" and "," in key
+        where = " AND ".join(f"{k} IS NOT NULL" for k in key.split(",")) if optional else "TRUE"
         rows.append(
             f"SELECT '{table}', 'duplicate_key', '{key}', COUNT(*) FROM (SELECT {key} FROM "
             f"({sources[table]}) AS x WHERE {where} GROUP BY {key} HAVING COUNT(*) > 1) AS g"
@@ -286,11 +341,13 @@ def _constraints_sql() -> str:
 
 
 @query(
-    _constraints_sql(), streets=v.STREETS, **_FAULTY,
+    _constraints_sql(), streets=v.STREETS, register=v.FAULTY_REGISTER,
+    settlements=v.FAULTY_SETTLEMENTS, **_FAULTY,
 )
-def constraint_report(streets, addresses, institutions, edges) -> DataFrame:
+def constraint_report(streets, addresses, institutions, edges, register, settlements) -> DataFrame:
     return quality.constraint_report({
         "institutions": institutions,
         "streets": streets.withColumn("search_norm", F.col("raw_name")),
-        "addresses": addresses, "address_institutions": edges,
+        "addresses": addresses, "address_institutions": edges, "register": register,
+        "settlements": settlements,
     })

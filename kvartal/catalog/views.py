@@ -226,6 +226,25 @@ SELECT CASE WHEN address_id <= 5 THEN -address_id ELSE address_id END AS address
             ELSE institution_id END AS institution_id
 FROM ({EDGES}) AS e"""
 
+FAULTY_REGISTER = f"""
+SELECT CASE WHEN {CENTS} = 1 THEN NULL ELSE CAST(l_partkey AS STRING) END AS street_code,
+       'УЛ.' || CAST(l_partkey AS STRING) AS street_raw, 'ul.' || CAST(l_partkey AS STRING) AS search_norm,
+       CASE WHEN {CENTS} = 2 THEN NULL ELSE CAST(l_quantity AS SMALLINT) END AS number_int,
+       CASE WHEN {CENTS} = 3 THEN 'АБВ' ELSE '' END AS number_suffix,
+       CASE WHEN {CENTS} = 4 THEN NULL ELSE l_returnflag END AS entrance,
+       LPAD(CAST(1 + l_suppkey % 6 AS STRING), 2, '0') AS district_code,
+       REPEAT('Р', CAST(20 + l_quantity AS INT)) AS district_name, '10135' AS settlement_code,
+       CASE WHEN {CENTS} = 5 THEN NULL ELSE CAST(l_linenumber AS SMALLINT) END AS section_no
+FROM lineitem"""
+
+FAULTY_SETTLEMENTS = """
+SELECT CASE WHEN s_suppkey % 7 = 0 THEN '10135' ELSE CAST(s_suppkey AS STRING) END AS code,
+       CASE WHEN s_acctbal < 0 THEN NULL ELSE s_name END AS name,
+       CASE s_nationkey % 3 WHEN 0 THEN 'city' WHEN 1 THEN 'village' ELSE 'hamlet' END AS locality_type,
+       CASE WHEN s_nationkey = 4 THEN '006' ELSE '06' END AS municipality_code,
+       'ВАРНА' AS municipality_name, 'list' AS source
+FROM supplier"""
+
 # --- change merge --------------------------------------------------------------------------------
 
 KIND_BY_STATUS = """CASE o_orderstatus WHEN 'O' THEN 'nursery' WHEN 'P' THEN 'kindergarten'

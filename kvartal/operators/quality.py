@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.schemas import CITY_CODE, DISTRICT_CODES, KINDS, LOCALITY_TYPES, MAX_LENGTHS
+from kvartal.schemas import (
+    CITY_CODE, DISTRICT_CODES, KINDS, LOCALITY_TYPES, MAX_LENGTHS, REGISTER, SETTLEMENT_DIM,
+)
 
 
 def _count(condition: Column, name: str) -> Column:
@@ -191,49 +194,79 @@ def column_violations(
     ).select("_r.*")
 
 
-def _counted(df: DataFrame, table: str, rule: str, columns: str) -> DataFrame:
-    return df.agg(F.count("*").alias("violations")).select(
+def _counted(df: DataFrame, violations: Column, table: str, rule: str, columns: str) -> DataFrame:
+    return df.agg(violations.alias("violations")).select(
         F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.lit(columns).alias("columns"),
         "violations",
     )
 
 
+@dataclass(frozen=True)
+class TableRules:
+    """What the rows of one table must meet.
+
+    ``keys`` are unique; in ``optional_keys`` rows with a NULL part are exempt. ``references``
+    name a column and the table whose ``id`` it holds.
+    """
+
+    required: tuple[str, ...]
+    enums: dict[str, Sequence[str]] = field(default_factory=dict)
+    keys: tuple[tuple[str, ...], ...] = ()
+    optional_keys: tuple[tuple[str, ...], ...] = ()
+    references: tuple[tuple[str, str], ...] = ()
+
+
+_DISTRICT = {"district_code": DISTRICT_CODES}
+RULES = {
+    "institutions": TableRules(
+        ("id", "external_id", "name", "kind", "source_url", "has_infant_group", "last_seen_at"),
+        {"kind": KINDS, **_DISTRICT}, keys=(("id",), ("external_id", "kind")),
+    ),
+    "streets": TableRules(
+        ("id", "city", "raw_name", "street_part", "search_norm"), keys=(("id",), ("raw_name",)),
+    ),
+    "addresses": TableRules(
+        ("id", "street_id", "number_int"), _DISTRICT, keys=(("id",),),
+        optional_keys=(("street_id", "number_int", "number_suffix", "entrance"),),
+        references=(("street_id", "streets"),),
+    ),
+    "address_institutions": TableRules(
+        ("address_id", "institution_id"), keys=(("address_id", "institution_id"),),
+        references=(("address_id", "addresses"), ("institution_id", "institutions")),
+    ),
+    # The register may hold a cell more than once.
+    "register": TableRules(tuple(f.name for f in REGISTER), _DISTRICT),
+    "settlements": TableRules(
+        tuple(f.name for f in SETTLEMENT_DIM), {"locality_type": LOCALITY_TYPES}, keys=(("code",),),
+    ),
+}
+
+
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """``table, rule, columns, violations`` for every key, enum, reference, length and NULL rule."""
-    insts, streets = tables["institutions"], tables["streets"]
-    addresses, edges = tables["addresses"], tables["address_institutions"]
-    district = {"district_code": DISTRICT_CODES}
-    keys = {
-        "institutions": ("external_id", "kind"),
-        "streets": ("raw_name",),
-        "addresses": ("street_id", "number_int", "number_suffix", "entrance"),
-        "address_institutions": ("address_id", "institution_id"),
-    }
-    row_rules = {
-        "institutions": (
-            ("id", "external_id", "name", "kind", "source_url", "has_infant_group", "last_seen_at"),
-            {"kind": KINDS, **district},
-        ),
-        "streets": (("id", "city", "raw_name", "street_part", "search_norm"), {}),
-        "addresses": (("id", "street_id", "number_int"), district),
-        "address_institutions": (("address_id", "institution_id"), {}),
-    }
-    parts = [
-        column_violations(tables[name], required, enums, MAX_LENGTHS.get(name)).select(
-            F.lit(name).alias("table"), "rule", "columns", "violations"
-        )
-        for name, (required, enums) in row_rules.items()
-    ]
-    parts += [
-        _counted(
-            duplicate_keys(tables[name], key, nulls_distinct=name == "addresses"),
-            name, "duplicate_key", ",".join(key),
+    """``table, rule, columns, violations`` for every rule of the given tables (see ``RULES``).
+
+    References are counted per value before they are looked up, so a hot parent is one row.
+    """
+    parts = []
+    for name, df in tables.items():
+        rules = RULES[name]
+        parts.append(
+            column_violations(df, rules.required, rules.enums, MAX_LENGTHS.get(name)).select(
+                F.lit(name).alias("table"), "rule", "columns", "violations"
+            )
         )
-        for name, key in keys.items()
-    ]
-    parts += [
-        _counted(orphans(addresses, "street_id", streets), "addresses", "orphan", "street_id"),
-        _counted(orphans(edges, "address_id", addresses), "address_institutions", "orphan", "address_id"),
-        _counted(orphans(edges, "institution_id", insts), "address_institutions", "orphan", "institution_id"),
-    ]
+        parts += [
+            _counted(
+                duplicate_keys(df, key, nulls_distinct=key in rules.optional_keys), F.count("*"),
+                name, "duplicate_key", ",".join(key),
+            )
+            for key in rules.keys + rules.optional_keys
+        ]
+        parts += [
+            _counted(
+                orphans(df.groupBy(column).agg(F.count("*").alias("_n")), column, tables[parent]),
+                F.coalesce(F.sum("_n"), F.lit(0)), name, "orphan", column,
+            )
+            for column, parent in rules.references
+        ]
     return reduce(DataFrame.unionByName, parts)

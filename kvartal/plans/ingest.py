@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,10 +79,13 @@ def _null_order(keys) -> list[Column]:
     return [F.col(k).asc_nulls_first() for k in keys]
 
 
-def upsert(existing: dict[str, DataFrame], batch: Batch) -> dict[str, DataFrame]:
+def upsert(
+    existing: dict[str, DataFrame], batch: Batch, write: Callable[[DataFrame, str], DataFrame] = materialise
+) -> dict[str, DataFrame]:
     """Merge a batch into the four tables; each result still carries ``change``.
 
-    Every merged table is written once before the next one refers to its ids.
+    Every merged table is written once before the next one refers to its ids. ``write`` does so
+    for the two tables that are final then, streets and edges, and reads them back.
     """
     institutions = materialise(_with_ids(
         materialise(
@@ -90,7 +94,7 @@ def upsert(existing: dict[str, DataFrame], batch: Batch) -> dict[str, DataFrame]
         ),
         existing["institutions"], _null_order(INSTITUTION_KEY),
     ), "institutions")
-    streets = materialise(_with_ids(
+    streets = write(_with_ids(
         materialise(
             merge.merge_upsert(existing["streets"], batch.streets, merge.STREETS), "streets-merge"
         ),
@@ -106,12 +110,12 @@ def upsert(existing: dict[str, DataFrame], batch: Batch) -> dict[str, DataFrame]
         ),
         existing["addresses"], _null_order(merge.ADDRESSES.key),
     ), "addresses")
-    edges = materialise(
+    edges = write(
         merge.merge_upsert(
             existing["address_institutions"],
             merge.resolve_edges(batch.edges, streets, addresses, institutions), merge.EDGES,
         ),
-        "edges",
+        "address_institutions",
     )
     return {
         "institutions": institutions, "streets": streets, "addresses": addresses,
@@ -139,42 +143,46 @@ def summarise(
     })
 
 
-def ingest(spark: SparkSession, snapshot_path: str, root: str) -> DataFrame:
+def ingest(spark: SparkSession, snapshot_path: str, root: str, lines: bool = False) -> DataFrame:
     """Validate, merge, stamp and publish one snapshot; returns the run summary.
 
-    Nothing is published unless every step succeeds.
+    A file is one JSON document, or one per line if ``lines``. Nothing is published unless every
+    step succeeds.
     """
-    tables = Tables(spark, root)
-    docs = materialise(snapshot.read_snapshots(spark, snapshot_path), "snapshot")
+    read = snapshot.read_snapshot_lines if lines else snapshot.read_snapshots
+    docs = materialise(read(spark, snapshot_path), "snapshot")
     contract.require_valid(docs)
+    return ingest_documents(docs, root)
+
+
+def ingest_documents(docs: DataFrame, root: str) -> DataFrame:
+    """``ingest`` for valid documents ``doc, raw``; of equal times the last ``doc`` wins."""
+    tables = Tables(docs.sparkSession, root)
     existing = {name: tables.read(name, schema) for name, schema in schemas.TABLES.items()}
+    staged: dict[str, str] = {}
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        staged[name], rows = tables.stage_and_read(name, df, schemas.TABLES[name])
+        return rows
+
     batch = plan_batch(docs)
-    merged = upsert(existing, batch)
+    merged = upsert(existing, batch, write)
     register = lookup.build_tiers(existing["register"])
-    addresses = materialise(
-        lookup.stamp_addresses(
-            merged["addresses"].drop(merge.CHANGE), merged["streets"], register
-        ),
-        "addresses-stamped",
+    addresses = write(
+        lookup.stamp_addresses(merged["addresses"].drop(merge.CHANGE), merged["streets"], register),
+        "addresses",
     )
-    institutions = materialise(
+    institutions = write(
         lookup.stamp_institutions(
             merged["institutions"].drop(merge.CHANGE), merged["address_institutions"], addresses,
             register,
         ),
-        "institutions-stamped",
+        "institutions",
     )
-    results = {
-        "institutions": institutions, "streets": merged["streets"], "addresses": addresses,
-        "address_institutions": merged["address_institutions"],
-    }
     scraped_at = snapshot.envelopes(docs).agg(F.max("scraped_at")).first()[0]
     summary = materialise(
         summarise(merged, batch, addresses, institutions, F.lit(scraped_at)), "summary"
     )
-    tables.publish({
-        **{name: tables.stage(name, df, schemas.TABLES[name]) for name, df in results.items()},
-        # What this snapshot's entries lost, with institution and reason.
-        "quarantine": tables.stage("quarantine", batch.quarantine),
-    })
+    # What this snapshot's entries lost, with institution and reason.
+    tables.publish({**staged, "quarantine": tables.stage("quarantine", batch.quarantine)})
     return summary

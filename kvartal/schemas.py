@@ -82,6 +82,10 @@ MAX_LENGTHS = {
         "street_code": 5, "street_raw": 256, "search_norm": 256, "number_suffix": 2,
         "entrance": 4, "district_code": 2, "district_name": 64, "settlement_code": 5,
     },
+    "settlements": {
+        "code": 5, "name": 64, "locality_type": 16, "municipality_code": 2,
+        "municipality_name": 64, "source": 32,
+    },
 }
 
 

@@ -11,8 +11,11 @@ from kvartal.operators.numbering import Order, with_position
 
 
 def json_row(columns: Sequence[str]) -> Column:
-    """Compact JSON of the named columns, NULLs written out."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    """Compact JSON of the named columns, NULLs written out, times in UTC to the microsecond."""
+    return F.to_json(F.struct(*columns), {
+        "ignoreNullFields": "false", "timeZone": "UTC",
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    })
 
 
 def ordered_dump(df: DataFrame, columns: Sequence[str], order: Order) -> DataFrame:

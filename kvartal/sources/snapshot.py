@@ -27,6 +27,21 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line, each a document: ``doc`` (file and place) and ``raw``. Blank lines are none.
+
+    The form for a snapshot too large for one task: its institutions are spread over lines that
+    repeat the envelope, and Spark splits the file. ``doc`` sorts like the lines of a file. Write
+    the rows before using them twice: the place is numbered while reading.
+    """
+    place = F.concat_ws(
+        "-", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"),
+        F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"),
+    )
+    lines = spark.read.text(path).select(place.alias("doc"), F.col("value").alias("raw"))
+    return lines.where(F.trim("raw") != "")
+
+
 def envelopes(docs: DataFrame) -> DataFrame:
     """``doc, schema_version, scraped_at, city`` of every document."""
     top = F.from_json("raw", ENVELOPE)

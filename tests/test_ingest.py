@@ -97,6 +97,16 @@ def test_bad_entry_is_skipped_and_its_street_not_created(spark, tmp_path):
     assert reasons == {("B2", "nursery", r) for r in ("unparseable", "unknown_locality", "out_of_range")}
 
 
+def test_snapshot_in_lines_gives_the_same_tables(spark, tmp_path):
+    whole, cut = str(tmp_path / "whole"), str(tmp_path / "cut")
+    run(spark, tmp_path, whole, SNAPSHOT)
+    lines = [{**SNAPSHOT, "institutions": [one]} for one in SNAPSHOT["institutions"]]
+    path = tmp_path / "lines.jsonl"
+    path.write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in lines), encoding="utf-8")
+    job.ingest(spark, str(path), cut, lines=True)
+    assert contents(spark, cut) == contents(spark, whole)
+
+
 def test_invalid_snapshot_writes_nothing(spark, tmp_path):
     root = str(tmp_path / "tables")
     Tables(spark, root).replace("streets", spark.createDataFrame([], schemas.STREETS), schemas.STREETS)

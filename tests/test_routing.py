@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from kvartal.operators import browse, quality, routing
-from kvartal.schemas import ADDRESSES, INSTITUTIONS, STREETS, settlements_dim
+from kvartal.schemas import ADDRESSES, INSTITUTIONS, REGISTER, STREETS, settlements_dim
 from kvartal.sources import dump
 
 EDGE = "address_id long, institution_id long"
@@ -208,6 +209,12 @@ def test_dump_and_fingerprint(spark):
     assert tag(streets.withColumn("search_norm", streets.city)) == first
 
 
+def test_dumped_times_are_in_utc(spark):
+    df = spark.sql("SELECT 1 AS id, TIMESTAMP '2025-11-02T08:30:00+02:00' AS seen, CAST(NULL AS STRING) AS note")
+    (line,) = dump.ordered_dump(df, ("id", "seen", "note"), [F.col("id")]).collect()
+    assert line.value == '{"id":1,"seen":"2025-11-02T06:30:00.000000Z","note":null}'
+
+
 CLEAN = (
     [address(1, "01", "10135"), address(2, None, "35701")],
     [INSTS[0], INSTS[3], INSTS[6]], [(1, 21), (1, 31)],
@@ -255,14 +262,24 @@ def test_constraints_and_null_rate(spark):
         address(3, None, "10135", 9, 5), address(4, None, None, 1, 5), address(5, None, None, 1, 5),
     ], ADDRESSES)
     streets = spark.createDataFrame([(1, "c" * 65, "r", "", None, "n"), (2, "c", "r", "", None, None)], STREETS)
+    cell = ["00217", "УЛ.ЛЮЛЯК", "gr.varna ul.lyulyak", 3, "", "", "04", "РАЙОН", "10135", 1]
+    wrong = [*cell[:5], None, "09", "Р" * 65, *cell[8:]]
+    places = settlements_dim(spark)
     report = quality.constraint_report({
         "institutions": spark.createDataFrame([*INSTS, INSTS[0]], INSTITUTIONS).fillna({"name": ""}),
         "streets": streets, "addresses": addresses,
         "address_institutions": spark.createDataFrame([(1, 11), (1, 11), (9, 11), (1, 99)], EDGE),
+        "register": spark.createDataFrame([cell, cell, wrong], REGISTER),
+        "settlements": places.union(places.limit(1)).replace("ВАРНА", "В" * 65).replace("city", "hamlet"),
     })
     found = {(r.table, r.rule, r["columns"]): r.violations for r in report.collect() if r.violations}
     assert found == {
+        ("institutions", "duplicate_key", "id"): 1,
         ("institutions", "duplicate_key", "external_id,kind"): 1,
+        ("register", "not_null", "entrance"): 1, ("register", "enum", "district_code"): 1,
+        ("register", "too_long", "district_name"): 1,
+        ("settlements", "duplicate_key", "code"): 1, ("settlements", "enum", "locality_type"): 2,
+        ("settlements", "too_long", "municipality_name"): 7,
         ("institutions", "not_null", "last_seen_at"): 10,
         ("streets", "duplicate_key", "raw_name"): 1, ("streets", "too_long", "city"): 1,
         ("streets", "not_null", "search_norm"): 1,

@@ -200,6 +200,18 @@ def test_contract(spark):
     assert found == {str(n): rules for n, rules in enumerate(CONTRACT.values())}
 
 
+def test_contract_is_checked_in_one_pass(spark):
+    docs = spark.createDataFrame([("d", doc([]))], "doc string, raw string")
+    plan = contract.contract_violations(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+    twice = doc([GOOD])[:-1] + ', "city": "again"}'
+    inner = doc([]).replace("[]", '[{"name": "a", "name": "b"}]')
+    docs = spark.createDataFrame([("top", twice), ("in", inner), ("null", None)], "doc string, raw string")
+    found = {(r.doc, r.path, r.rule) for r in contract.contract_violations(docs).collect()}
+    assert ("in", "institutions[0]", "type") in found and ("null", "$", "invalid_json") in found
+    assert {r.doc for r in contract.refused_documents(docs).collect()} >= {"in", "null"}
+
+
 def test_version_gate(spark):
     versions = {"1": 1, "s": "2", "null": None, "f": 2.5, "ok": 2}
     docs = spark.createDataFrame(
@@ -223,6 +235,20 @@ def test_snapshot_rows(spark, tmp_path):
     assert [(r.external_id, r.entry_pos, r.street, r.number) for r in entries] == [("1", 0, "s", "1")]
 
 
+def test_snapshot_lines(spark, tmp_path):
+    """A snapshot of one document per line gives the rows of its documents, in line order."""
+    insts = [{**GOOD, "external_id": str(n)} for n in range(30)]
+    lines = [doc([inst]) for inst in insts]
+    (tmp_path / "s.jsonl").write_text("\n".join([*lines[:9], "", "  ", *lines[9:]]) + "\n")
+    docs = snapshot.read_snapshot_lines(spark, str(tmp_path / "s.jsonl"))
+    assert [r.raw for r in docs.orderBy("doc").collect()] == lines
+    assert contract.contract_violations(docs).count() == 0
+    read = snapshot.institutions(snapshot.raw_institutions(docs)).collect()
+    assert {r.external_id for r in read} == {str(n) for n in range(30)}
+    (tmp_path / "empty.jsonl").write_text("")
+    assert snapshot.read_snapshot_lines(spark, str(tmp_path / "empty.jsonl")).count() == 0
+
+
 def brute_trigrams(text):
     out = set()
     for word in re.split(r"[\W_]+", text.lower()):
