@@ -30,16 +30,27 @@ STEPS, RATE, DECAY = 80, 0.2, 1e-6
 FIRST_BIAS = -6.0
 
 SENTENCE = re.compile(r"[^.!?\n]+")
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"\w+")
+# Lengths of the beginnings and endings that are features of a longer word.
+STARTS, ENDS = (3, 4, 5, 6), (3, 4, 5)
+
+
+def tokens_of(sentence: str) -> list[str]:
+    """Words of a lowered sentence: letters and digits; an underscore is none."""
+    return WORD.findall(sentence.replace("_", " "))
+
+
+def bucket(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "replace")) % BUCKETS
 
 
 def features(word: str) -> list[int]:
     """Buckets of a word: the word, and its beginnings and endings, which survive inflection."""
     size = len(word)
     parts = ["=" + word]
-    parts += ["^" + word[:k] for k in (3, 4, 5, 6) if k < size]
-    parts += [word[-k:] + "$" for k in (3, 4, 5) if k < size]
-    return [zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts]
+    parts += ["^" + word[:k] for k in STARTS if k < size]
+    parts += [word[-k:] + "$" for k in ENDS if k < size]
+    return [bucket(p) for p in parts]
 
 
 class Features:
@@ -90,7 +101,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     tokens, per_sentence, ends = array("i"), array("i"), [0]
     for text in texts:
         for sentence in SENTENCE.findall(text.lower()):
-            if found := WORD.findall(sentence):
+            if found := tokens_of(sentence):
                 tokens.extend(words.setdefault(w, len(words)) for w in found)
                 per_sentence.append(len(found))
         ends.append(len(tokens))
@@ -183,25 +194,59 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     return weights, float(model.loc[model["bucket"] < 0, "weight"].iloc[0])
 
 
+class Parts(dict):
+    """Beginning or ending of a word -> weight of its feature, remembered for those met last."""
+
+    HELD = 50_000
+
+    def __init__(self, known: dict[int, float], before: str, after: str):
+        super().__init__()
+        self.known, self.before, self.after = known, before, after
+
+    def __missing__(self, part: str) -> float:
+        if len(self) >= self.HELD:
+            self.clear()
+        value = self[part] = self.known.get(bucket(self.before + part + self.after), 0.0)
+        return value
+
+
 class Scorer(dict):
-    """Word -> summed feature weights, remembered for the words met last."""
+    """Word -> summed feature weights, remembered for the words met last.
+
+    Most words of a large corpus are rare, but their beginnings and endings are not, so a
+    new word is mostly summed from remembered parts.
+    """
 
     HELD = 100_000
 
     def __init__(self, model):
         super().__init__()
-        self.weights, self.bias = model
+        weights, self.bias = model
+        used = np.flatnonzero(weights)
+        self.known = dict(zip(used.tolist(), weights[used].tolist()))
+        self.starts, self.ends = Parts(self.known, "^", ""), Parts(self.known, "", "$")
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.HELD:
             self.clear()
-        value = self[word] = float(self.weights[features(word)].sum())
+        size, starts, ends = len(word), self.starts, self.ends
+        value = self.known.get(bucket("=" + word), 0.0)
+        for k in STARTS:
+            if k < size:
+                value += starts[word[:k]]
+        for k in ENDS:
+            if k < size:
+                value += ends[word[-k:]]
+        self[word] = value
         return value
 
     def sentences(self, text: str) -> Iterator[tuple[int, int, float]]:
         """Start, end and toxicity of every sentence that has words."""
-        for found in SENTENCE.finditer(text.lower() if len(text.lower()) == len(text) else text):
-            if words := WORD.findall(found[0].lower()):
+        lowered = text.lower()
+        if len(lowered) != len(text):  # a few letters grow when lowered; spans are the text's
+            lowered = text
+        for found in SENTENCE.finditer(lowered):
+            if words := tokens_of(found[0].lower() if lowered is text else found[0]):
                 z = self.bias + sum(map(self.__getitem__, words))
                 yield found.start(), found.end(), 1 / (1 + math.exp(-min(max(z, -700), 700)))
 
