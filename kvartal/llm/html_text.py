@@ -20,12 +20,14 @@ HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 # Element classes of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 UNSEEN = frozenset(
     "script style title iframe noembed noframes noscript template head datalist audio video canvas object svg math".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset hr".split())
+# Anything else, and text that is not blank, ends an open head.
+HEAD = frozenset("base basefont bgsound link meta script style title noscript noframes template".split())
 BLOCK = SPACED | frozenset(
     "html body div section article header footer nav aside main address li dt dd tr td th thead tbody tfoot "
     "caption details summary figcaption legend dialog center option optgroup menu".split()
@@ -76,16 +78,23 @@ def parse(page: str) -> Element:
             if stack[i].tag in bounds:
                 return
 
+    def put(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            stack.pop()
+        stack[-1].children.append(text)
+
     while found := TOKEN.search(page, at):
         if found.start() > at:
-            stack[-1].children.append(unescape(page[at : found.start()]))
+            put(unescape(page[at : found.start()]))
         at = found.end()
         tag = found["tag"]
         if tag is None:
             if found[0].startswith("<![CDATA["):
-                stack[-1].children.append(found[0][9:].removesuffix("]]>"))
+                put(found[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
+        if stack[-1].tag == "head" and (tag not in HEAD if not found["slash"] else tag == "br"):
+            stack.pop()
         if found["slash"]:
             if tag == "br":
                 stack[-1].children.append(Element("br"))
@@ -107,7 +116,7 @@ def parse(page: str) -> Element:
         elif tag not in VOID and len(stack) < DEPTH:
             stack.append(element)
     if at < len(page):
-        stack[-1].children.append(unescape(page[at:]))
+        put(unescape(page[at:]))
     return root
 
 

@@ -143,6 +143,10 @@ def test_lengths_that_never_fit_are_cut():
     ("<style>p{}", ""), ("", ""), ("   ", ""), ("<", "<"), ("a<b", "a"), ("</p></div>x", "x"),
     ("<details><summary>s</summary>folded</details>", "s"),
     ("<select><option>a<option>b</select>", "a\nb"),
+    ("<html><head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"),
+    ("<head> <meta charset=x><basefont size=3>\n<link rel=y><style>p{}</style> bare <b>text</b>", "bare text"),
+    ("<head><script>x()</script><![CDATA[y]]></head>z", "yz"), ("<head></br>y", "\ny"),
+    ("<head>&nbsp;<title>T</title>after", "\xa0after"),
 ])
 def test_html_layout(page, text):
     assert html_text.extract(page) == text
