@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -50,7 +51,9 @@ CLOSES = {
 }
 KEEPS_P = frozenset(("td", "th", "caption", "button", "table"))
 PARAGRAPH = (frozenset(("p",)), KEEPS_P)
-DEPTH = 150
+LINK = (frozenset(("a",)), BLOCK | KEEPS_P | UNSEEN)
+# These outlive a link that is closed around them.
+FORMATTING = frozenset("b big code em font i nobr s small strike strong tt u".split())
 
 
 class Element:
@@ -66,21 +69,33 @@ class Element:
 
 
 def parse(page: str) -> Element:
-    """Element tree. Open elements are closed as the rules imply; deeper ones than DEPTH stay flat."""
+    """Element tree of any depth. Open elements are closed as the rules imply."""
     root = Element("html")
     stack, at = [root], 0
+    opened: dict[str, list[int]] = defaultdict(list)  # tag -> places in the stack, so that no close searches it
+
+    def push(element: Element) -> None:
+        opened[element.tag].append(len(stack))
+        stack.append(element)
+
+    def cut(start: int) -> None:
+        while len(stack) > start:
+            opened[stack.pop().tag].pop()
+
+    def nearest(tags: frozenset) -> int:
+        place = 0
+        for tag in tags:
+            if (places := opened.get(tag)) and places[-1] > place:
+                place = places[-1]
+        return place
 
     def close(tags: frozenset, bounds: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in bounds:
-                return
+        if (start := nearest(tags)) and start >= nearest(bounds):
+            cut(start)
 
     def put(text: str) -> None:
         if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(text)
 
     while found := TOKEN.search(page, at):
@@ -94,7 +109,7 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if stack[-1].tag == "head" and (tag not in HEAD if not found["slash"] else tag == "br"):
-            stack.pop()
+            cut(len(stack) - 1)
         if found["slash"]:
             if tag == "br":
                 stack[-1].children.append(Element("br"))
@@ -105,6 +120,9 @@ def parse(page: str) -> Element:
             close(*CLOSES[tag])
         elif tag in BLOCK:
             close(*PARAGRAPH)
+        elif tag == "a" and opened["a"]:
+            if all(visible(x) for x in stack[opened["a"][-1] + 1 :] if x.tag in FORMATTING):
+                close(*LINK)
         element = Element(tag, found["attrs"])
         stack[-1].children.append(element)
         if tag in RAW:
@@ -113,8 +131,8 @@ def parse(page: str) -> Element:
             if tag == "textarea" or tag == "xmp":
                 element.children.append(unescape(inner) if tag == "textarea" else inner)
             at = end.end() if end else len(page)
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(element)
+        elif tag not in VOID:
+            push(element)
     if at < len(page):
         put(unescape(page[at:]))
     return root
@@ -133,8 +151,14 @@ def visible(element: Element) -> bool:
     )
 
 
+Work = Iterator["Work"]
+
+
 class Layout:
-    """Lines of text. Blank lines asked for by neighbours are shared, and none come first or last."""
+    """Lines of text. Blank lines asked for by neighbours are shared, and none come first or last.
+
+    What goes down the tree is a generator of the work below it, for ``run``.
+    """
 
     def __init__(self):
         self.lines, self.line, self.blank, self.indent, self.mark = [], "", False, "", ""
@@ -170,7 +194,7 @@ class Layout:
         self.end()
         self.blank = self.blank or (spaced and bool(self.lines))
 
-    def element(self, node: Element, kept: bool = False) -> None:
+    def element(self, node: Element, kept: bool = False) -> Work:
         tag = node.tag
         if not visible(node):
             return
@@ -178,37 +202,37 @@ class Layout:
             self.end(force=True)
             return
         if tag == "table":
-            self.table(node)
+            yield self.table(node)
             return
         is_block = tag in BLOCK
         if is_block:
             self.block(tag in SPACED and not (tag in LISTS and self.indent))
         if tag in LISTS:
-            self.list(node)
+            yield self.list(node)
         else:
             held = self.indent
             if tag in ("blockquote", "dd"):
                 self.indent += "    "
             folded = tag == "details" and "open" not in node.attributes()
-            self.inside([c for c in node.children if not folded or getattr(c, "tag", "") == "summary"], kept or tag in ("pre", "textarea"))
+            yield self.inside([c for c in node.children if not folded or getattr(c, "tag", "") == "summary"], kept or tag in ("pre", "textarea"))
             if is_block:
                 self.end()
             self.indent = held
         if is_block:
             self.block(tag in SPACED and not (tag in LISTS and self.indent))
 
-    def inside(self, children: list, kept: bool = False) -> None:
+    def inside(self, children: list, kept: bool = False) -> Work:
         for child in children:
             if isinstance(child, str):
                 self.text(child, kept)
             else:
-                self.element(child, kept)
+                yield self.element(child, kept)
 
-    def list(self, node: Element) -> None:
+    def list(self, node: Element) -> Work:
         number, held = 0, self.indent
         for child in node.children:
             if isinstance(child, str) or child.tag != "li":
-                self.inside([child])
+                yield self.inside([child])
                 continue
             if not visible(child):
                 continue
@@ -216,11 +240,11 @@ class Layout:
             number += 1
             mark = f"{number}. " if node.tag == "ol" else "- "
             self.indent, self.mark = held + " " * len(mark), mark
-            self.inside(child.children)
+            yield self.inside(child.children)
             self.end()
             self.mark, self.indent = "", held
 
-    def table(self, node: Element) -> None:
+    def table(self, node: Element) -> Work:
         """Rows as lines, cells padded to their column's width."""
         rows, other = [], []
         for part in node.children:
@@ -230,14 +254,18 @@ class Layout:
                     if row.strip():
                         other.append(row)
                 elif row.tag == "tr" and visible(row):
-                    rows.append([self.cell(c) for c in row.children if not isinstance(c, str) and visible(c)])
+                    rows.append([])
+                    for c in row.children:
+                        if not isinstance(c, str) and visible(c):
+                            yield self.cell(c, rows[-1])
                     other += [c for c in row.children if isinstance(c, str) and c.strip()]
                 elif row.tag in ("td", "th") and visible(row):
-                    rows.append([self.cell(row)])
+                    rows.append([])
+                    yield self.cell(row, rows[-1])
                 elif row.tag != "tr":
                     other.append(row)
         self.block(True)
-        self.inside(other)  # captions, and text that stands outside cells
+        yield self.inside(other)  # captions, and text that stands outside cells
         self.end()
         widths: list[int] = []
         for row in rows:
@@ -249,16 +277,27 @@ class Layout:
         self.block(True)
 
     @staticmethod
-    def cell(node: Element) -> str:
+    def cell(node: Element, row: list[str]) -> Work:
         inner = Layout()
-        inner.inside(node.children)
+        yield inner.inside(node.children)
         inner.end()
-        return " ".join(x.strip() for x in inner.lines if x.strip())
+        row.append(" ".join(x.strip() for x in inner.lines if x.strip()))
+
+
+def run(work: Work) -> None:
+    """Do the work, and what it yields before it goes on, without recursion."""
+    open_work = [work]
+    while open_work:
+        for below in open_work[-1]:
+            open_work.append(below)
+            break
+        else:
+            open_work.pop()
 
 
 def extract(page: str) -> str:
     layout = Layout()
-    layout.inside(parse(page).children)
+    run(layout.inside(parse(page).children))
     layout.end()
     while layout.lines and not layout.lines[-1]:
         layout.lines.pop()

@@ -158,6 +158,29 @@ def test_html_never_fails(parts):
     html_text.extract("".join(parts))
 
 
+BELOW = [
+    ("<div hidden>no<p>no</div>a", "a"), ("<svg>no<b>no</b></svg>a<video>no</video>", "a"),
+    ("<details><summary>s</summary>no<b>no</b></details>", "s"),
+    ("<ol><li>a<li>b<ul><li>c</ul></ol>", "1. a\n2. b\n   - c"), ("<pre>a\n  b</pre>", "a\n  b"),
+    ("<table><tr><td>a<td>b<tr><td>long<td>d</table>", "a     b\nlong  d"),
+    ("<div style='display:none'>no<div>no</div>no</div>a", "a"),
+]
+
+
+@pytest.mark.parametrize("page, text", BELOW)
+@pytest.mark.parametrize("above", ["<span>" * 200, "<a name=x><font>" * 200, "<div>" * 200, "<b>" * 30_000])
+def test_html_layout_at_any_depth(above, page, text):
+    assert html_text.extract(page) == html_text.extract(above + page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<a hidden>no<a>yes", "yes"), ("<a hidden><span>no<a>yes", "yes"), ("<a><b hidden>no<a>no", ""),
+    ("<a><div hidden>no<a>no</div>yes", "yes"), ("<a>x<svg><a>no</svg>y", "xy"),
+])
+def test_html_links_close_links(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_html_deep_nesting_and_rows(spark):
     assert html_text.extract("<div>" * 5000 + "deep").strip() == "deep"
     rows = [(1, "<p>a<p>b"), (1, "<p>a<p>b"), (2, None), (None, "")]
