@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -19,6 +20,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+SPAN = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 
 # Element classes of HTML.
 VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
@@ -52,15 +54,21 @@ CLOSES = {
 KEEPS_P = frozenset(("td", "th", "caption", "button", "table"))
 PARAGRAPH = (frozenset(("p",)), KEEPS_P)
 LINK = (frozenset(("a",)), BLOCK | KEEPS_P | UNSEEN)
+CELLS = frozenset(("td", "th"))
+# The most columns and rows that HTML lets a cell span.
+COLUMNS, DOWN = 1000, 65534
+# A line longer than this runs on into the next column instead of padding its own in all rows.
+WIDE = 200
 # These outlive a link that is closed around them.
 FORMATTING = frozenset("b big code em font i nobr s small strike strong tt u".split())
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "nests")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.nests = False  # is a cell that holds a table
 
     def attributes(self) -> dict[str, str]:
         if not self.attrs:
@@ -133,6 +141,11 @@ def parse(page: str) -> Element:
             at = end.end() if end else len(page)
         elif tag not in VOID:
             push(element)
+            if tag == "table":
+                if cell := nearest(CELLS):
+                    stack[cell].nests = True
+                if row := opened["tr"]:
+                    stack[row[-1] + 1].nests = True
     if at < len(page):
         put(unescape(page[at:]))
     return root
@@ -245,43 +258,122 @@ class Layout:
             self.mark, self.indent = "", held
 
     def table(self, node: Element) -> Work:
-        """Rows as lines, cells padded to their column's width."""
-        rows, other = [], []
+        """Rows as lines, cells padded to their column's width, cells of several lines side by side.
+
+        The cells of a row come one below the other if one of them holds a table or blank lines.
+        """
+        rows, other, taken = [], [], {}
         for part in node.children:
-            inner = part.children if not isinstance(part, str) and part.tag in ("thead", "tbody", "tfoot") and visible(part) else [part]
-            for row in inner:
+            grouped = not isinstance(part, str) and part.tag in ("thead", "tbody", "tfoot") and visible(part)
+            if grouped:
+                taken = {}
+            for row in part.children if grouped else [part]:
                 if isinstance(row, str):
                     if row.strip():
                         other.append(row)
                 elif row.tag == "tr" and visible(row):
-                    rows.append([])
-                    for c in row.children:
-                        if not isinstance(c, str) and visible(c):
-                            yield self.cell(c, rows[-1])
+                    rows.append(placed([c for c in row.children if not isinstance(c, str) and visible(c)], len(rows), taken))
                     other += [c for c in row.children if isinstance(c, str) and c.strip()]
-                elif row.tag in ("td", "th") and visible(row):
-                    rows.append([])
-                    yield self.cell(row, rows[-1])
+                elif row.tag in CELLS and visible(row):
+                    rows.append(placed([row], len(rows), taken))
                 elif row.tag != "tr":
                     other.append(row)
+            if grouped:
+                taken = {}
         self.block(True)
         yield self.inside(other)  # captions, and text that stands outside cells
         self.end()
-        widths: list[int] = []
-        for row in rows:
-            widths += [0] * (len(row) - len(widths))
-            widths = [max(w, len(row[i])) if i < len(row) else w for i, w in enumerate(widths)]
+        aligned = []
         for row in rows:
-            self.line = "  ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip(" ")
-            self.end()
+            nests = any(c.node.nests for c in row)
+            for cell in row if not nests else ():
+                yield cell.lay_out()
+            aligned.append(not nests and not any("" in c.lines[1:] for c in row))
+        columns, offsets = _columns([r for r, in_line in zip(rows, aligned) if in_line])
+        for row, in_line in zip(rows, aligned):
+            if in_line:
+                for i in range(max((len(c.lines) for c in row), default=0)):
+                    line = ""
+                    for cell in row:
+                        if offset := offsets[columns[cell.start]]:
+                            line = (line + "  ").ljust(offset)
+                        line += cell.lines[i] if i < len(cell.lines) else ""
+                    self.line = line
+                    self.end()
+                continue
+            for cell in row:
+                self.block(True)
+                if cell.lines:
+                    for line in cell.lines:
+                        self.line = line
+                        self.end(force=len(cell.lines) > 1)
+                else:
+                    yield self.inside(cell.node.children if cell.node.tag in CELLS else [cell.node])
+                self.block(True)
         self.block(True)
 
-    @staticmethod
-    def cell(node: Element, row: list[str]) -> Work:
+
+class Cell:
+    """A table cell from column ``start`` to before ``stop``."""
+
+    __slots__ = ("node", "start", "stop", "lines")
+
+    def __init__(self, node: Element, start: int, stop: int):
+        self.node, self.start, self.stop, self.lines = node, start, stop, []
+
+    def lay_out(self) -> Work:
         inner = Layout()
-        yield inner.inside(node.children)
+        yield inner.inside(self.node.children)
         inner.end()
-        row.append(" ".join(x.strip() for x in inner.lines if x.strip()))
+        lines = [x if x.strip() else "" for x in inner.lines]
+        while lines and not lines[-1]:
+            lines.pop()
+        first = next((i for i, x in enumerate(lines) if x), 0)
+        self.lines = lines[first:] if len(lines) > first + 1 else [x.strip() for x in lines[first:]] or [""]
+
+    def width(self) -> int:
+        return max((len(x) for x in self.lines if len(x) <= WIDE), default=0)
+
+
+def _span(node: Element, name: str, most: int) -> int:
+    if "span" not in node.attrs.lower() or node.tag not in CELLS:
+        return 1
+    found = SPAN.match(node.attributes().get(name, ""))
+    return min(int(found[1][:9]), most) if found else 1
+
+
+def placed(nodes: list[Element], row: int, taken: dict[int, float]) -> list[Cell]:
+    """The cells of a row in their columns. ``taken``: column -> the first row that has it free again."""
+    cells, at = [], 0
+    for node in nodes:
+        while taken.get(at, 0) > row:
+            at += 1
+        stop, down = at + (_span(node, "colspan", COLUMNS) or 1), _span(node, "rowspan", DOWN)
+        cells.append(Cell(node, at, stop))
+        if down != 1:  # 0 is the rest of the group
+            taken.update(dict.fromkeys(range(at, stop), row + down if down else float("inf")))
+        at = stop
+    return cells
+
+
+def _columns(rows: list[list[Cell]]) -> tuple[dict[int, int], list[int]]:
+    """The columns in which a cell starts, numbered, and the place in the line where each begins."""
+    starts = sorted({c.start for row in rows for c in row})
+    number = {c: i for i, c in enumerate(starts)}
+    widths, wider = [0] * len(starts), []
+    for row in rows:
+        for cell in row:
+            first, stop = number[cell.start], bisect_left(starts, cell.stop)
+            if stop == first + 1:
+                widths[first] = max(widths[first], cell.width())
+            elif cell is not row[-1]:
+                wider.append((first, stop, cell.width()))
+    for first, stop, width in wider:
+        widths[stop - 1] += max(0, width - sum(widths[first:stop]) - 2 * (stop - first - 1))
+    offsets = [0]
+    for width in widths:
+        offsets.append(offsets[-1] + width + 2)
+    return number, offsets
 
 
 def run(work: Work) -> None:

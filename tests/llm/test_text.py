@@ -158,6 +158,21 @@ def test_html_never_fails(parts):
     html_text.extract("".join(parts))
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td><p>a<p>b<ul><li>c<li>d</ul><td>side</table>x", "a\n\nb\n\n- c\n- d\n\nside\n\nx"),
+    ("<table><tr><td>a<br>bb<td>c<tr><td>long<td><ul><li>d<li>e</ul></table>", "a     c\nbb\nlong  - d\n      - e"),
+    ("<table><tr><td><pre>a\n  b\n\n\nc</pre></table>x", "a\n  b\n\n\nc\n\nx"),
+    ("<table><tr><td>nav<td><table><tr><td>a<td>b<tr><td>long<td>d</table><tr><td>x<td>y</table>", "nav\n\na     b\nlong  d\n\nx  y"),
+    ("<table><tr><th colspan=2>wide head<th>z<tr><td>a<td>b<td>c</table>", "wide head  z\na  b       c"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"),
+    ("<table><tr><td>" + "y" * 300 + "<td>b<tr><td>c<td>d</table>", "y" * 300 + "  b\nc  d"),
+    ("<table><tr><td>" * 200 + "<ul><li>a<li>b</ul>", "- a\n- b"),
+])
+def test_html_cells_keep_their_lines_and_columns(page, text):
+    assert html_text.extract(page) == text
+
+
 BELOW = [
     ("<div hidden>no<p>no</div>a", "a"), ("<svg>no<b>no</b></svg>a<video>no</video>", "a"),
     ("<details><summary>s</summary>no<b>no</b></details>", "s"),
