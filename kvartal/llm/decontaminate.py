@@ -179,12 +179,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
-    """query_id, doc_id, start, stop: the rarest two words of a query within ``within`` words.
+    """query_id, doc_id, start, stop: all words of a query within ``within`` words.
 
-    ``queries``: query_id, text. Each occurrence of the rarest word is matched with the nearest
-    occurrence of the second at either side, from the index. A query of one distinct word
-    matches each occurrence. Distances are found by one sorted pass per document and query.
+    ``queries``: query_id, text. Each occurrence of the query's rarest word gives the shortest
+    span that holds it and every other word, the first of equally short ones. A query of one
+    distinct word matches each occurrence. Candidates are occurrences that have the second
+    rarest word near enough, from the index; their surroundings are then compared word by word.
     """
+    within = max(within, 0)
     keyed = _with_key(docs.select("doc_id", "text"))
     terms = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).distinct()
     vocabulary = materialise(terms.select("term").distinct(), "terms")
@@ -203,9 +205,31 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataF
         F.coalesce(F.col("position") - F.col("_before"), F.lit(2**31)) <= F.coalesce(F.col("_after") - F.col("position"), F.lit(2**31)),
         F.col("_before"),
     ).otherwise(F.col("_after"))
-    return (
+    candidates = (
         listed.withColumn("_before", before).withColumn("_after", after).where("_rank = 1")
         .withColumn("_near", F.when(F.col("_terms") == 1, F.col("position")).otherwise(near))
         .where(F.abs(F.col("_near") - F.col("position")) < within)
-        .select("query_id", F.col("_id").alias("doc_id"), F.least("position", "_near").alias("start"), F.greatest("position", "_near").alias("stop"))
+        .select("query_id", "_id", "_hash", "position").distinct()
+        .join(terms.groupBy("query_id").agg(F.collect_list("term").alias("_wanted")), "query_id")
+        .groupBy("_id", "_hash").agg(F.collect_list(F.struct("query_id", "position", "_wanted")).alias("_candidates"))
+    )
+    joined = keyed.join(
+        candidates.withColumnsRenamed({"_id": "_cid", "_hash": "_chash"}).hint("shuffle_merge"),
+        F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")),
+    ).withColumn("_doc_words", words(F.col("text")))
+
+    def span(c: Column) -> Column:
+        def from_start(i: Column) -> Column:
+            near = F.slice("_doc_words", i + 1, within)
+            places = F.transform(c["_wanted"], lambda term: F.array_position(near, term))
+            length = F.greatest(F.array_max(places), (c["position"] - i + 1).cast("long"))
+            return F.struct(F.when(F.array_min(places) > 0, length).alias("length"), i.alias("start"))
+
+        starts = F.sequence(F.greatest(F.lit(0), c["position"] - within + 1), c["position"])
+        return F.array_min(F.filter(F.transform(starts, from_start), lambda x: x["length"].isNotNull()))
+
+    spans = F.transform("_candidates", lambda c: F.struct(c["query_id"].alias("query_id"), span(c).alias("span")))
+    return (
+        joined.select("doc_id", F.explode(F.filter(spans, lambda m: m["span"].isNotNull())).alias("_m"))
+        .select("_m.query_id", "doc_id", "_m.span.start", (F.col("_m.span.start") + F.col("_m.span.length") - 1).cast("int").alias("stop"))
     )

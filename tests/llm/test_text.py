@@ -352,6 +352,31 @@ def test_proximity_matches(spark):
     assert {(q, d) for q, d, _, _ in found if q == 1} == {(1, 1), (1, 3)}
 
 
+def brute_proximity(docs, queries, within):
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    counts = collections.Counter(w for _, t in docs for w in split(t))
+    out = []
+    for q, text in queries:
+        wanted = sorted(set(split(text)), key=lambda w: (counts[w], w))
+        for d, t in docs:
+            w = split(t)
+            for at in (i for i, x in enumerate(w) if wanted and x == wanted[0]):
+                spans = [(b - a, a, b) for a in range(at + 1) for b in range(at, len(w)) if b - a < within and set(wanted) <= set(w[a : b + 1])]
+                out += [(q, d, *min(spans)[1:])] if spans else []
+    return sorted(out, key=repr)
+
+
+def test_proximity_needs_every_word(spark):
+    rng = random.Random(4)
+    docs = [(1, "q r"), (2, "q r s"), (3, "s r q x r s"), (4, None), (5, ""), (5, "q x r q s"), (5, "q x r q s"), (None, "s q r")]
+    docs += [(i, " ".join(rng.choice("abcdefqrs") for _ in range(rng.randint(0, 60)))) for i in range(10, 40)]
+    queries = [(1, "q r s"), (2, "a B c d"), (3, "e, e"), (4, "a b"), (5, "a zz b"), (6, ""), (7, "a b c d e f q")]
+    for within in (1, 4, 9):
+        got = decontaminate.proximity_matches(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(queries, "query_id long, text string"), within)
+        assert got.columns == ["query_id", "doc_id", "start", "stop"]
+        assert sorted(map(tuple, got.collect()), key=repr) == brute_proximity(docs, queries, within)
+
+
 def test_pipeline_stages(spark, tmp_path, labelled):
     rows, docs, labels = labelled
     rng = random.Random(9)
