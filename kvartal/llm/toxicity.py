@@ -145,11 +145,12 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     return weights, float(bias)
 
 
-def _fit_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    frame = pd.concat([pd.DataFrame({"text": [], "toxic": [], "weight": []}), *frames])
+def _fit_rows(frames: Iterator[pd.DataFrame], counts: dict[int, int]) -> Iterator[pd.DataFrame]:
+    frame = pd.concat([pd.DataFrame({"text": [], "toxic": [], "_key": []}), *frames]).sort_values(["toxic", "_key"])
     toxic = frame["toxic"].to_numpy(np.int64)
     if len(set(toxic.tolist())) == 2:
-        weights, bias = fit(frame["text"].tolist(), toxic, frame["weight"].to_numpy(np.float64))
+        weight = np.where(toxic == 1, counts[1] / (toxic == 1).sum(), counts[0] / (toxic == 0).sum())
+        weights, bias = fit(frame["text"].tolist(), toxic, weight)
         known = np.flatnonzero(np.abs(weights) > 1e-4)
         yield pd.DataFrame({"bucket": np.r_[-1, known], "weight": np.r_[bias, weights[known]]})
 
@@ -159,33 +160,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
-    """The model, from a bounded sample of the labelled rows that are not held out.
+def drawn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]] | None:
+    """text, toxic, _key of a bounded sample of the labelled rows that are not held out, and
+    the number of labelled documents of each class.
 
-    The sample is drawn from the labels alone and is small by its bound, so fetching its
-    texts moves no other text. Classes are weighted back to their share of all labels.
-    Rows that label a document twice count as toxic if any does; null labels are left out.
-    None if either class has no labelled document.
+    Only labels of documents that are there count. Ids are drawn first and are few by their
+    bound, so fetching their texts moves no other text; of these texts, each taken once however
+    often a row repeats, at most ``SAMPLE`` of a class are drawn. None if either class has no
+    labelled document.
     """
-    marks = (
+    marks = materialise(
         labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi"),
+        "toxic-marks",
     )
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(counts) != {0, 1}:
         return None
-    chosen = [
-        marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[y])
-        .withColumn("weight", F.lit(counts[y] / min(counts[y], SAMPLE[y])))
-        for y in (0, 1)
-    ]
-    sample = materialise(chosen[0].unionByName(chosen[1]), "toxic-sample")
+    no, yes = (marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[y]) for y in (0, 1))
+    sample = materialise(no.unionByName(yes), "toxic-sample")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(sample), "doc_id"  # at most sum(SAMPLE) slim rows
     )
-    rows = materialise(texts.select("text", "toxic", "weight"), "toxic-texts")
+    texts = materialise(texts.select("text", "toxic", F.xxhash64("doc_id", "text").alias("_key")), "toxic-texts")
+    no, yes = (texts.where(F.col("toxic") == y).select("toxic", "_key").distinct().orderBy("_key").limit(SAMPLE[y]) for y in (0, 1))
+    keys = materialise(no.unionByName(yes), "toxic-keys")
+    return texts.join(F.broadcast(keys), ["toxic", "_key"]).dropDuplicates(["toxic", "_key"]), counts
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
+    """The model, from a bounded sample of the labelled rows that are not held out.
+
+    Classes are weighted back to their share of all labelled documents. Rows that label a
+    document twice count as toxic if any does; null labels are left out. None if either class
+    has no labelled document.
+    """
+    found = drawn(docs, labels)
+    if found is None:
+        return None
+    rows, counts = found
     # One task fits: its rows are bounded by SAMPLE.
-    model = rows.coalesce(1).mapInPandas(_fit_rows, "bucket bigint, weight double").toPandas()
+    model = rows.select("text", "toxic", "_key").coalesce(1).mapInPandas(
+        lambda frames: _fit_rows(frames, counts), "bucket bigint, weight double"
+    ).toPandas()
     if model.empty:
         return None
     weights = np.zeros(BUCKETS, np.float32)

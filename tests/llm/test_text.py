@@ -63,6 +63,26 @@ def test_labels_of_held_out_rows_do_not_matter(labelled):
     assert {(r.doc_id, r.score) for r in toxicity.toxicity(docs, labels).collect()} == {(r.doc_id, r.score) for r in toxicity.toxicity(docs, flipped).collect()}
 
 
+def test_labels_of_absent_documents_and_repeated_rows_do_not_matter(spark, labelled):
+    _, docs, labels = labelled
+    scores = lambda d, x: {(r.doc_id, r.score) for r in toxicity.toxicity(d, x).collect()}
+    expected = scores(docs, labels)
+    assert len({s for _, s in expected}) > 100
+    absent = spark.range(100_000, 160_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    assert scores(docs, labels.unionByName(absent)) == expected
+    repeats = docs.where("doc_id IN (5, 10, 15, 16)").crossJoin(spark.range(60)).select("doc_id", "text")
+    assert scores(docs.unionByName(repeats), labels) == expected
+
+
+def test_sample_bounds_rows(spark, labelled, monkeypatch):
+    _, docs, labels = labelled
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 20, 0: 30})
+    many = docs.where("doc_id < 900").crossJoin(spark.range(3).toDF("n")).selectExpr("doc_id", "text || ' ' || n AS text")
+    rows, counts = toxicity.drawn(many, labels)
+    assert {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()} == {1: 20, 0: 30}
+    assert sum(counts.values()) > 500
+
+
 def test_toxicity_without_labels_or_rows(spark, labelled):
     _, docs, labels = labelled
     assert {r.score for r in toxicity.toxicity(docs, labels.where("toxic = 0")).collect()} == {0.5}
