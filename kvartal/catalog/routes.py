@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.catalog import views as v
-from kvartal.catalog.registry import query
+from kvartal.catalog.registry import ORACLES, query
 from kvartal.operators import browse, routing
 from kvartal.schemas import SETTLEMENTS, settlements_dim
 
@@ -143,9 +143,9 @@ LEFT JOIN (SELECT address_id, STRING_AGG(CAST(id AS STRING) || '/' || reception_
            FROM ({ranked}) AS k GROUP BY address_id) AS r ON r.address_id = c.address_id"""
 
 
-def _response(kind: str | None, addresses, edges, institutions) -> DataFrame:
+def _response(kind: str | None, addresses, edges, institutions, **paging: int) -> DataFrame:
     settlements = settlements_dim(addresses.sparkSession)
-    return routing.routing_response(addresses, edges, institutions, settlements, kind).select(
+    return routing.routing_response(addresses, edges, institutions, settlements, kind, **paging).select(
         "address_id", "address.district_code", F.col("address.settlement.code").alias("settlement"),
         "page_no",
         _joined("results", "id", "reception_kind", "offering", "match_basis").alias("results"),
@@ -162,6 +162,43 @@ def routing_response_preschool(**frames: DataFrame) -> DataFrame:
     return _response("preschool", **frames)
 
 
+def _over_suppliers(sql: str) -> str:
+    """The same over institutions that grow with the scale factor."""
+    for old, new in (
+        (v.ADDRESSES, v.WANTED_ADDRESSES), (v.EDGES, v.SUPPLIER_EDGES), (v.INSTITUTIONS, v.SUPPLIER_INSTITUTIONS)
+    ):
+        sql = sql.replace(f"({old})", f"({new})")
+    return sql
+
+
+@query(_over_suppliers(ORACLES["district_roster"]), institutions=v.SUPPLIER_INSTITUTIONS)
+def district_roster_suppliers(institutions: DataFrame) -> DataFrame:
+    return routing.district_roster(institutions, "nursery", "preschool").drop("source_url")
+
+
+RESPONSE_PAGE = 4
+
+
+def _paged_sql(ranked: str) -> str:
+    return f"""
+SELECT c.address_id, c.district_code, c.code AS settlement, COALESCE(r.page_no, 0) AS page_no,
+       COALESCE(r.results, '') AS results
+FROM (SELECT a.id AS address_id, a.district_code, d.code FROM ({v.ADDRESSES}) AS a
+      LEFT JOIN {SETTLEMENT_SQL} ON d.code = a.settlement_code) AS c
+LEFT JOIN (SELECT address_id, (rank - 1) // {RESPONSE_PAGE} AS page_no,
+             STRING_AGG(CAST(id AS STRING) || '/' || reception_kind || '/'
+             || offering || '/' || match_basis, ';' ORDER BY rank) AS results
+           FROM ({ranked}) AS k GROUP BY ALL) AS r ON r.address_id = c.address_id"""
+
+
+@query(
+    _over_suppliers(_paged_sql(RANKED)),
+    addresses=v.WANTED_ADDRESSES, edges=v.SUPPLIER_EDGES, institutions=v.SUPPLIER_INSTITUTIONS,
+)
+def routing_response_pages(**frames: DataFrame) -> DataFrame:
+    return _response(None, **frames, page_size=RESPONSE_PAGE)
+
+
 PROFILE_PAGE = 500
 _PLACED = f"""
 SELECT e.institution_id AS id, s.id AS street_id, a.id AS address_id,

@@ -165,6 +165,24 @@ INSTITUTIONS = " UNION ALL ".join(
     _institutions(n, kind) for n, kind in enumerate(("nursery", "kindergarten", "preschool"), 1)
 )
 
+# Institutions that grow with the scale factor, and their edges.
+SUPPLIER_INSTITUTIONS = """
+SELECT s_suppkey + 1 AS id, 'S' || CAST(s_suppkey AS STRING) AS external_id,
+       'Group ' || CAST(s_suppkey % 4 AS STRING) AS name,
+       CASE s_suppkey % 3 WHEN 0 THEN 'nursery' WHEN 1 THEN 'kindergarten' ELSE 'preschool' END AS kind,
+       'https://example.org/' || s_name AS source_url,
+       'st-' || CAST(s_nationkey AS STRING) AS address,
+       CASE WHEN s_suppkey % 11 <> 0
+            THEN LPAD(CAST(1 + s_nationkey % 5 AS STRING), 2, '0') END AS district_code,
+       s_suppkey % 2 = 0 AS has_infant_group,
+       TIMESTAMP '2026-05-04 01:00:00' AS last_seen_at
+FROM supplier"""
+
+SUPPLIER_EDGES = """
+SELECT DISTINCT o_custkey + 1 AS address_id, l_suppkey + 1 AS institution_id
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE l_linenumber = 1 AND l_suppkey % 4 <> 0 AND o_orderkey % 10 = 0"""
+
 NATION_STREETS = """
 SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, 'City ' || CAST(n_regionkey AS STRING) AS city,
        n_name AS raw_name, LOWER(n_name) AS street_part,
@@ -186,6 +204,9 @@ SELECT c_custkey + 1 AS id, CAST(c_nationkey + 1 AS BIGINT) AS street_id,
 FROM customer JOIN nation ON n_nationkey = c_nationkey"""
 
 
+# A response lists every institution of a district, so it is asked for some addresses only.
+WANTED_ADDRESSES = f"SELECT * FROM ({ADDRESSES}) AS w WHERE id <= 200"
+
 def _edges(kindergarten: str) -> str:
     return f"""
 SELECT DISTINCT o_custkey + 1 AS address_id,

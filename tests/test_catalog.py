@@ -25,3 +25,14 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_oracle(spark, name):
     assert difference(spark, connect(SF_DIR), SF_DIR, name) is None
+
+
+def test_routing_over_institutions_that_grow(spark):
+    rows = {}
+    for sf_dir in (SF_DIR, "/root/testdata/sf0.01"):
+        for name in ("district_roster_suppliers", "routing_response_pages"):
+            assert difference(spark, connect(sf_dir), sf_dir, name) is None
+            rows[name] = [*rows.get(name, []), catalog.QUERIES[name](spark, sf_dir).count()]
+    assert all(large > small for small, large in rows.values())
+    pages = catalog.QUERIES["routing_response_pages"](spark, sf_dir).select("page_no").distinct().collect()
+    assert len(pages) > 2
