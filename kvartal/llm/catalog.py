@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from kvartal.llm import (
-    chat, decontaminate, exact_dedup, html_text, packing, sharding, simhash,
-    suffix_dedup, toxicity, url_filter,
+    chat, collocations, decontaminate, exact_dedup, html_text, packing, quality, ranked_search,
+    sharding, simhash, suffix_dedup, toxicity, url_filter,
 )
 from kvartal.llm.common import table
 
@@ -143,6 +143,77 @@ def op10_html_extraction(spark, sf_dir):
 _query(op10_html_extraction)
 
 
+def op11_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_query(op11_quality)
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_query(op12_ranked_search, r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+totals AS (SELECT count(*) AS docs, sum(len(w)) AS terms FROM d WHERE len(w) > 0),
+p AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), totals),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM b JOIN p USING (term) JOIN weight USING (term), totals GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+""")
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_query(op13_collocations, r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+grams AS (
+  SELECT lang, w[i:i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY 1, 2),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY 1),
+c AS (SELECT lang, g, f AS a, n FROM f JOIN totals USING (lang) WHERE f >= 100 AND len(g) BETWEEN 2 AND 5),
+inner_grams AS (
+  SELECT lang, g[i:i + k - 1] AS g, a AS longer
+  FROM (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS i FROM c, range(2, 5) t(k) WHERE k < len(g))),
+kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM inner_grams x WHERE x.lang = c.lang AND x.g = c.g AND 100 * x.longer >= 100 * c.a)),
+cuts AS (
+  SELECT kept.*, k, l.f AS l, r.f AS r,
+         (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM kept, range(1, 5) t(k)
+  JOIN f l ON l.lang = kept.lang AND l.g = kept.g[1:k] JOIN f r ON r.lang = kept.lang AND r.g = kept.g[k + 1:]
+  WHERE k < len(kept.g)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+         array_to_string(g, ' ') AS phrase, a, l, r, n, score
+  FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+""")
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
