@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
-from kvartal.operators import lookup, standardise
+from kvartal.operators import lookup, restamp, standardise
 
 
 # The oracle keeps a code per tier and picks the first, tier after tier.
 
 
-def _tier(n: int, keys: str, before: str) -> str:
+def _tier(n: int, keys: str, before: str, register: str, prefix: str) -> str:
     on = {
         1: "g.sn = t.search_norm AND g.n = t.number_int AND g.sfx = COALESCE(t.number_suffix, '')"
            " AND g.ent = COALESCE(t.entrance, '')",
@@ -20,8 +21,8 @@ def _tier(n: int, keys: str, before: str) -> str:
         3: "g.sn = t.search_norm",
     }[n]
     return f"""
-SELECT t.*, g.code AS c{n} FROM ({before}) AS t LEFT JOIN
-  (SELECT {keys}, MIN(district_code) AS code FROM ({v.REGISTER}) AS r
+SELECT t.*, g.code AS {prefix}{n} FROM ({before}) AS t LEFT JOIN
+  (SELECT {keys}, MIN(district_code) AS code FROM ({register}) AS r
    GROUP BY ALL HAVING COUNT(DISTINCT district_code) = 1) AS g ON {on}"""
 
 
@@ -32,11 +33,11 @@ _KEYS = (
 )
 
 
-def tiers_sql(target: str) -> str:
+def tiers_sql(target: str, register: str = v.REGISTER, prefix: str = "c") -> str:
     """The target with ``c1, c2, c3``: each tier's unanimous code."""
     text = target
     for n, keys in enumerate(_KEYS, 1):
-        text = _tier(n, keys, text)
+        text = _tier(n, keys, text, register, prefix)
     return text
 
 
@@ -76,6 +77,36 @@ def lookup_tier_counts(target: DataFrame, register: DataFrame) -> DataFrame:
     return lookup.tier_counts(lookup.stamp_by_tiers(target, lookup.build_tiers(register)))
 
 
+# A later register: some codes moved, some rows gone, some new, on one street in seven.
+_LATER_REGISTER = f"""
+SELECT search_norm, number_int, number_suffix, entrance,
+       CASE WHEN LENGTH(search_norm) % 2 = 0 AND number_int % 9 = 1 AND search_norm LIKE '%7' THEN '06' ELSE district_code END
+         AS district_code
+FROM ({v.REGISTER}) AS r WHERE NOT (search_norm LIKE '%17' AND number_int > 40)
+UNION ALL SELECT DISTINCT search_norm, CAST(77 AS SMALLINT), '', '', '02' FROM ({v.REGISTER}) AS r
+WHERE search_norm LIKE '%37'"""
+# Both versions' codes beside each target that a restamp by the first one has left.
+_VERSIONS = tiers_sql(
+    tiers_sql(f"SELECT search_norm, number_int, number_suffix, entrance, district_code FROM ({RESTAMPED}) AS b"),
+    _LATER_REGISTER, "n",
+)
+
+
+@query(f"""
+SELECT search_norm, number_int, number_suffix, entrance, district_code AS before,
+       COALESCE(n1, district_code, n2, n3) AS district_code,
+       CASE WHEN n1 IS NOT NULL THEN 1 WHEN district_code IS NOT NULL THEN NULL
+            WHEN n2 IS NOT NULL THEN 2 WHEN n3 IS NOT NULL THEN 3 END AS tier
+FROM ({_VERSIONS}) AS w
+WHERE c1 IS DISTINCT FROM n1 OR c2 IS DISTINCT FROM n2 OR c3 IS DISTINCT FROM n3""",
+    target=v.TARGETS, register=v.REGISTER, later=_LATER_REGISTER)
+def restamp_reached(target: DataFrame, register: DataFrame, later: DataFrame) -> DataFrame:
+    """What a change of the register reaches, and no other row."""
+    old, new = lookup.build_tiers(register), lookup.build_tiers(later)
+    stamped = lookup.stamp_by_tiers(target, old, restamp=True).drop(lookup.TIER)
+    return restamp.restamp_reached(stamped, old, new)
+
+
 _PREFIX_CODE = """CASE WHEN {0} LIKE 'ГР.ВАРНА%' OR {0} LIKE 'ГР. ВАРНА%' THEN '10135'
        WHEN {0} LIKE 'С.КАМЕНАР%' OR {0} LIKE 'С. КАМЕНАР%' THEN '35701'
        WHEN {0} LIKE 'С.ТОПОЛИ%' OR {0} LIKE 'С. ТОПОЛИ%' THEN '72709'
@@ -252,6 +283,38 @@ def unresolved_institution_sample(**frames: DataFrame) -> DataFrame:
     return lookup.unresolved_institutions(_institution_pass(**frames))
 
 
+# A later register of this pass: other districts for one customer in eleven.
+_INST_LATER = f"""
+SELECT search_norm, number_int, number_suffix, entrance,
+       CASE WHEN LENGTH(search_norm) = 14 AND number_int % 2 = 0 AND search_norm LIKE '%3' THEN '05' ELSE district_code END AS district_code
+FROM ({INST_REGISTER}) AS r"""
+# Of the addresses of the catchments some move, and some that had no district get one.
+_INST_MOVES = f"""
+SELECT id, '03' AS district_code, district_code AS before, 1 AS tier FROM ({INST_ADDRESSES}) AS a
+WHERE id % 16 = 5 AND district_code IS DISTINCT FROM '03'"""
+_INST_MOVED = f"""
+SELECT id, CASE WHEN id % 16 = 5 THEN '03' ELSE district_code END AS district_code FROM ({INST_ADDRESSES}) AS a"""
+_INST_BEFORE, _INST_AFTER = (
+    _inst_pass(False),
+    _inst_pass(False).replace(INST_ADDRESSES, _INST_MOVED).replace(INST_REGISTER, _INST_LATER),
+)
+
+
+@query(f"""
+SELECT b.id, b.kind, b.district_code AS before, COALESCE(CASE WHEN a.stamp IS NOT NULL THEN a.district_code END, b.district_code) AS district_code
+FROM ({_INST_BEFORE}) AS b JOIN ({_INST_AFTER}) AS a USING (id)
+WHERE COALESCE(CASE WHEN a.stamp IS NOT NULL THEN a.district_code END, b.district_code) IS DISTINCT FROM b.district_code""",
+    **_INST_VIEWS, later=_INST_LATER, moves=_INST_MOVES)
+def institution_changes(register: DataFrame, later: DataFrame, moves: DataFrame, **frames: DataFrame) -> DataFrame:
+    """The institutions that get another district when addresses and register rows move."""
+    old, new = lookup.build_tiers(register), lookup.build_tiers(later)
+    institutions = frames["institutions"]
+    stamped = lookup.stamp_institutions(**frames, register=old, restamp=True).select(*institutions.columns)
+    changed = restamp.changed_keys(old, new)
+    found = restamp.institution_changes(stamped, frames["edges"], frames["addresses"], moves, new, changed)
+    return found.where(~F.col("before").eqNullSafe(F.col("district_code"))).select("id", "kind", "before", "district_code")
+
+
 @query(
     f"""SELECT a.id, s.raw_name || ' ' || CAST(a.number_int AS STRING)
        || COALESCE(a.number_suffix, '') || COALESCE(' вх.' || a.entrance, '') AS label

@@ -9,11 +9,11 @@ from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
 from kvartal.catalog.routes import SETTLEMENT_SQL
 from kvartal.catalog.strings import search_key_sql
-from kvartal.operators import browse, numbering, quality, standardise
+from kvartal.operators import browse, numbering, quality, standardise, substrings
 from kvartal.schemas import (
     CITY_CODE, DISTRICT_CODES, KINDS, REGISTER, SETTLEMENT_DIM, settlements_dim,
 )
-from kvartal.sources import dump
+from kvartal.sources import dump, merkle
 
 _DISTRICTS = ", ".join(f"'{c}'" for c in DISTRICT_CODES)
 _KINDS = ", ".join(f"'{k}'" for k in KINDS)
@@ -117,6 +117,85 @@ FROM (SELECT COUNT(*) AS rows, {_piece(0)} AS p0, {_piece(1)} AS p1, {_piece(2)}
             FROM ({_DUMP_VIEWS[table]}) AS s) AS h) AS t"""
 
 
+# --- hash trees: rows, then four levels of ranges; those above a single node don't count ----------
+
+_TREE_LEVELS = 4
+
+
+def _tree_sql(table: str, source: str, key: str) -> str:
+    """The CTEs ``l1 .. l4`` of one table's tree."""
+    ctes = [f"""r0 AS (
+SELECT ROW_NUMBER() OVER (ORDER BY {_DUMP_ORDERS[table]}) AS position, SHA256('{{' || {_JSON[table]} || '}}') AS digest,
+       1 AS rows, {key} AS first_key, {key} AS last_key FROM ({source}) AS s)"""]
+    for n in range(1, _TREE_LEVELS + 1):
+        ctes.append(f"""n{n} AS (SELECT *, SUM(CASE WHEN digest LIKE '00%' OR position = 1 THEN 1 ELSE 0 END)
+  OVER (ORDER BY position) AS node FROM r{n - 1})""")
+        ctes.append(f"""r{n} AS (SELECT CAST(node AS BIGINT) AS position, CAST(SUM(rows) AS BIGINT) AS rows,
+  FIRST(first_key ORDER BY position) AS first_key, LAST(last_key ORDER BY position) AS last_key,
+  SHA256(STRING_AGG(digest, '' ORDER BY position)) AS digest FROM n{n} GROUP BY node)""")
+    return ",\n".join(ctes)
+
+
+def _nodes_sql(table: str, source: str, key: str) -> str:
+    # A level is part of the tree if the one below it has more than one node.
+    levels = " UNION ALL ".join(
+        f"""SELECT {n} AS level, position AS node, rows, first_key, last_key, digest FROM r{n}
+WHERE {'TRUE' if n == 1 else f'(SELECT COUNT(*) FROM r{n - 1}) > 1'}"""
+        for n in range(1, _TREE_LEVELS + 1)
+    )
+    return f"WITH {_tree_sql(table, source, key)} {levels}"
+
+
+_ID_KEY = """'{"id":' || CAST(id AS STRING) || '}'"""
+# Some rows changed, some lost, some new: all among a tenth of the ids.
+_CHANGED_ADDRESSES = f"""
+SELECT id, street_id, CASE WHEN id % 1000 = 3 THEN CAST(number_int + 1 AS SMALLINT) ELSE number_int END AS number_int,
+       number_suffix, entrance, district_code, settlement_code
+FROM ({v.STREET_ADDRESSES}) AS a WHERE id % 1000 <> 5"""
+
+
+@query(_nodes_sql("streets", v.STREETS, _ID_KEY), streets=v.STREETS)
+def merkle_streets(streets: DataFrame) -> DataFrame:
+    tree = merkle.merkle_tree(streets, browse.STREET_COLUMNS, browse.street_order(), ["id"])
+    return tree.drop("parent")
+
+
+@query(_nodes_sql("addresses", v.STREET_ADDRESSES, _ID_KEY), addresses=v.STREET_ADDRESSES)
+def merkle_addresses(addresses: DataFrame) -> DataFrame:
+    # Read in another partitioning: the tree is the same.
+    spread = addresses.repartition(7, "number_int")
+    return merkle.merkle_tree(spread, browse.ADDRESS_COLUMNS, browse.address_order(), ["id"]).drop("parent")
+
+
+@query(f"""
+SELECT rows, 'v1-' || SUBSTR(SHA256('addresses:' || CAST(rows AS STRING) || ':' || digest), 1, 16) AS tag
+FROM ({_nodes_sql("addresses", v.STREET_ADDRESSES, _ID_KEY)}) AS t
+ORDER BY level DESC LIMIT 1""", addresses=v.STREET_ADDRESSES)
+def merkle_tag_addresses(addresses: DataFrame) -> DataFrame:
+    tree = merkle.merkle_tree(addresses, browse.ADDRESS_COLUMNS, browse.address_order(), ["id"])
+    return merkle.tree_tag(tree, "addresses")
+
+
+_OLD_LEAVES, _NEW_LEAVES = (
+    f"SELECT * FROM ({_nodes_sql('addresses', source, _ID_KEY)}) AS t WHERE level = 1"
+    for source in (v.STREET_ADDRESSES, _CHANGED_ADDRESSES)
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{side}' AS side, node, rows, first_key, last_key FROM ({own}) AS t WHERE digest NOT IN (SELECT digest FROM ({other}) AS o)"
+        for side, own, other in (("old", _OLD_LEAVES, _NEW_LEAVES), ("new", _NEW_LEAVES, _OLD_LEAVES))
+    ),
+    old=v.STREET_ADDRESSES, new=_CHANGED_ADDRESSES,
+)
+def merkle_changed_ranges(old: DataFrame, new: DataFrame) -> DataFrame:
+    trees = (
+        merkle.merkle_tree(df, browse.ADDRESS_COLUMNS, browse.address_order(), ["id"]) for df in (old, new)
+    )
+    return merkle.changed_ranges(*trees)
+
+
 @query(_tag_sql("streets"), streets=v.STREETS)
 def fingerprint_streets(streets: DataFrame) -> DataFrame:
     return dump.content_fingerprint(streets, browse.STREET_COLUMNS, "streets")
@@ -143,6 +222,41 @@ def search_streets_substring(streets: DataFrame, addresses: DataFrame) -> DataFr
     return browse.search_streets_substring(keyed, addresses, "shidget", 7)
 
 
+# Pieces of the streets' own keys: of one to seven characters, at any place; and some that are nowhere.
+_PIECES = f"""
+SELECT p_partkey AS search_id, CASE WHEN p_partkey % 50 = 7 THEN 'zzq' || CAST(p_partkey AS STRING)
+         ELSE SUBSTR(p_name, CAST(1 + p_partkey % 5 AS INT), CAST(1 + p_partkey % 7 AS INT)) || CASE WHEN p_partkey % 3 = 0 THEN ' ' || CAST(p_partkey % 100 AS STRING) ELSE '' END END AS string,
+       CAST(NULL AS SMALLINT) AS number
+FROM part"""
+# The ends of all keys, some with a house number.
+_ENDS = """
+SELECT p_partkey AS search_id, SUBSTR(p_name || ' ' || CAST(p_partkey AS STRING), 3) AS string,
+       CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 50 AS SMALLINT) END AS number
+FROM part"""
+_NAMED = "SELECT p_partkey + 1 AS id, p_name || ' ' || CAST(p_partkey AS STRING) AS raw_name, p_name || ' ' || CAST(p_partkey AS STRING) AS search_norm FROM part"
+
+
+@query(
+    f"""SELECT DISTINCT string, s.id FROM (SELECT DISTINCT string FROM ({_PIECES}) AS p) AS q
+JOIN ({_NAMED}) AS s ON CONTAINS(s.search_norm, string)""",
+    streets=_NAMED, strings=_PIECES,
+)
+def substring_matches(streets: DataFrame, strings: DataFrame) -> DataFrame:
+    """Many strings at once, each against every street."""
+    return substrings.substring_matches(streets, strings)
+
+
+@query(
+    f"""SELECT search_id, a.id, s.raw_name, a.number_int, a.number_suffix, a.entrance, a.district_code
+FROM ({_ENDS}) AS q JOIN ({_NAMED}) AS s ON CONTAINS(s.search_norm, string)
+JOIN ({v.STREET_ADDRESSES}) AS a ON a.street_id = s.id
+WHERE q.number IS NULL OR q.number = a.number_int""",
+    streets=_NAMED, addresses=v.STREET_ADDRESSES, searches=_ENDS,
+)
+def search_addresses(**frames: DataFrame) -> DataFrame:
+    return substrings.search_addresses(**frames)
+
+
 # --- quality ------------------------------------------------------------------------------------
 
 _FAULTY = dict(

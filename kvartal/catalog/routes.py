@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import ORACLES, query
-from kvartal.operators import browse, routing
+from kvartal.operators import browse, responses, routing
 from kvartal.schemas import SETTLEMENTS, settlements_dim
 
 _VIEWS = dict(addresses=v.ADDRESSES, edges=v.EDGES, institutions=v.INSTITUTIONS)
@@ -145,7 +145,7 @@ LEFT JOIN (SELECT address_id, STRING_AGG(CAST(id AS STRING) || '/' || reception_
 
 def _response(kind: str | None, addresses, edges, institutions, **paging: int) -> DataFrame:
     settlements = settlements_dim(addresses.sparkSession)
-    return routing.routing_response(addresses, edges, institutions, settlements, kind, **paging).select(
+    return responses.routing_response(addresses, edges, institutions, settlements, kind, **paging).select(
         "address_id", "address.district_code", F.col("address.settlement.code").alias("settlement"),
         "page_no",
         _joined("results", "id", "reception_kind", "offering", "match_basis").alias("results"),
@@ -162,11 +162,12 @@ def routing_response_preschool(**frames: DataFrame) -> DataFrame:
     return _response("preschool", **frames)
 
 
+_SUPPLIER_VIEWS = dict(addresses=v.ADDRESSES, edges=v.SUPPLIER_EDGES, institutions=v.SUPPLIER_INSTITUTIONS)
+
+
 def _over_suppliers(sql: str) -> str:
     """The same over institutions that grow with the scale factor."""
-    for old, new in (
-        (v.ADDRESSES, v.WANTED_ADDRESSES), (v.EDGES, v.SUPPLIER_EDGES), (v.INSTITUTIONS, v.SUPPLIER_INSTITUTIONS)
-    ):
+    for old, new in ((v.EDGES, v.SUPPLIER_EDGES), (v.INSTITUTIONS, v.SUPPLIER_INSTITUTIONS)):
         sql = sql.replace(f"({old})", f"({new})")
     return sql
 
@@ -191,14 +192,53 @@ LEFT JOIN (SELECT address_id, (rank - 1) // {RESPONSE_PAGE} AS page_no,
            FROM ({ranked}) AS k GROUP BY ALL) AS r ON r.address_id = c.address_id"""
 
 
-@query(
-    _over_suppliers(_paged_sql(RANKED)),
-    addresses=v.WANTED_ADDRESSES, edges=v.SUPPLIER_EDGES, institutions=v.SUPPLIER_INSTITUTIONS,
-)
+@query(_over_suppliers(_paged_sql(RANKED)), **_SUPPLIER_VIEWS)
 def routing_response_pages(**frames: DataFrame) -> DataFrame:
     return _response(None, **frames, page_size=RESPONSE_PAGE)
 
 
+# Per address what its response depends on: its district, unless nothing of it is listed, and its own institutions.
+_CLASSED = f"""
+SELECT a.id AS address_id, a.district_code, COALESCE(o.own, '') AS own, COALESCE(o.n, 0) AS n,
+       COALESCE(o.preschools, 0) AS preschools
+FROM ({v.ADDRESSES}) AS a
+LEFT JOIN (SELECT e.address_id, STRING_AGG(CAST(i.id AS STRING), ',' ORDER BY i.id) AS own, COUNT(*) AS n,
+                  SUM(CASE WHEN i.kind = 'preschool' THEN 1 ELSE 0 END) AS preschools
+           FROM ({v.SUPPLIER_EDGES}) AS e JOIN ({v.SUPPLIER_INSTITUTIONS}) AS i ON i.id = e.institution_id
+           WHERE i.kind <> 'nursery' GROUP BY 1) AS o ON o.address_id = a.id"""
+
+
+@query(f"""
+SELECT address_id, MIN(address_id) OVER w AS example, COUNT(*) OVER w AS addresses, n AS own,
+       COALESCE(CASE WHEN preschools > 0 THEN d.nurseries ELSE d.listed END, 0) AS listed
+FROM ({_CLASSED}) AS c
+LEFT JOIN (SELECT district_code AS code, COUNT(*) AS listed,
+                  SUM(CASE WHEN kind = 'nursery' THEN 1 ELSE 0 END) AS nurseries
+           FROM ({v.SUPPLIER_INSTITUTIONS}) AS i WHERE kind <> 'kindergarten' GROUP BY 1) AS d
+  ON d.code = c.district_code
+WINDOW w AS (PARTITION BY c.district_code, own)""", **_SUPPLIER_VIEWS)
+def response_classes(**frames: DataFrame) -> DataFrame:
+    """Which addresses share a response, and what it is made of."""
+    found = responses.factorise(**frames)
+    examples = found.members.groupBy("class_id").agg(F.min("address_id").alias("example"))
+    return found.members.join(found.classes, "class_id").join(examples, "class_id").select(
+        "address_id", "example", "addresses", "own", F.col("listed").cast("decimal(38,0)").alias("listed")
+    )
+
+
+@query(f"""
+WITH classed AS ({_CLASSED}),
+examples AS (SELECT district_code, own, MIN(address_id) AS example FROM classed GROUP BY 1, 2)
+SELECT r.address_id AS example, r.rank, r.id, r.reception_kind, r.offering
+FROM ({_over_suppliers(RANKED)}) AS r JOIN examples ON example = r.address_id
+WHERE r.match_basis = 'address'""", **_SUPPLIER_VIEWS)
+def response_class_offers(**frames: DataFrame) -> DataFrame:
+    """The offers that a class has by its own edges, with their ranks in its whole response."""
+    found = responses.factorise(**frames)
+    examples = found.members.groupBy("class_id").agg(F.min("address_id").alias("example"))
+    return found.offers.join(examples, "class_id").select("example", "rank", "id", "reception_kind", "offering")
+
+
 PROFILE_PAGE = 500
 _PLACED = f"""
 SELECT e.institution_id AS id, s.id AS street_id, a.id AS address_id,

@@ -180,8 +180,7 @@ FROM supplier"""
 
 SUPPLIER_EDGES = """
 SELECT DISTINCT o_custkey + 1 AS address_id, l_suppkey + 1 AS institution_id
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-WHERE l_linenumber = 1 AND l_suppkey % 4 <> 0 AND o_orderkey % 10 = 0"""
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
 
 NATION_STREETS = """
 SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, 'City ' || CAST(n_regionkey AS STRING) AS city,
@@ -204,8 +203,6 @@ SELECT c_custkey + 1 AS id, CAST(c_nationkey + 1 AS BIGINT) AS street_id,
 FROM customer JOIN nation ON n_nationkey = c_nationkey"""
 
 
-# A response lists every institution of a district, so it is asked for some addresses only.
-WANTED_ADDRESSES = f"SELECT * FROM ({ADDRESSES}) AS w WHERE id <= 200"
 
 def _edges(kindergarten: str) -> str:
     return f"""

@@ -12,6 +12,8 @@ from kvartal.session import materialise
 
 # monotonically_increasing_id keeps the partition above this bit, the row below it.
 ROW_BITS = 33
+# Rows that are counted together: 2**16 places.
+RUN_BITS = 16
 
 Order = Sequence[Column | str]
 
@@ -54,6 +56,22 @@ def with_group_position(
     )
 
 
+def with_running_count(rows: DataFrame, counted: Column, name: str, position: str = "position") -> DataFrame:
+    """Add how many ``counted`` rows there are up to each row, by its place in the whole order.
+
+    Runs of ``2**RUN_BITS`` places are counted first, so a window holds one run, or one row per run.
+    """
+    marked = rows.withColumn("_counted", counted.cast("long")).withColumn("_run", F.shiftright(position, RUN_BITS))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = marked.groupBy("_run").agg(F.sum("_counted").alias("_n")).select(
+        "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("_run").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.join(runs, "_run").withColumn(name, F.col("_before") + F.sum("_counted").over(inside)).drop(
+        "_run", "_before", "_counted"
+    )
+
+
 def assign_ids(
     new_rows: DataFrame, existing: DataFrame, order: Order, id_column: str = "id"
 ) -> DataFrame:

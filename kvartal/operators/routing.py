@@ -172,39 +172,3 @@ def offering_order() -> list[Column]:
 def rank_offerings(offerings: DataFrame) -> DataFrame:
     """Add ``rank`` within the address, from a global sort: one address's rows may span many tasks."""
     return with_group_position(offerings, ["address_id"], offering_order(), "rank")
-
-
-def _address_struct() -> Column:
-    return F.struct(F.col("address_id").alias("id"), "district_code", "settlement").alias("address")
-
-
-def _plain(offers: Column) -> Column:
-    return F.transform(offers, lambda o: F.struct(*(o[c].alias(c) for c in OFFERED)))
-
-
-def routing_response(
-    addresses: DataFrame,
-    edges: DataFrame,
-    institutions: DataFrame,
-    settlements: DataFrame,
-    kind: str | None = None,
-    page_size: int = RESULT_PAGE,
-) -> DataFrame:
-    """Per address and page ``address`` (with its settlement) and ``results`` in rank order.
-
-    A page holds ``page_size`` results, the last one of an address fewer; ``page_no`` counts
-    from 0. An address without matches has one page with an empty list.
-    """
-    context = address_context(addresses, settlements)
-    offers = rank_offerings(
-        expand_offerings(route_addresses(addresses, edges, institutions, kind))
-    )
-    page = F.floor((F.col("rank") - 1) / page_size).cast("long")
-    pages = offers.groupBy("address_id", page.alias("page_no")).agg(
-        F.sort_array(F.collect_list(F.struct("rank", *OFFERED))).alias("_offers")
-    )
-    none = F.array().cast(pages.schema["_offers"].dataType)
-    return context.join(pages, "address_id", "left").select(
-        "address_id", F.coalesce("page_no", F.lit(0).cast("long")).alias("page_no"),
-        _address_struct(), _plain(F.coalesce("_offers", none)).alias("results"),
-    )

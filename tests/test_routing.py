@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kvartal.operators import browse, quality, routing
+from kvartal.operators import browse, quality, responses, routing
 from kvartal.schemas import ADDRESSES, INSTITUTIONS, REGISTER, STREETS, settlements_dim
 from kvartal.sources import dump
 
@@ -92,7 +92,7 @@ def test_routes(tables, kind):
 ])
 def test_response(spark, tables, kind, page_size, pages):
     got, seen = {}, set()
-    response = routing.routing_response(*tables, settlements_dim(spark), kind, page_size)
+    response = responses.routing_response(*tables, settlements_dim(spark), kind, page_size)
     for r in response.orderBy("page_no").collect():
         assert r.address.id == r.address_id and len(r.results) <= page_size
         got.setdefault(r.address_id, []).extend(
@@ -119,7 +119,7 @@ def test_more_institutions_change_no_page_of_others(spark, tables):
     settlements = settlements_dim(spark)
 
     def rows(institutions):
-        response = routing.routing_response(addresses, edges, institutions, settlements, page_size=3)
+        response = responses.routing_response(addresses, edges, institutions, settlements, page_size=3)
         return sorted(map(repr, response.collect()))
 
     assert rows(insts) == rows(wide)
