@@ -14,7 +14,7 @@ from kvartal.catalog.strings import search_key_sql
 from kvartal.operators import contract, fuzzy, merge, numbering, standardise
 from kvartal.plans import ingest
 from kvartal.session import shared_dir
-from kvartal.sources import register, snapshot
+from kvartal.sources import register, snapshot, split_json
 
 DOC = "CAST(o_orderkey AS STRING)"
 CUSTOMER = "CAST(o_custkey AS STRING)"
@@ -132,6 +132,49 @@ def read_snapshot_lines(docs: DataFrame) -> DataFrame:
     return snapshot.read_snapshot_lines(docs.sparkSession, path).select("raw")
 
 
+# One document per group of customers, an institution per order, with all that JSON puts between quotes.
+_NAME = """'no, {' || o_orderpriority || '}],[ ' || CAST(o_orderkey % 7 AS STRING)"""
+_LARGE = f"""
+SELECT o_custkey % 16 AS part, o_orderkey AS seq,
+       '{{"external_id":"' || CAST(o_orderkey AS STRING) || '","name":"' || {_NAME} || ' \\\\\\\\ \\\\"","kind":"'
+         || o_orderstatus || '","address_entries":[{{"street":"a","number":"' || CAST(o_orderkey AS STRING) || '"}}]}},' AS value
+FROM orders"""
+SPLIT_BYTES = "16384"
+
+
+@query(f"""
+SELECT part, ROW_NUMBER() OVER (PARTITION BY part ORDER BY seq) AS place, external_id, name, kind FROM (
+  SELECT o_custkey % 16 AS part, o_orderkey AS seq, CAST(o_orderkey AS STRING) AS external_id,
+         {_NAME} || ' \\ "' AS name, o_orderstatus AS kind FROM orders
+  UNION ALL SELECT DISTINCT o_custkey % 16, 9000000000000000000, 'end', 'Last', NULL FROM orders) AS i""", rows=_LARGE)
+def read_snapshot_split(rows: DataFrame) -> DataFrame:
+    """A few large documents, each in one file, read in splits much smaller than the files."""
+    spark = rows.sparkSession
+    parts = rows.select("part").distinct()
+    head = '{"schema_version": 2, "scraped_at": "2026-05-04T01:00:00Z", "city": "a, [b", "institutions": ['
+    lines = (
+        rows.unionByName(parts.select("part", F.lit(-1).cast("long").alias("seq"), F.lit(head).alias("value")))
+        .unionByName(parts.select("part", F.lit(2**63 - 1).alias("seq"), F.lit('{"external_id":"end","name":"Last"}]}').alias("value")))
+    )
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    placed = lines.repartition("part").sortWithinPartitions("part", "seq").select("part", "value")
+    placed.write.partitionBy("part").text(path)
+    settings = {"spark.sql.files.maxPartitionBytes": SPLIT_BYTES, "spark.sql.files.openCostInBytes": "0"}
+    held = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        docs = split_json.read_snapshot_splits(spark, path)
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    found = snapshot.institutions(snapshot.raw_institutions(docs))
+    return found.select(
+        F.regexp_extract("doc", "part=([0-9]+)", 1).cast("long").alias("part"),
+        F.regexp_extract("doc", "-([0-9]{19})$", 1).cast("long").alias("place"), "external_id", "name", "kind",
+    )
+
+
 # --- the report ---------------------------------------------------------------------------------
 
 _LINE_ORDER = "l_partkey, l_quantity, l_extendedprice, l_orderkey, l_linenumber"

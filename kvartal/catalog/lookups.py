@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
-from kvartal.operators import lookup, restamp, standardise
+from kvartal.operators import lookup, prefix_lookup, restamp, standardise
 
 
 # The oracle keeps a code per tier and picks the first, tier after tier.
@@ -72,6 +72,19 @@ def lookup_restamp(target: DataFrame, register: DataFrame) -> DataFrame:
     return lookup.stamp_by_tiers(target, lookup.build_tiers(register), restamp=True)
 
 
+@query(GATED, target=v.TARGETS, register=v.REGISTER)
+def lookup_gated_one_pass(target: DataFrame, register: DataFrame) -> DataFrame:
+    """The same look-up with one exchange of the rows that ask."""
+    return lookup.stamp_by_tiers(target, lookup.build_tiers(register), match=prefix_lookup.match_in_one_pass)
+
+
+@query(RESTAMPED, target=v.TARGETS, register=v.REGISTER)
+def lookup_restamp_one_pass(target: DataFrame, register: DataFrame) -> DataFrame:
+    return lookup.stamp_by_tiers(
+        target, lookup.build_tiers(register), restamp=True, match=prefix_lookup.match_in_one_pass
+    )
+
+
 @query(_COUNTS.format(GATED), target=v.TARGETS, register=v.REGISTER)
 def lookup_tier_counts(target: DataFrame, register: DataFrame) -> DataFrame:
     return lookup.tier_counts(lookup.stamp_by_tiers(target, lookup.build_tiers(register)))

@@ -66,8 +66,8 @@ GROUP BY search_norm, number_int, number_suffix, entrance"""
 
 # --- raw strings ----------------------------------------------------------------------------
 
-# One locality per band of part sizes; the last two are not localities of the municipality,
-# though the first of them starts like one.
+# The localities of the municipality, each in both spellings; one per band of part
+# sizes. The last two are none of them, though the first of these starts like one.
 LOCALITY = """CASE WHEN p_size <= 20 THEN 'ГР.ВАРНА' WHEN p_size <= 24 THEN 'ГР. ВАРНА'
        WHEN p_size <= 27 THEN 'С.КАМЕНАР' WHEN p_size <= 30 THEN 'С. КАМЕНАР'
        WHEN p_size <= 32 THEN 'С.ТОПОЛИ' WHEN p_size <= 34 THEN 'С. ТОПОЛИ'

@@ -7,7 +7,7 @@ can never be resolved later, and the tiers reduce to one ``coalesce``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -87,24 +87,26 @@ def stamp_by_tiers(
     tiers: Tiers,
     empty_if_null: Sequence[str] = ("number_suffix", "entrance"),
     restamp: bool = False,
+    match: Callable[..., DataFrame] = match_tiers,
 ) -> DataFrame:
     """Fill the tiers' value and add ``tier``, the 1-based tier that set it (NULL if none did).
 
     Gated (default): only rows without a value are looked up; the target is read once, and
     the others pass by with NULL keys, a hot key like any other. Restamp: the first tier
     overwrites wherever it resolves, later tiers only fill NULLs, and a row that resolves
-    nowhere keeps what it has.
+    nowhere keeps what it has. ``match`` finds the codes: a join per tier, or
+    ``prefix_lookup.match_in_one_pass``.
     """
     value = tiers.value
     found = [F.col(f"_t{n}") for n in range(1, len(tiers.keys) + 1)]
     old = F.col(value)
     first_hit = F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in enumerate(found, 1)))
     if restamp:
-        matched = match_tiers(target, tiers, empty_if_null)
+        matched = match(target, tiers, empty_if_null)
         tier = F.when(found[0].isNotNull(), F.lit(1)).when(old.isNull(), first_hit)
         candidates = [found[0], old, *found[1:]]
     else:
-        matched = match_tiers(target, tiers, empty_if_null, asked=old.isNull())
+        matched = match(target, tiers, empty_if_null, asked=old.isNull())
         tier, candidates = first_hit, [old, *found]
     return matched.select(
         *(F.coalesce(*candidates).alias(value) if c == value else c for c in target.columns),

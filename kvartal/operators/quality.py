@@ -168,39 +168,6 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_key: str =
     )
 
 
-def column_violations(
-    df: DataFrame,
-    required: Sequence[str] = (),
-    enums: dict[str, Sequence[str]] | None = None,
-    max_lengths: dict[str, int] | None = None,
-) -> DataFrame:
-    """``rule, columns, violations`` for the row-level rules of one table, in one pass."""
-    rules = [
-        *(("not_null", c, F.col(c).isNull()) for c in required),
-        *(("enum", c, ~F.col(c).isin(*values)) for c, values in (enums or {}).items()),
-        *(("too_long", c, F.length(c) > n) for c, n in (max_lengths or {}).items()),
-    ]
-    counted = df.agg(*(F.count_if(bad).alias(f"_{i}") for i, (_, _, bad) in enumerate(rules)))
-    return counted.select(
-        F.explode(
-            F.array(*(
-                F.struct(
-                    F.lit(rule).alias("rule"), F.lit(c).alias("columns"),
-                    F.col(f"_{i}").alias("violations"),
-                )
-                for i, (rule, c, _) in enumerate(rules)
-            ))
-        ).alias("_r")
-    ).select("_r.*")
-
-
-def _counted(df: DataFrame, violations: Column, table: str, rule: str, columns: str) -> DataFrame:
-    return df.agg(violations.alias("violations")).select(
-        F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.lit(columns).alias("columns"),
-        "violations",
-    )
-
-
 @dataclass(frozen=True)
 class TableRules:
     """What the rows of one table must meet.
@@ -242,31 +209,63 @@ RULES = {
 }
 
 
+def _row_rules(name: str, rules: TableRules) -> list[tuple[str, str, Column]]:
+    """Rule, column and breach of the rules that a row meets by itself."""
+    return [
+        *(("not_null", c, F.col(c).isNull()) for c in rules.required),
+        *(("enum", c, ~F.col(c).isin(*values)) for c, values in rules.enums.items()),
+        *(("too_long", c, F.length(c) > n) for c, n in MAX_LENGTHS.get(name, {}).items()),
+    ]
+
+
+def _entry(rule: int, key: Column, rows: Column, held: bool = False) -> Column:
+    return F.struct(
+        F.lit(rule).alias("rule"), key.cast("string").alias("key"), rows.cast("long").alias("rows"), F.lit(held).alias("held")
+    )
+
+
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     """``table, rule, columns, violations`` for every rule of the given tables (see ``RULES``).
 
-    References are counted per value before they are looked up, so a hot parent is one row.
+    One scan per table and one shuffle for all rules of all tables: a row says which of its own
+    rules it breaks, which keys it holds, which parents it refers to and which it is. These are
+    counted per rule and value, so a hot value is one row before it is shuffled.
     """
-    parts = []
-    for name, df in tables.items():
+    listed: list[tuple[str, str, str]] = []  # table, rule, columns; a rule's place is its number
+
+    def number(*rule: str) -> int:
+        listed.append(rule)
+        return len(listed) - 1
+
+    none = F.lit(None).cast("string")
+    entries: dict[str, list[Column]] = {name: [] for name in tables}
+    for name in tables:
         rules = RULES[name]
-        parts.append(
-            column_violations(df, rules.required, rules.enums, MAX_LENGTHS.get(name)).select(
-                F.lit(name).alias("table"), "rule", "columns", "violations"
-            )
-        )
-        parts += [
-            _counted(
-                duplicate_keys(df, key, nulls_distinct=key in rules.optional_keys), F.count("*"),
-                name, "duplicate_key", ",".join(key),
-            )
-            for key in rules.keys + rules.optional_keys
-        ]
-        parts += [
-            _counted(
-                orphans(df.groupBy(column).agg(F.count("*").alias("_n")), column, tables[parent]),
-                F.coalesce(F.sum("_n"), F.lit(0)), name, "orphan", column,
-            )
-            for column, parent in rules.references
-        ]
-    return reduce(DataFrame.unionByName, parts)
+        for rule, column, broken in _row_rules(name, rules):
+            entries[name].append(F.when(broken, _entry(number(name, rule, column), none, F.lit(1))))
+        for key in rules.keys + rules.optional_keys:
+            # JSON leaves NULLs out, so equal texts are equal keys, NULLs included.
+            entry = _entry(number(name, "duplicate_key", ",".join(key)), F.to_json(F.struct(*key)), F.lit(1))
+            whole = reduce(Column.__and__, (F.col(c).isNotNull() for c in key))
+            entries[name].append(F.when(whole, entry) if key in rules.optional_keys else entry)
+        for column, parent in rules.references:
+            place = number(name, "orphan", column)
+            entries[name].append(F.when(F.col(column).isNotNull(), _entry(place, F.col(column), F.lit(1))))
+            entries[parent].append(_entry(place, F.col("id"), F.lit(0), held=True))
+    found = reduce(DataFrame.unionByName, (
+        df.select(F.explode(F.filter(F.array(*entries[name]), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        for name, df in tables.items()
+    ))
+    counted = found.groupBy("rule", "key").agg(F.sum("rows").alias("rows"), F.max("held").alias("held"))
+    kinds = F.array(*(F.lit(rule) for _, rule, _ in listed))
+    kind = F.get(kinds, F.col("rule"))
+    violations = (
+        F.when(kind == "duplicate_key", (F.col("rows") > 1).cast("long"))
+        .when(kind == "orphan", F.when(F.col("held"), 0).otherwise(F.col("rows"))).otherwise(F.col("rows"))
+    )
+    summed = counted.groupBy("rule").agg(F.sum(violations).alias("violations"))
+    spark = next(iter(tables.values())).sparkSession
+    rules = spark.createDataFrame([(i, *rule) for i, rule in enumerate(listed)], "_rule int, table string, rule string, columns string")
+    return rules.join(summed.withColumnRenamed("rule", "_rule"), "_rule", "left").select(
+        "table", "rule", "columns", F.coalesce("violations", F.lit(0)).alias("violations")
+    )

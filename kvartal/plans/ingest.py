@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kvartal import schemas
 from kvartal.operators import contract, dedupe, lookup, merge, numbering, standardise
 from kvartal.session import materialise
-from kvartal.sources import snapshot
+from kvartal.sources import snapshot, split_json
 from kvartal.sources.tables import Tables
 
 STREET_KEY = ("raw_name",)
@@ -143,13 +143,18 @@ def summarise(
     })
 
 
-def ingest(spark: SparkSession, snapshot_path: str, root: str, lines: bool = False) -> DataFrame:
+def ingest(
+    spark: SparkSession, snapshot_path: str, root: str, lines: bool = False, split: bool = False
+) -> DataFrame:
     """Validate, merge, stamp and publish one snapshot; returns the run summary.
 
-    A file is one JSON document, or one per line if ``lines``. Nothing is published unless every
-    step succeeds.
+    A file is one JSON document, or one per line if ``lines``; with ``split`` one document of any
+    size, read by many tasks. Nothing is published unless every step succeeds.
     """
-    read = snapshot.read_snapshot_lines if lines else snapshot.read_snapshots
+    if split:
+        read = split_json.read_snapshot_splits
+    else:
+        read = snapshot.read_snapshot_lines if lines else snapshot.read_snapshots
     docs = materialise(read(spark, snapshot_path), "snapshot")
     contract.require_valid(docs)
     return ingest_documents(docs, root)

@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvartal import schemas
-from kvartal.operators import browse, lookup, responses, restamp, routing, substrings
+from kvartal.operators import browse, lookup, prefix_lookup, quality, responses, restamp, routing, substrings
 from kvartal.plans import refresh
 from kvartal.schemas import ADDRESSES, INSTITUTIONS, STREETS, settlements_dim
+from kvartal.session import materialise
 from kvartal.sources import merkle, snapshot, split_json
-from kvartal.sources.tables import Tables
+from kvartal.sources.tables import MovedTables, Tables
 
 EDGE = "address_id long, institution_id long"
 
@@ -184,8 +185,8 @@ def test_changes_equal_a_full_restamp(spark, seed):
     old, new = lookup.build_tiers(both(first)), lookup.build_tiers(both(later))
 
     def full(a, i, tiers):
-        a = lookup.stamp_addresses(a, streets, tiers, restamp=True).select(*ADDRESSES.names).localCheckpoint()
-        return a, lookup.stamp_institutions(i, edges, a, tiers, restamp=True).select(*INSTITUTIONS.names).localCheckpoint()
+        a = materialise(lookup.stamp_addresses(a, streets, tiers, restamp=True).select(*ADDRESSES.names), "a")
+        return a, materialise(lookup.stamp_institutions(i, edges, a, tiers, restamp=True).select(*INSTITUTIONS.names), "i")
 
     base = full(addresses, insts, old)
     changed = restamp.changed_keys(old, new)
@@ -239,6 +240,74 @@ def test_restamp_changes_job(spark, tmp_path):
     assert results[0] == results[1]
 
 
+# --- one-shuffle look-up -------------------------------------------------------------------------------------
+
+TARGET = "id long, search_norm string, number_int int, number_suffix string, entrance string, district_code string"
+
+
+def asking_rows(rng, n):
+    """Half of the rows on one street, a third in one of its houses; some without street or number."""
+    rows = []
+    for i in range(n):
+        street, number = rng.choice([("s0", 3), ("s0", rng.randrange(1, 8)), ("s0", 3), (f"s{rng.randrange(9)}", rng.randrange(1, 8)), (None, 3), ("s1", None)])
+        rows.append((i, street, number, rng.choice([None, "", "А", "Б"]), rng.choice([None, "", "1", "2"]), rng.choice([None, None, "09"])))
+    return rows
+
+
+@pytest.mark.parametrize("seed, sample", [(1, 1.0), (2, 0.0), (3, 1.0)])
+def test_one_pass_finds_what_the_joins_find(spark, seed, sample, monkeypatch):
+    monkeypatch.setattr(prefix_lookup, "SAMPLE", sample)
+    monkeypatch.setattr(prefix_lookup, "HOT", 10)
+    rng = random.Random(seed)
+    target = spark.createDataFrame(asking_rows(rng, 1500), TARGET).repartition(5)
+    register = random_register(rng, 9)
+    tiers = lookup.build_tiers(register_rows(spark, register))
+    if sample:
+        hot = prefix_lookup._hot_pairs(target, "search_norm", "number_int").collect()
+        assert ("s0", 3) in {(r._k1, r._k2) for r in hot} and len(hot) <= 10
+    for asked in (None, F.col("district_code").isNull()):
+        plain, merged = (
+            sorted(map(repr, match(target, tiers, ("number_suffix", "entrance"), asked).collect()))
+            for match in (lookup.match_tiers, prefix_lookup.match_in_one_pass)
+        )
+        assert plain == merged
+    for restamp_all in (True, False):
+        both = [
+            sorted(map(repr, lookup.stamp_by_tiers(target, tiers, restamp=restamp_all, match=m).collect()))
+            for m in (lookup.match_tiers, prefix_lookup.match_in_one_pass)
+        ]
+        assert both[0] == both[1]
+
+
+def test_one_pass_moves_the_target_once(spark):
+    rng = random.Random(4)
+    target = spark.createDataFrame(asking_rows(rng, 300), TARGET)
+    tiers = lookup.build_tiers(register_rows(spark, random_register(rng)))
+    found = prefix_lookup.match_in_one_pass(target, tiers, ("number_suffix", "entrance"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1
+    physical = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in physical and "ShuffledHashJoin" not in physical
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("hashpartitioning(_k_search_norm") == 1
+    with pytest.raises(ValueError):
+        prefix_lookup.match_in_one_pass(target, lookup.Tiers((("a", "b"), ("b",)), "c", tiers.tables[:2]))
+
+
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "id long")
+    first, second = Tables(spark, str(tmp_path)), Tables(spark, str(tmp_path))
+    assert first.versions() == second.versions() == {}
+    staged = [t.stage("t", rows) for t in (first, second)]
+    first.publish({"t": staged[0]})
+    # The second one has seen nothing of it: the number it wants is taken.
+    with pytest.raises(MovedTables):
+        second.publish({"t": staged[1]})
+    assert Tables(spark, str(tmp_path)).versions() == {"t": staged[0]}
+    first.publish({"t": staged[1]})
+    assert Tables(spark, str(tmp_path)).versions() == {"t": staged[1]}
+
+
 # --- substrings --------------------------------------------------------------------------------------------
 
 
@@ -307,7 +376,7 @@ def test_split_documents_equal_whole_ones(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
         assert spark.read.option("lineSep", ",").text(str(tmp_path)).rdd.getNumPartitions() > 30
-        split = split_json.read_snapshot_splits(spark, str(tmp_path)).localCheckpoint()
+        split = materialise(split_json.read_snapshot_splits(spark, str(tmp_path)), "split")
     finally:
         for key, value in held.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
@@ -324,6 +393,36 @@ def test_split_documents_equal_whole_ones(spark, tmp_path):
         return {tuple(r) for r in snapshot.envelopes(docs).select(name, "schema_version", "scraped_at", "city").collect()}
 
     expected = listed(whole, "inst_pos")
-    assert sum(map(len, expected.values())) > 150 and listed(split, "doc") == expected
+    assert sum(map(len, expected.values())) > 90 and listed(split, "doc") == expected
     assert envelopes(split) == envelopes(whole)
     assert split.where("doc LIKE '%09.json%'").select("raw").collect() == [("{",)]
+
+
+# --- constraints ----------------------------------------------------------------------------------------------
+
+
+def test_constraints_in_one_scan_per_table(spark):
+    addresses = spark.createDataFrame([
+        (1, 1, 1, None, None, "01", None), (1, 2, None, None, None, "77", None), (1, 9, 3, "А", "1", None, None),
+        (2, 9, 3, "А", "1", None, None), (None, None, 4, None, None, None, None), (None, 1, 1, None, None, None, None),
+    ], "id long, street_id long, number_int int, number_suffix string, entrance string, district_code string, settlement_code string")
+    streets = spark.createDataFrame([(1, "c", "r", "p", None, "n"), (2, "c", "r", "p", None, "n")], STREETS)
+    report = quality.constraint_report({"addresses": addresses, "streets": streets})
+    got = {(r.table, r.rule, r.columns): r.violations for r in report.collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        ("addresses", "duplicate_key", "id"): 2, ("addresses", "not_null", "id"): 2, ("addresses", "not_null", "street_id"): 1,
+        ("addresses", "not_null", "number_int"): 1, ("addresses", "enum", "district_code"): 1,
+        ("addresses", "duplicate_key", "street_id,number_int,number_suffix,entrance"): 1,
+        ("addresses", "orphan", "street_id"): 2, ("streets", "duplicate_key", "raw_name"): 1,
+    }
+    rules = quality.RULES
+    assert len(got) == sum(
+        len(rules[t].required) + len(rules[t].enums) + len(quality.MAX_LENGTHS.get(t, {})) + len(rules[t].keys)
+        + len(rules[t].optional_keys) + len(rules[t].references) for t in ("addresses", "streets")
+    )
+    scans = report._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+    assert scans == 2
+    assert {tuple(r) for r in quality.duplicate_keys(addresses, ["id"]).collect()} == {(1, 3), (None, 2)}
+    assert quality.orphans(addresses, "street_id", streets).count() == 2
+    empty = quality.constraint_report({"addresses": addresses.limit(0), "streets": streets.limit(0)})
+    assert {r.violations for r in empty.collect()} == {0}

@@ -98,8 +98,8 @@ def test_institution_pass(spark):
         ADDRESSES,
     )
     institutions = spark.createDataFrame([
-        inst(1), inst(2), inst(3, address="ГР.ВАРНА БУЛ.ВЛАДИСЛАВ ВАРНЕНЧИК 19"),
-        inst(4, address="ГР.ВАРНА УЛ.Х 99"), inst(5, "nursery"), inst(6),
+        inst(1), inst(2), inst(3, address="ГР.ВАРНА БУЛ.СИНЯ ВЕТРЕНИЦА 26"),
+        inst(4, address="ГР.ВАРНА УЛ.ЖЪЛЪД 83"), inst(5, "nursery"), inst(6),
         inst(7, address="GARBAGE"), inst(8, address="ГР.ВАРНА УЛ.НЯМА 1"), inst(9, address=""),
         inst(10, address="ГР.ВАРНА УЛ.НЯМА 1"), inst(11, district="01"),
     ], INSTITUTIONS)
@@ -109,7 +109,7 @@ def test_institution_pass(spark):
         "address_id long, institution_id long",
     )
     register = spark.createDataFrame([
-        ("gr.varna bul.vladislav varnenchik", 19, "", "", "04"), ("gr.varna ul.h", 1, "", "", "03"),
+        ("gr.varna bul.sinya vetrenitsa", 26, "", "", "04"), ("gr.varna ul.zhalad", 1, "", "", "03"),
     ], REGISTER)
 
     tiers = lookup.build_tiers(register)

@@ -28,30 +28,32 @@ REPORT = [
     "  01.04.2026  ",
     data("00001", "УЛ.ПРЕДИ ЗАГЛАВИЕ", "001"),
     more("002"),
-    HEADER.format("05_АСПАРУХОВО", "10135 ГР.ВАРНА", "374"),
+    HEADER.format("05_АСПАРУХОВО", "10135 ГР.ВАРНА", "281"),
     "  код   име на пътна артерия    номер",
     "----- ----- -----",
-    more("099"),  # no street yet in this section
-    " 00330 УЛ.КАПИТАН I РАНГ СТ.ДИМИТРИЕВ 001,002",
-    data("00076", "УЛ.АДМИРАЛ ГРЕЙГ", "002,003,"),
-    more("004,005,"),
-    "12",
-    more("006"),
-    data("00077", "УЛ.СЧУПЕНА", "abc"),  # malformed: the street before goes on
-    more("007"),
-    HEADER.format("02_ПРИМОРСКИ", "10135 ГР.ВАРНА", "002").replace("област", "ОБЛАСТ"),
-    more("111"),
-    data("106598", "УЛ.Н.Й.ВАПЦАРОВ", "003 А,019А,041 12, 007 А"),
-    more("007 Д"),
-    data("1234", "М-СТ ГОРНА ТРАКА", "002А,002Б"),
-    data("12345", "УЛ.ДЪЛГА", "40000,005 АБВГД"),
+    more("088"),  # no street yet in this section
+    # A name that reaches past its column, one blank before its cells.
+    " 00512 УЛ.ПРОФЕСОР Д-Р ЯБЪЛКА КРУШЕВА 009,014",
+    data("00640", "УЛ.ЗЕЛЕНА МЕТЛА", "021,022,"),
+    more("023,031,"),
+    "58",
+    more("032"),
+    data("00641", "УЛ.СЧУПЕНА", "abc"),  # malformed: the street before goes on
+    more("033"),
+    HEADER.format("02_ПРИМОРСКИ", "10135 ГР.ВАРНА", "017").replace("област", "ОБЛАСТ"),
+    more("144"),
+    # Six digits, of which the last five count; a suffix, an entrance, and both written apart.
+    data("204417", "УЛ.Ц.Ю.ЩЪРКЕЛОВ", "011 Б,026В,035 7, 013 Г"),
+    more("013 Ж"),
+    data("8765", "М-СТ ДОЛНА ЧЕШМА", "016Б,016В"),  # four digits are filled up
+    data("54321", "УЛ.ДЪЛГА", "45000,006 ГДЕЖЗ"),  # a number and an entrance that don't fit
     "текст, който не е ред",
 ]
 EXPECTED = [
-    ("00330", 1, "", ""), ("00330", 2, "", ""), ("00076", 2, "", ""), ("00076", 3, "", ""),
-    ("00076", 4, "", ""), ("00076", 5, "", ""), ("00076", 6, "", ""), ("00076", 7, "", ""),
-    ("06598", 3, "", "А"), ("06598", 19, "А", ""), ("06598", 41, "", "12"), ("06598", 7, "", "А"),
-    ("06598", 7, "", "Д"), ("01234", 2, "А", ""), ("01234", 2, "Б", ""),
+    ("00512", 9, "", ""), ("00512", 14, "", ""),
+    *(("00640", number, "", "") for number in (21, 22, 23, 31, 32, 33)),
+    ("04417", 11, "", "Б"), ("04417", 26, "В", ""), ("04417", 35, "", "7"), ("04417", 13, "", "Г"),
+    ("04417", 13, "", "Ж"), ("08765", 16, "Б", ""), ("08765", 16, "В", ""),
 ]
 KEY = ["street_code", "number_int", "number_suffix", "entrance"]
 
@@ -65,13 +67,13 @@ def test_register_report(spark, tmp_path, line_end):
     assert sorted(tuple(r[k] for k in KEY) for r in kept) == sorted(EXPECTED)
     assert standardise.quarantined(rows).count() == 2
     by_code = {r.street_code: r for r in kept}
-    row = by_code["06598"]
+    row = by_code["04417"]
     assert (row.district_code, row.district_name, row.settlement_code, row.section_no) == (
-        "02", "ПРИМОРСКИ", "10135", 2,
+        "02", "ПРИМОРСКИ", "10135", 17,
     )
-    assert row.search_norm == "gr.varna ul.n.y.vaptsarov"
-    assert by_code["00330"].street_raw == "УЛ.КАПИТАН I РАНГ СТ.ДИМИТРИЕВ"
-    assert by_code["00330"].section_no == 374
+    assert row.search_norm == "gr.varna ul.ts.yu.shtarkelov"
+    assert by_code["00512"].street_raw == "УЛ.ПРОФЕСОР Д-Р ЯБЪЛКА КРУШЕВА"
+    assert by_code["00512"].section_no == 281
 
 
 def test_state_is_carried_over_splits_and_chunks(spark, tmp_path, monkeypatch):
