@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvartal import schemas
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
 from kvartal.operators import merge, numbering
+from kvartal.plans import upsert
 from kvartal.session import shared_dir
 from kvartal.sources.tables import Tables
 
@@ -111,6 +113,50 @@ def merge_addresses(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return merge.merge_upsert(stored, incoming.drop("id"), merge.ADDRESSES)
 
 
+# A batch of the first tenth of the streets, merged into a table kept in ranges of streets.
+STREET_RANGE = 40
+_PART_BATCH = f"""
+SELECT * FROM ({v.INCOMING_ADDRESSES}) AS n
+WHERE street_id * 10 <= (SELECT MAX(street_id) FROM ({v.INCOMING_ADDRESSES}) AS m)"""
+_PART_PAIRS = _ADDRESS_PAIRS.replace(f"({v.INCOMING_ADDRESSES}) AS n", f"({_PART_BATCH}) AS n")
+_PART_VIEWS = dict(stored=v.STORED_ADDRESSES, incoming=_PART_BATCH)
+
+
+def _merged_parts(stored: DataFrame, incoming: DataFrame) -> tuple[Tables, upsert.Merged]:
+    spark = stored.sparkSession
+    tables = Tables(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
+    # What the stored table holds besides ids and keys is of no account here.
+    kept = T.StructType([f for f in schemas.ADDRESSES if f.name in stored.columns])
+    part = upsert.key_range("street_id", STREET_RANGE)
+    tables.publish({"addresses": tables.stage_parts("addresses", stored, part, kept)})
+    merged = upsert.upsert_parts(tables, "addresses", incoming.drop("id"), merge.ADDRESSES, part, kept)
+    tables.publish({"addresses": merged.parts})
+    return tables, merged
+
+
+@query(
+    f"SELECT id, street_id, number_int, number_suffix, entrance FROM ({_PART_PAIRS}) AS p", **_PART_VIEWS
+)
+def merge_parts_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The whole table, most of whose parts were not written."""
+    tables, _ = _merged_parts(stored, incoming)
+    return tables.read("addresses", schemas.ADDRESSES).select("id", "street_id", "number_int", "number_suffix", "entrance")
+
+
+@query(
+    f"""SELECT c.*, (SELECT COUNT(DISTINCT street_id // {STREET_RANGE}) FROM ({_PART_BATCH}) AS b) AS met,
+       (SELECT COUNT(DISTINCT street_id // {STREET_RANGE}) FROM ({_PART_PAIRS}) AS p WHERE change = 'inserted') AS written,
+       (SELECT COUNT(DISTINCT street_id // {STREET_RANGE}) FROM ({_PART_PAIRS}) AS p) AS total
+FROM ({_COUNTS.format(_PART_PAIRS)}) AS c""",
+    **_PART_VIEWS,
+)
+def merge_parts_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    merged = _merged_parts(stored, incoming)[1]
+    return merge.change_counts(merged.rows).select(
+        "*", *(F.lit(n).cast("long").alias(name) for name, n in (("met", merged.met), ("written", merged.written), ("total", merged.total)))
+    )
+
+
 @query(
     f"""SELECT (SELECT MAX(id) FROM ({v.STORED_ADDRESSES}) AS s) + ROW_NUMBER() OVER (
          ORDER BY street_id, number_int, number_suffix NULLS FIRST, entrance NULLS FIRST) AS id,

@@ -259,7 +259,7 @@ def search_addresses(**frames: DataFrame) -> DataFrame:
 
 # --- quality ------------------------------------------------------------------------------------
 
-_FAULTY = dict(
+FAULTY = dict(
     addresses=v.FAULTY_ADDRESSES, institutions=v.FAULTY_INSTITUTIONS, edges=v.FAULTY_EDGES
 )
 
@@ -337,7 +337,7 @@ def _report(addresses, institutions, edges) -> DataFrame:
     return quality.match_data_report(addresses, settlements, institutions, edges)
 
 
-@query(_report_sql(**_FAULTY), **_FAULTY)
+@query(_report_sql(**FAULTY), **FAULTY)
 def match_data_report_faulty(**frames: DataFrame) -> DataFrame:
     return _report(**frames)
 
@@ -456,7 +456,7 @@ def _constraints_sql() -> str:
 
 @query(
     _constraints_sql(), streets=v.STREETS, register=v.FAULTY_REGISTER,
-    settlements=v.FAULTY_SETTLEMENTS, **_FAULTY,
+    settlements=v.FAULTY_SETTLEMENTS, **FAULTY,
 )
 def constraint_report(streets, addresses, institutions, edges, register, settlements) -> DataFrame:
     return quality.constraint_report({

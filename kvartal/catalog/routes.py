@@ -125,7 +125,7 @@ def district_roster(institutions: DataFrame) -> DataFrame:
     return routing.district_roster(institutions, "nursery", "preschool").drop("source_url")
 
 
-def _joined(array: str, *fields: str) -> Column:
+def joined(array: str, *fields: str) -> Column:
     """One string per nested list, for comparison."""
     return F.array_join(
         F.transform(array, lambda r: F.concat_ws("/", *(r[f].cast("string") for f in fields))), ";"
@@ -148,7 +148,7 @@ def _response(kind: str | None, addresses, edges, institutions, **paging: int) -
     return responses.routing_response(addresses, edges, institutions, settlements, kind, **paging).select(
         "address_id", "address.district_code", F.col("address.settlement.code").alias("settlement"),
         "page_no",
-        _joined("results", "id", "reception_kind", "offering", "match_basis").alias("results"),
+        joined("results", "id", "reception_kind", "offering", "match_basis").alias("results"),
     )
 
 
@@ -162,7 +162,7 @@ def routing_response_preschool(**frames: DataFrame) -> DataFrame:
     return _response("preschool", **frames)
 
 
-_SUPPLIER_VIEWS = dict(addresses=v.ADDRESSES, edges=v.SUPPLIER_EDGES, institutions=v.SUPPLIER_INSTITUTIONS)
+SUPPLIER_VIEWS = dict(addresses=v.ADDRESSES, edges=v.SUPPLIER_EDGES, institutions=v.SUPPLIER_INSTITUTIONS)
 
 
 def _over_suppliers(sql: str) -> str:
@@ -192,7 +192,7 @@ LEFT JOIN (SELECT address_id, (rank - 1) // {RESPONSE_PAGE} AS page_no,
            FROM ({ranked}) AS k GROUP BY ALL) AS r ON r.address_id = c.address_id"""
 
 
-@query(_over_suppliers(_paged_sql(RANKED)), **_SUPPLIER_VIEWS)
+@query(_over_suppliers(_paged_sql(RANKED)), **SUPPLIER_VIEWS)
 def routing_response_pages(**frames: DataFrame) -> DataFrame:
     return _response(None, **frames, page_size=RESPONSE_PAGE)
 
@@ -216,7 +216,7 @@ LEFT JOIN (SELECT district_code AS code, COUNT(*) AS listed,
                   SUM(CASE WHEN kind = 'nursery' THEN 1 ELSE 0 END) AS nurseries
            FROM ({v.SUPPLIER_INSTITUTIONS}) AS i WHERE kind <> 'kindergarten' GROUP BY 1) AS d
   ON d.code = c.district_code
-WINDOW w AS (PARTITION BY c.district_code, own)""", **_SUPPLIER_VIEWS)
+WINDOW w AS (PARTITION BY c.district_code, own)""", **SUPPLIER_VIEWS)
 def response_classes(**frames: DataFrame) -> DataFrame:
     """Which addresses share a response, and what it is made of."""
     found = responses.factorise(**frames)
@@ -231,7 +231,7 @@ WITH classed AS ({_CLASSED}),
 examples AS (SELECT district_code, own, MIN(address_id) AS example FROM classed GROUP BY 1, 2)
 SELECT r.address_id AS example, r.rank, r.id, r.reception_kind, r.offering
 FROM ({_over_suppliers(RANKED)}) AS r JOIN examples ON example = r.address_id
-WHERE r.match_basis = 'address'""", **_SUPPLIER_VIEWS)
+WHERE r.match_basis = 'address'""", **SUPPLIER_VIEWS)
 def response_class_offers(**frames: DataFrame) -> DataFrame:
     """The offers that a class has by its own edges, with their ranks in its whole response."""
     found = responses.factorise(**frames)

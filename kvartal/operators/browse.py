@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.operators.numbering import with_group_position
+from kvartal.operators.joins import lookup_join
+from kvartal.operators.numbering import with_group_position, with_position
 from kvartal.operators.routing import kind_rank
+from kvartal.session import materialise
 
 STREET_COLUMNS = ("id", "city", "raw_name", "street_part", "type_marker")
 ADDRESS_COLUMNS = ("id", "street_id", "number_int", "number_suffix", "entrance")
@@ -53,30 +55,31 @@ def institution_profile(
     An institution may cover any share of all addresses, so the ordered coverage is cut into
     pages of ``page_size`` addresses, one row each (page 0 alone for most). No page is left
     out; an institution without edges has one empty page.
+
+    Streets are put in order once, and an address is sorted by its street's place in it: the
+    names are attached to what a page says of a street, not to every address.
     """
-    covered = (
-        edges.join(
-            addresses.select(F.col("id").alias("address_id"), *ADDRESS_COLUMNS[1:]), "address_id"
-        )
-        .join(streets.select(F.col("id").alias("street_id"), *STREET_COLUMNS[1:]), "street_id")
+    ranked = materialise(
+        with_position(streets.select(*STREET_COLUMNS), street_order(), "_street"), "ranked-streets"
     )
+    covered = edges.join(
+        addresses.select(F.col("id").alias("address_id"), *ADDRESS_COLUMNS[1:]), "address_id"
+    ).join(ranked.select(F.col("id").alias("street_id"), "_street"), "street_id").drop("street_id")
     order = [
-        F.col("city"), F.col("raw_name"), F.col("street_id"), F.col("number_int"),
-        F.col("number_suffix").asc_nulls_last(), F.col("entrance").asc_nulls_last(),
-        F.col("address_id"),
+        F.col("_street"), F.col("number_int"), F.col("number_suffix").asc_nulls_last(),
+        F.col("entrance").asc_nulls_last(), F.col("address_id"),
     ]
     numbered = with_group_position(covered, ["institution_id"], order, "_place")
     page = F.floor((F.col("_place") - 1) / page_size).cast("long")
-    street = F.struct(F.col("street_id").alias("id"), *STREET_COLUMNS[1:])
     address = F.struct(
         F.col("address_id").alias("id"), "number_int", "number_suffix", "entrance"
     )
-    groups = numbered.groupBy(
-        "institution_id", page.alias("page_no"), street.alias("street")
-    ).agg(
+    groups = numbered.groupBy("institution_id", page.alias("page_no"), "_street").agg(
         F.min("_place").alias("_first"),
         F.sort_array(F.collect_list(F.struct("_place", address.alias("address")))).alias("_rows"),
     )
+    named = ranked.select("_street", F.struct(*STREET_COLUMNS).alias("street"))
+    groups = lookup_join(groups, named, ["_street"], "inner")
     group = F.struct(
         "_first", "street",
         F.transform("_rows", lambda r: r["address"]).alias("addresses"),

@@ -4,6 +4,10 @@ Two sets with Jaccard similarity t share at least one member among the first
 ``n - ceil(t*n) + 1`` of each, whatever common order the members are listed in. Listed
 rarest first, these prefixes hold few common trigrams, so a trigram that nearly all keys
 share hardly ever joins them. Keys are further joined only within neighbouring size classes.
+
+Candidates are pairs of ids with sizes and 128 bits each. Every member that only one of two sets
+has changes one bit, so the bits that differ count members that are not shared: a pair with
+too many is none. The trigrams themselves are fetched for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 
 from kvartal.functions.trigrams import trigrams
 from kvartal.operators.joins import lookup_join
+from kvartal.session import materialise
 
 SCALE = 1000  # thresholds are whole thousandths, so that no bound is rounded
 
@@ -25,31 +30,40 @@ def _ceil_share(part: int, count: Column) -> Column:
 
 
 def _ordered(keys: DataFrame, frequency: DataFrame, within: list[str]) -> DataFrame:
-    """``key, grams``: trigrams rarest first. A group is one key's own trigrams."""
-    grams = keys.select("key", *within, F.explode_outer(trigrams(F.col("key"))).alias("gram")).where(
+    """``id, key, grams``: trigrams rarest first. A group is one key's own trigrams."""
+    grams = keys.select("id", "key", *within, F.explode_outer(trigrams(F.col("key"))).alias("gram")).where(
         F.col("gram").isNotNull()
     )
     listed = lookup_join(grams, frequency, ["gram"])
-    return listed.groupBy("key", *within).agg(
+    return listed.groupBy("id", "key", *within).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]
         ).alias("grams")
     )
 
 
-def _prefixes(
-    ordered: DataFrame, part: int, side: str, width: float, reach: int, within: list[str]
-) -> DataFrame:
+def _bits(half: int) -> Column:
+    """64 of a set's bits: each member changes one of 128."""
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(128))
+    own = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), (place(g) % 64).cast("int"))
+    return F.aggregate(
+        "grams", F.lit(0).cast("long"),
+        lambda bits, g: bits.bitwiseXOR(F.when(F.floor(place(g) / 64) == half, own(g)).otherwise(F.lit(0).cast("long"))),
+    )
+
+
+def _prefixes(ordered: DataFrame, part: int, side: str, width: float, reach: int, within: list[str]) -> DataFrame:
     size = F.size("grams")
     bucket = F.floor(F.log(size) / F.lit(width)).cast("int")
     prefixed = ordered.select(
-        *within, F.col("key").alias(f"{side}_key"), F.col("grams").alias(f"{side}_grams"),
-        size.alias(f"{side}_size"),
-        F.slice("grams", 1, size - _ceil_share(part, size) + 1).alias(f"{side}_prefix"),
-        F.explode(F.sequence(bucket - reach, bucket + reach)).alias("bucket"),
+        *within, F.col("id").alias(f"{side}_id"), size.alias(f"{side}_size"),
+        _bits(0).alias(f"{side}_low"), _bits(1).alias(f"{side}_high"),
+        F.slice("grams", 1, size - _ceil_share(part, size) + 1).alias("_prefix"),
+        F.sequence(bucket - reach, bucket + reach).alias("_buckets"),
     )
-    return prefixed.select(
-        "*", F.posexplode(f"{side}_prefix").alias(f"{side}_at", "gram")
+    return (
+        prefixed.select("*", F.explode("_buckets").alias("bucket"))
+        .select("*", F.posexplode("_prefix").alias(f"{side}_at", "gram")).drop("_prefix", "_buckets")
     )
 
 
@@ -70,8 +84,13 @@ def fuzzy_street_join(
     if not 0 < part <= SCALE:
         raise ValueError(f"threshold must be in (0, 1]: {threshold}")
     within = list(within)
+    # Ids are fixed by the written tables.
     sides = [
-        df.select(F.col(key).alias("key"), *within).dropna().distinct() for df in (left, right)
+        materialise(
+            df.select(F.col(key).alias("key"), *within).dropna().distinct().withColumn("id", F.monotonically_increasing_id()),
+            "names",
+        )
+        for df in (left, right)
     ]
     frequency = (
         sides[0].unionByName(sides[1])
@@ -80,7 +99,7 @@ def fuzzy_street_join(
     )
     # Sizes of similar sets differ at most by the factor 1/t: at most one class apart.
     width = math.log(SCALE / part) + 1e-6
-    a, b = (_ordered(side, frequency, within) for side in sides)
+    a, b = (materialise(_ordered(side, frequency, within), "name-grams") for side in sides)
     pairs = _prefixes(a, part, "left", width, 1, within).join(
         _prefixes(b, part, "right", width, 0, within), ["gram", "bucket", *within]
     )
@@ -89,15 +108,25 @@ def fuzzy_street_join(
     needed = (left_size + right_size) * part
     # Trigrams before the first common one are not shared, nor is anything past a list's end.
     possible = F.least(left_size - F.col("left_at"), right_size - F.col("right_at"))
-    shared = F.size(F.array_intersect("left_grams", "right_grams"))
-    first = F.get(F.array_intersect("left_prefix", "right_prefix"), 0)
+    unlike = sum(
+        F.call_function("bit_count", F.col(f"left_{half}").bitwiseXOR(F.col(f"right_{half}"))) for half in ("low", "high")
+    )
+    # left + right - 2 * shared members are not shared: at least as many as bits differ.
+    likely = (left_size + right_size - unlike) * (SCALE + part) >= 2 * needed
+    survivors = materialise(
+        pairs.where((possible * (SCALE + part) >= needed) & likely).select("left_id", "right_id").distinct(), "name-pairs"
+    )
+    lists = [
+        side.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(f"{name}_key"), F.col("grams").alias(f"{name}_grams"), *more)
+        for side, name, more in ((a, "left", within), (b, "right", []))
+    ]
+    sizes = F.size("left_grams") + F.size("right_grams")
     return (
-        pairs.where(possible * (SCALE + part) >= needed)
-        .where(F.col("gram") == first)  # each pair once
-        .withColumn("shared", shared)
-        .where(F.col("shared") * (SCALE + part) >= needed)
+        survivors.join(lists[0], "left_id").join(lists[1], "right_id")
+        .withColumn("shared", F.size(F.array_intersect("left_grams", "right_grams")))
+        .where(F.col("shared") * (SCALE + part) >= sizes * part)
         .select(
             *within, "left_key", "right_key", F.col("shared").cast("long").alias("shared"),
-            (left_size + right_size - F.col("shared")).cast("long").alias("total"),
+            (sizes - F.col("shared")).cast("long").alias("total"),
         )
     )

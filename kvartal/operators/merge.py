@@ -66,12 +66,18 @@ def classify_changes(policy: MergePolicy) -> Column:
     )
 
 
-def merge_upsert(existing: DataFrame, incoming: DataFrame, policy: MergePolicy) -> DataFrame:
+DIRTY = "dirty"
+
+
+def merge_upsert(
+    existing: DataFrame, incoming: DataFrame, policy: MergePolicy, dirty: bool = False
+) -> DataFrame:
     """All rows of the merged table plus ``change``; stored rows not in the batch are kept.
 
     Keys are unique on both sides, NULL key parts are equal. Columns absent from the batch
     (ids, derived codes) are NULL on inserted rows. A policy without value columns only
     inserts. One join, hence one shuffle of either side, serves the merge and its counts.
+    ``dirty`` adds whether any stored value differs, also one that is no change by the policy.
     """
     old = existing.withColumn("_there", F.lit(True)).alias("old")
     new = incoming.withColumn("_there", F.lit(True)).alias("new")
@@ -86,8 +92,11 @@ def merge_upsert(existing: DataFrame, incoming: DataFrame, policy: MergePolicy)
             return F.coalesce(_new(c), _old(c))
         return F.when(_old("_there").isNotNull(), _old(c)).otherwise(_new(c))
 
+    written = [c for c in (*policy.overwrite, *policy.prefer_new) if c in incoming.columns]
+    moved = reduce(Column.__or__, (~merged(c).eqNullSafe(_old(c)) for c in written), F.lit(False))
+    more = [(_new("_there").isNotNull() & (_old("_there").isNull() | moved)).alias(DIRTY)] if dirty else []
     return joined.select(
-        *(merged(c).alias(c) for c in existing.columns), classify_changes(policy).alias(CHANGE)
+        *(merged(c).alias(c) for c in existing.columns), classify_changes(policy).alias(CHANGE), *more
     )
 
 

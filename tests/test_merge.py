@@ -1,9 +1,15 @@
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvartal.operators import merge, numbering
+from kvartal.plans import upsert
 from kvartal.schemas import ADDRESSES, INSTITUTIONS, STREETS
+from kvartal.session import materialise
+from kvartal.sources.tables import Tables
 
 OLD, NEW = datetime(2026, 5, 4), datetime(2026, 5, 11)
 COLUMNS = [f.name for f in INSTITUTIONS]
@@ -100,3 +106,38 @@ def test_positions_are_dense_over_many_partitions(spark):
     grouped = numbering.with_group_position(rows, ["group"], ["id"])
     wrong = grouped.where(F.col("position") != F.floor(F.col("id") / 3) + 1)
     assert grouped.count() == 20_000 and wrong.count() == 0
+
+
+def test_parts_are_merged_like_the_whole_table(spark, tmp_path):
+    """Random batches: same rows as one merge, and only parts with a changed row get new folders."""
+    rng = random.Random(2)
+    schema = INSTITUTIONS
+    row = lambda i: (None, f"E{i}", rng.choice(["nursery", "preschool"]), rng.choice("ab"), "u", rng.choice([None, "x"]), rng.choice([None, "01"]), False, None)
+    columns = ["id", "external_id", "kind", "name", "source_url", "address", "district_code", "has_infant_group", "last_seen_at"]
+    types = {f.name: f.dataType for f in schema}
+    frame = lambda rows: spark.createDataFrame(rows, T.StructType([T.StructField(c, types[c]) for c in columns])).select(*schema.names)
+    part = F.length("external_id") * 10 + F.substring("external_id", -1, 1).cast("int")
+    tables = Tables(spark, str(tmp_path))
+    whole = frame([])
+    for batch in ([row(i) for i in range(40)], [row(7), row(17), row(140)], [], [row(55)]):
+        batch = list({(r[1], r[2]): r for r in batch}.values())
+        incoming = frame(batch).drop("id")
+        before = dict(tables.parts("institutions"))
+        merged = upsert.upsert_parts(tables, "institutions", incoming, merge.INSTITUTIONS, part, schema)
+        tables.publish({"institutions": merged.parts})
+        expected = materialise(merge.merge_upsert(whole, incoming, merge.INSTITUTIONS), "whole")
+        assert merge.change_counts(merged.rows).collect() == merge.change_counts(expected).collect()
+        whole = expected.select(*schema.names)
+        got = Tables(spark, str(tmp_path)).read("institutions", schema)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect()))
+        kept = [p for p, folder in before.items() if merged.parts[p] == folder]
+        assert merged.written == len(merged.parts) - len(kept) <= merged.met
+        assert len(batch) > 30 or merged.written <= len(batch)
+    # The same batch again: nothing is written.
+    repeated = whole.where("external_id IN ('E55', 'E7')").drop("id")
+    merged = upsert.upsert_parts(tables, "institutions", repeated, merge.INSTITUTIONS, part, schema)
+    assert (merged.written, merged.met) == (0, repeated.select(part).distinct().count())
+    with pytest.raises(ValueError):
+        other = Tables(spark, str(tmp_path / "flat"))
+        other.replace("t", whole, schema)
+        other.parts("t")
