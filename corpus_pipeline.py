@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvartal.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from kvartal.llm.common import table
-from kvartal.session import materialise
+from kvartal.session import discard, materialise
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            discard(written)
+        written = docs
     return docs
