@@ -1,9 +1,10 @@
 """Phrases whose words stand together more often than chance, by best-first growth from prefixes.
 
 A phrase that grows from a word ``w`` can be cut after ``w``: its score is at most 1000 n / f(w),
-however far it grows. The frontier holds the phrases not grown yet, highest bound first. Each
-round grows a batch of them by one word, in one pass over the coded corpus, and the search ends when
-no bound in the frontier reaches the last score that would be returned.
+however far it grows. The frontier holds the words not grown yet, highest bound first. Each wave
+takes the first ones, grows them word by word to all phrases that occur often enough, one pass over
+the coded corpus per word, and scores these; the search ends when no bound in the frontier
+reaches the last score that would be returned.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvartal.operators.numbering import with_position
-from kvartal.session import materialise
+from kvartal.session import discard, materialise
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 # Words of a chunk of the coded corpus.
-CHUNK = 500_000
-# Phrases that a round grows at most, and as many whose count it looks up: what is broadcast.
+CHUNK = 2_000_000
+# Phrases that a pass over the corpus grows or counts at most: what is broadcast.
 BATCH = 100_000
-# A round grows phrases that stand in at most this part of the corpus, or one phrase.
-PART = 6
+# The first wave grows words that make up this part of the corpus, each further one four times as much.
+PART, WIDER = 16, 4
+# Up to so many frequent words are broadcast to code the corpus; more are joined.
+SHARED = 500_000
 # Occurrences that a task holds before it counts them.
 HELD = 2_000_000
 
@@ -96,11 +99,29 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def coded(chunks: DataFrame, words: DataFrame) -> DataFrame:
+def coded(chunks: DataFrame, words: DataFrame, shared: int) -> DataFrame:
     """The chunks as ids of frequent words; 0 for rare words and between pieces.
 
-    Each chunk gets the ids of its own words by a join, so no task needs the whole vocabulary.
+    The words are broadcast if they are few, a checked number. Beyond it each chunk gets the ids
+    of its own words by a join, so that no task needs the whole vocabulary.
     """
+    if words.count() <= shared:
+        rows = words.select("lang", "phrase", "id").toArrow()
+        known: dict[str, dict[str, int]] = {}
+        for lang, word, id_ in zip(*(rows[c].to_pylist() for c in ("lang", "phrase", "id"))):
+            known.setdefault(lang, {})[word] = id_
+        vocabulary = chunks.sparkSession.sparkContext.broadcast(known)
+
+        def by_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for lang, own, codes in zip(*batch.columns):
+                    ids = vocabulary.value.get(lang.as_py(), {})
+                    table = np.fromiter((ids.get(w, 0) for w in ["", *own.as_py()]), np.int32, len(own) + 1)
+                    out.append(table[np.frombuffer(codes.as_buffer(), np.int32)].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["codes"])
+
+        return chunks.select("lang", "words", "codes").mapInArrow(by_words, "codes binary")
     entries = chunks.select("chunk", "lang", F.posexplode("words").alias("_at", "phrase"))
     own = (
         entries.join(words.select("lang", "phrase", "id"), ["lang", "phrase"])
@@ -108,7 +129,7 @@ def coded(chunks: DataFrame, words: DataFrame) -> DataFrame:
     )
     rows = chunks.select("chunk", "codes").join(own, "chunk").select("codes", "_own._at", "_own.id")
 
-    def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for codes, at, ids in zip(*batch.columns):
@@ -118,7 +139,7 @@ def coded(chunks: DataFrame, words: DataFrame) -> DataFrame:
                 out.append(table[codes].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["codes"])
 
-    return rows.mapInArrow(recode, "codes binary")
+    return rows.mapInArrow(by_join, "codes binary")
 
 
 class Trie:
@@ -149,8 +170,8 @@ class Trie:
             order = np.argsort(keys)
             self.levels.append((keys[order], np.array(list(found.values()), np.int64)[order]))
 
-    def occurrences(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Key (node, next word), word before, word after that one, of all places of the phrases.
+    def occurrences(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Key (node, next word) and word before, of all places of the phrases.
 
         Phrases that are only counted have 0 as the next word.
         """
@@ -165,31 +186,30 @@ class Trie:
             hit = keys[place] == key
             at, node = at[hit], nodes[place[hit]]
             counted = at[self.counts[node]]
-            yield node[self.counts[node]] << WORD_BITS, np.full(len(counted), -1), np.full(len(counted), -1)
+            yield node[self.counts[node]] << WORD_BITS, np.full(len(counted), -1)
             go = words[at + level + 1] > 0
             at, node = at[go], node[go]
             grows = self.grows[node]
             here = at[grows]
-            yield (node[grows] << WORD_BITS) | words[here + level + 1], words[here - 1], words[here + level + 2]
+            yield (node[grows] << WORD_BITS) | words[here + level + 1], words[here - 1]
 
 
-def counted_together(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-    """key, f, and the word before and after if it is the same each time, else -1."""
+def counted_together(key: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+    """key, f, and the word before if it is the same each time, else -1."""
     order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    columns = [pa.array(key[first]), pa.array(np.diff(np.r_[first, len(key)]))]
-    for side in (before[order], after[order]):
-        low = np.minimum.reduceat(side, first) if len(first) else side
-        high = np.maximum.reduceat(side, first) if len(first) else side
-        columns.append(pa.array(np.where(low == high, low, -1).astype(np.int32)))
-    return pa.RecordBatch.from_arrays(columns, ["key", "f", "before", "after"])
+    key, before = key[order], before[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    low, high = np.minimum.reduceat(before, first), np.maximum.reduceat(before, first)
+    same = np.where(low == high, low, -1).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[first]), pa.array(np.diff(np.r_[first, len(key)])), pa.array(same)], ["key", "f", "before"]
+    )
 
 
 def counts_of(corpus: DataFrame, trie: Trie) -> DataFrame:
-    """node, word, f, closed: how often each grown phrase is followed by each word (word 0: itself).
+    """node, word, f, led: how often each grown phrase is followed by each word (word 0: itself).
 
-    ``closed``: the longer phrase always has the same word before or after it.
+    ``led``: the longer phrase always has the same word before it.
     """
     shared = corpus.sparkSession.sparkContext.broadcast(trie)
 
@@ -206,12 +226,13 @@ def counts_of(corpus: DataFrame, trie: Trie) -> DataFrame:
         if n:
             yield counted_together(*map(np.concatenate, zip(*held)))
 
-    partial = corpus.mapInArrow(count, "key bigint, f bigint, before int, after int")
+    partial = corpus.mapInArrow(count, "key bigint, f bigint, before int")
     word = F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    same = lambda side: (F.min(side) == F.max(side)) & (F.min(side) > 0)
     return (
-        partial.groupBy("key").agg(F.sum("f").alias("f"), (same("before") | same("after")).alias("closed"))
-        .select(F.shiftright("key", WORD_BITS).alias("node"), word.alias("word"), "f", "closed")
+        partial.groupBy("key").agg(
+            F.sum("f").alias("f"), ((F.min("before") == F.max("before")) & (F.min("before") > 0)).alias("led")
+        )
+        .select(F.shiftright("key", WORD_BITS).alias("node"), word.alias("word"), "f", "led")
         .where((F.col("word") == 0) | (F.col("f") >= LEAST))
     )
 
@@ -246,13 +267,13 @@ def best_of(scored: DataFrame, top: int) -> DataFrame:
 
 
 RESULT = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-PHRASE = ("lang", "n", "phrase", "ids", "pre", "a", "closed")
+PHRASE = ("lang", "n", "phrase", "ids", "pre", "a", "led")
 
 
 class Search:
-    """The tables of one search: the coded corpus, the frontier, counts, phrases not scored yet, the best."""
+    """The tables of one search: the coded corpus, the frequent words, all counts, and the best phrases."""
 
-    def __init__(self, docs: DataFrame, top: int, chunk: int):
+    def __init__(self, docs: DataFrame, top: int, chunk: int, shared: int):
         self.spark, self.top = docs.sparkSession, top
         chunks = materialise(chunked(docs, chunk).withColumn("chunk", F.monotonically_increasing_id()), "phrase-chunks")
         totals = materialise(
@@ -264,19 +285,12 @@ class Search:
             entries.groupBy("lang", F.col("e.words").alias("phrase")).agg(F.sum("e.counts").alias("f"))
             .where(F.col("f") >= LEAST).join(totals, "lang")
         )
+        # Ids follow the counts, so the frontier is in the order of the ids: rarer words have higher bounds.
         self.words = materialise(with_position(words, ["f", "lang", "phrase"], "id"), "phrase-words")
-        self.corpus = materialise(coded(chunks, self.words), "phrase-corpus")
+        self.corpus = materialise(coded(chunks, self.words, shared), "phrase-corpus")
+        discard(chunks)  # all that was made of it is written
         self.size = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        # Tables of phrases, each with the order of the last one taken from it.
-        self.frontier = [(
-            self.words.select(
-                "lang", "n", "phrase", F.array("id").alias("ids"), F.array("f").alias("pre"), F.col("f").alias("a"),
-                F.lit(False).alias("closed"),
-            ),
-            None,
-        )]
         self.known = [self.words.select("lang", "phrase", "f")]
-        self.open = self.frontier[0][0].limit(0)  # phrases whose score isn't known
         self.best = None
 
     def with_least(self, df: DataFrame) -> DataFrame:
@@ -286,91 +300,101 @@ class Search:
         last = self.best.where(F.col("rank") == self.top).select("lang", F.col("score").alias("_least"))
         return df.join(last, "lang", "left").withColumn("least", F.coalesce("_least", F.lit(0))).drop("_least")
 
-    def score_found(self, found: DataFrame | None) -> DataFrame:
-        """Score what can be scored, and return the rests to be counted."""
-        if found is not None:
-            self.open = self.open.unionByName(found.where(~F.col("closed")))
-        cuts = self.with_least(cut_scores(self.open, reduce(DataFrame.unionByName, self.known)))
-        # The first cut has the lowest score or bound: below the last of the best it is of no use.
-        cuts = materialise(cuts.where(F.col("cuts")[0]["score"] >= F.col("least")), "phrase-cuts")
-        done = ~F.exists("cuts", lambda c: c["r"].isNull())
-        lowest = F.col("cuts")[0]
-        scored = cuts.where(done).select(
-            "lang", "phrase", "a", *(lowest[c].alias(c) for c in ("l", "r")), "n", lowest["score"].alias("score")
-        )
-        self.best = materialise(
-            best_of(scored if self.best is None else self.best.drop("rank").unionByName(scored), self.top), "phrase-best"
-        )
-        self.open = cuts.where(~done).select(*PHRASE)
-        return (
-            self.with_least(cuts.where(~done).drop("least")).where(lowest["score"] >= F.col("least"))
-            .select("lang", F.explode("cuts").alias("c")).where(F.col("c.r").isNull())
-            .select("lang", F.col("c.rest").alias("phrase"), F.col("c.rest_ids").alias("ids")).distinct()
-        )
-
-    def batch(self) -> pa.Table:
-        """The phrases of the frontier with the highest bounds; the frontier goes on behind them."""
-        # Within a language the bound falls as the first word's count rises; longer phrases first.
-        order = F.struct(F.col("pre")[0].alias("f"), (-F.size("ids")).alias("size"), "lang", "phrase")
-        parts = []
-        for table, last in self.frontier:
-            part = table.withColumn("_order", order)
-            if last is not None:
-                f, size, lang, phrase = map(F.lit, last)
-                part = part.where(F.col("_order") > F.struct(f.cast("long").alias("f"), size.alias("size"), lang.alias("lang"), phrase.alias("phrase")))
-            parts.append(part)
-        bound = F.expr("1000 * CAST(n AS DECIMAL(38,0)) div pre[0]")
-        front = self.with_least(reduce(DataFrame.unionByName, parts)).where(bound >= F.col("least"))
-        rows = front.orderBy("_order").limit(BATCH).drop("_order", "closed", "least").toArrow()
-        mass = np.cumsum(rows["a"].to_numpy())
-        rows = rows.slice(0, max(1, int(np.searchsorted(mass, self.size // PART, "right"))))
-        if rows.num_rows:
-            pre, ids, lang, phrase = (rows[c][-1].as_py() for c in ("pre", "ids", "lang", "phrase"))
-            taken = (pre[0], -len(ids), lang, phrase)
-            self.frontier = [(table, taken if last is None else max(last, taken)) for table, last in self.frontier]
-        return rows
-
-    def grow(self, rows: pa.Table, wanted: pa.Table) -> DataFrame | None:
-        """One pass over the corpus: the phrases one word longer, and the counts of the wanted rests."""
-        trie = Trie([tuple(x) for x in rows["ids"].to_pylist()], [tuple(x) for x in wanted["ids"].to_pylist()])
-        counts = materialise(counts_of(self.corpus, trie), "phrase-counts")
-
-        def with_nodes(table: pa.Table, nodes: list[int]) -> DataFrame:
-            return self.spark.createDataFrame(table.append_column("node", pa.array(nodes, pa.int64())))
-
-        if wanted.num_rows:
-            rests = with_nodes(wanted.select(["lang", "phrase"]), trie.wanted_nodes)
-            self.known.append(
-                materialise(counts.where(F.col("word") == 0).join(rests, "node").select("lang", "phrase", "f"), "phrase-rests")
-            )
-        if not rows.num_rows:
-            return None
-        parents = with_nodes(rows.select(["lang", "n", "phrase", "ids", "pre"]), trie.grown_nodes)
+    def frontier(self, after: int, mass: int) -> pa.Table:
+        """The next words, by falling bound: at most BATCH, of at most ``mass`` occurrences but for one."""
+        bound = F.expr("1000 * CAST(n AS DECIMAL(38,0)) div f")
+        front = self.with_least(self.words.where(F.col("id") > after)).where(bound >= F.col("least"))
+        rows = front.orderBy("id").limit(BATCH).select(
+            "lang", "n", "phrase", F.array("id").alias("ids"), F.array("f").alias("pre"), F.col("f").alias("a")
+        ).toArrow()
+        return rows.slice(0, max(1, int(np.searchsorted(np.cumsum(rows["a"].to_numpy()), mass, "right"))))
+
+    def with_nodes(self, table: pa.Table, nodes: list[int]) -> DataFrame:
+        return self.spark.createDataFrame(table.append_column("node", pa.array(nodes, pa.int64())))
+
+    def grow(self, rows: pa.Table) -> DataFrame:
+        """The phrases that are one word longer and occur often enough."""
+        trie = Trie([tuple(x) for x in rows["ids"].to_pylist()], [])
+        parents = self.with_nodes(rows.select(["lang", "n", "phrase", "ids", "pre"]), trie.grown_nodes)
         words = self.words.select(F.col("id").alias("word"), F.col("phrase").alias("_last"))
-        found = (
-            counts.where(F.col("word") > 0).join(parents, "node").join(words, "word")
-            .select(
-                "lang", "n", F.concat_ws(" ", "phrase", "_last").alias("phrase"),
-                F.array_append("ids", F.col("word")).alias("ids"), F.array_append("pre", F.col("f")).alias("pre"),
-                F.col("f").alias("a"), (F.col("closed") & (F.size("ids") + 1 < LONGEST)).alias("closed"),
-            )
+        found = counts_of(self.corpus, trie).join(parents, "node").join(words, "word").select(
+            "lang", "n", F.concat_ws(" ", "phrase", "_last").alias("phrase"),
+            F.array_append("ids", F.col("word")).alias("ids"), F.array_append("pre", F.col("f")).alias("pre"),
+            F.col("f").alias("a"), "led",
         )
         found = materialise(found, "phrase-found")
         self.known.append(found.select("lang", "phrase", F.col("a").alias("f")))
-        self.frontier.append((found.where(F.size("ids") < LONGEST), None))
         return found
 
+    def grown(self, rows: pa.Table) -> list[DataFrame]:
+        """All phrases that grow from the words, one table for each pass over the corpus."""
+        tables, level = [], [rows]
+        for length in range(2, LONGEST + 1):
+            found = [self.grow(batch) for batch in level]
+            tables += found
+            if length < LONGEST:
+                level = [batch for table in found for batch in self.batches(table, "lang", "n", "phrase", "ids", "pre")]
+        return tables
+
+    def batches(self, table: DataFrame, *columns: str) -> Iterator[pa.Table]:
+        """The rows in batches of bounded size."""
+        last = None
+        while True:
+            rest = table if last is None else table.where(F.struct("lang", "phrase") > F.struct(*(F.lit(x).alias(c) for c, x in last.items())))
+            rows = rest.select(*columns).orderBy("lang", "phrase").limit(BATCH).toArrow()
+            if rows.num_rows:
+                yield rows
+            if rows.num_rows < BATCH:
+                return
+            last = {c: rows[c][-1].as_py() for c in ("lang", "phrase")}
+
+    def score(self, tables: list[DataFrame]) -> None:
+        """Score the phrases of a wave, but for those that always stand inside a longer one.
+
+        Such a phrase has the same word before it each time, or grows without losing an occurrence.
+        """
+        found = reduce(DataFrame.unionByName, tables)
+        size = F.size("ids")
+        followed = found.where((size > 2) & (F.col("a") == F.element_at("pre", size - 1)))
+        closed = F.col("led") & (size < LONGEST)
+        alone = found.where(~closed).join(followed.select(F.slice("ids", 1, size - 1).alias("ids")).distinct(), "ids", "left_anti")
+        cuts = self.cuts(alone)
+        wanted = cuts.select("lang", F.explode("cuts").alias("c")).where(F.col("c.r").isNull()).select(
+            "lang", F.col("c.rest").alias("phrase"), F.col("c.rest_ids").alias("ids")
+        ).distinct()
+        for batch in self.batches(wanted, "lang", "phrase", "ids"):
+            trie = Trie([], [tuple(x) for x in batch["ids"].to_pylist()])
+            rests = self.with_nodes(batch.select(["lang", "phrase"]), trie.wanted_nodes)
+            self.known.append(
+                materialise(counts_of(self.corpus, trie).join(rests, "node").select("lang", "phrase", "f"), "phrase-rests")
+            )
+        scored = self.cuts(cuts.select(*PHRASE))
+        lowest = F.col("cuts")[0]
+        scored = scored.select("lang", "phrase", "a", *(lowest[c].alias(c) for c in ("l", "r")), "n", lowest["score"].alias("score"))
+        if self.best is not None:
+            scored = scored.unionByName(self.best.drop("rank"))
+        self.best = materialise(best_of(scored, self.top), "phrase-best")
+
+    def cuts(self, phrases: DataFrame) -> DataFrame:
+        """The phrases that may still be among the best, with their cuts as far as they are known."""
+        cuts = self.with_least(cut_scores(phrases, reduce(DataFrame.unionByName, self.known)))
+        # The first cut has the lowest score or bound.
+        return materialise(cuts.where(F.col("cuts")[0]["score"] >= F.col("least")), "phrase-cuts")
+
     def run(self) -> DataFrame:
-        wanted = self.score_found(None)
+        after, mass = 0, self.size // PART
         while True:
-            rests = wanted.orderBy("lang", "phrase").limit(BATCH).toArrow()
-            rows = self.batch()
-            if not rows.num_rows and not rests.num_rows:
-                return self.best.select(*RESULT)
-            wanted = self.score_found(self.grow(rows, rests))
+            rows = self.frontier(after, mass)
+            if not rows.num_rows:
+                break
+            after, mass = rows["ids"][-1].as_py()[0], mass * WIDER
+            self.score(self.grown(rows))
+        if self.best is None:
+            return self.spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+        return self.best.select(*RESULT)
 
 
-def collocations(docs: DataFrame, top: int = TOP, chunk: int = CHUNK) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, chunk: int = CHUNK, shared: int = SHARED) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to 5 words.
 
     ``a`` is how often the phrase occurs, ``l`` and ``r`` the two parts of its lowest-scoring cut,
@@ -379,4 +403,4 @@ def collocations(docs: DataFrame, top: int = TOP, chunk: int = CHUNK) -> DataFra
     length are read whole. Tables without a phrase that occurs ``LEAST`` times give no rows. Other
     columns aren't read.
     """
-    return Search(docs, top, chunk).run()
+    return Search(docs, top, chunk, shared).run()
