@@ -210,7 +210,7 @@ LEFT JOIN (SELECT e.address_id, STRING_AGG(CAST(i.id AS STRING), ',' ORDER BY i.
 
 @query(f"""
 SELECT address_id, MIN(address_id) OVER w AS example, COUNT(*) OVER w AS addresses, n AS own,
-       COALESCE(CASE WHEN preschools > 0 THEN d.nurseries ELSE d.listed END, 0) AS listed
+       CAST(COALESCE(CASE WHEN preschools > 0 THEN d.nurseries ELSE d.listed END, 0) AS BIGINT) AS listed
 FROM ({_CLASSED}) AS c
 LEFT JOIN (SELECT district_code AS code, COUNT(*) AS listed,
                   SUM(CASE WHEN kind = 'nursery' THEN 1 ELSE 0 END) AS nurseries
@@ -222,7 +222,7 @@ def response_classes(**frames: DataFrame) -> DataFrame:
     found = responses.factorise(**frames)
     examples = found.members.groupBy("class_id").agg(F.min("address_id").alias("example"))
     return found.members.join(found.classes, "class_id").join(examples, "class_id").select(
-        "address_id", "example", "addresses", "own", F.col("listed").cast("decimal(38,0)").alias("listed")
+        "address_id", "example", "addresses", "own", "listed"
     )
 
 
