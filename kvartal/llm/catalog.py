@@ -56,7 +56,7 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN covered USING (doc_id)
 
 
 def op3_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents")).drop("spans")
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
 
 
 _query(op3_suffix_dedup)

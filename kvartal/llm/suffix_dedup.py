@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.operators.joins import lookup_join
-from kvartal.session import materialise
+from kvartal.session import discard, materialise
 
 # Bytes of a string that must not start at two places.
 LENGTH = 400
@@ -22,6 +22,11 @@ COMMON = LENGTH - WINDOW + 1
 # Bytes scanned at a time, symbols of one shard's suffix array, ranges of a shard's digests.
 CHUNK, SHARD, RANGES = 1 << 20, 1 << 21, 256
 
+# Runs that repeat every few bytes are settled where they are met.
+PERIODS = (1, 2, 3, 4, 6, 8)
+# Symbols that a compared context has, about; sets the number of shards.
+SYMBOLS = 160
+
 U = np.uint64
 POSITION = U((1 << 24) - 1)
 
@@ -47,8 +52,26 @@ class Rolling:
         return found ^ (found >> U(29))
 
 
-def anchors(data: np.ndarray, spans: np.ndarray, key: Rolling, context: Rolling) -> tuple[np.ndarray, ...]:
-    """(anchor, first start, last start, key, context) for all starts of strings within ``spans``.
+def periodic_runs(data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, period) of runs that repeat every ``period`` bytes for a string and more.
+
+    Every string in such a run starts again one period on or back. No run goes on behind one of ``ends``.
+    """
+    found, half = [], LENGTH // 2
+    for period in PERIODS:
+        same = data[:-period] == data[period:]
+        crossing = (ends[:-1, None] - np.arange(1, period + 1)).ravel()
+        same[crossing[crossing < len(same)]] = False
+        # A run of LENGTH equalities fills a block of half of that.
+        blocks = same[: len(same) // half * half].reshape(-1, half).all(1)
+        if blocks.any():
+            edges = np.flatnonzero(np.diff(np.r_[False, same, False].view(np.int8)))
+            found += [(a, b + period, period) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= LENGTH]
+    return found
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, key: Rolling, context: Rolling) -> tuple[np.ndarray, ...]:
+    """(anchor, first start, last start, key, context) for the strings at ``starts``.
 
     A start's anchor is the least gram of the WINDOW next ones, the first of equals, so equal
     strings have it at the same place. Starts that share it are neighbours. ``key`` hashes the
@@ -66,7 +89,6 @@ def anchors(data: np.ndarray, spans: np.ndarray, key: Rolling, context: Rolling)
     while width < WINDOW:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    starts = np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in spans])
     anchor = (least[starts] & POSITION).astype(np.int64)
     new = np.r_[True, (np.diff(anchor) != 0) | (np.diff(starts) != 1)]
     at = np.flatnonzero(new)
@@ -93,6 +115,8 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
+# Rows with this shape are periodic runs: all strings that start from ``place`` to ``key`` repeat.
+RUN = -1
 ANCHORS = "_a bigint, _b int, place bigint, shape int, key bigint, context bigint"
 
 
@@ -105,14 +129,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
             ends = np.cumsum([len(p) for _, _, p in pieces])
             begins = ends - [len(p) for _, _, p in pieces]
-            place, low, high, keys, contexts = anchors(data, np.c_[begins, ends], key, context)
-            piece = np.searchsorted(ends, place, "right")
+            wanted = np.zeros(len(data), bool)
+            for x, y in zip(begins.tolist(), ends.tolist()):
+                wanted[x : y - LENGTH + 1] = True
+            runs = periodic_runs(data, ends)
+            for x, y, period in runs:
+                # What the run holds starts in its first period: the rest is the same again.
+                wanted[x + period : y - LENGTH + 1] = False
+            place, low, high, keys, contexts = anchors(data, np.flatnonzero(wanted), key, context)
+            x, y = (np.array(c, np.int64) for c in (list(zip(*runs))[:2] if runs else ([], [])))
+            at = np.r_[place, x]
+            piece = np.searchsorted(ends, at, "right")
             row = np.array([r for r, _, _ in pieces])[piece]
             shift = np.array([o for _, o, _ in pieces])[piece] - begins[piece]
+            shape = np.r_[(place - low) * WINDOW + (high - low), np.full(len(x), RUN)]
+            last = y - LENGTH + shift[len(place) :]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[row]), pa.array(b[row]), pa.array(place + shift),
-                 pa.array(((place - low) * WINDOW + (high - low)).astype("i4")),
-                 pa.array(keys.view("i8")), pa.array(contexts.view("i8"))],
+                [pa.array(a[row]), pa.array(b[row]), pa.array(at + shift), pa.array(shape.astype("i4")),
+                 pa.array(np.r_[keys.view("i8"), last]), pa.array(np.r_[contexts.view("i8"), np.zeros(len(x), "i8")])],
                 ["_a", "_b", "place", "shape", "key", "context"],
             )
 
@@ -385,7 +419,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """RESULT for every (id, text) of which something repeats.
 
-    1. Starts of strings are grouped by anchor. Only keys met twice can repeat.
+    1. Starts of strings are grouped by anchor. Only keys met twice can repeat. Runs of a few bytes
+       over and over are told whole, so they don't give an anchor for each byte.
     2. Where a whole context is met twice, all its starts repeat: settled, without its text.
     3. The other contexts of such keys, and one of each kind that is settled beside them, are
        sorted by key over the cluster and cut into shards, each with its suffix array.
@@ -394,10 +429,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     a key with many contexts is spread over as many shards as it fills.
     """
     keyed = _keyed(docs)
-    found = materialise(
+    scanned = materialise(
         keyed.where(F.octet_length("bytes") >= LENGTH).select("_a", "_b", "bytes").mapInArrow(_anchor_rows, ANCHORS),
         "anchors",
     )
+    straight = materialise(
+        scanned.where(F.col("shape") == RUN).select("_a", "_b", F.col("place").alias("low"), F.col("key").alias("high")), "runs"
+    )
+    found = scanned.where(F.col("shape") != RUN)
     twice = found.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     # A second join column makes Spark shuffle the counts afresh, so that it can split a hot key.
     odd = F.col("key").bitwiseAND(1).alias("_odd")
@@ -405,6 +444,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         found.select("*", odd).join(twice.select("key", odd).hint("shuffle_merge"), ["key", "_odd"]).drop("_odd"),
         "anchors-met",
     )
+    discard(scanned)
     kinds = materialise(
         met.groupBy("key", "context").agg(
             F.count("*").alias("_n"), F.min(F.struct("_a", "_b", "place")).alias("_one")
@@ -418,21 +458,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         (F.col("_open") & (F.col("_n") == 1)).alias("asks"),
         (F.col("_open") & (F.struct("_a", "_b", "place") == F.col("_one"))).alias("compared"),
     )
+    hit = F.struct("place", "shape", "settled", "asks", "compared", F.when(F.col("compared"), F.col("key")).otherwise(0).alias("key"))
     by_doc = (
-        hits.where("settled OR compared").groupBy("_a", "_b")
-        .agg(F.collect_list(F.struct("place", "shape", "settled", "asks", "compared", F.when(F.col("compared"), F.col("key")).otherwise(0).alias("key"))).alias("hits"))
+        hits.where("settled OR compared").unionByName(straight.select("_a", "_b"), allowMissingColumns=True)
+        .groupBy("_a", "_b").agg(F.collect_list(F.when(F.col("place").isNotNull(), hit)).alias("hits"))
     )
     # The texts of these documents alone go on; the join never switches its form with size.
     touched = materialise(
         keyed.select("_a", "_b", "bytes").join(by_doc.hint("shuffle_merge"), ["_a", "_b"]).dropDuplicates(["_a", "_b"]),
         "repeating-texts",
     )
+    discard(met)
+    discard(kinds)
     contexts = touched.where(F.exists("hits", lambda h: h["compared"])).mapInArrow(
         _contexts, "key bigint, _a bigint, _b int, low bigint, asks boolean, left binary, right binary"
     )
     spread = F.xxhash64("left", "right")
+    compared = touched.agg(F.sum(F.size(F.filter("hits", lambda h: h["compared"])))).first()[0] or 0
+    shards = max(1, -(-compared * SYMBOLS // SHARD))
     solved = materialise(
-        contexts.withColumn("_spread", spread).repartitionByRange("key", "_spread").sortWithinPartitions("key", "_spread")
+        contexts.withColumn("_spread", spread).repartitionByRange(shards, "key", "_spread").sortWithinPartitions("key", "_spread")
         .drop("_spread").mapInArrow(_shards, FOUND),
         "shards",
     )
@@ -441,14 +486,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .repartition("key", "digests").mapInArrow(_merged, "_a bigint, _b int, low bigint, high bigint")
     )
     runs = (
-        solved.where("kind = 'run'").select("_a", "_b", "low", "high").unionByName(merged)
+        solved.where("kind = 'run'").select("_a", "_b", "low", "high").unionByName(merged).unionByName(straight)
         .groupBy("_a", "_b").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     )
     return touched.join(runs.hint("shuffle_merge"), ["_a", "_b"], "left").mapInArrow(_results, RESULT)
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed).
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed), repeats
+    (whether any byte goes).
 
     Every byte goes that a string of LENGTH bytes covers which also starts anywhere else, in the
     same text or another. Null texts are empty; shorter texts lose nothing; rows that repeat
@@ -464,4 +510,5 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "_whole").alias("kept_sha256"),
         F.coalesce("spans", F.expr("cast(array() AS array<struct<start: bigint, end: bigint>>)")).alias("spans"),
+        F.coalesce(F.col("n_removed") > 0, F.lit(False)).alias("repeats"),
     )
