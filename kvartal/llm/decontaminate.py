@@ -32,29 +32,39 @@ def postings(docs: DataFrame, terms: DataFrame, label: str = "postings") -> Data
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """_item (row key), item_id, _words, _size (of a window) for items that have words."""
+    """_item (row key), item_id, _words, _size (of a window), _starts for items that have words.
+
+    ``_starts``: where each of the item's different windows stands first. A window that an item
+    repeats is looked for once.
+    """
     items = benchmark.select("item_id", words(F.col("text")).alias("_words")).where("size(_words) > 0").distinct()
-    return items.withColumn("_size", F.least(F.lit(size), F.size("_words"))).withColumn(
+    items = items.withColumn("_size", F.least(F.lit(size), F.size("_words"))).withColumn(
         "_item", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.array_join("_words", " "))
     )
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size("_words") - F.col("_size")), lambda i: F.array_join(F.slice("_words", i + 1, F.col("_size")), " ")
+    )
+    starts = (
+        items.select("_item", F.posexplode(windows).alias("_start", "_window"))
+        .groupBy("_item", "_window").agg(F.min("_start").alias("_start"))
+        .groupBy("_item").agg(F.sort_array(F.collect_list("_start")).alias("_starts"))
+    )
+    return items.join(starts, "_item")
 
 
 def rarest_places(items: DataFrame, counts: DataFrame, terms: int = 2) -> DataFrame:
-    """The places (_item, _place, term) of each window's ``terms`` rarest words, by corpus count.
+    """The places (_item, _place, term) of each different window's ``terms`` rarest words, by corpus count.
 
     A word that a window repeats counts at its first place only; a window with fewer distinct
     words gives all it has.
     """
-    spread = items.select("_item", "_size", F.size("_words").alias("_n"), F.posexplode("_words").alias("_place", "term"))
-    counted = spread.join(counts, "term", "left").withColumn("_count", F.coalesce("_count", F.lit(0)))
-    in_windows = counted.withColumn(
-        "_window",
-        F.explode(F.sequence(F.greatest(F.lit(0), F.col("_place") - F.col("_size") + 1), F.least(F.col("_place"), F.col("_n") - F.col("_size")))),
-    )
-    first = in_windows.groupBy("_item", "_window", "term").agg(F.min("_place").alias("_place"), F.min("_count").alias("_count"))
+    windows = items.select("_item", "_size", "_words", F.explode("_starts").alias("_window"))
+    spread = windows.select("_item", "_window", F.posexplode(F.slice("_words", F.col("_window") + 1, F.col("_size"))).alias("_at", "term"))
+    first = spread.groupBy("_item", "_window", "term").agg(F.min(F.col("_at") + F.col("_window")).alias("_place"))
+    counted = first.join(counts, "term", "left").withColumn("_count", F.coalesce("_count", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("_item", "_window").orderBy("_count", "term"))
     return (
-        first.withColumn("_rank", rank).where(F.col("_rank") <= terms)
+        counted.withColumn("_rank", rank).where(F.col("_rank") <= terms)
         .groupBy("_item", "_window").agg(F.collect_list(F.struct("term", "_place")).alias("_anchors"))
     )
 
@@ -103,15 +113,18 @@ def _with_key(docs: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """All documents with their exact window matches: input columns and ``_matches``.
 
-    ``_matches``: per item and shift, the windows whose words all stand in the document.
+    ``_matches``: per item and shift, the windows whose words all stand in the document; a window
+    that the item repeats is told by its first place.
     """
     items = materialise(item_windows(benchmark, size), "items")
     keyed = _with_key(docs)
     found = diagonals(keyed.select("_id", "_hash", "text"), items)
+    # An item goes with a document once, however many shifts are to be compared.
+    shifts = found.groupBy("_id", "_hash", "_item").agg(F.collect_list("_shift").alias("_shifts"))
     candidates = materialise(
-        found.join(items, "_item")
+        shifts.join(items, "_item")
         .groupBy("_id", "_hash")
-        .agg(F.collect_list(F.struct("item_id", "_words", "_size", "_shift")).alias("_candidates")),
+        .agg(F.collect_list(F.struct("item_id", "_words", "_size", "_starts", "_shifts")).alias("_candidates")),
         "candidates",
     )
     # One join form at every size: its cost follows the documents, not the number of candidates.
@@ -121,36 +134,49 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         "left",
     ).withColumn("_doc_words", words(F.col("text")))
 
-    def windows(c: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(c["_words"]) - c["_size"])
+    def windows(c: Column, shift: Column) -> Column:
         return F.filter(
-            starts,
-            lambda i: (i + c["_shift"] >= 0)
-            & (F.slice("_doc_words", F.greatest(i + c["_shift"], F.lit(0)) + 1, c["_size"]) == F.slice(c["_words"], i + 1, c["_size"])),
+            c["_starts"],
+            lambda i: (i + shift >= 0)
+            & (F.slice("_doc_words", F.greatest(i + shift, F.lit(0)) + 1, c["_size"]) == F.slice(c["_words"], i + 1, c["_size"])),
         )
 
-    matches = F.filter(
-        F.transform("_candidates", lambda c: F.struct(c["item_id"].alias("item_id"), c["_size"].alias("size"), c["_shift"].alias("shift"), windows(c).alias("starts"))),
-        lambda m: F.size(m["starts"]) > 0,
-    )
+    def of_item(c: Column) -> Column:
+        return F.transform(
+            c["_shifts"],
+            lambda shift: F.struct(
+                c["item_id"].alias("item_id"), c["_size"].alias("size"), shift.alias("shift"), windows(c, shift).alias("starts")
+            ),
+        )
+
+    matches = F.filter(F.flatten(F.transform("_candidates", of_item)), lambda m: F.size(m["starts"]) > 0)
     return joined.withColumn("_matches", F.when(F.col("_candidates").isNotNull(), matches)).drop("_cid", "_chash", "_candidates")
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, size: int, share: int) -> DataFrame:
     matched = phrase_matches(docs, benchmark, size)
-    hit = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "_matches",
-                lambda m: F.flatten(F.transform(m["starts"], lambda i: F.sequence(i + m["shift"], i + m["shift"] + m["size"] - 1))),
-            )
+    spans = F.flatten(
+        F.transform(
+            "_matches",
+            lambda m: F.transform(
+                m["starts"], lambda i: F.struct((i + m["shift"]).alias("start"), (i + m["shift"] + m["size"]).alias("stop"))
+            ),
         )
     )
+    # Spans in order: each adds what lies behind all before it.
+    hit = F.aggregate(
+        F.array_sort(spans), F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
+        lambda sofar, span: F.struct(
+            (sofar["n"] + F.greatest(F.lit(0), span["stop"] - F.greatest(span["start"], sofar["reach"]))).alias("n"),
+            F.greatest(sofar["reach"], span["stop"]).alias("reach"),
+        ),
+        lambda sofar: sofar["n"],
+    )
     ids = F.array_sort(F.array_distinct(F.transform("_matches", lambda m: F.coalesce(m["item_id"].cast("string"), F.lit("")))))
     none = F.col("_matches").isNull()
     return (
         matched.withColumn("_n_words", F.size("_doc_words").cast("long"))
-        .withColumn("_n_hit", F.when(none, F.lit(0)).otherwise(F.size(hit)).cast("long"))
+        .withColumn("_n_hit", F.when(none, F.lit(0)).otherwise(hit).cast("long"))
         .withColumn("_ids", F.when(none, F.expr("cast(array() AS array<string>)")).otherwise(ids))
         .withColumn("_contaminated", (F.col("_n_hit") > 0) & (F.col("_n_hit") * share >= F.col("_n_words")))
     )
