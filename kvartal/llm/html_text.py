@@ -18,7 +18,10 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+# The last one of a style counts; it holds for all below that say nothing else.
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,18})")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 SPAN = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 
@@ -137,7 +140,8 @@ def parse(page: str) -> Element:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             inner = page[at : end.start() if end else len(page)]
             if tag == "textarea" or tag == "xmp":
-                element.children.append(unescape(inner) if tag == "textarea" else inner)
+                # The line break that opens a textarea is none of its text.
+                element.children.append(re.sub(r"\A(?:\r\n?|\n)", "", unescape(inner)) if tag == "textarea" else inner)
             at = end.end() if end else len(page)
         elif tag not in VOID:
             push(element)
@@ -164,34 +168,56 @@ def visible(element: Element) -> bool:
     )
 
 
+def hides(element: Element, hidden: bool) -> bool:
+    """Whether text right inside isn't shown: the element says so, or what is around it does."""
+    if "visibility" not in element.attrs.lower():
+        return hidden
+    found = VISIBILITY.findall(element.attributes().get("style", ""))
+    return found[-1].lower() != "visible" if found else hidden
+
+
+def _integer(element: Element, name: str) -> int | None:
+    found = INTEGER.match(element.attributes().get(name, "")) if element.attrs else None
+    return int(found[1]) if found else None
+
+
 Work = Iterator["Work"]
 
 
 class Layout:
     """Lines of text. Blank lines asked for by neighbours are shared, and none come first or last.
 
-    What goes down the tree is a generator of the work below it, for ``run``.
+    What goes down the tree is a generator of the work below it, for ``run``. Hidden text takes
+    no room, but what is visible inside it is shown.
     """
 
     def __init__(self):
-        self.lines, self.line, self.blank, self.indent, self.mark = [], "", False, "", ""
+        self.lines, self.blank, self.indent, self.mark = [], False, "", ""
+        self.begin()
+
+    def begin(self, line: str = "") -> None:
+        """A new line. It is kept in pieces, so that a long one is joined once."""
+        self.pieces, self.open = [line], not line or line.endswith(" ")
+
+    def add(self, text: str) -> None:
+        if text:
+            self.pieces.append(text)
+            self.open = text.endswith(" ")
 
     def text(self, text: str, kept: bool = False) -> None:
         if kept:
             first, *rest = text.split("\n")
-            self.line += first
+            self.add(first)
             for part in rest:
                 self.end(force=True)
-                self.line = part
+                self.begin(part)
             return
         text = SPACE.sub(" ", text)
-        if not self.line or self.line.endswith(" "):
-            text = text.lstrip(" ")
-        self.line += text
+        self.add(text.lstrip(" ") if self.open else text)
 
     def end(self, force: bool = False) -> None:
-        line = self.line.rstrip(" ")
-        self.line = ""
+        line = "".join(self.pieces).rstrip(" ")
+        self.begin()
         if not line and not force:
             return
         if self.blank and self.lines:
@@ -207,81 +233,97 @@ class Layout:
         self.end()
         self.blank = self.blank or (spaced and bool(self.lines))
 
-    def element(self, node: Element, kept: bool = False) -> Work:
+    def element(self, node: Element, kept: bool = False, hidden: bool = False) -> Work:
         tag = node.tag
         if not visible(node):
             return
+        hidden = hides(node, hidden)
         if tag == "br":
-            self.end(force=True)
+            if not hidden:
+                self.end(force=True)
             return
         if tag == "table":
-            yield self.table(node)
+            yield self.table(node, hidden)
             return
         is_block = tag in BLOCK
         if is_block:
             self.block(tag in SPACED and not (tag in LISTS and self.indent))
         if tag in LISTS:
-            yield self.list(node)
+            yield self.list(node, hidden)
         else:
             held = self.indent
             if tag in ("blockquote", "dd"):
                 self.indent += "    "
             folded = tag == "details" and "open" not in node.attributes()
-            yield self.inside([c for c in node.children if not folded or getattr(c, "tag", "") == "summary"], kept or tag in ("pre", "textarea"))
+            children = [c for c in node.children if not folded or getattr(c, "tag", "") == "summary"]
+            yield self.inside(children, kept or tag in ("pre", "textarea"), hidden)
             if is_block:
                 self.end()
             self.indent = held
         if is_block:
             self.block(tag in SPACED and not (tag in LISTS and self.indent))
 
-    def inside(self, children: list, kept: bool = False) -> Work:
+    def inside(self, children: list, kept: bool = False, hidden: bool = False) -> Work:
         for child in children:
-            if isinstance(child, str):
+            if not isinstance(child, str):
+                yield self.element(child, kept, hidden)
+            elif not hidden:
                 self.text(child, kept)
-            else:
-                yield self.element(child, kept)
 
-    def list(self, node: Element) -> Work:
-        number, held = 0, self.indent
+    def list(self, node: Element, hidden: bool = False) -> Work:
+        """Items with marks. An ``ol`` counts from ``start``, down if ``reversed``; an item's ``value`` resets it."""
+        held, step = self.indent, 1
+        number = _integer(node, "start")
+        if node.tag == "ol" and "reversed" in node.attributes():
+            step = -1
+            if number is None:
+                number = sum(not isinstance(c, str) and c.tag == "li" and visible(c) for c in node.children)
+        number = 1 if number is None else number
         for child in node.children:
             if isinstance(child, str) or child.tag != "li":
-                yield self.inside([child])
+                yield self.inside([child], False, hidden)
                 continue
             if not visible(child):
                 continue
             self.end()
-            number += 1
+            if node.tag == "ol" and (value := _integer(child, "value")) is not None:
+                number = value
+            unseen = hides(child, hidden)
             mark = f"{number}. " if node.tag == "ol" else "- "
-            self.indent, self.mark = held + " " * len(mark), mark
-            yield self.inside(child.children)
+            number += step
+            self.indent, self.mark = held + " " * len(mark), "" if unseen else mark
+            yield self.inside(child.children, False, unseen)
             self.end()
             self.mark, self.indent = "", held
 
-    def table(self, node: Element) -> Work:
+    def table(self, node: Element, hidden: bool = False) -> Work:
         """Rows as lines, cells padded to their column's width, cells of several lines side by side.
 
         The cells of a row come one below the other if one of them holds a table or blank lines.
         """
         rows, other, taken = [], [], {}
         for part in node.children:
+            unseen = hidden if isinstance(part, str) else hides(part, hidden)
             grouped = not isinstance(part, str) and part.tag in ("thead", "tbody", "tfoot") and visible(part)
             if grouped:
                 taken = {}
             for row in part.children if grouped else [part]:
                 if isinstance(row, str):
                     if row.strip():
-                        other.append(row)
+                        other.append((row, unseen))
                 elif row.tag == "tr" and visible(row):
-                    rows.append(placed([c for c in row.children if not isinstance(c, str) and visible(c)], len(rows), taken))
-                    other += [c for c in row.children if isinstance(c, str) and c.strip()]
+                    own = hides(row, unseen)
+                    rows.append(placed([c for c in row.children if not isinstance(c, str) and visible(c)], len(rows), taken, own))
+                    other += [(c, own) for c in row.children if isinstance(c, str) and c.strip()]
                 elif row.tag in CELLS and visible(row):
-                    rows.append(placed([row], len(rows), taken))
+                    rows.append(placed([row], len(rows), taken, unseen))
                 elif row.tag != "tr":
-                    other.append(row)
+                    other.append((row, unseen))
             if grouped:
                 taken = {}
         self.block(True)
-        yield self.inside(other)  # captions, and text that stands outside cells
+        for child, own in other:  # captions, and text that stands outside cells
+            yield self.inside([child], False, own)
         self.end()
         aligned = []
         for row in rows:
@@ -298,17 +340,17 @@ class Layout:
                         if offset := offsets[columns[cell.start]]:
                             line = (line + "  ").ljust(offset)
                         line += cell.lines[i] if i < len(cell.lines) else ""
-                    self.line = line
+                    self.begin(line)
                     self.end()
                 continue
             for cell in row:
                 self.block(True)
                 if cell.lines:
                     for line in cell.lines:
-                        self.line = line
+                        self.begin(line)
                         self.end(force=len(cell.lines) > 1)
                 else:
-                    yield self.inside(cell.node.children if cell.node.tag in CELLS else [cell.node])
+                    yield self.inside(cell.node.children if cell.node.tag in CELLS else [cell.node], False, cell.hidden)
                 self.block(True)
         self.block(True)
 
@@ -316,14 +358,14 @@ class Layout:
 class Cell:
     """A table cell from column ``start`` to before ``stop``."""
 
-    __slots__ = ("node", "start", "stop", "lines")
+    __slots__ = ("node", "start", "stop", "hidden", "lines")
 
-    def __init__(self, node: Element, start: int, stop: int):
-        self.node, self.start, self.stop, self.lines = node, start, stop, []
+    def __init__(self, node: Element, start: int, stop: int, hidden: bool):
+        self.node, self.start, self.stop, self.hidden, self.lines = node, start, stop, hides(node, hidden), []
 
     def lay_out(self) -> Work:
         inner = Layout()
-        yield inner.inside(self.node.children)
+        yield inner.inside(self.node.children, False, self.hidden)
         inner.end()
         lines = [x if x.strip() else "" for x in inner.lines]
         while lines and not lines[-1]:
@@ -342,14 +384,14 @@ def _span(node: Element, name: str, most: int) -> int:
     return min(int(found[1][:9]), most) if found else 1
 
 
-def placed(nodes: list[Element], row: int, taken: dict[int, float]) -> list[Cell]:
+def placed(nodes: list[Element], row: int, taken: dict[int, float], hidden: bool = False) -> list[Cell]:
     """The cells of a row in their columns. ``taken``: column -> the first row that has it free again."""
     cells, at = [], 0
     for node in nodes:
         while taken.get(at, 0) > row:
             at += 1
         stop, down = at + (_span(node, "colspan", COLUMNS) or 1), _span(node, "rowspan", DOWN)
-        cells.append(Cell(node, at, stop))
+        cells.append(Cell(node, at, stop, hidden))
         if down != 1:  # 0 is the rest of the group
             taken.update(dict.fromkeys(range(at, stop), row + down if down else float("inf")))
         at = stop
