@@ -84,23 +84,24 @@ def upsert(
 ) -> dict[str, DataFrame]:
     """Merge a batch into the four tables; each result still carries ``change``.
 
-    Every merged table is written once before the next one refers to its ids. ``write`` does so
-    for the two tables that are final then, streets and edges, and reads them back.
+    Merges and the numbers of the inserted rows are written, which fixes the ids; institutions and
+    addresses are put together from them by whoever reads them. ``write`` writes the two tables
+    that are final here, streets and edges, and reads them back.
     """
-    institutions = materialise(_with_ids(
+    institutions = _with_ids(
         materialise(
             merge.merge_upsert(existing["institutions"], batch.institutions, merge.INSTITUTIONS),
             "institutions-merge",
         ),
         existing["institutions"], _null_order(INSTITUTION_KEY),
-    ), "institutions")
+    )
     streets = write(_with_ids(
         materialise(
             merge.merge_upsert(existing["streets"], batch.streets, merge.STREETS), "streets-merge"
         ),
         existing["streets"], _null_order(STREET_KEY),
     ), "streets")
-    addresses = materialise(_with_ids(
+    addresses = _with_ids(
         materialise(
             merge.merge_upsert(
                 existing["addresses"],
@@ -109,7 +110,7 @@ def upsert(
             "addresses-merge",
         ),
         existing["addresses"], _null_order(merge.ADDRESSES.key),
-    ), "addresses")
+    )
     edges = write(
         merge.merge_upsert(
             existing["address_institutions"],

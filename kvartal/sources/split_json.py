@@ -19,6 +19,7 @@ MEMBER = "institutions"
 # Name of a member, and the first character of its value.
 NAME = r'^\s*\{?\s*"((?:[^"\\]|\\.)*+)"\s*:\s*(\S?)'
 ROOT = r"^\s*\{"
+BLANK, NULL = r"\A\s*\z", r"\A\s*null\s*\z"
 # Members that every row of the result repeats.
 ENVELOPE = ("schema_version", "scraped_at", "city")
 
@@ -164,12 +165,12 @@ def read_snapshot_splits(spark: SparkSession, path: str) -> DataFrame:
     text = F.when(F.col("part") == F.col("first"), F.regexp_replace("text", r"(?s)^[^\[]*\[", "")).otherwise(F.col("text"))
     text = F.when(F.col("part") == F.col("final"), F.regexp_replace(text, r"\][\s}]*$", "")).otherwise(text)
     elements = elements.select("file", "part", (F.col("part") - F.col("first") + 1).alias("place"), text.alias("text"))
-    elements = elements.where((F.col("place") > 1) | (F.trim("text") != ""))
+    elements = elements.where((F.col("place") > 1) | ~F.col("text").rlike(BLANK))
     value = F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), 0)
     elements = elements.select("file", "place", "text", value.isNull().alias("_broken"))
 
     envelopes = _envelopes(parts, members).join(ends, "file")
-    broken = elements.where("_broken AND trim(text) <> 'null'").select("file").distinct().withColumn("_broken", F.lit(True))
+    broken = elements.where(F.col("_broken") & ~F.col("text").rlike(NULL)).select("file").distinct().withColumn("_broken", F.lit(True))
     valid = (F.col("_end.inside") == 0) & (F.col("_end.depth") == 0) & F.col("_broken").isNull()
     valid = valid & F.json_object_keys("own").isNotNull()
     envelopes = materialise(

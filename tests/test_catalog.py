@@ -12,7 +12,8 @@ SAMPLE = (
     "lookup_gated", "standardise_streets", "parse_one_line_addresses", "merge_institutions",
     "assign_new_ids", "routing_response", "institution_profile", "contract_violations",
     "read_register_files", "match_data_report_faulty", "constraint_report", "fingerprint_streets",
-    "dump_institutions", "ingest_job_summary",
+    "dump_institutions", "ingest_job_summary", "response_classes", "merkle_changed_ranges",
+    "lookup_gated_one_pass", "substring_matches", "merge_parts_counts", "fuzzy_street_join",
 )
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables not present")

@@ -369,8 +369,9 @@ def random_document(rng):
 
 def test_split_documents_equal_whole_ones(spark, tmp_path):
     rng = random.Random(3)
-    for n in range(24):
+    for n in range(40):
         text = random_document(rng)
+        text = {20: '{"institutions": [ \n ], "city": "x"}', 21: '{"institutions":[null]}', 22: ' {"city":"x" }\n', 23: "[1, 2]"}.get(n, text)
         (tmp_path / f"{n:02}.json").write_text(text[:-2] if n == 9 else text + "\n" if n == 10 else text)
     held = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
