@@ -8,9 +8,18 @@ from kvartal.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from kvartal.llm.common import table
 from kvartal.session import discard, materialise
 
+# Rows that go to a Python worker at once. They hold whole texts, a few copies of each on the way,
+# beside an executor's heap that earlier stages have filled.
+BATCH_ROWS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go. Null texts score as clean; without labels none goes."""
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -21,6 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates that hang together the document with the smallest id stays."""
+    _small_batches(spark)
     return simhash.drop_near(docs)
 
 
@@ -31,6 +41,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in token sequences."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 
