@@ -141,3 +141,14 @@ def test_parts_are_merged_like_the_whole_table(spark, tmp_path):
         other = Tables(spark, str(tmp_path / "flat"))
         other.replace("t", whole, schema)
         other.parts("t")
+
+
+def test_parts_are_written_in_few_files(spark, tmp_path):
+    """A file per part and task would be 16 times as many."""
+    rows = spark.range(0, 4000, 1, 16).selectExpr("id * 7919 % 50 AS street_id", "id", "cast(id AS string) AS entrance")
+    tables = Tables(spark, str(tmp_path))
+    with_parts = tables.stage_parts("t", rows, F.col("street_id"), rows.schema)
+    files = [f for folder in with_parts.values() for f in (tmp_path / folder).glob("*.parquet")]
+    assert len(with_parts) == 50 and len(files) <= 50 + 4
+    got = tables._read(list(with_parts.values()), rows.schema)
+    assert sorted(got.collect()) == sorted(rows.collect())
