@@ -31,7 +31,8 @@ def positional_grams(text: Column, size: int = GRAM) -> Column:
 def _postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """gram, id, at: where the wanted trigrams stand."""
     places = texts.select("id", F.explode(positional_grams(F.col("text"))).alias("_g")).select("id", "_g.*")
-    return lookup_join(places, wanted.select("gram").distinct().withColumn("_w", F.lit(True)), ["gram"], "inner").drop("_w")
+    # Spark takes exploded rows for no larger than their texts; a semi join never broadcasts its left side.
+    return lookup_join(places, wanted.select("gram").distinct(), ["gram"], "left_semi")
 
 
 def _long(texts: DataFrame, strings: DataFrame) -> DataFrame:
@@ -65,8 +66,8 @@ def _short(texts: DataFrame, strings: DataFrame, size: int) -> DataFrame:
         F.transform(F.coalesce(positional_grams(F.col("text"), size), F.array().cast("array<struct<at:int,gram:string>>")), lambda g: g["gram"])
     )
     parts = texts.select("id", F.explode(own).alias("string"))
-    asked = strings.where(F.length("string") == size).withColumn("_w", F.lit(True))
-    return lookup_join(parts, asked, ["string"], "inner").select("string", "id")
+    asked = strings.where(F.length("string") == size)
+    return lookup_join(parts, asked, ["string"], "left_semi").select("string", "id")
 
 
 def substring_matches(rows: DataFrame, strings: DataFrame, text: str = "search_norm") -> DataFrame:

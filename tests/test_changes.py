@@ -325,6 +325,16 @@ def test_substrings_equal_contains(spark, seed):
     assert len(got) >= len(expected) and {tuple(r) for r in got} == expected
 
 
+def test_exploded_texts_are_not_broadcast(spark, tmp_path):
+    """Their size is guessed from the texts' files, so only the strings that are asked for may be."""
+    path = str(tmp_path / "texts")
+    spark.range(2000).selectExpr("id", "concat('street ', id) AS text").write.parquet(path)
+    texts = spark.read.parquet(path)
+    strings = spark.range(500_000).selectExpr("concat(id, '') AS string")
+    for found in (substrings._postings(texts, strings.toDF("gram")), substrings._short(texts, strings, 2)):
+        assert "BuildLeft" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_search_addresses_takes_all_searches(spark):
     streets = spark.createDataFrame([(1, "c", "Raw A", "p", None, "lipa alley"), (2, "c", "Raw B", "p", None, "alley lipa")], STREETS)
     addresses = spark.createDataFrame([(n, 1 + n % 2, n, None, None, "01", None) for n in range(1, 7)], ADDRESSES)
