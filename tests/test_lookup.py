@@ -169,3 +169,15 @@ def test_hot_key_is_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_small_files_with_many_rows_are_not_broadcast_by_their_size(spark, tmp_path):
+    """Half a million short rows take a megabyte or two of parquet, and over ten in memory."""
+    from kvartal.session import tune
+
+    path = str(tmp_path / "rows")
+    spark.range(0, 500_000, 1, 1).selectExpr("abs(hash(id)) % 1000 AS id", "abs(hash(-id)) % 1000 AS n").write.parquet(path)
+    tune(spark)
+    rows = spark.read.parquet(path)
+    plan = rows.join(rows.withColumnRenamed("n", "m"), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
