@@ -159,15 +159,20 @@ def read_snapshot_split(rows: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     placed = lines.repartition("part").sortWithinPartitions("part", "seq").select("part", "value")
     placed.write.partitionBy("part").text(path)
-    settings = {"spark.sql.files.maxPartitionBytes": SPLIT_BYTES, "spark.sql.files.openCostInBytes": "0"}
-    held = {key: spark.conf.get(key) for key in settings}
+    # A task reads many of the small splits: their number grows with the files, that of tasks does not.
+    tasks = str(4 * spark.sparkContext.defaultParallelism)
+    settings = {
+        "spark.sql.files.maxPartitionBytes": SPLIT_BYTES, "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.files.maxPartitionNum": tasks,
+    }
+    held = {key: spark.conf.get(key, None) for key in settings}
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
         docs = split_json.read_snapshot_splits(spark, path)
     finally:
         for key, value in held.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     found = snapshot.institutions(snapshot.raw_institutions(docs))
     return found.select(
         F.regexp_extract("doc", "part=([0-9]+)", 1).cast("long").alias("part"),

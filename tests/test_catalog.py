@@ -37,3 +37,23 @@ def test_routing_over_institutions_that_grow(spark):
     assert all(large > small for small, large in rows.values())
     pages = catalog.QUERIES["routing_response_pages"](spark, sf_dir).select("page_no").distinct().collect()
     assert len(pages) > 2
+
+
+def test_small_splits_are_read_by_few_tasks(spark, monkeypatch):
+    """The number of tasks doesn't follow that of the splits, and no setting is left behind."""
+    from kvartal.catalog import documents
+    from kvartal.sources import split_json
+
+    tasks, write = [], split_json.materialise
+
+    def count(df, label):
+        if label == "json-fragments":
+            tasks.append(df.rdd.getNumPartitions())
+        return write(df, label)
+
+    monkeypatch.setattr(split_json, "materialise", count)
+    monkeypatch.setattr(documents, "SPLIT_BYTES", "1024")
+    found = catalog.QUERIES["read_snapshot_split"](spark, SF_DIR)
+    assert tasks[0] <= 8 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+    assert found.count() == found.select("part", "place").distinct().count() == 1516
