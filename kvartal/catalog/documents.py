@@ -13,7 +13,7 @@ from kvartal.catalog.registry import query
 from kvartal.catalog.strings import search_key_sql
 from kvartal.operators import contract, fuzzy, merge, numbering, standardise
 from kvartal.plans import ingest
-from kvartal.session import shared_dir
+from kvartal.session import materialise, shared_dir
 from kvartal.sources import register, snapshot, split_json
 
 DOC = "CAST(o_orderkey AS STRING)"
@@ -273,8 +273,9 @@ def batch_sql(again: bool) -> str:
     )
 
 
-def valid_documents(docs: DataFrame) -> DataFrame:
-    return docs.join(contract.refused_documents(docs), "doc", "left_anti")
+def valid_documents(docs: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    refused = contract.refused_documents(docs) if refused is None else refused
+    return docs.join(refused, "doc", "left_anti")
 
 
 _REFUSED_COUNT = f" UNION ALL SELECT 'documents', 'refused', COUNT(*) FROM orders WHERE {REFUSED}"
@@ -282,7 +283,8 @@ _REFUSED_COUNT = f" UNION ALL SELECT 'documents', 'refused', COUNT(*) FROM order
 
 def _batch_runs(docs: DataFrame, runs: int) -> DataFrame:
     """Change counts of the last of several runs over the same documents, and those refused."""
-    batch = ingest.plan_batch(valid_documents(docs))
+    refused = materialise(contract.refused_documents(docs), "refused-documents")  # read twice
+    batch = ingest.plan_batch(valid_documents(docs, refused))
     spark = docs.sparkSession
     tables = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
     for _ in range(runs):
@@ -290,7 +292,7 @@ def _batch_runs(docs: DataFrame, runs: int) -> DataFrame:
         tables = {name: df.drop(merge.CHANGE) for name, df in merged.items()}
     return merge.run_summary({
         **{name: merge.change_counts(df) for name, df in merged.items()},
-        "documents": contract.refused_documents(docs).agg(F.count("*").alias("refused")),
+        "documents": refused.agg(F.count("*").alias("refused")),
     })
 
 

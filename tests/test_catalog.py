@@ -57,3 +57,12 @@ def test_small_splits_are_read_by_few_tasks(spark, monkeypatch):
     assert tasks[0] <= 8 * spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
     assert found.count() == found.select("part", "place").distinct().count() == 1516
+
+
+def test_documents_are_checked_once(spark, monkeypatch):
+    from kvartal.catalog import documents
+
+    calls, refused = [], documents.contract.refused_documents
+    monkeypatch.setattr(documents.contract, "refused_documents", lambda docs: calls.append(1) or refused(docs))
+    counts = {(r.section, r.metric): r.value for r in catalog.QUERIES["ingest_first_run"](spark, SF_DIR).collect()}
+    assert len(calls) == 1 and counts["documents", "refused"] > 0
