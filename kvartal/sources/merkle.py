@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvartal.operators.numbering import Order, with_position, with_running_count
+from kvartal.operators.numbering import RUN_BITS, Order, with_position, with_running_count
 from kvartal.session import materialise
 from kvartal.sources.dump import json_row
 
@@ -21,10 +21,49 @@ from kvartal.sources.dump import json_row
 START = "00"
 
 
+def _starts() -> Column:
+    return (F.substring("digest", 1, len(START)) == START) | (F.col("position") == 1)
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """Add ``node``, the number of range starts up to each row."""
-    starts = (F.substring("digest", 1, len(START)) == START) | (F.col("position") == 1)
-    return with_running_count(rows, starts, "node")
+    return with_running_count(rows, _starts(), "node")
+
+
+def _lowest(placed: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """The ranges of the rows themselves.
+
+    Rows move once, by runs of ``2**RUN_BITS`` places, and get their digests where they arrive: a digest
+    is larger than most rows and does not compress. A run is cut into pieces there; only those
+    at its ends, which a range of another run may go on with, still hold their rows' digests.
+    """
+    moved = placed.withColumn("_run", F.shiftright("position", RUN_BITS)).repartition("_run")
+    hashed = moved.withColumn("digest", F.sha2(json_row(columns), 256)).withColumn("_start", _starts().cast("long"))
+    run = Window.partitionBy("_run")
+    passed = run.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    cut = hashed.withColumns({"_piece": F.sum("_start").over(passed), "_starts": F.sum("_start").over(run)})
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("position", "digest"))), lambda r: r["digest"])
+    ends = F.struct(*key)
+    pieces = cut.groupBy("_run", "_piece", "_starts").agg(
+        F.count("*").alias("rows"), F.min_by(ends, "position").alias("_first"), F.max_by(ends, "position").alias("_last"),
+        F.array_join(listed, "").alias("_digests"),
+    )
+    whole = (F.col("_piece") > 0) & (F.col("_piece") < F.col("_starts"))
+    pieces = materialise(pieces.select(
+        "_run", "_piece", "_starts", "rows", F.to_json("_first").alias("first_key"), F.to_json("_last").alias("last_key"),
+        F.when(whole, F.sha2("_digests", 256)).alias("digest"), F.when(~whole, F.col("_digests")).alias("_digests"),
+    ), "merkle-pieces")
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = pieces.groupBy("_run").agg(F.max("_starts").alias("_n")).select(
+        "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    numbered = pieces.join(runs, "_run").withColumn("node", F.col("_before") + F.col("_piece"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("_run", "_digests"))), lambda p: p["_digests"])
+    joined = numbered.where(F.col("digest").isNull()).groupBy("node").agg(
+        F.sum("rows").alias("rows"), F.min_by("first_key", "_run").alias("first_key"),
+        F.max_by("last_key", "_run").alias("last_key"), F.sha2(F.array_join(texts, ""), 256).alias("digest"),
+    )
+    return numbered.where(F.col("digest").isNotNull()).select(*joined.columns).unionByName(joined)
 
 
 def _above(rows: DataFrame) -> DataFrame:
@@ -43,13 +82,9 @@ def merkle_tree(df: DataFrame, columns: Sequence[str], order: Order, key: Sequen
     nor on anything else in the table. ``key`` names the columns that tell a range's ends. The
     order must be total, over dumped and key columns. The last level has one node, its parent is 0; an empty table has none.
     """
-    keyed = df.withColumn("digest", F.sha2(json_row(columns), 256)).withColumn("_key", F.to_json(F.struct(*key)))
-    slim = keyed.select(*dict.fromkeys([*columns, *key]), "digest", "_key")
-    placed = with_position(slim, order).select(
-        "position", "digest", F.lit(1).cast("long").alias("rows"), F.col("_key").alias("first_key"), F.col("_key").alias("last_key")
-    )
+    placed = with_position(df.select(*dict.fromkeys([*columns, *key])), order)
     levels, level = [], 1
-    nodes = materialise(_above(_numbered(placed)), "merkle")
+    nodes = materialise(_lowest(placed, columns, key), "merkle")
     while nodes.count() > 1:
         numbered = _numbered(nodes.withColumnRenamed("node", "position"))
         levels.append(numbered.select(

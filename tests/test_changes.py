@@ -129,6 +129,27 @@ def test_changed_ranges_hold_the_changes_and_little_else(spark):
     assert sum(r.rows for r in merkle.changed_ranges(empty, old).collect()) == 5000
 
 
+def test_ranges_across_runs_are_the_same(spark, monkeypatch):
+    rows = street_rows(spark, 3000)
+    whole = sorted(map(tuple, tree_of(rows).collect()))
+    for bits in (1, 5, 9):  # a range lies in one run, in two, in many
+        monkeypatch.setattr(merkle, "RUN_BITS", bits)
+        assert sorted(map(tuple, tree_of(rows).collect())) == whole
+
+
+def test_digests_of_rows_are_not_written(spark, monkeypatch):
+    from kvartal.operators import numbering
+
+    written = []
+
+    def noted(materialise):
+        return lambda df, label: written.append(df.columns) or materialise(df, label)
+
+    monkeypatch.setattr(numbering, "materialise", noted(numbering.materialise))
+    assert tag_of(tree_of(street_rows(spark, 300))).rows == 300
+    assert written and not any("digest" in columns for columns in written)
+
+
 # --- change propagation ----------------------------------------------------------------------------------
 
 REGISTER = "search_norm string, number_int smallint, number_suffix string, entrance string, district_code string"
