@@ -71,15 +71,16 @@ def match_tiers(
     holds an empty string. Rows that are not ``asked`` have NULL keys and find nothing.
     """
     kinds = dict(tiers.tables[0].dtypes)
-    keyed = target
+    # Worked out in each join: copies of the keys would travel with every row.
+    on = {}
     for key in tiers.keys[0]:
         col = F.coalesce(F.col(key), F.lit("")) if key in empty_if_null else F.col(key)
-        col = col if asked is None else F.when(asked, col)
-        keyed = keyed.withColumn(f"_k_{key}", col.cast(kinds[key]))
+        on[f"_k_{key}"] = (col if asked is None else F.when(asked, col)).cast(kinds[key])
+    matched = target
     for n, (keys, table) in enumerate(zip(tiers.keys, tiers.tables), 1):
         names = [f"_k_{k}" for k in keys]
-        keyed = lookup_join(keyed, table.toDF(*names, f"_t{n}"), names)
-    return keyed.drop(*(f"_k_{k}" for k in tiers.keys[0]))
+        matched = lookup_join(matched, table.toDF(*names, f"_t{n}"), names, on={k: on[k] for k in names})
+    return matched
 
 
 def stamp_by_tiers(

@@ -57,12 +57,14 @@ def reached(
     kinds = dict(tiers.tables[0].dtypes)
     lead = tiers.keys[0][0]
     few = lookup_join(target, leading(changed, tiers).withColumn("_lead", F.lit(True)), [lead], "inner").drop("_lead")
+    on = {}
     for key in tiers.keys[0]:
         column = F.coalesce(F.col(key), F.lit("")) if key in empty_if_null else F.col(key)
-        few = few.withColumn(f"_k_{key}", column.cast(kinds[key]))
+        on[f"_k_{key}"] = column.cast(kinds[key])
     for n, (keys, table) in enumerate(zip(tiers.keys, changed)):
         names = [f"_k_{k}" for k in keys]
-        few = lookup_join(few, table.toDF(*names).withColumn(f"_c{n}", F.lit(True)), names)
+        marked = table.toDF(*names).withColumn(f"_c{n}", F.lit(True))
+        few = lookup_join(few, marked, names, on={k: on[k] for k in names})
     hit = reduce(lambda a, b: a | b, (F.col(f"_c{n}").isNotNull() for n in range(len(changed))))
     return few.where(hit).select(*target.columns)
 

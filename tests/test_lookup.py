@@ -181,3 +181,23 @@ def test_small_files_with_many_rows_are_not_broadcast_by_their_size(spark, tmp_p
     rows = spark.read.parquet(path)
     plan = rows.join(rows.withColumnRenamed("n", "m"), "id")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_keys_and_hashes_do_not_travel(spark):
+    """Rows are shuffled as they are: keys and their hash are worked out in the join."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).select(
+            F.concat(F.lit("s"), F.col("id") % 5).alias("search_norm"), (F.col("id") % 9).cast("smallint").alias("number_int"),
+            F.lit(None).cast("string").alias("number_suffix"), F.lit("").alias("entrance"),
+            F.lit(None).cast("string").alias("district_code"),
+        )
+        register = spark.createDataFrame([("s1", 1, "", "", "02"), ("s2", 3, "", "", "03")], REGISTER)
+        stamped = lookup.stamp_by_tiers(rows, lookup.build_tiers(register), restamp=True)
+        assert stamped.where("district_code IS NOT NULL").count() == 40
+        plan = stamped._jdf.queryExecution().optimizedPlan().toString()
+        moved = [line for line in plan.splitlines() if "coalesce(number_suffix" in line and "Project" in line]
+        assert "Join" in plan and "_key_hash" not in plan and not moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
