@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kvartal.catalog import views as v
 from kvartal.catalog.registry import query
 from kvartal.operators import lookup, prefix_lookup, restamp, standardise
+from kvartal.session import materialise
 
 
 # The oracle keeps a code per tier and picks the first, tier after tier.
@@ -322,7 +323,11 @@ def institution_changes(register: DataFrame, later: DataFrame, moves: DataFrame,
     """The institutions that get another district when addresses and register rows move."""
     old, new = lookup.build_tiers(register), lookup.build_tiers(later)
     institutions = frames["institutions"]
-    stamped = lookup.stamp_institutions(**frames, register=old, restamp=True).select(*institutions.columns)
+    # Written, as a job's tables are: both are read several times.
+    frames["edges"] = materialise(frames["edges"], "edges")
+    stamped = materialise(
+        lookup.stamp_institutions(**frames, register=old, restamp=True).select(*institutions.columns), "stamped-institutions"
+    )
     changed = restamp.changed_keys(old, new)
     found = restamp.institution_changes(stamped, frames["edges"], frames["addresses"], moves, new, changed)
     return found.where(~F.col("before").eqNullSafe(F.col("district_code"))).select("id", "kind", "before", "district_code")

@@ -112,7 +112,10 @@ def institution_changes(
     by_address = reached(parsed, changed, new).select("id")
     ids = materialise(by_votes.unionByName(by_address).distinct(), "reached-institutions")
     few = institutions.join(ids, "id", "left_semi")
-    own = edges.join(ids.withColumnRenamed("id", "institution_id"), "institution_id", "left_semi")
+    # Read twice: for the addresses and for the votes.
+    own = materialise(
+        edges.join(ids.withColumnRenamed("id", "institution_id"), "institution_id", "left_semi"), "reached-edges"
+    )
     now = _applied(
         addresses.select("id", "district_code").join(
             own.select(F.col("address_id").alias("id")).distinct(), "id", "left_semi"

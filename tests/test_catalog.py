@@ -66,3 +66,8 @@ def test_documents_are_checked_once(spark, monkeypatch):
     monkeypatch.setattr(documents.contract, "refused_documents", lambda docs: calls.append(1) or refused(docs))
     counts = {(r.section, r.metric): r.value for r in catalog.QUERIES["ingest_first_run"](spark, SF_DIR).collect()}
     assert len(calls) == 1 and counts["documents", "refused"] > 0
+
+
+def test_views_read_several_times_are_computed_once(spark):
+    found = catalog.QUERIES["institution_changes"](spark, SF_DIR)
+    assert "l_suppkey" not in found._jdf.queryExecution().optimizedPlan().toString()
