@@ -30,7 +30,8 @@ _ASKS = 9
 
 def _hot_pairs(rows: DataFrame, first: str, second: str) -> DataFrame:
     """_k1, _k2, _place of the pairs that hold a large share: HOT rows at most."""
-    drawn = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(first, second).sample(SAMPLE, seed=1)
+    known = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(first, second)
+    drawn = materialise(known.sample(SAMPLE, seed=1), "drawn-keys")
     counts = drawn.groupBy(F.col(first).alias("_k1"), F.col(second).alias("_k2")).agg(F.count("*").alias("_n"))
     total = drawn.agg(F.count("*").alias("_all"))
     hot = counts.join(F.broadcast(total), F.col("_n") * HOT > F.col("_all")).where("_n >= 20")  # one row
@@ -53,7 +54,8 @@ def match_in_one_pass(
     if any(keys != full[: len(keys)] for keys in tiers.keys) or len(full) < 2 or tiers.keys[-1] != full[:1]:
         raise ValueError(f"tiers must be prefixes of one key, down to its first column: {tiers.keys}")
     kinds, keys = dict(tiers.tables[0].dtypes), [f"_k_{k}" for k in full]
-    keyed = target
+    # Read for the sample, for the rows that ask and for the others; whatever made them runs once.
+    keyed = target = materialise(target, "asking-rows")
     for key, name in zip(full, keys):
         column = F.coalesce(F.col(key), F.lit("")) if key in empty_if_null else F.col(key)
         keyed = keyed.withColumn(name, column.cast(kinds[key]))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kvartal.operators import lookup
+from kvartal.operators import lookup, prefix_lookup
 from kvartal.schemas import ADDRESSES, INSTITUTIONS, STREETS
 
 REGISTER = (
@@ -201,3 +201,17 @@ def test_keys_and_hashes_do_not_travel(spark):
         assert "Join" in plan and "_key_hash" not in plan and not moved
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_asking_rows_are_computed_once(spark):
+    """One pass reads its rows for a sample, to match them, and to pass them by."""
+    rows = spark.range(100).select(
+        F.concat(F.lit("s"), F.col("id") % 5).alias("search_norm"), (F.col("id") % 9).cast("smallint").alias("number_int"),
+        F.lit(None).cast("string").alias("number_suffix"), F.lit("").alias("entrance"),
+        F.when(F.col("id") % 2 == 0, "09").alias("district_code"),
+    )
+    tiers = lookup.build_tiers(spark.createDataFrame([("s1", 1, "", "", "02"), ("s2", 3, "", "", "03")], REGISTER))
+    passed = lookup.stamp_by_tiers(rows, tiers, match=prefix_lookup.match_in_one_pass)
+    assert "Range (" not in passed._jdf.queryExecution().optimizedPlan().toString()
+    joined = lookup.stamp_by_tiers(rows, tiers)
+    assert passed.count() == 100 and passed.exceptAll(joined).count() == 0
