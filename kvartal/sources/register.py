@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvartal.functions.text import WS, WS_CHARS, search_key, strip
+from kvartal.functions.text import WS, WS_CHARS, lstrip, search_key, strip
 from kvartal.operators.carry import CHUNK_BITS, carry_forward
 from kvartal.schemas import DISTRICT_CODES, MAX_LENGTHS
 from kvartal.session import materialise
@@ -37,7 +37,6 @@ FIELD_SEP = "\uffff"  # outside the charset, so never inside a line
 HEADER_FIELDS = FIELD_SEP.join(("$5", "$6", "$7", "$8", "$9"))
 DATA_CODE = rf"^{WS}+(\d{{4,6}}){WS}+"
 _CELL = rf"\d+[А-Я]?(?:{WS}+[А-Я0-9]+)?"
-CELL = rf"^(\d+)([А-Я])?(?:{WS}+([А-Я0-9]+))?\z"
 CELL_LIST = rf"^{WS}*{_CELL}{WS}*(?:,{WS}*{_CELL}{WS}*)*,?\z"
 INNER_BREAK = r"[\x0b\x0c\x1c-\x1e]"
 
@@ -135,10 +134,12 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         field[0].alias("district_code"), strip(field[1]).alias("district_name"),
         normal_code(field[2]).alias("settlement_code"),
         strip(field[3]).alias("settlement_name"), field[4].alias("section_no"),
+        search_key(strip(field[3])).alias("settlement_key"),
     )
+    # A key goes letter by letter, so both halves are made here, once a header and once a street.
     street = F.struct(
         normal_code(strip(F.col("_code"))).alias("street_code"),
-        F.col("_name").alias("street_raw"),
+        F.col("_name").alias("street_raw"), search_key(F.col("_name")).alias("street_key"),
     )
     return steps.select(
         *lines.columns,
@@ -148,6 +149,18 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def cell_parts(rows: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+    """Digits, suffix and entrance of ``_cell``, a stripped cell of a line that CELL_LIST has passed.
+
+    Such a cell needs no pattern of its own: digits, at most one capital, and behind white space the rest.
+    """
+    rows = rows.withColumn("_rest", F.ltrim("_cell", F.lit("0123456789")))
+    digits = F.substring("_cell", F.lit(1), F.length("_cell") - F.length("_rest"))
+    first = F.substring("_rest", 1, 1)
+    suffix = F.when(first.between("А", "Я"), first).otherwise("")
+    return rows, digits, suffix, lstrip(F.when(suffix == "", F.col("_rest")).otherwise(F.substring("_rest", 2, 1 << 30)))
+
+
 def parse_report(
     lines: DataFrame, file: str = "file", place: tuple[str, ...] = ("block", "place", "sub")
 ) -> DataFrame:
@@ -183,7 +196,7 @@ def parse_report(
         F.col("cells").isNotNull() & (F.col("current.at") > F.col("section.at"))
     )
     cell = F.explode_outer(F.split("cells", ",")).alias("_cell")
-    norm = search_key(F.concat("section.settlement_name", F.lit(" "), "current.street_raw"))
+    norm = F.concat("section.settlement_key", F.lit(" "), "current.street_key")
     rows = (
         inside.select(
             file, *place, "section", F.col("current.street_code").alias("street_code"),
@@ -192,9 +205,9 @@ def parse_report(
         .withColumn("_cell", strip(F.col("_cell")))
         .where(F.col("_cell") != "")
     )
-    number = F.regexp_extract("_cell", CELL, 1).try_cast("smallint")
+    rows, digits, suffix, entrance = cell_parts(rows)
+    number = digits.try_cast("smallint")
     section_no = F.col("section.section_no").try_cast("smallint")
-    suffix, entrance = F.regexp_extract("_cell", CELL, 2), F.regexp_extract("_cell", CELL, 3)
     too_wide = number.isNull() | section_no.isNull() | (
         F.length(entrance) > MAX_LENGTHS["register"]["entrance"]
     )

@@ -302,3 +302,17 @@ def test_keys_that_share_their_locality_are_compared_within_it(spark):
     assert 64 <= len(pairs) < 64 * 8
     other = latin.withColumn("city", F.lit("s. topoli"))
     assert fuzzy.fuzzy_street_join(latin, other, within=["city"]).count() == 0
+
+
+def test_cell_parts_need_no_pattern(spark):
+    """The same parts as one pattern over the cell, and keys made once a street, not once a cell."""
+    ws = register.WS
+    pattern = rf"^(\d+)([А-Я])?(?:{ws}+([А-Я0-9]+))?\z"
+    cells = [f"{n}{s}{e}" for n in ("1", "007", "99999") for s in ("", "А", "Я", "П") for e in ("", " 1", "\u00a0 Б2", "  ЯА", "\t0")]
+    rows, *parts = register.cell_parts(spark.createDataFrame([(c,) for c in cells], "_cell string"))
+    wanted = [F.regexp_extract("_cell", pattern, n) for n in (1, 2, 3)]
+    assert rows.where(~F.col("_cell").rlike(pattern)).count() == 0
+    assert rows.select(F.array(*parts).alias("got"), F.array(*wanted).alias("want")).where("got <> want").collect() == []
+    lines = spark.createDataFrame([("f", 1, "x")], "file string, position long, line string")
+    plan = register.parse_report(lines, place=("position",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "replace(" not in plan
