@@ -49,6 +49,33 @@ def test_classes_expand_to_every_response(spark, seed, kind, size):
     assert got == {r.id: plain.get(r.id, []) for r in tables[0].collect()}
 
 
+@pytest.mark.parametrize("size, pages", [(2, 2), (4, 3), (3, 3), (1, 10_000)])
+def test_responses_over_several_spans(spark, monkeypatch, size, pages):
+    """A response is looked up in spans; their borders show in no page."""
+    tables = random_city(spark, 5, n=40, institutions=90)
+    plain = {}
+    ranked = routing.rank_offerings(routing.expand_offerings(routing.route_addresses(*tables)))
+    for r in ranked.orderBy("rank").collect():
+        plain.setdefault(r.address_id, []).append((r.id, r.reception_kind, r.offering, r.match_basis))
+    monkeypatch.setattr(responses, "SPAN", size)
+    found = responses.factorise(*tables)
+    for of_class in (False, True):
+        rows = responses.class_pages(found, pages).join(found.members, "class_id") if of_class else responses.member_pages(found, pages)
+        got = {}
+        for r in rows.orderBy("page_no").collect():
+            assert r.page_no * pages == len(got.setdefault(r.address_id, []))
+            got[r.address_id].extend((o.id, o.reception_kind, o.offering, o.match_basis) for o in r.results)
+        assert got == {r.id: plain.get(r.id, []) for r in tables[0].collect()}
+
+
+def test_pages_are_made_after_the_last_shuffle(spark):
+    """Neither a shuffle nor a file holds pages: the plan, from its top, first cuts pages, then shuffles."""
+    response = responses.routing_response(*random_city(spark, 3), settlements_dim(spark), None, 2)
+    plan = response._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.index("Generate") < plan.index("Exchange")
+    assert plan.index("page_no") < plan.index("Exchange") and "page_no" not in plan[plan.index("Exchange"):]
+
+
 def test_rows_are_those_of_classes_and_addresses(spark):
     """Many addresses of one district with the same edges: their response is there once."""
     _, _, insts = random_city(spark, 6, institutions=60)
