@@ -109,6 +109,36 @@ def test_published_routes(spark, tmp_path):
     assert joined == {r.address_id: [o.id for o in r.results] for r in refresh.route_all(spark, str(tmp_path)).collect()}
 
 
+def test_routes_published_in_parts_hold_no_pages(spark, tmp_path):
+    """What is written grows with addresses, classes, offers and institutions, not with their responses."""
+    addresses, edges, insts = random_city(spark, 8, n=120, institutions=120)
+    tables = Tables(spark, str(tmp_path))
+    tables.publish({
+        "addresses": tables.stage("addresses", addresses, ADDRESSES), "institutions": tables.stage("institutions", insts, INSTITUTIONS),
+        "address_institutions": tables.stage("address_institutions", edges),
+    })
+    counts = refresh.publish_routes(spark, str(tmp_path), factorised=True).first()
+    now = Tables(spark, str(tmp_path)).versions()
+    assert "route_pages" not in now and set(refresh.ROUTE_PARTS) <= set(now)
+    written = sum(spark.read.parquet(f"{tmp_path}/{now[n]}").count() for n in refresh.ROUTE_PARTS)
+    assert written <= 120 + counts.classes + 2 * edges.count() + 120
+    found = refresh.published_responses(spark, str(tmp_path))
+    got = {}
+    for r in responses.member_pages(found, 4).orderBy("page_no").collect():
+        got.setdefault(r.address_id, []).extend(o.id for o in r.results)
+    assert got == {r.address_id: [o.id for o in r.results] for r in refresh.route_all(spark, str(tmp_path)).collect()}
+    assert sum(map(len, got.values())) > written
+
+
+def test_job_publishes_no_pages(spark, monkeypatch):
+    from kvartal import catalog
+
+    written, stage = [], Tables.stage
+    monkeypatch.setattr(Tables, "stage", lambda self, name, *rest: written.append(name) or stage(self, name, *rest))
+    assert catalog.QUERIES["publish_routes_job"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "route_pages" not in written and written[-4:] == list(refresh.ROUTE_PARTS)
+
+
 # --- hash trees ----------------------------------------------------------------------------------------
 
 
