@@ -54,7 +54,7 @@ def institution_profile(
 
     An institution may cover any share of all addresses, so the ordered coverage is cut into
     pages of ``page_size`` addresses, one row each (page 0 alone for most). No page is left
-    out; an institution without edges has one empty page.
+    out; an institution that covers no known address has one empty page.
 
     Streets are put in order once, and an address is sorted by its street's place in it: the
     names are attached to what a page says of a street, not to every address.
@@ -94,9 +94,9 @@ def institution_profile(
         F.col("institution_id").alias("id"), "page_no", coverage.alias("coverage")
     )
     insts = institutions.select(*INSTITUTION_COLUMNS)
-    empty = insts.join(
-        edges.select(F.col("institution_id").alias("id")), "id", "left_anti"
-    ).select(
+    # The ids come from the numbered rows, one each: joined as they are, all edges of an institution would meet in a task.
+    covering = numbered.select(F.col("institution_id").alias("id")).distinct()
+    empty = insts.join(covering, "id", "left_anti").select(
         "*", F.lit(0).cast("long").alias("page_no"),
         F.array().cast(pages.schema["coverage"].dataType).alias("coverage"),
     )

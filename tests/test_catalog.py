@@ -71,3 +71,9 @@ def test_documents_are_checked_once(spark, monkeypatch):
 def test_views_read_several_times_are_computed_once(spark):
     found = catalog.QUERIES["institution_changes"](spark, SF_DIR)
     assert "l_suppkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_deals_no_edges_by_institution(spark):
+    """Institutions without coverage are found by the numbered rows' ids; the edges are not read again."""
+    found = catalog.QUERIES["institution_profile"](spark, SF_DIR)
+    assert "l_suppkey" not in found._jdf.queryExecution().optimizedPlan().toString()

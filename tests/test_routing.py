@@ -168,6 +168,18 @@ def test_profile_pages_and_order(spark):
     }
 
 
+def test_profile_of_edges_that_lead_nowhere(spark, tables):
+    """An institution all of whose edges lead to unknown addresses is listed, with an empty page."""
+    addresses, _, _ = tables
+    streets = spark.createDataFrame([(1, "А", "А ул", "p", None, "n")], STREETS)
+    edges = spark.createDataFrame([(101, 11), (999, 12), (998, 12)], EDGE)
+    insts = spark.createDataFrame(INSTS[:3], INSTITUTIONS)
+    rows = browse.institution_profile(insts, edges, addresses, streets)
+    assert sorted((r.id, r.page_no, [a.id for g in r.coverage for a in g.addresses]) for r in rows.collect()) == [
+        (11, 0, [101]), (12, 0, []), (13, 0, []),
+    ]
+
+
 # By kind in listing order, then by name.
 LISTED = [12, 11, 13, 22, 23, 21, 31, 32, 33]
 
