@@ -1,8 +1,8 @@
 """Substring search for many strings at once, by positional trigram postings.
 
-A text contains a string where the string's trigrams stand at the right distances. Postings are
-kept for the trigrams that the strings ask for, their counts rank them, and the two rarest of a
-string meet where both give the same start; what is found there is then compared as a whole.
+A text contains a string only where its rarest trigram stands. Postings are kept for the trigrams
+that the strings ask for, and their counts rank them. Where a string's rarest trigram stands, the piece
+of the text around it is cut out, once for all strings of that length, and looked up among the strings.
 Strings of one or two characters have no trigram: they are met with the characters and pairs of
 the texts.
 """
@@ -44,20 +44,14 @@ def _long(texts: DataFrame, strings: DataFrame) -> DataFrame:
     postings = materialise(_postings(texts, grams), "gram-postings")
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("string").orderBy(F.coalesce("n", F.lit(0)), "at")
-    ranked = lookup_join(grams, counts, ["gram"]).withColumn("_rank", F.row_number().over(rarest)).where("_rank <= 2")
-    ranked = materialise(ranked.select("string", "gram", F.col("at").alias("offset"), "_rank"), "rarest-grams")
-
-    def starts(rank: int) -> DataFrame:
-        return postings.join(ranked.where(F.col("_rank") == rank), "gram").select(
-            "string", "id", (F.col("at") - F.col("offset") + 1).alias("start")
-        )
-
-    second = ranked.where("_rank = 2").select("string").withColumn("_two", F.lit(True))
-    first = starts(1).join(second, "string", "left")
-    both = first.where("_two").drop("_two").join(starts(2), ["string", "id", "start"], "left_semi")
-    found = both.unionByName(first.where("_two IS NULL").drop("_two"))
-    whole = F.substring("text", F.col("start"), F.length("string")) == F.col("string")
-    return found.join(texts, "id").where(whole & (F.col("start") > 0)).select("string", "id").distinct()
+    ranked = lookup_join(grams, counts, ["gram"]).withColumn("_rank", F.row_number().over(rarest)).where("_rank = 1")
+    # Strings of one length with the gram at one place ask for the same piece of a text: it is cut once for all of them.
+    shapes = materialise(
+        ranked.select("gram", F.col("at").alias("offset"), F.length("string").alias("length")).distinct(), "gram-shapes"
+    )
+    spans = postings.join(shapes, "gram").select("id", (F.col("at") - F.col("offset") + 1).alias("start"), "length")
+    pieces = spans.where("start > 0").join(texts, "id").select(F.substring("text", F.col("start"), F.col("length")).alias("string"), "id")
+    return lookup_join(pieces, strings, ["string"], "left_semi").distinct()
 
 
 def _short(texts: DataFrame, strings: DataFrame, size: int) -> DataFrame:

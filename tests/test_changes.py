@@ -425,6 +425,24 @@ def test_search_addresses_takes_all_searches(spark):
         assert {r.id for r in plain.collect()} == {i for s, i in got if s == search}
 
 
+def test_strings_of_one_shape_share_their_pieces(spark, monkeypatch):
+    """Many strings with the same rarest trigram at the same place ask for one piece of a text, not one each."""
+    names = [f"{letter}qz {number}" for letter in "abcdefghijkl" for number in range(10, 90)]
+    texts = spark.createDataFrame([*enumerate(names), (1000, None)], "id long, search_norm string")
+    strings = spark.createDataFrame([(n,) for n in [*names, "aqz 90", None]], "string string")
+    written, write = {}, substrings.materialise
+
+    def kept(df, label):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(substrings, "materialise", kept)
+    found = {(r.string, r.id) for r in substrings.substring_matches(texts, strings).collect()}
+    assert found == {(n, i) for i, n in enumerate(names)}
+    assert written["gram-shapes"].count() <= 81
+
+
+
 # --- split JSON ------------------------------------------------------------------------------------------------
 
 NASTY = ["a,b", "{[", "}],", 'say "hi", {', "back\\slash", '\\",', "tab\t", "é,ü\n,", "", ']}', ',"institutions":[', 'x\\\\,\\"']
