@@ -7,6 +7,7 @@ as what it is. Nothing is coerced.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ class _Member:
 
     def __init__(self, key: str, path: Path):
         self.path = path(key)
-        self.present = F.array_contains("keys", key)
+        self.present = F.col(f"_{key}_present")
         self.value = F.col(f"_{key}")
         self.type = F.col(f"_{key}_type")
         self.text = F.col(f"_{key}_text")
@@ -76,38 +77,39 @@ class _Member:
         return self.broken(self.present & ~valid, "enum")
 
 
-def _with_members(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """The members of an object as columns, then their types and texts, each evaluated once."""
+def _with_members(rows: DataFrame, values: dict[str, Column], known: Sequence[str]) -> DataFrame:
+    """The members of an object as columns, then their types and texts and which of the known ones
+    are there, each evaluated once."""
     rows = rows.withColumns({f"_{key}": value for key, value in values.items()})
-    return rows.withColumns({
+    members = {
         f"_{key}_{part}": column
         for key in values
         for part, column in (
             ("type", F.coalesce(F.schema_of_variant(f"_{key}"), F.lit("VOID"))),
             ("text", F.try_variant_get(f"_{key}", "$", "string")),
         )
-    })
+    }
+    return rows.withColumns(members | {f"_{key}_present": F.array_contains("keys", key) for key in known})
 
 
 def _none() -> Column:
     return F.array().cast(f"array<{VIOLATION}>")
 
 
-def _collect(rules: Sequence[Column], known: Sequence[str], path: Path) -> Column:
-    """Array of the rules that fired, plus one per unknown member."""
-    unknown = F.transform(
-        F.array_except("keys", F.array(*map(F.lit, known))),
-        lambda k: F.struct(path(k).alias("path"), F.lit("unknown_key").alias("rule")),
-    )
-    return F.concat(
-        F.filter(F.array(*rules), lambda rule: rule.isNotNull()), F.coalesce(unknown, _none())
-    )
-
-
 def _found(at: Column, rule: str, rules: Sequence[Column], known: Sequence[str], path: Path) -> Column:
-    """The violations of one object; only ``rule`` where it is not an object at all."""
+    """The rules that one object breaks, plus one per unknown member; only ``rule`` where it is no object at all.
+
+    Whether there is any is asked first: that is compiled, the array with its lambdas is not.
+    """
     whole = F.array(F.struct(at.alias("path"), F.lit(rule).alias("rule")))
-    return F.when(F.col("keys").isNull(), whole).otherwise(_collect(rules, known, path))
+    others = F.array_except("keys", F.array(*map(F.lit, known)))
+    unknown = F.transform(others, lambda k: F.struct(path(k).alias("path"), F.lit("unknown_key").alias("rule")))
+    broken = reduce(Column.__or__, (r.isNotNull() for r in rules), F.size(others) > 0)
+    return (
+        F.when(F.col("keys").isNull(), whole)
+        .when(broken, F.concat(F.filter(F.array(*rules), lambda r: r.isNotNull()), F.coalesce(unknown, _none())))
+        .otherwise(_none())
+    )
 
 
 def _below(at: Column) -> Path:
@@ -117,36 +119,31 @@ def _below(at: Column) -> Path:
     return path
 
 
-def _spread(rows: DataFrame, place: Sequence[str], index: str, parts: Column) -> DataFrame:
+def _spread(rows: DataFrame, place: Sequence[str], index: str, parts: str) -> DataFrame:
     """One row for what was found in a row itself, and one for each of its parts, over the cluster.
 
     The row itself has index 0 and travels only if something was found; parts count from 1.
     Outer explode: for an inner one Spark adds a filter that evaluates the array twice.
     """
-    itself = F.array(F.struct(F.col("found"), F.lit(None).cast("string").alias("raw")))
-    each = F.transform(
-        F.coalesce(parts, F.array().cast("array<string>")),
-        lambda part: F.struct(_none().alias("found"), part.alias("raw")),
-    )
+    kind = rows.schema[parts].dataType
+    each = F.concat(F.array(F.lit(None).cast(kind.elementType)), F.coalesce(parts, F.array().cast(kind)))
     return (
-        rows.select(*place, F.posexplode_outer(F.concat(itself, each)).alias(index, "_part"))
-        .select(*place, index, "_part.*")
+        rows.select(*place, "found", F.posexplode_outer(each).alias(index, "raw"))
         .where((F.col(index) > 0) | (F.size("found") > 0))
+        .select(*place, index, F.when(F.col(index) == 0, F.col("found")).otherwise(_none()).alias("found"), "raw")
         .repartition(*place, index)
     )
 
 
-def _object(rows: DataFrame, known: Sequence[str]) -> DataFrame:
-    """``raw`` parsed once as an object: ``keys`` (NULL if it is none) and its known members.
+def _object(rows: DataFrame, value: Column, members: Sequence[str], known: Sequence[str]) -> DataFrame:
+    """A variant as an object: ``keys`` (NULL if it is none), some members, and which known ones are there.
 
-    A repeated member makes it no object.
+    Text with a repeated member, at any depth, is none.
     """
-    parsed = rows.withColumn("_v", F.try_parse_json("raw")).withColumn(
-        "_map", F.try_variant_get("_v", "$", "map<string,variant>")
-    )
+    parsed = rows.withColumn("_v", value).withColumn("_map", F.try_variant_get("_v", "$", "map<string,variant>"))
     return _with_members(
         parsed.withColumn("keys", F.map_keys("_map")),
-        {key: F.try_element_at("_map", F.lit(key)) for key in known},
+        {key: F.try_element_at("_map", F.lit(key)) for key in members}, known,
     )
 
 
@@ -155,13 +152,13 @@ def _documents(docs: DataFrame, versions: bool) -> DataFrame:
     top = docs.select(
         "doc", F.json_object_keys("raw").alias("keys"), F.from_json("raw", ENVELOPE).alias("top")
     ).select("doc", "keys", "top.*")
-    rows = _with_members(top, {key: F.col(key) for key in ENVELOPE_KEYS[:3]})
+    rows = _with_members(top, {key: F.col(key) for key in ENVELOPE_KEYS[:3]}, ENVELOPE_KEYS)
 
     def path(key: str | Column) -> Column:
         return F.lit(key) if isinstance(key, str) else key
 
     version, scraped, city = (_Member(key, path) for key in ENVELOPE_KEYS[:3])
-    listed = F.array_contains("keys", "institutions")
+    listed = F.col("_institutions_present")
     place = F.lit("institutions").alias("path")
     rules = [
         version.required(),
@@ -207,14 +204,12 @@ def _institutions(rows: DataFrame) -> DataFrame:
             "nursery_needs_district",
         ),
     ]
-    # The list is taken as text per entry; its type is that of no other member.
+    # The list's type is that of no other member. Entries stay as parsed.
     scalars = [key for key in INSTITUTION_KEYS if key != "address_entries"]
     entries = F.try_variant_get(
         F.try_element_at("_map", F.lit("address_entries")), "$", "array<variant>"
     )
-    parsed = _object(rows, scalars).withColumn("_list", entries).withColumn(
-        "entries", F.transform("_list", lambda entry: F.to_json(entry))
-    )
+    parsed = _object(rows, F.try_parse_json("raw"), scalars, INSTITUTION_KEYS).withColumn("entries", entries)
     own = _found(at, "type", rules, INSTITUTION_KEYS, path)
     return parsed.select(
         "doc", "i", "entries", F.when(F.col("i") == 0, F.col("found")).otherwise(own).alias("found")
@@ -230,7 +225,7 @@ def _entries(rows: DataFrame) -> DataFrame:
     path = _below(at)
     rules = [rule for key in ENTRY_KEYS for rule in _Member(key, path).string()]
     own = _found(at, "type", rules, ENTRY_KEYS, path)
-    return _object(rows, ENTRY_KEYS).select(
+    return _object(rows, F.col("raw"), ENTRY_KEYS, ENTRY_KEYS).select(
         "doc", F.when(F.col("j") == 0, F.col("found")).otherwise(own).alias("found")
     )
 
@@ -238,12 +233,12 @@ def _entries(rows: DataFrame) -> DataFrame:
 def contract_violations(docs: DataFrame, versions: bool = False) -> DataFrame:
     """``doc, path, rule`` for every broken rule of every document (``doc, raw``).
 
-    One pass: a document is cut into institutions and an institution into entries, each parsed
-    once where it arrives, and what was found further up travels along. With ``versions`` an
+    One pass: a document is cut into institutions, each parsed once where it arrives, and an institution
+    into entries, and what was found further up travels along. With ``versions`` an
     unread schema version is a broken rule too.
     """
-    institutions = _institutions(_spread(_documents(docs, versions), ["doc"], "i", F.col("institutions")))
-    found = _entries(_spread(institutions, ["doc", "i"], "j", F.col("entries")))
+    institutions = _institutions(_spread(_documents(docs, versions), ["doc"], "i", "institutions"))
+    found = _entries(_spread(institutions, ["doc", "i"], "j", "entries"))
     return (
         found.select("doc", F.explode_outer("found").alias("_f"))
         .where(F.col("_f").isNotNull())

@@ -202,6 +202,25 @@ def test_contract(spark):
     assert found == {str(n): rules for n, rules in enumerate(CONTRACT.values())}
 
 
+def test_contract_looks_once_for_each_member(spark):
+    """A member is looked for once, not by each rule; entries are not written as text and parsed again."""
+    docs = spark.createDataFrame([("d", doc([]))], "doc string, raw string")
+    plan = contract.contract_violations(docs)._jdf.queryExecution().optimizedPlan().toString()
+    known = len(contract.ENVELOPE_KEYS) + len(contract.INSTITUTION_KEYS) + len(contract.ENTRY_KEYS)
+    assert plan.count("array_contains(") <= known
+    assert "to_json" not in plan
+
+
+def test_entries_of_any_form(spark):
+    """Entries travel as parsed: nulls, nested values and numbers are still told from strings."""
+    entries = [None, [], {"street": {"a": 1}, "number": [1]}, {"street": "x", "number": "1"}, {"street": None, "number": 1.5}, "text", {}]
+    docs = spark.createDataFrame([("d", one(address_entries=entries))], "doc string, raw string")
+    at = [f"{I0}.address_entries[{n}]" for n in range(len(entries))]
+    expected = {(at[n], "type") for n in (0, 1, 5)}
+    expected |= {(f"{at[n]}.{key}", rule) for n, rule in ((2, "type"), (4, "type"), (6, "required")) for key in ("street", "number")}
+    assert {(r.path, r.rule) for r in contract.contract_violations(docs).collect()} == expected
+
+
 def test_contract_is_checked_in_one_pass(spark):
     docs = spark.createDataFrame([("d", doc([]))], "doc string, raw string")
     plan = contract.contract_violations(docs)._jdf.queryExecution().optimizedPlan().toString()
