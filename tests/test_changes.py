@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -76,6 +77,58 @@ def test_pages_are_made_after_the_last_shuffle(spark):
     assert plan.index("page_no") < plan.index("Exchange") and "page_no" not in plan[plan.index("Exchange"):]
 
 
+def test_own_offers_are_numbers_until_their_places_are_known(spark, monkeypatch):
+    """Texts of an offer stand once per institution; of the tables by edge one has them, the last."""
+    from kvartal.operators import numbering
+
+    written = []
+    for module in (responses, numbering):
+        monkeypatch.setattr(module, "materialise", lambda df, label: written.append((label, df.schema.simpleString())) or materialise(df, label))
+    responses.routing_response(*random_city(spark, 9), settlements_dim(spark), None, 2)
+    by_edge = [label for label, columns in written if re.search("(class|address|example)_id:", columns) and "source_url:" in columns]
+    assert by_edge == ["response-offers"] and len(written) > 5
+
+
+def test_a_response_moves_in_rows_of_many_results(spark, monkeypatch):
+    """3,000 institutions of a district and no edge: one row per address is dealt out, not one per 2,048 results."""
+    _, _, insts = random_city(spark, 3, institutions=5)
+    many = spark.range(3000).selectExpr(
+        "id + 1000 AS id", "concat('X', id) AS external_id", "'n' AS name", "'preschool' AS kind", "'u' AS source_url",
+        "cast(null AS string) AS address", "'07' AS district_code", "false AS has_infant_group", "cast(null AS timestamp) AS last_seen_at",
+    ).select(insts.columns)
+    addresses = spark.createDataFrame([(i, 1, 1, None, None, "07", None) for i in range(5)], ADDRESSES)
+    dealt, repartition = [], type(insts).repartition
+    monkeypatch.setattr(type(insts), "repartition", lambda self, *by: dealt.append(self.count()) or repartition(self, *by))
+    found = responses.factorise(addresses, spark.createDataFrame([], EDGE), many)
+    pages = responses.member_pages(found, 1000)
+    assert dealt == [5] and sorted((r.address_id, r.page_no, len(r.results)) for r in pages.collect()) == [
+        (a, p, 1000) for a in range(5) for p in range(3)
+    ]
+
+
+def test_offers_without_a_name(spark):
+    """A name that is missing sorts as in the plain way."""
+    addresses, edges, insts = random_city(spark, 10, n=30)
+    insts = insts.withColumn("name", F.when(F.col("id") % 3 > 0, F.col("name")))
+    plain, got = {}, {}
+    for r in routing.rank_offerings(routing.expand_offerings(routing.route_addresses(addresses, edges, insts))).orderBy("rank").collect():
+        plain.setdefault(r.address_id, []).append((r.id, r.reception_kind, r.offering))
+    for r in responses.routing_response(addresses, edges, insts, settlements_dim(spark), None, 3).orderBy("page_no").collect():
+        got.setdefault(r.address_id, []).extend((o.id, o.reception_kind, o.offering) for o in r.results)
+    assert got == {r.id: plain.get(r.id, []) for r in addresses.collect()}
+
+
+def test_addresses_that_repeat_or_have_no_id(spark):
+    addresses, edges, insts = random_city(spark, 12, n=20)
+    twice = addresses.where("id < 103")
+    nameless = twice.withColumn("id", F.lit(None).cast("long")).withColumn("district_code", F.lit("01"))
+    found = responses.factorise(addresses.unionByName(twice).unionByName(nameless), edges, insts)
+    once = responses.factorise(addresses.unionByName(nameless.limit(1)), edges, insts)
+    rows = lambda of: sorted((r.address_id or 0, r.page_no, [(o.id, o.offering) for o in r.results]) for r in responses.member_pages(of, 3).collect())
+    plain = rows(once)
+    assert rows(found) == sorted(r for r in plain for _ in range({0: 3, 100: 2, 101: 2, 102: 2}.get(r[0], 1)))
+
+
 def test_rows_are_those_of_classes_and_addresses(spark):
     """Many addresses of one district with the same edges: their response is there once."""
     _, _, insts = random_city(spark, 6, institutions=60)
