@@ -183,6 +183,24 @@ def test_routes_published_in_parts_hold_no_pages(spark, tmp_path):
     assert sum(map(len, got.values())) > written
 
 
+@pytest.mark.parametrize("factorised", [True, False])
+def test_publishing_routes_leaves_its_tables_alone(spark, tmp_path, factorised):
+    """What responses are made from is not kept a second time beside the published tables."""
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    addresses, edges, insts = random_city(spark, 11, n=30)
+    tables = Tables(spark, str(tmp_path))
+    tables.publish({
+        "addresses": tables.stage("addresses", addresses, ADDRESSES), "institutions": tables.stage("institutions", insts, INSTITUTIONS),
+        "address_institutions": tables.stage("address_institutions", edges),
+    })
+    before = set(shared.iterdir())
+    counts = refresh.publish_routes(spark, str(tmp_path), factorised=factorised).first()
+    kept = {p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before}
+    assert kept <= {"route-counts"} and counts.addresses == 30
+    now = Tables(spark, str(tmp_path)).versions()
+    assert spark.read.parquet(f"{tmp_path}/{now['routes']}").count() == 30
+
+
 def test_job_publishes_no_pages(spark, monkeypatch):
     from kvartal import catalog
 
